@@ -77,6 +77,24 @@ def nudge_rounds(sql: str) -> str:
         i = end + 1
 
 
+def bigint_counts(sql: str) -> str:
+    """DuckDB's ``count_if`` returns HUGEINT; Spark's returns bigint."""
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("count_if(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_"):
+            out.append(sql[i:j + 9])
+            i = j + 9
+            continue
+        args, end = _split_call(sql, j + 8)
+        out.append(sql[i:j])
+        out.append(f"CAST(count_if({bigint_counts(args[0])}) AS BIGINT)")
+        i = end + 1
+
+
 def register(name: str, *views: str, sql: str | None = None, op: str = ""):
     def deco(fn: Builder) -> Builder:
         if name in QUERIES:
@@ -84,7 +102,7 @@ def register(name: str, *views: str, sql: str | None = None, op: str = ""):
         QUERIES[name] = fn
         TAGS[name] = op
         if sql is not None:
-            body = nudge_rounds(sql)
+            body = bigint_counts(nudge_rounds(sql))
             ORACLES[name] = with_views(body, *views) if views else body
         return fn
     return deco

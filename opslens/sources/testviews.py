@@ -136,11 +136,12 @@ def _views(d: Dialect) -> dict[str, View]:
         ],
     )
 
-    # -- warehouse_metering: hourly credits from events ---------------------
+    # -- warehouse_metering: hourly credits from events; the warehouse key is
+    # not the query's, so some metered hours have no query (idle hours) ------
     v["warehouse_metering"] = View(
         base="events",
         keys=[f"{d.trunc('hour', 'ts')} AS start_time",
-              f"'WH_' || {_s('user_id % 10')} AS warehouse_name"],
+              f"'WH_' || {_s('(user_id + event_id) % 10')} AS warehouse_name"],
         cols=[
             "CAST(round(sum(value) / 100 + count(*) * 0.002, 4) AS DOUBLE) AS credits_used",
             "CAST(round(sum(value) / 100, 4) AS DOUBLE) AS credits_used_compute",
