@@ -295,7 +295,7 @@ def _views(d: Dialect) -> dict[str, View]:
             f"'f_' || {_s('l_orderkey')} || '_' || {_s('l_linenumber')} || '.csv' AS file_name",
             "CAST(l_quantity AS BIGINT) * 100 AS row_count",
             "CASE WHEN l_returnflag = 'R' AND l_linenumber <= 2 THEN CAST(l_linenumber AS BIGINT) ELSE CAST(0 AS BIGINT) END AS error_count",
-            "CAST(l_extendedprice AS BIGINT) * 10 AS file_size",
+            "CAST(floor(l_extendedprice) AS BIGINT) * 10 AS file_size",
             "CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 'Number of columns in file does not match table' "
             "WHEN l_returnflag = 'R' AND l_linenumber = 2 THEN 'Numeric value is not recognized' END AS first_error_message",
             f"CASE WHEN l_partkey % 3 = 0 THEN 'PIPE_' || {_s('l_partkey % 9')} END AS pipe_name",
@@ -309,7 +309,7 @@ def _views(d: Dialect) -> dict[str, View]:
             f"'DB_' || {_s('p_partkey % 6')} AS table_catalog",
             f"'SCH_' || {_s('p_partkey % 4')} AS table_schema",
             f"'T_' || {_s('p_partkey')} AS table_name",
-            "CAST(p_size AS BIGINT) * CAST(p_retailprice AS BIGINT) * 100000 AS active_bytes",
+            "CAST(p_size AS BIGINT) * CAST(floor(p_retailprice) AS BIGINT) * 100000 AS active_bytes",
             "CAST(p_size AS BIGINT) * 1000 AS row_count",
             "CASE WHEN p_partkey % 5 = 0 THEN 'LINEAR(id)' END AS clustering_key",
             "p_partkey AS part_seq",
