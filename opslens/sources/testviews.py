@@ -107,7 +107,7 @@ def _views(d: Dialect) -> dict[str, View]:
             "ELSE 'SQL compilation error: invalid identifier' END END AS error_message",
             "'QH_' || regexp_extract(props, '\"k\": ([0-9]+)', 1) AS query_hash",
             "CASE WHEN user_id % 5 = 0 THEN 'team:etl;ticket:OPS-' || " + _s("event_id % 50") + " END AS query_tag",
-            "CASE WHEN event_type = 'view' THEN " + _s("event_id - event_id % 30") + " END AS root_query_id",
+            "CASE WHEN event_type = 'view' THEN " + _s("event_id - event_id % 6 + 5") + " END AS root_query_id",
             "CASE WHEN event_id % 10 = 0 THEN 'SESSION_UNKNOWN' END AS session_marker",
             "event_id % 40 AS obj_no",
             "user_id % 5 AS proc_no",
