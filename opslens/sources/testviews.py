@@ -441,8 +441,10 @@ def duck_cte(name: str) -> str:
 def with_views(sql: str, *names: str) -> str:
     """Prefix an oracle query with the CTEs of the views it reads. A query
     that starts with its own ``WITH`` gets the views prepended to its list."""
-    head = "WITH " + ",\n".join(duck_cte(n) for n in names)
+    ctes = ",\n".join(duck_cte(n) for n in names)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ctes + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
-        return head + ",\n" + body[5:]
-    return head + "\n" + body
+        return "WITH " + ctes + ",\n" + body[5:]
+    return "WITH " + ctes + "\n" + body
