@@ -389,6 +389,40 @@ def _views(d: Dialect) -> dict[str, View]:
         ],
     )
 
+    # -- access_history: objects read per statement, as a JSON array (events)
+    obj = ("'DB_' || " + _s("user_id % 6") + " || '.SCH_' || " + _s("user_id % 4") + " || '.' || "
+           "CASE WHEN event_id % 7 = 0 THEN 'CUSTOMER_PII_' ELSE 'T_' END || " + _s("event_id % 40"))
+    v["access_history"] = View(
+        base="events",
+        where="event_type IN ('view', 'click', 'purchase')",
+        cols=[
+            f"{_s('event_id')} AS query_id",
+            f"'USER_' || {_s('user_id')} AS user_name",
+            f"'ROLE_' || {_s('user_id % 7')} AS role_name",
+            "ts AS query_start_time",
+            "CASE event_type WHEN 'purchase' THEN 'INSERT' ELSE 'SELECT' END AS query_type",
+            "'[{\"objectName\":\"' || " + obj + " || '\",\"objectDomain\":\"Table\",\"columns\":[{\"columnName\":\"C_' || "
+            + _s("event_id % 5") + " || '\"}]}' || CASE WHEN event_id % 3 = 0 THEN ',{\"objectName\":\"DB_0.SCH_0.SALES_' || "
+            + _s("event_id % 9") + " || '\",\"objectDomain\":\"View\",\"columns\":[]}' ELSE '' END || ']' AS direct_objects_accessed",
+        ],
+    )
+
+    # -- columns / tag_references: column inventory and classification tags (lineitem)
+    v["columns"] = View(
+        base="lineitem",
+        keys=[f"'DB_' || {_s('l_partkey % 6')} AS table_catalog", f"'SCH_' || {_s('l_partkey % 4')} AS table_schema",
+              f"'T_' || {_s('l_partkey % 40')} AS table_name", f"'C_' || {_s('l_linenumber')} AS column_name"],
+        cols=["count(*) AS observations"],
+    )
+    v["tag_references"] = View(
+        base="lineitem",
+        where="l_partkey % 3 = 0 AND l_linenumber <= 2",
+        keys=[f"'DB_' || {_s('l_partkey % 6')} AS table_catalog", f"'SCH_' || {_s('l_partkey % 4')} AS table_schema",
+              f"'T_' || {_s('l_partkey % 40')} AS table_name", f"'C_' || {_s('l_linenumber')} AS column_name",
+              "CASE WHEN l_returnflag = 'R' THEN 'PII' ELSE 'SEMANTIC_CATEGORY' END AS tag_name"],
+        cols=["'COLUMN' AS domain", "count(*) AS tag_uses"],
+    )
+
     # -- ai_usage: model calls per conversation turn (conversations) --------
     v["ai_usage"] = View(
         base="conversations",
