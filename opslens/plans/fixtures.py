@@ -42,3 +42,30 @@ OWNER_RULES_CTE = values_cte(
     "owner_rules",
     ["entity_type", "entity_pattern", "owner_name", "owner_email", "service_tier", "match_priority", "is_active"],
     OWNER_RULES)
+
+
+# Environment and tenant rules over the projected names.
+PROD_DATABASES = ["DB_0", "DB_1"]
+DEV_DATABASES = ["DB_2", "DB_3"]
+OTHER_PREFIX = "DB_"
+
+
+def environments():
+    from opslens.functions.scope import Environments
+    return Environments(prod=PROD_DATABASES, dev=DEV_DATABASES, other_prefix=OTHER_PREFIX)
+
+
+ENV_SQL = ("CASE WHEN upper(database_name) IN ('DB_0', 'DB_1') THEN 'PROD' WHEN upper(database_name) IN ('DB_2', 'DB_3') THEN 'DEV' "
+           "WHEN starts_with(upper(database_name), 'DB_') THEN 'Other Non-Prod' "
+           "WHEN database_name IS NULL OR trim(database_name) = '' THEN 'No Database Context' ELSE 'Other / Shared' END")
+
+
+def tenants():
+    from opslens.functions.scope import Tenant
+    return [Tenant("NORTH", ["WH_0", "WH_1", "WH_2"], [], None),
+            Tenant("SOUTH", ["WH_5%"], ["DB_5"], "USER_9")]
+
+
+TENANT_SQL = ("CASE WHEN upper(warehouse_name) IN ('WH_0', 'WH_1', 'WH_2') THEN 'NORTH' "
+              "WHEN upper(warehouse_name) LIKE 'WH_5%' OR upper(database_name) = 'DB_5' OR starts_with(upper(user_name), 'USER_9') "
+              "THEN 'SOUTH' ELSE 'Shared/Unclassified' END")

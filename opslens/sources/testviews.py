@@ -423,6 +423,25 @@ def _views(d: Dialect) -> dict[str, View]:
         cols=["'COLUMN' AS domain", "count(*) AS tag_uses"],
     )
 
+    # -- source_commits / change_tickets: change evidence feeds -------------
+    v["source_commits"] = View(
+        base="part",
+        cols=[
+            f"'c' || {_s('p_partkey')} AS commit_id",
+            f"'DB_' || {_s('p_partkey % 6')} || '.SCH_' || {_s('p_partkey % 4')} || '.T_' || {_s('p_partkey % 40')} AS object_fqn",
+            d.add_seconds(d.ts("DATE '2024-01-01' + CAST(p_partkey % 30 AS INTEGER)"), "(p_partkey % 24) * 3600") + " AS committed_at",
+            f"'dev' || {_s('p_partkey % 7')} AS author",
+        ],
+    )
+    v["change_tickets"] = View(
+        base="orders",
+        cols=[
+            f"'OPS-' || {_s('o_orderkey % 60 + 20')} AS ticket_key",
+            d.ts("DATE '2024-01-01' + CAST(o_orderkey % 30 AS INTEGER)") + " AS opened_at",
+            "CASE o_orderstatus WHEN 'F' THEN 'Closed' WHEN 'O' THEN 'Open' ELSE 'In Progress' END AS ticket_status",
+        ],
+    )
+
     # -- ai_usage: model calls per conversation turn (conversations) --------
     v["ai_usage"] = View(
         base="conversations",
