@@ -360,6 +360,11 @@ def _views(d: Dialect) -> dict[str, View]:
             "WHEN 3 THEN 'LOGIN_FAILURE' ELSE 'STALE_TABLE' END AS alert_type",
             "o_orderkey % 72 AS resolve_hours",
             "o_totalprice AS metric_value",
+            "CASE o_orderkey % 5 WHEN 1 THEN 'Task TASK_' || " + _s("o_custkey % 50") + " || ' failed ' || " + _s("1 + o_orderkey % 6")
+            + " || ' times; duration ' || " + _s("60 + o_orderkey % 900") + " || 's vs baseline ' || " + _s("60 + o_orderkey % 300")
+            + " || 's' WHEN 0 THEN 'Credits ' || " + _s("10 + o_orderkey % 90") + " || ' vs baseline ' || " + _s("10 + o_orderkey % 40")
+            + " ELSE 'Alert on WH_' || " + _s("o_custkey % 10") + " END AS message",
+            "CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE 'team' || " + _s("o_custkey % 3") + " END AS owner",
         ],
         derived=[
             "CASE WHEN status = 'RESOLVED' THEN " + d.add_seconds("created_at", "resolve_hours * 3600") + " END AS resolved_at",
