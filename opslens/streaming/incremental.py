@@ -199,7 +199,11 @@ def run_available_now(stream: DataFrame, run: str, keys: Sequence[str], partitio
     q = (stream.writeStream.outputMode("update").foreachBatch(merge)
          .option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return stream.sparkSession.read.parquet(out)
+    spark = stream.sparkSession
+    try:
+        return spark.read.parquet(out)
+    except Exception:  # noqa: BLE001 - no micro-batch produced a row
+        return spark.createDataFrame([], stream.schema)
 
 
 def file_stream(spark: SparkSession, src: str, schema, max_files: int = 1) -> DataFrame:
