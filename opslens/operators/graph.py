@@ -11,6 +11,7 @@ to keep the lineage short and survive executor loss.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,15 +47,19 @@ def task_nodes(task_graph: DataFrame) -> DataFrame:
 
 def _bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 100) -> DataFrame:
     """Minimum hop count from any seed (``node``) over ``source -> target``
-    edges, seeds at depth 0. Returns ``node, depth``."""
-    visited = seeds.select("node").distinct().withColumn("depth", F.lit(0))
+    edges, seeds at depth 0. Returns ``node, depth``.
+
+    Each new frontier is checkpointed (written once to the cluster
+    checkpoint directory, so the emptiness test and the next step read it
+    instead of recomputing, and its plan stays a leaf); the visited set is
+    checkpointed every few steps, which bounds its union chain."""
+    e = edges.select("source", "target").persist(StorageLevel.MEMORY_AND_DISK)
+    visited = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     frontier = visited
-    e = edges.select("source", "target")
     for d in range(1, max_depth + 1):
         nxt = (frontier.join(e, frontier.node == e.source).select(F.col("target").alias("node")).distinct()
-               .join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)))
-        if d % CHECKPOINT_EVERY == 0:
-            nxt = nxt.checkpoint()
+               .join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
+               .checkpoint())
         if nxt.isEmpty():
             break
         visited = visited.unionByName(nxt)
@@ -128,13 +133,12 @@ def graph_impact(task_graph: DataFrame, max_depth: int = 100) -> DataFrame:
     and retry scope. Reachability pairs are grown one edge per step."""
     e = task_edges(task_graph)
     nodes = task_nodes(task_graph)
-    reach = e.select(F.col("source").alias("anc"), F.col("target").alias("desc")).distinct()
+    e = e.persist(StorageLevel.MEMORY_AND_DISK)
+    reach = e.select(F.col("source").alias("anc"), F.col("target").alias("desc")).distinct().checkpoint()
     frontier = reach
     for d in range(2, max_depth + 1):
         nxt = (frontier.join(e, frontier.desc == e.source).select("anc", F.col("target").alias("desc")).distinct()
-               .join(reach, ["anc", "desc"], "left_anti"))
-        if d % CHECKPOINT_EVERY == 0:
-            nxt = nxt.checkpoint()
+               .join(reach, ["anc", "desc"], "left_anti").checkpoint())
         if nxt.isEmpty():
             break
         reach = reach.unionByName(nxt)
