@@ -447,6 +447,23 @@ def _views(d: Dialect) -> dict[str, View]:
         ],
     )
 
+    # -- warehouse_tags: cost-center / department tags (supplier) -----------
+    v["warehouse_tags"] = View(
+        base="supplier",
+        keys=[f"'WH_' || {_s('s_suppkey % 20')} AS warehouse_name",
+              "CASE WHEN s_suppkey % 2 = 0 THEN 'COST_CENTER' ELSE 'DEPARTMENT' END AS tag_name"],
+        cols=[f"min(CASE WHEN s_suppkey % 2 = 0 THEN 'CC' || {_s('s_suppkey % 5')} ELSE 'DEPT' || {_s('s_suppkey % 3')} END) AS tag_value"],
+    )
+
+    # -- contract_balances: daily remaining balance parts (customer) --------
+    v["contract_balances"] = View(
+        base="customer",
+        keys=["DATE '2024-01-01' + CAST(c_custkey % 30 AS INTEGER) AS balance_date"],
+        cols=["CAST(round(sum(greatest(c_acctbal, 0)), 2) AS DOUBLE) AS capacity_balance",
+              "CAST(round(sum(CASE WHEN c_acctbal < 0 THEN -c_acctbal ELSE 0 END), 2) AS DOUBLE) AS rollover_balance",
+              "CAST(count(*) AS DOUBLE) AS free_usage_balance"],
+    )
+
     # -- ai_usage: model calls per conversation turn (conversations) --------
     v["ai_usage"] = View(
         base="conversations",
