@@ -566,3 +566,91 @@ def remaining_balance(balances: DataFrame, days: int = 7) -> DataFrame:
                             + F.coalesce("capacity_balance", F.lit(0.0)) + F.coalesce("rollover_balance", F.lit(0.0)))
     return b.orderBy(F.desc("balance_date")).limit(days)
 
+
+
+# ------------------------------------------------------------------ remaining boards
+
+def spend_ranking(metering: DataFrame, as_of: datetime, days: int = 30, limit: int = 10) -> DataFrame:
+    """BRD-3: warehouses ranked by spend with rank and share (rank over the
+    small per-warehouse aggregate; the total is a one-row broadcast)."""
+    from pyspark.sql import Window
+    g = (metering.filter(lookback("start_time", as_of, days, end=as_of)).groupBy("warehouse_name")
+         .agg(F.sum("credits_used").alias("_c")))
+    t = g.agg(F.sum("_c").alias("_t"))
+    top = g.orderBy(F.desc("_c"), "warehouse_name").limit(limit)
+    r = top.withColumn("spend_rank", F.row_number().over(Window.orderBy(F.desc("_c"), "warehouse_name")))
+    return r.crossJoin(F.broadcast(t)).select("spend_rank", "warehouse_name", rounded("_c", 4).alias("credits"),
+                                              rounded(F.col("_c") * 100.0 / F.col("_t"), 1).alias("share_pct"))
+
+
+def service_movement(lens: DataFrame, limit: int = 10) -> DataFrame:
+    """BRD-3: services ordered by absolute cost movement."""
+    return (lens.select("service_category", "service_type", "estimated_cost_usd", "prior_estimated_cost_usd", "cost_delta_usd")
+            .orderBy(F.desc(F.abs("cost_delta_usd")), "service_type").limit(limit))
+
+
+def cost_spike_signals(anomalies: DataFrame, queries: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
+    """BRD-7: for each cost anomaly (warehouse, day): the same day's change
+    statements, failures and statement volume against the warehouse's mean
+    daily volume, and the strongest signal."""
+    q = queries.filter(lookback("start_time", as_of, days) & F.col("warehouse_name").isNotNull())
+    from opslens.operators.incidents import CHANGE_TYPES
+    day = q.groupBy("warehouse_name", F.to_date("start_time").alias("usage_date")).agg(
+        F.count(F.lit(1)).alias("statements"), F.count_if(F.col("query_type").isin(*CHANGE_TYPES)).alias("changes"),
+        F.count_if(F.col("execution_status") != "SUCCESS").alias("failures"))
+    base = day.groupBy("warehouse_name").agg(F.avg("statements").alias("_avg"))
+    j = anomalies.join(day, ["warehouse_name", "usage_date"], "left").join(base, "warehouse_name", "left")
+    vol = safe_div(F.col("statements"), "_avg")
+    sig = (F.when(F.col("changes") > 0, "Change on spike day").when(vol >= 1.5, "Workload surge")
+           .when(F.col("failures") > F.col("statements") * 0.3, "Retry storm").otherwise("No linked signal"))
+    return j.select("usage_date", "warehouse_name", "daily_credits", "z_score", F.coalesce("statements", F.lit(0)).alias("statements"),
+                    F.coalesce("changes", F.lit(0)).alias("changes"), F.coalesce("failures", F.lit(0)).alias("failures"),
+                    rounded(vol, 2).alias("volume_ratio"), sig.alias("root_cause_signal"))
+
+
+def cost_incident_timeline(anomalies: DataFrame, alerts: DataFrame) -> DataFrame:
+    """BRD-8: cost anomalies and cost alerts on one time line."""
+    a = anomalies.select(F.col("usage_date").cast("timestamp_ntz").alias("event_time"), F.lit("anomaly").alias("event_type"),
+                         F.col("warehouse_name").alias("entity"), F.col("anomaly_severity").alias("severity"))
+    b = (alerts.filter(F.col("alert_type") == "COST_SPIKE")
+         .select(F.col("created_at").alias("event_time"), F.lit("alert").alias("event_type"), "entity", "severity"))
+    return a.unionByName(b)
+
+
+def architecture_findings(size_recs: DataFrame, isolation: DataFrame, owners: DataFrame) -> DataFrame:
+    """BRD-23: architecture findings (sizing, isolation) with the owner from
+    the directory and the objective each finding serves."""
+    a = (size_recs.filter(F.col("recommendation") != "maintain")
+         .select("warehouse_name", F.lit("sizing").alias("finding_type"), F.col("recommendation").alias("finding"),
+                 F.lit("Cost / performance balance").alias("objective")))
+    b = (isolation.filter(F.col("decision") != "Isolated")
+         .select("warehouse_name", F.lit("isolation").alias("finding_type"), F.col("decision").alias("finding"),
+                 F.lit("Workload isolation").alias("objective")))
+    u = a.unionByName(b)
+    j = u.join(owners.select("warehouse_name", "owner_name"), "warehouse_name", "left")
+    return j.withColumn("route", F.coalesce("owner_name", F.lit("Unrouted")))
+
+
+def conversion_readiness(util: DataFrame, warehouses: DataFrame) -> DataFrame:
+    """CAP-18: readiness score per warehouse for a conversion pilot: low
+    utilisation, no spill and a steady load score points; label by score."""
+    j = util.join(warehouses.select("warehouse_name", "warehouse_size", "max_cluster_count"), "warehouse_name", "left")
+    steady = F.col("peak_hourly_credits") <= F.col("avg_hourly_credits") * 2
+    score = (F.when(F.col("avg_queue_sec") < 1, 30).otherwise(0) + F.when(F.col("total_remote_spill_gb") == 0, 30).otherwise(0)
+             + F.when(steady, 25).otherwise(0) + F.when(F.col("max_cluster_count") <= 1, 15).otherwise(0))
+    return j.select("warehouse_name", "warehouse_size", score.alias("readiness_score"),
+                    F.when(score >= 70, "Pilot ready").when(score >= 40, "Needs review").otherwise("Not ready").alias("readiness"))
+
+
+def refresh_lag_history(loads: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
+    """PIP-8: per table and day, the last load and the hours since the
+    previous day's last load (lag over days per table, so each window
+    partition holds at most ``days`` rows)."""
+    from pyspark.sql import Window
+    d = (loads.filter(lookback("last_load_time", as_of, days) & (F.col("status") == "LOADED"))
+         .groupBy("table_name", F.to_date("last_load_time").alias("load_date"))
+         .agg(F.max("last_load_time").alias("last_load")))
+    prev = F.lag("last_load").over(Window.partitionBy("table_name").orderBy("load_date"))
+    return d.withColumn("prev_load", prev).withColumn(
+        "refresh_lag_hours", rounded((F.unix_micros(F.col("last_load").cast("timestamp"))
+                                      - F.unix_micros(F.col("prev_load").cast("timestamp"))) / 3.6e9, 2))

@@ -43,7 +43,7 @@ def _match(entity: str, pattern_col: str = "entity_pattern", with_star_rule: boo
 
 def resolve_owner(entities: DataFrame, entity: str, rules: DataFrame, entity_type: str = "WAREHOUSE",
                   with_star_rule: bool = True) -> DataFrame:
-    """Best directory rule per distinct entity: highest priority, ties by pattern.
+    """JOI-7: best directory rule per distinct entity: highest priority, ties by pattern.
 
     Returns ``entity, owner_name, owner_email, service_tier, match_priority``
     (NULLs when no rule matches)."""

@@ -558,3 +558,60 @@ def _(spark, sf):
                                  EVENTS_AS_OF, 7)
     snap = facts.groupBy("company", "hour_start").agg(F.sum("query_count").alias("queries"), F.sum("failed_count").alias("failed"))
     return bd.latest_snapshot_per_tenant(snap, "company", "hour_start", EVENTS_AS_OF, 24)
+
+
+@register("spend_ranking", "warehouse_metering", op="BRD-3", sql="""
+WITH g AS (SELECT warehouse_name, sum(credits_used) AS c FROM warehouse_metering
+           WHERE start_time >= TIMESTAMP '2024-01-01 00:00:00' AND start_time < TIMESTAMP '2024-01-31 00:00:00' GROUP BY 1)
+SELECT row_number() OVER (ORDER BY c DESC, warehouse_name) AS spend_rank, warehouse_name, round(c, 4) AS credits,
+       round(c * 100.0 / (SELECT sum(c) FROM g), 1) AS share_pct
+FROM g ORDER BY c DESC, warehouse_name LIMIT 10
+""")
+def _(spark, sf):
+    return bd.spend_ranking(_m(spark, sf), EVENTS_AS_OF, 30, 10)
+
+
+@register("service_movement", "service_metering", op="BRD-3")
+def _(spark, sf):
+    return bd.service_movement(cost.service_cost_lens(tv.load(spark, sf, "service_metering"), LINEITEM_AS_OF, 7))
+
+
+def _anoms(spark, sf):
+    from opslens.operators import anomaly
+    return anomaly.cost_anomalies(_m(spark, sf), EVENTS_AS_OF, 30, 2.0)
+
+
+@register("cost_spike_signals", "warehouse_metering", "query_history", op="BRD-7")
+def _(spark, sf):
+    return bd.cost_spike_signals(_anoms(spark, sf), _q(spark, sf), EVENTS_AS_OF, 30)
+
+
+@register("cost_incident_timeline", "warehouse_metering", "alerts", op="BRD-8")
+def _(spark, sf):
+    return bd.cost_incident_timeline(_anoms(spark, sf), tv.load(spark, sf, "alerts"))
+
+
+@register("architecture_findings", "query_history", "warehouse_metering", op="BRD-23")
+def _(spark, sf):
+    q, m = _q(spark, sf), _m(spark, sf)
+    recs = cap.size_recommendation(cap.warehouse_utilization(m, q, EVENTS_AS_OF, 30))
+    iso = cap.workload_isolation(q, EVENTS_AS_OF, 30)
+    owners = chb.resolve_owner(q, "warehouse_name", chb.rules_frame(spark, OWNER_RULES))
+    return bd.architecture_findings(recs, iso, owners)
+
+
+@register("conversion_readiness", "query_history", "warehouse_metering", "warehouses", op="CAP-18")
+def _(spark, sf):
+    util = cap.warehouse_utilization(_m(spark, sf), _q(spark, sf), EVENTS_AS_OF, 30)
+    return bd.conversion_readiness(util, tv.load(spark, sf, "warehouses"))
+
+
+@register("refresh_lag_history", "copy_history", op="PIP-8", sql="""
+WITH d AS (SELECT table_name, CAST(last_load_time AS DATE) AS load_date, max(last_load_time) AS last_load FROM copy_history
+           WHERE last_load_time >= TIMESTAMP '2001-10-06 00:00:00' AND status = 'LOADED' GROUP BY 1, 2)
+SELECT table_name, load_date, last_load, lag(last_load) OVER (PARTITION BY table_name ORDER BY load_date) AS prev_load,
+       round(date_diff('microsecond', lag(last_load) OVER (PARTITION BY table_name ORDER BY load_date), last_load) / 3.6e9, 2) AS refresh_lag_hours
+FROM d
+""")
+def _(spark, sf):
+    return bd.refresh_lag_history(tv.load(spark, sf, "copy_history"), LINEITEM_AS_OF, 30)
