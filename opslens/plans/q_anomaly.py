@@ -21,7 +21,7 @@ def _(spark, sf):
     return summaries.daily_warehouse_credits(tv.load(spark, sf, "warehouse_metering"), EVENTS_AS_OF, 90)
 
 
-@register("cost_anomalies", "warehouse_metering", op="ANO-1", sql="""
+COST_ANOMALIES_SQL = """
 WITH daily AS (
   SELECT CAST(start_time AS DATE) AS usage_date, warehouse_name,
          round(sum(coalesce(credits_used, 0)), 4) AS daily_credits
@@ -41,7 +41,10 @@ SELECT usage_date, warehouse_name, round(daily_credits, 2) AS daily_credits,
             WHEN (daily_credits - m) / s >= 2.0 THEN 'High'
             WHEN (daily_credits - m) / s >= 1.4 THEN 'Medium' ELSE 'Normal' END AS anomaly_severity
 FROM r WHERE m IS NOT NULL AND s > 0 AND (daily_credits - m) / s >= 1.4
-""")
+"""
+
+
+@register("cost_anomalies", "warehouse_metering", op="ANO-1", sql=COST_ANOMALIES_SQL)
 def _(spark, sf):
     return anomaly.cost_anomalies(tv.load(spark, sf, "warehouse_metering"), EVENTS_AS_OF, 30, 2.0)
 

@@ -15,7 +15,9 @@ from opslens.operators import incidents as inc
 from opslens.operators import security as sec
 from opslens.operators import usage as us
 from opslens.plans import q_alerts
-from opslens.plans.fixtures import OWNER_RULES, environments, tenants
+from opslens.plans.fixtures import OWNER_RULES, TENANT_SQL, environments, tenants
+from opslens.plans.q_anomaly import COST_ANOMALIES_SQL as ORACLES_RAW_ANOM
+from opslens.plans.q_cost import _LENS, pqc_cte
 from opslens.plans.registry import register
 from opslens.sources import testviews as tv
 from opslens.sources.testviews import EVENTS_AS_OF, LINEITEM_AS_OF, ORDERS_AS_OF
@@ -155,7 +157,11 @@ def _(spark, sf):
                          "database_name", "total_elapsed_time")
 
 
-@register("cost_trust_classes", "query_history", "warehouse_metering", op="BRD-6")
+@register("cost_trust_classes", "query_history", "warehouse_metering", op="BRD-6", sql="WITH " + pqc_cte() + r"""
+SELECT CASE WHEN credit_source = 'QUERY_ATTRIBUTION' THEN 'Exact' WHEN metered_credits > 0 THEN 'Estimated' ELSE 'Not defensible' END AS trust_class,
+       count(*) AS queries, round(sum(metered_credits), 6) AS credits
+FROM pqc GROUP BY 1
+""")
 def _(spark, sf):
     return bd.cost_trust(cost.per_query_credits(_q(spark, sf), _m(spark, sf), EVENTS_AS_OF, 7))
 
@@ -386,12 +392,28 @@ def _(spark, sf):
     return bd.governance_readiness(c, t, a)
 
 
-@register("tag_maturity", "columns", "tag_references", op="GOV-5")
+@register("tag_maturity", "columns", "tag_references", op="GOV-5", sql=r"""
+WITH t AS (SELECT DISTINCT table_catalog, table_schema, table_name FROM columns),
+tg AS (SELECT DISTINCT table_catalog, table_schema, table_name FROM tag_references),
+ut AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM tg WHERE tg.table_catalog = t.table_catalog
+                                         AND tg.table_schema = t.table_schema AND tg.table_name = t.table_name)),
+a AS (SELECT table_catalog, count(*) AS tables FROM t GROUP BY 1),
+b AS (SELECT table_catalog, count(*) AS untagged_tables FROM ut GROUP BY 1),
+cov AS (SELECT a.table_catalog, coalesce(untagged_tables, 0) AS untagged_tables,
+               CASE WHEN (tables - coalesce(untagged_tables, 0)) * 100.0 / tables >= 80 THEN 'Managed'
+                    WHEN (tables - coalesce(untagged_tables, 0)) * 100.0 / tables >= 40 THEN 'Developing' ELSE 'Initial' END AS maturity
+        FROM a LEFT JOIN b ON a.table_catalog = b.table_catalog)
+SELECT maturity, count(*) AS databases, CAST(sum(untagged_tables) AS BIGINT) AS untagged_tables FROM cov GROUP BY 1
+""")
 def _(spark, sf):
     return bd.tag_maturity(sec.tag_coverage(tv.load(spark, sf, "columns"), tv.load(spark, sf, "tag_references")))
 
 
-@register("unclassified_assets", "query_history", op="GOV-6")
+@register("unclassified_assets", "query_history", op="GOV-6", sql="WITH tq AS (SELECT * FROM query_history WHERE start_time >= TIMESTAMP '2024-01-01 00:00:00' AND " + TENANT_SQL + " = 'Shared/Unclassified')" + r"""
+SELECT asset_type, asset_name, count(*) AS statements FROM (
+  SELECT 'warehouse' AS asset_type, warehouse_name AS asset_name FROM tq UNION ALL
+  SELECT 'database', database_name FROM tq UNION ALL SELECT 'user', user_name FROM tq) GROUP BY 1, 2
+""")
 def _(spark, sf):
     return bd.unclassified_assets(_q(spark, sf), scope.tenant_label(tenants()), EVENTS_AS_OF, 30)
 
@@ -404,7 +426,15 @@ def _(spark, sf):
     return bd.owner_route_readiness(r)
 
 
-@register("change_integration_status", "source_commits", "change_tickets", "query_history", op="CHG-5")
+@register("change_integration_status", "source_commits", "change_tickets", "query_history", op="CHG-5", sql=r"""
+WITH u AS (SELECT count(*) AS "rows", max(committed_at) AS last_event, 'source_control' AS surface FROM source_commits
+           UNION ALL SELECT count(*), max(opened_at), 'tickets' FROM change_tickets
+           UNION ALL SELECT count(*), max(start_time), 'observed' FROM query_history)
+SELECT "rows", last_event, surface, date_diff('day', last_event, TIMESTAMP '2024-01-31 00:00:00') AS days_since_last,
+       CASE WHEN "rows" = 0 THEN 'Not connected' WHEN date_diff('day', last_event, TIMESTAMP '2024-01-31 00:00:00') > 7 THEN 'Stale'
+            ELSE 'Connected' END AS state
+FROM u
+""")
 def _(spark, sf):
     return bd.integration_status({"source_control": (tv.load(spark, sf, "source_commits"), "committed_at"),
                                   "tickets": (tv.load(spark, sf, "change_tickets"), "opened_at"),
@@ -499,7 +529,14 @@ def _(spark, sf):
     return bd.account_balances(_raw(spark, sf, "customer"), _raw(spark, sf, "nation"))
 
 
-@register("ai_budget_exceptions", "ai_usage", op="AIC-2")
+@register("ai_budget_exceptions", "ai_usage", op="AIC-2", sql=r"""
+WITH g AS (SELECT user_name, CAST(start_time AS DATE) AS d, count(*) AS n, sum(credits_used) AS c FROM ai_usage
+           WHERE start_time >= TIMESTAMP '2024-01-01 00:00:00' GROUP BY 1, 2),
+u AS (SELECT user_name, count(*) AS active_days, sum(n) AS requests, sum(c) AS c FROM g GROUP BY 1),
+r AS (SELECT user_name, active_days, CAST(requests AS BIGINT) AS requests, round(c, 6) AS credits, round(c / requests, 8) AS credits_per_request,
+             round(c / active_days * 30, 6) AS projected_30d_credits, round(c * 2.2, 4) AS est_cost_usd FROM u)
+SELECT *, round((projected_30d_credits / 0.05 - 1) * 100, 1) AS over_budget_pct FROM r WHERE projected_30d_credits > 0.05
+""")
 def _(spark, sf):
     return bd.ai_budget_exceptions(us.ai_user_rollup(tv.load(spark, sf, "ai_usage"), EVENTS_AS_OF, 30), 0.05)
 
@@ -537,7 +574,14 @@ def _(spark, sf):
                                 EVENTS_AS_OF, 7)
 
 
-@register("warehouse_hourly_fact", "warehouse_metering", op="SUM-9")
+@register("warehouse_hourly_fact", "warehouse_metering", op="SUM-9", sql=r"""
+SELECT date_trunc('hour', start_time) AS hour_start,
+       CASE WHEN upper(warehouse_name) IN ('WH_0', 'WH_1', 'WH_2') THEN 'NORTH' WHEN upper(warehouse_name) LIKE 'WH_5%' THEN 'SOUTH'
+            ELSE 'Shared/Unclassified' END AS company, warehouse_name,
+       round(sum(credits_used), 6) AS credits_used, round(sum(credits_used_compute), 6) AS credits_used_compute,
+       round(sum(credits_used_cloud_services), 6) AS credits_used_cloud_services
+FROM warehouse_metering WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1, 2, 3
+""")
 def _(spark, sf):
     m = _m(spark, sf).withColumn("database_name", F.lit(None).cast("string")).withColumn("user_name", F.lit(None).cast("string"))
     return bd.warehouse_hourly_fact(m, scope.tenant_label(tenants()), EVENTS_AS_OF, 7)
@@ -571,7 +615,10 @@ def _(spark, sf):
     return bd.spend_ranking(_m(spark, sf), EVENTS_AS_OF, 30, 10)
 
 
-@register("service_movement", "service_metering", op="BRD-3")
+@register("service_movement", "service_metering", op="BRD-3", sql="WITH lens AS (" + _LENS + ")" + r"""
+SELECT service_category, service_type, estimated_cost_usd, prior_estimated_cost_usd, cost_delta_usd FROM lens
+ORDER BY abs(cost_delta_usd) DESC, service_type LIMIT 10
+""")
 def _(spark, sf):
     return bd.service_movement(cost.service_cost_lens(tv.load(spark, sf, "service_metering"), LINEITEM_AS_OF, 7))
 
@@ -586,7 +633,10 @@ def _(spark, sf):
     return bd.cost_spike_signals(_anoms(spark, sf), _q(spark, sf), EVENTS_AS_OF, 30)
 
 
-@register("cost_incident_timeline", "warehouse_metering", "alerts", op="BRD-8")
+@register("cost_incident_timeline", "warehouse_metering", "alerts", op="BRD-8", sql="WITH anom AS (" + ORACLES_RAW_ANOM + ")" + r"""
+SELECT CAST(usage_date AS TIMESTAMP) AS event_time, 'anomaly' AS event_type, warehouse_name AS entity, anomaly_severity AS severity FROM anom
+UNION ALL SELECT created_at, 'alert', entity, severity FROM alerts WHERE alert_type = 'COST_SPIKE'
+""")
 def _(spark, sf):
     return bd.cost_incident_timeline(_anoms(spark, sf), tv.load(spark, sf, "alerts"))
 
