@@ -15,7 +15,7 @@ from opslens.operators import incidents as inc
 from opslens.operators import security as sec
 from opslens.operators import usage as us
 from opslens.plans import q_alerts
-from opslens.plans.fixtures import OWNER_RULES, TENANT_SQL, environments, tenants
+from opslens.plans.fixtures import ENV_SQL, OWNER_RULES, TENANT_SQL, environments, tenants
 from opslens.plans.q_anomaly import COST_ANOMALIES_SQL as ORACLES_RAW_ANOM
 from opslens.plans.q_cost import _LENS, pqc_cte
 from opslens.plans.registry import register
@@ -142,7 +142,19 @@ def _(spark, sf):
     return bd.service_pivot(tv.load(spark, sf, "service_metering"), LINEITEM_AS_OF, 7)
 
 
-@register("attribution_gaps", "query_history", "warehouse_metering", op="BRD-4")
+@register("attribution_gaps", "query_history", "warehouse_metering", op="BRD-4", sql="WITH " + pqc_cte("TIMESTAMP '2024-01-01 00:00:00'", "TIMESTAMP '2024-01-30 00:00:00'") + """,
+md AS (SELECT date_trunc('day', start_time) AS usage_day, warehouse_name, round(sum(credits_used), 6) AS m
+       FROM warehouse_metering WHERE start_time >= TIMESTAMP '2024-01-01 00:00:00' AND start_time < TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1, 2),
+ad AS (SELECT date_trunc('day', qh.start_time) AS usage_day, qh.warehouse_name, count(*) AS n, round(sum(coalesce(p.metered_credits, 0)), 6) AS a
+       FROM query_history qh LEFT JOIN pqc p ON qh.query_id = p.query_id
+       WHERE qh.start_time >= TIMESTAMP '2024-01-01 00:00:00' AND qh.start_time < TIMESTAMP '2024-01-30 00:00:00' AND qh.warehouse_name IS NOT NULL GROUP BY 1, 2),
+j AS (SELECT coalesce(md.m, 0) AS m, coalesce(ad.a, 0) AS a, coalesce(ad.n, 0) AS n
+      FROM md FULL OUTER JOIN ad ON md.usage_day = ad.usage_day AND md.warehouse_name = ad.warehouse_name),
+k AS (SELECT *, round(m - a, 6) AS v, CASE WHEN m = 0 THEN 'No metering' WHEN abs(m - a) <= greatest(0.05, m * 0.05) THEN 'Reconciled'
+                     WHEN n = 0 THEN 'Idle or non-query warehouse usage' ELSE 'Variance review' END AS st FROM j)
+SELECT round(sum(m), 4) AS metered, round(sum(a), 4) AS allocated, round(sum(v), 4) AS gap,
+       count_if(st = 'Variance review') AS days_in_review, count_if(st = 'Idle or non-query warehouse usage') AS idle_days FROM k
+""")
 def _(spark, sf):
     return bd.attribution_gaps(cost.cost_reconciliation(_m(spark, sf), _q(spark, sf), EVENTS_AS_OF, 30))
 
@@ -198,12 +210,23 @@ def _(spark, sf):
     return bd.incident_board(_tri(spark, sf))
 
 
-@register("queue_route_readiness", "login_history", op="BRD-12")
+@register("queue_route_readiness", "login_history", op="BRD-12", sql=q_alerts._QUEUE + """,
+g AS (SELECT severity AS route, count(*) AS actions, count_if(status = 'Fixed') AS closed,
+             count_if(status <> 'Fixed' AND seen_count > 1) AS recurring_open FROM q GROUP BY 1)
+SELECT *, round(closed * 100.0 / actions, 1) AS closure_pct,
+       CASE WHEN round(closed * 100.0 / actions, 1) >= 80 THEN 'Ready' WHEN round(closed * 100.0 / actions, 1) >= 40 THEN 'Partial'
+            ELSE 'Backlog' END AS readiness FROM g
+""")
 def _(spark, sf):
     return bd.queue_route_readiness(q_alerts._queue(spark, sf))
 
 
-@register("alert_lifecycle", "alerts", "login_history", op="BRD-13")
+@register("alert_lifecycle", "alerts", "login_history", op="BRD-13", sql="WITH " + q_alerts._TRI + "," + q_alerts._QUEUE[5:] + """,
+oq AS (SELECT DISTINCT upper(entity) AS e FROM q WHERE status <> 'Fixed')
+SELECT CASE WHEN upper(status) IN ('FIXED', 'RESOLVED') THEN 'Closed' WHEN oq.e IS NOT NULL THEN 'In queue'
+            WHEN sla_state = 'Overdue' THEN 'Breached' ELSE 'Open' END AS lifecycle_state, owner AS route, count(*) AS alerts
+FROM tri LEFT JOIN oq ON upper(tri.entity) = oq.e GROUP BY 1, 2
+""")
 def _(spark, sf):
     return bd.alert_lifecycle(_tri(spark, sf), q_alerts._queue(spark, sf))
 
@@ -218,7 +241,10 @@ def _(spark, sf):
     return bd.alert_signal_counts(_tri(spark, sf))
 
 
-@register("checklist_history", "login_history", op="BRD-15")
+@register("checklist_history", "login_history", op="BRD-15", sql=q_alerts._QUEUE + """
+SELECT CAST(last_seen_at AS DATE) AS check_date, category, count(*) AS findings, count_if(status = 'Fixed') AS fixed,
+       count_if(seen_count > 1) AS recurring FROM q GROUP BY 1, 2
+""")
 def _(spark, sf):
     return bd.checklist_history(q_alerts._queue(spark, sf))
 
@@ -295,7 +321,14 @@ def _(spark, sf):
     return bd.operations_now(_q(spark, sf), tv.load(spark, sf, "task_history"), EVENTS_AS_OF, datetime(2001, 8, 1, 12))
 
 
-@register("monitoring_cost", "query_history", "warehouse_metering", op="CST-4")
+@register("monitoring_cost", "query_history", "warehouse_metering", op="CST-4", sql="WITH " + pqc_cte() + """,
+j AS (SELECT qh.warehouse_name AS component, p.metered_credits FROM pqc p JOIN query_history qh ON p.query_id = qh.query_id
+      WHERE starts_with(qh.query_tag, 'team:etl')),
+per AS (SELECT component, count(*) AS queries, round(sum(metered_credits), 6) AS credits FROM j GROUP BY 1),
+u AS (SELECT * FROM per UNION ALL SELECT 'TOTAL', CAST(sum(queries) AS BIGINT), round(sum(credits), 6) FROM per)
+SELECT u.*, (SELECT string_agg(DISTINCT component, ', ' ORDER BY component) FROM per) AS components, round(credits * 3.68, 2) AS est_cost_usd
+FROM u
+""")
 def _(spark, sf):
     return bd.monitoring_cost(_q(spark, sf), _m(spark, sf), EVENTS_AS_OF)
 
@@ -460,7 +493,9 @@ def _(spark, sf):
     return bd.verification_health(al.savings_verification(_m(spark, sf), acts, EVENTS_AS_OF, 28), q_alerts._queue(spark, sf))
 
 
-@register("operability_facts", "login_history", op="ACT-7")
+@register("operability_facts", "login_history", op="ACT-7", sql=q_alerts._QUEUE + """
+SELECT * FROM q WHERE category = 'security' ORDER BY last_seen_at DESC, action_id LIMIT 100
+""")
 def _(spark, sf):
     return bd.operability_facts(q_alerts._queue(spark, sf), "security")
 
@@ -568,7 +603,15 @@ def _(spark, sf):
     return bd.tag_query_budget(_q(spark, sf), EVENTS_AS_OF, 7)
 
 
-@register("query_hourly_fact", "query_history", op="SUM-8")
+@register("query_hourly_fact", "query_history", op="SUM-8", sql="""
+SELECT date_trunc('hour', start_time) AS hour_start, """ + TENANT_SQL + """ AS company, """ + ENV_SQL + """ AS environment,
+       warehouse_name, warehouse_size, user_name, role_name, database_name, query_type, count(*) AS query_count,
+       count_if(execution_status <> 'SUCCESS') AS failed_count, CAST(sum(total_elapsed_time) AS BIGINT) AS total_elapsed_ms,
+       round(avg(execution_time), 3) AS avg_execution_ms, round(quantile_cont(execution_time, 0.95), 3) AS p95_execution_ms,
+       CAST(sum(queued_overload_time + queued_provisioning_time) AS BIGINT) AS total_queued_ms,
+       CAST(sum(bytes_spilled_to_remote_storage) AS BIGINT) AS total_spill_bytes, CAST(sum(bytes_scanned) AS BIGINT) AS total_bytes_scanned
+FROM query_history WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9
+""")
 def _(spark, sf):
     return bd.query_hourly_fact(_q(spark, sf), scope.tenant_label(tenants()), scope.environment_label(environments()),
                                 EVENTS_AS_OF, 7)
