@@ -46,6 +46,16 @@ def _raw(spark, sf, t):
     return spark.read.parquet(f"{sf}/{t}.parquet")
 
 
+_EXPLORER = ("WITH " + pqc_cte() + """,
+t AS (SELECT warehouse_name, max(CASE WHEN tag_name = 'COST_CENTER' THEN tag_value END) AS cost_center,
+             max(CASE WHEN tag_name = 'DEPARTMENT' THEN tag_value END) AS department FROM warehouse_tags GROUP BY 1),
+qq AS (SELECT query_id, warehouse_name, """ + TENANT_SQL + """ AS company, """ + ENV_SQL + """ AS environment FROM query_history),
+ex AS (SELECT company, environment, qq.warehouse_name, cost_center, department, count(*) AS queries,
+              round(sum(p.metered_credits), 6) AS credits
+       FROM pqc p JOIN qq ON p.query_id = qq.query_id LEFT JOIN t ON qq.warehouse_name = t.warehouse_name GROUP BY 1, 2, 3, 4, 5)
+""")
+
+
 _DDL = f"""
 ddl AS (SELECT query_id, query_type, user_name, role_name, database_name, schema_name, warehouse_name, start_time,
                substr(query_text, 1, 200) AS query_preview, total_elapsed_time / 1000.0 AS elapsed_sec
@@ -352,17 +362,28 @@ def _explorer(spark, sf):
                             scope.environment_label(environments()))
 
 
-@register("cost_explorer", "query_history", "warehouse_metering", "warehouse_tags", op="CST-18")
+@register("cost_explorer", "query_history", "warehouse_metering", "warehouse_tags", op="CST-18", sql=_EXPLORER + "SELECT * FROM ex")
 def _(spark, sf):
     return _explorer(spark, sf)
 
 
-@register("cost_lens_summary", "query_history", "warehouse_metering", "warehouse_tags", op="CST-19")
+@register("cost_lens_summary", "query_history", "warehouse_metering", "warehouse_tags", op="CST-19", sql=_EXPLORER + """,
+g AS (SELECT company, environment, sum(credits) AS c, count_if(cost_center IS NULL) AS u FROM ex GROUP BY 1, 2)
+SELECT company, environment, round(c, 6) AS credits, round(c * 100 / nullif((SELECT sum(c) FROM g), 0), 1) AS share_pct,
+       CASE WHEN u = 0 THEN 'Chargeback ready' ELSE 'Needs tags' END AS readiness FROM g
+""")
 def _(spark, sf):
     return bd.lens_summary(_explorer(spark, sf), ["company", "environment"])
 
 
-@register("cost_gap_board", "query_history", "warehouse_metering", "warehouse_tags", op="CST-20")
+@register("cost_gap_board", "query_history", "warehouse_metering", "warehouse_tags", op="CST-20", sql=_EXPLORER + """,
+x AS (SELECT ex.*, gap_rule FROM ex, unnest(list_filter([CASE WHEN cost_center IS NULL THEN 'missing_cost_center' END,
+                                                        CASE WHEN department IS NULL THEN 'missing_department' END,
+                                                        CASE WHEN company = 'Shared/Unclassified' THEN 'unclassified_tenant' END],
+                                                       lambda z: z IS NOT NULL)) AS u(gap_rule))
+SELECT gap_rule, count(*) AS "rows", round(sum(credits), 6) AS credits, arg_max(warehouse_name, {'c': credits, 'w': warehouse_name}) AS top_driver
+FROM x GROUP BY 1
+""")
 def _(spark, sf):
     return bd.cost_gap_board(_explorer(spark, sf))
 
