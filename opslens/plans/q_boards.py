@@ -201,7 +201,15 @@ def _(spark, sf):
                              "logins": (tv.load(spark, sf, "login_history"), "event_timestamp")}, EVENTS_AS_OF)
 
 
-@register("task_failure_timeline", "task_history", "query_history", op="BRD-10")
+@register("task_failure_timeline", "task_history", "query_history", op="BRD-10", sql="""
+SELECT scheduled_time AS event_time, CASE WHEN state = 'FAILED' THEN 'failure' WHEN state = 'SUCCEEDED' THEN 'run' ELSE 'other' END AS event_type,
+       coalesce(error_message, state) AS detail,
+       CASE WHEN state = 'FAILED' THEN 0 ELSE 2 END AS event_order
+FROM task_history WHERE name = 'TASK_7' AND scheduled_time >= TIMESTAMP '2001-05-04 00:00:00'
+UNION ALL
+SELECT start_time, 'change', substr(query_text, 1, 120), 1 FROM query_history
+WHERE start_time >= TIMESTAMP '2001-05-04 00:00:00' AND query_type IN ('ALTER_TABLE', 'CREATE_TABLE', 'DROP_TABLE')
+""")
 def _(spark, sf):
     return bd.task_failure_timeline(tv.load(spark, sf, "task_history"), _q(spark, sf), "TASK_7", ORDERS_AS_OF, 90)
 
@@ -660,7 +668,15 @@ def _(spark, sf):
     return bd.login_daily_fact(tv.load(spark, sf, "login_history"), EVENTS_AS_OF, 30)
 
 
-@register("latest_tenant_snapshot", "query_history", op="SUM-11")
+@register("latest_tenant_snapshot", "query_history", op="SUM-11", sql="""
+WITH f AS (SELECT date_trunc('hour', start_time) AS hour_start, """ + TENANT_SQL + """ AS company, count(*) AS queries,
+                  count_if(execution_status <> 'SUCCESS') AS failed
+           FROM query_history WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1, 2),
+g AS (SELECT * FROM f WHERE hour_start <= TIMESTAMP '2024-01-31 00:00:00' AND hour_start >= TIMESTAMP '2024-01-30 00:00:00')
+SELECT company, (max({'h': hour_start, 'q': queries, 'f': failed})).h AS hour_start,
+       (max({'h': hour_start, 'q': queries, 'f': failed})).q AS queries, (max({'h': hour_start, 'q': queries, 'f': failed})).f AS failed
+FROM g GROUP BY 1
+""")
 def _(spark, sf):
     facts = bd.query_hourly_fact(_q(spark, sf), scope.tenant_label(tenants()), scope.environment_label(environments()),
                                  EVENTS_AS_OF, 7)
@@ -692,7 +708,21 @@ def _anoms(spark, sf):
     return anomaly.cost_anomalies(_m(spark, sf), EVENTS_AS_OF, 30, 2.0)
 
 
-@register("cost_spike_signals", "warehouse_metering", "query_history", op="BRD-7")
+@register("cost_spike_signals", "warehouse_metering", "query_history", op="BRD-7", sql="WITH anom AS (" + ORACLES_RAW_ANOM + ")" + """,
+dy AS (SELECT warehouse_name, CAST(start_time AS DATE) AS usage_date, count(*) AS statements,
+              count_if(query_type IN (""" + CT + """)) AS changes, count_if(execution_status <> 'SUCCESS') AS failures
+       FROM query_history WHERE start_time >= TIMESTAMP '2024-01-01 00:00:00' AND warehouse_name IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT warehouse_name, avg(statements) AS a FROM dy GROUP BY 1),
+j AS (SELECT anom.usage_date, anom.warehouse_name, daily_credits, z_score, dy.statements, dy.changes, dy.failures,
+             dy.statements / nullif(b.a, 0) AS vr
+      FROM anom LEFT JOIN dy ON anom.warehouse_name = dy.warehouse_name AND anom.usage_date = dy.usage_date
+      LEFT JOIN b ON anom.warehouse_name = b.warehouse_name)
+SELECT usage_date, warehouse_name, daily_credits, z_score, coalesce(statements, 0) AS statements, coalesce(changes, 0) AS changes,
+       coalesce(failures, 0) AS failures, round(vr, 2) AS volume_ratio,
+       CASE WHEN changes > 0 THEN 'Change on spike day' WHEN vr >= 1.5 THEN 'Workload surge'
+            WHEN failures > statements * 0.3 THEN 'Retry storm' ELSE 'No linked signal' END AS root_cause_signal
+FROM j
+""")
 def _(spark, sf):
     return bd.cost_spike_signals(_anoms(spark, sf), _q(spark, sf), EVENTS_AS_OF, 30)
 
