@@ -424,7 +424,7 @@ def post_fix_evidence(queries: DataFrame, tasks: DataFrame, metering: DataFrame,
     """REC-5: after-fix evidence per signal: idle credits, spill, task failures, statement failures."""
     from opslens.operators.cost import idle_warehouse_credits
     idle = idle_warehouse_credits(metering, queries, q_as_of, days, 0.0).agg(
-        F.coalesce(F.sum("idle_credits"), F.lit(0.0)).cast("double").alias("value")).withColumn("signal", F.lit("idle_credits"))
+        rounded(F.coalesce(F.sum("idle_credits"), F.lit(0.0)), 4).alias("value")).withColumn("signal", F.lit("idle_credits"))
     sp = queries.filter(lookback("start_time", q_as_of, days)).agg(
         rounded(F.sum("bytes_spilled_to_remote_storage") / GB, 4).cast("double").alias("value")).withColumn("signal", F.lit("remote_spill_gb"))
     tf = tasks.filter(lookback("scheduled_time", t_as_of, days)).agg(

@@ -14,8 +14,8 @@ from opslens.operators import cost
 from opslens.operators import incidents as inc
 from opslens.operators import security as sec
 from opslens.operators import usage as us
-from opslens.plans import q_alerts
-from opslens.plans.fixtures import ENV_SQL, OWNER_RULES, TENANT_SQL, environments, tenants
+from opslens.plans import q_alerts, q_capacity, q_change
+from opslens.plans.fixtures import ENV_SQL, OWNER_RULES, OWNER_RULES_CTE, TENANT_SQL, environments, tenants
 from opslens.plans.q_anomaly import COST_ANOMALIES_SQL as ORACLES_RAW_ANOM
 from opslens.plans.q_cost import _LENS, pqc_cte
 from opslens.plans.registry import register
@@ -267,13 +267,33 @@ def _(spark, sf):
     return bd.checklist_history(q_alerts._queue(spark, sf))
 
 
-@register("review_execution_match", "warehouses", "query_history", "warehouse_metering", op="BRD-16")
+@register("review_execution_match", "warehouses", "query_history", "warehouse_metering", op="BRD-16", sql="WITH " + q_capacity._SUSPEND + """,
+rec AS (SELECT upper(warehouse_name) AS wh, min(recommendation_type) AS recommendation FROM sus GROUP BY 1),
+ex AS (SELECT upper(warehouse_name) AS wh, count(*) AS executions, max(start_time) AS last_executed FROM query_history
+       WHERE start_time >= TIMESTAMP '2024-01-01 00:00:00' AND query_type = 'ALTER_WAREHOUSE' GROUP BY 1)
+SELECT rec.wh AS warehouse_name, recommendation, coalesce(executions, 0) AS executions, last_executed,
+       CASE WHEN executions IS NULL THEN 'Not executed' ELSE 'Executed' END AS audit_state
+FROM rec LEFT JOIN ex ON rec.wh = ex.wh
+""")
 def _(spark, sf):
     s = cap.suspend_timeout_analysis(tv.load(spark, sf, "warehouses"), _q(spark, sf), _m(spark, sf), EVENTS_AS_OF, 7)
     return bd.review_execution_match(s, _q(spark, sf), EVENTS_AS_OF, 30)
 
 
-@register("warehouse_owner_inventory", "query_history", op="BRD-17")
+@register("warehouse_owner_inventory", "query_history", op="BRD-17", sql="WITH " + OWNER_RULES_CTE + """,
+u AS (SELECT warehouse_name, user_name, count(*) AS n FROM query_history
+      WHERE start_time >= TIMESTAMP '2024-01-01 00:00:00' AND warehouse_name IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT warehouse_name, count(*) AS users, CAST(sum(n) AS BIGINT) AS queries, arg_max(user_name, {'n': n, 'u': user_name}) AS top_user
+      FROM u GROUP BY 1),
+cand AS (SELECT w.warehouse_name, r.owner_name,
+                row_number() OVER (PARTITION BY w.warehouse_name ORDER BY coalesce(r.match_priority, 0) DESC, r.entity_pattern DESC) AS rn
+         FROM (SELECT DISTINCT warehouse_name FROM query_history) w
+         JOIN owner_rules r ON upper(r.entity_type) = 'WAREHOUSE' AND coalesce(r.is_active, TRUE)
+          AND ((r.entity_pattern = '*' AND r.match_priority > 0) OR upper(w.warehouse_name) = upper(r.entity_pattern)
+               OR (r.entity_pattern LIKE '%*%' AND upper(w.warehouse_name) LIKE replace(upper(r.entity_pattern), '*', '%'))))
+SELECT g.*, c.owner_name, CASE WHEN c.owner_name IS NULL THEN 'Needs owner' ELSE 'Owned' END AS owner_state
+FROM g LEFT JOIN (SELECT * FROM cand WHERE rn = 1) c ON g.warehouse_name = c.warehouse_name
+""")
 def _(spark, sf):
     q = _q(spark, sf)
     owners = chb.resolve_owner(q, "warehouse_name", chb.rules_frame(spark, OWNER_RULES))
@@ -503,7 +523,16 @@ def _(spark, sf):
                                   "observed": (_q(spark, sf), "start_time")}, EVENTS_AS_OF)
 
 
-@register("unmatched_change_evidence", "query_history", "source_commits", "change_tickets", op="CHG-6")
+@register("unmatched_change_evidence", "query_history", "source_commits", "change_tickets", op="CHG-6", sql="WITH " + q_change._CH + """,
+c AS (SELECT DISTINCT upper(object_fqn) AS object_fqn FROM source_commits),
+t AS (SELECT DISTINCT upper(ticket_key) AS ticket_key FROM change_tickets),
+j AS (SELECT ch.*, c.object_fqn IS NOT NULL AS hc, t.ticket_key IS NOT NULL AS ht
+      FROM ch LEFT JOIN c ON ch.object_fqn = c.object_fqn LEFT JOIN t ON ch.ticket_key = t.ticket_key),
+r AS (SELECT query_id, start_time, user_name, change_family, object_fqn, ticket_key, hc AS has_commit, ht AS has_ticket,
+             CASE WHEN hc AND ht THEN 'Reconciled' WHEN hc THEN 'Commit without ticket' WHEN ht THEN 'Ticket without commit'
+                  ELSE 'Unmatched drift' END AS reconciliation_state FROM j)
+SELECT * FROM r WHERE reconciliation_state <> 'Reconciled' ORDER BY start_time DESC, query_id LIMIT 200
+""")
 def _(spark, sf):
     from opslens.operators import change as chg
     ch = chg.changes(_q(spark, sf), EVENTS_AS_OF, 7)
@@ -529,7 +558,19 @@ def _(spark, sf):
     return bd.operability_facts(q_alerts._queue(spark, sf), "security")
 
 
-@register("post_fix_evidence", "query_history", "task_history", "warehouse_metering", op="REC-5")
+@register("post_fix_evidence", "query_history", "task_history", "warehouse_metering", op="REC-5", sql="""
+WITH m AS (SELECT warehouse_name, date_trunc('hour', start_time) AS hb, sum(coalesce(credits_used_compute, credits_used)) AS hc
+           FROM warehouse_metering WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00' AND start_time < TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1, 2),
+a AS (SELECT DISTINCT warehouse_name, date_trunc('hour', start_time) AS hb FROM query_history
+      WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00' AND start_time < TIMESTAMP '2024-01-30 00:00:00' AND warehouse_name IS NOT NULL),
+idle AS (SELECT m.warehouse_name, round(sum(hc), 4) AS idle_credits FROM m
+         WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.warehouse_name = m.warehouse_name AND a.hb = m.hb) GROUP BY 1 HAVING round(sum(hc), 4) > 0.0)
+SELECT CAST(round(coalesce(sum(idle_credits), 0.0), 4) AS DOUBLE) AS value, 'idle_credits' AS signal FROM idle
+UNION ALL SELECT CAST(round(sum(bytes_spilled_to_remote_storage) / (1024.0 * 1024 * 1024), 4) AS DOUBLE), 'remote_spill_gb' FROM query_history
+WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00'
+UNION ALL SELECT CAST(count_if(state = 'FAILED') AS DOUBLE), 'task_failures' FROM task_history WHERE scheduled_time >= TIMESTAMP '2001-07-26 00:00:00'
+UNION ALL SELECT CAST(count_if(execution_status <> 'SUCCESS') AS DOUBLE), 'query_failures' FROM query_history WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00'
+""")
 def _(spark, sf):
     return bd.post_fix_evidence(_q(spark, sf), tv.load(spark, sf, "task_history"), _m(spark, sf), EVENTS_AS_OF, ORDERS_AS_OF)
 
@@ -744,7 +785,14 @@ def _(spark, sf):
     return bd.architecture_findings(recs, iso, owners)
 
 
-@register("conversion_readiness", "query_history", "warehouse_metering", "warehouses", op="CAP-18")
+@register("conversion_readiness", "query_history", "warehouse_metering", "warehouses", op="CAP-18", sql=q_capacity._UTIL + """,
+j AS (SELECT u.*, w.warehouse_size, w.max_cluster_count FROM util u LEFT JOIN warehouses w ON u.warehouse_name = w.warehouse_name),
+k AS (SELECT *, CASE WHEN avg_queue_sec < 1 THEN 30 ELSE 0 END + CASE WHEN total_remote_spill_gb = 0 THEN 30 ELSE 0 END
+                + CASE WHEN peak_hourly_credits <= avg_hourly_credits * 2 THEN 25 ELSE 0 END
+                + CASE WHEN max_cluster_count <= 1 THEN 15 ELSE 0 END AS sc FROM j)
+SELECT warehouse_name, warehouse_size, sc AS readiness_score,
+       CASE WHEN sc >= 70 THEN 'Pilot ready' WHEN sc >= 40 THEN 'Needs review' ELSE 'Not ready' END AS readiness FROM k
+""")
 def _(spark, sf):
     util = cap.warehouse_utilization(_m(spark, sf), _q(spark, sf), EVENTS_AS_OF, 30)
     return bd.conversion_readiness(util, tv.load(spark, sf, "warehouses"))
