@@ -15,6 +15,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opslens.session import ensure_checkpoint_dir
+
 CHECKPOINT_EVERY = 4
 
 
@@ -53,6 +55,7 @@ def _bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 100) -> DataFrame:
     checkpoint directory, so the emptiness test and the next step read it
     instead of recomputing, and its plan stays a leaf); the visited set is
     checkpointed every few steps, which bounds its union chain."""
+    ensure_checkpoint_dir(edges.sparkSession)
     e = edges.select("source", "target").persist(StorageLevel.MEMORY_AND_DISK)
     visited = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     frontier = visited
@@ -131,6 +134,7 @@ def graph_impact(task_graph: DataFrame, max_depth: int = 100) -> DataFrame:
     """GRF-6: for every task, how many tasks run downstream of it (distinct,
     through any path), its role (Root / Intermediate / Leaf), blast radius
     and retry scope. Reachability pairs are grown one edge per step."""
+    ensure_checkpoint_dir(task_graph.sparkSession)
     e = task_edges(task_graph)
     nodes = task_nodes(task_graph)
     e = e.persist(StorageLevel.MEMORY_AND_DISK)

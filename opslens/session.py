@@ -18,6 +18,9 @@ BASE_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    # AQE sizes post-shuffle partitions to ~256 MB, so a generous shuffle
+    # partition count on a cluster is coalesced instead of producing tiny tasks
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -54,7 +57,14 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     (local tests). Never overrides what the cluster configured."""
     d = checkpoint_dir(spark)
     if d is None:
+        # only where the session names no shared folder (local tests); on a
+        # cluster the submitter sets spark.checkpoint.dir to shared storage
         d = fallback or os.environ.get("OPSLENS_LOCAL_CHECKPOINT", "/tmp/opslens-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - a core setting some sessions do not allow changing at runtime
+            pass
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
