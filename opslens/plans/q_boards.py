@@ -500,7 +500,23 @@ def _(spark, sf):
     return bd.unclassified_assets(_q(spark, sf), scope.tenant_label(tenants()), EVENTS_AS_OF, 30)
 
 
-@register("owner_route_readiness", "query_history", op="GOV-8")
+@register("owner_route_readiness", "query_history", op="GOV-8", sql="WITH " + OWNER_RULES_CTE + """,
+e AS (SELECT query_id AS entity_id, 'WAREHOUSE' AS etype, warehouse_name, database_name, user_name FROM query_history),
+cand AS (SELECT entity_id, etype, unnest([warehouse_name, database_name, user_name]) AS value FROM e),
+c2 AS (SELECT * FROM cand WHERE value IS NOT NULL),
+m AS (SELECT v.value, r.* FROM (SELECT DISTINCT value FROM c2) v JOIN owner_rules r
+      ON coalesce(r.is_active, TRUE) AND (upper(v.value) = upper(r.entity_pattern)
+         OR (contains(upper(r.entity_pattern), '*') AND upper(v.value) LIKE replace(upper(r.entity_pattern), '*', '%')))),
+j AS (SELECT c2.entity_id, m.*, coalesce(m.match_priority, 0) + CASE WHEN upper(m.entity_type) = c2.etype THEN 50 ELSE 0 END
+             + CASE WHEN NOT contains(upper(m.entity_pattern), '*') THEN 25 ELSE 0 END AS score
+      FROM c2 JOIN m ON c2.value = m.value),
+b AS (SELECT entity_id, max({'score': score, 'p': match_priority, 'pat': entity_pattern, 'owner_name': owner_name, 'mv': value}) AS b
+      FROM j GROUP BY 1),
+r AS (SELECT e.entity_id, b.b.owner_name AS owner_name, CASE WHEN b.b.owner_name IS NULL THEN 'Unrouted' ELSE 'Routed' END AS route_state
+      FROM (SELECT DISTINCT entity_id FROM e) e LEFT JOIN b ON e.entity_id = b.entity_id)
+SELECT count(*) AS entities, count_if(route_state = 'Routed') AS routed,
+       round(count_if(route_state = 'Routed') * 100.0 / count(*), 1) AS routed_pct, count(DISTINCT owner_name) AS owners FROM r
+""")
 def _(spark, sf):
     from opslens.plans.q_security import _query_entities
     r = sec.owner_resolution(_query_entities(spark, sf), chb.rules_frame(spark, OWNER_RULES),
@@ -776,7 +792,31 @@ def _(spark, sf):
     return bd.cost_incident_timeline(_anoms(spark, sf), tv.load(spark, sf, "alerts"))
 
 
-@register("architecture_findings", "query_history", "warehouse_metering", op="BRD-23")
+@register("architecture_findings", "query_history", "warehouse_metering", op="BRD-23", sql="WITH " + OWNER_RULES_CTE + "," + q_capacity._UTIL[5:] + """,
+s AS (SELECT warehouse_name, coalesce(avg_queue_sec, 0) AS aq, coalesce(peak_queue_sec, 0) AS pq, coalesce(total_remote_spill_gb, 0) AS sp,
+             coalesce(peak_hourly_credits, 0) AS pc, coalesce(avg_hourly_credits, 0) AS ac FROM util),
+t AS (SELECT *, CAST(aq > 5.0 AS INTEGER) + CAST(pq > 15.0 AS INTEGER) + CAST(sp > 1.0 AS INTEGER) AS up,
+             (aq < 0.5 AND sp < 0.1 AND ac > 0 AND pc < ac * 1.5) AS down, (pq > 25.0 AND sp < 1.0) AS multi FROM s),
+recs AS (SELECT warehouse_name, CASE WHEN multi THEN 'consider_multi_cluster' WHEN up >= 2 THEN 'upsize'
+                                     WHEN down AND up = 0 THEN 'downsize' ELSE 'maintain' END AS recommendation FROM t),
+pairs AS (SELECT warehouse_name, database_name, count(*) AS n FROM query_history
+          WHERE start_time >= TIMESTAMP '2024-01-01 00:00:00' AND warehouse_name IS NOT NULL AND database_name IS NOT NULL GROUP BY 1, 2),
+pdb AS (SELECT database_name, count(*) AS wh_per_db FROM pairs GROUP BY 1),
+iso AS (SELECT warehouse_name, CASE WHEN count(*) >= 5 THEN 'Split: mixed workload'
+                                    WHEN max(wh_per_db) >= 5 THEN 'Review: database spread over many warehouses' ELSE 'Isolated' END AS decision
+        FROM pairs JOIN pdb USING (database_name) GROUP BY 1),
+f AS (SELECT warehouse_name, 'sizing' AS finding_type, recommendation AS finding, 'Cost / performance balance' AS objective FROM recs
+      WHERE recommendation <> 'maintain'
+      UNION ALL SELECT warehouse_name, 'isolation', decision, 'Workload isolation' FROM iso WHERE decision <> 'Isolated'),
+cand AS (SELECT w.warehouse_name, r.owner_name,
+                row_number() OVER (PARTITION BY w.warehouse_name ORDER BY coalesce(r.match_priority, 0) DESC, r.entity_pattern DESC) AS rn
+         FROM (SELECT DISTINCT warehouse_name FROM query_history) w
+         JOIN owner_rules r ON upper(r.entity_type) = 'WAREHOUSE' AND coalesce(r.is_active, TRUE)
+          AND ((r.entity_pattern = '*' AND r.match_priority > 0) OR upper(w.warehouse_name) = upper(r.entity_pattern)
+               OR (r.entity_pattern LIKE '%*%' AND upper(w.warehouse_name) LIKE replace(upper(r.entity_pattern), '*', '%'))))
+SELECT f.*, c.owner_name, coalesce(c.owner_name, 'Unrouted') AS route
+FROM f LEFT JOIN (SELECT * FROM cand WHERE rn = 1) c ON f.warehouse_name = c.warehouse_name
+""")
 def _(spark, sf):
     q, m = _q(spark, sf), _m(spark, sf)
     recs = cap.size_recommendation(cap.warehouse_utilization(m, q, EVENTS_AS_OF, 30))
