@@ -100,3 +100,49 @@ def _(spark, sf):
     b = feeds.scan(tv.load(spark, sf, "metering_long"), "start_time", LINEITEM_AS_OF, 7).select("warehouse_name", "credits_used")
     u = feeds.tagged_union({"events": a, "lineitem": b})
     return u.groupBy("source", "warehouse_name").agg(rounded(F.sum("credits_used"), 4).alias("credits"))
+
+
+@register("summary_first_daily_credits", "warehouse_metering", op="SRC-3", sql="""
+SELECT CAST(start_time AS DATE) AS usage_date, warehouse_name, round(sum(coalesce(credits_used, 0)), 4) AS credits_used,
+       round(sum(coalesce(credits_used_compute, 0)), 4) AS credits_compute,
+       round(sum(coalesce(credits_used_cloud_services, 0)), 4) AS credits_cloud
+FROM warehouse_metering WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00' AND start_time < TIMESTAMP '2024-01-31 00:00:00'
+GROUP BY 1, 2
+""")
+def _(spark, sf):
+    from opslens.operators import summaries
+    # the summary was never built for this run, so the detail is aggregated (same schema)
+    return feeds.summary_first(spark, _run_dir(spark, "missing-summary"),
+                               lambda: summaries.daily_warehouse_credits(tv.load(spark, sf, "warehouse_metering"), EVENTS_AS_OF, 7))
+
+
+@register("scheduler_feed_latest", "task_history", op="UPS-2", sql="""
+SELECT 'orders' AS source_system, name AS job_id,
+       (max({'s': scheduled_time, 'st': upper(coalesce(state, 'UNKNOWN')), 'q': query_id})).s AS started_at,
+       (max({'s': scheduled_time, 'st': upper(coalesce(state, 'UNKNOWN')), 'q': query_id})).st AS status,
+       (max({'s': scheduled_time, 'st': upper(coalesce(state, 'UNKNOWN')), 'q': query_id})).q AS run_id
+FROM task_history GROUP BY 2
+""")
+def _(spark, sf):
+    from opslens.streaming.incremental import latest_by_key
+    t = tv.load(spark, sf, "task_history")
+    feed = t.select(F.lit("orders").alias("source_system"), F.col("name").alias("job_id"), F.col("scheduled_time").alias("started_at"),
+                    F.upper(F.coalesce("state", F.lit("UNKNOWN"))).alias("status"), F.col("query_id").alias("run_id"))
+    return latest_by_key(feed, ["source_system", "job_id"], "started_at")
+
+
+@register("queue_after_verification", "warehouses", "query_history", "warehouse_metering", op="UPS-4")
+def _(spark, sf):
+    from datetime import timedelta
+
+    from opslens.functions.timeutil import ts_lit
+    from opslens.operators import alerts as al
+    from opslens.operators import capacity as cap
+    from opslens.streaming.incremental import apply_verification
+    s = cap.suspend_timeout_analysis(tv.load(spark, sf, "warehouses"), tv.load(spark, sf, "query_history"),
+                                     tv.load(spark, sf, "warehouse_metering"), EVENTS_AS_OF, 7)
+    acts = s.select(F.col("warehouse_name").alias("entity"), F.concat(F.lit("act-"), "warehouse_name").alias("action_id"),
+                    ts_lit(EVENTS_AS_OF - timedelta(days=10)).alias("acted_at"))
+    ver = al.savings_verification(tv.load(spark, sf, "warehouse_metering"), acts, EVENTS_AS_OF, 28)
+    queue = acts.select("action_id", "entity", F.lit("Open").alias("status"))
+    return apply_verification(queue, ver)
