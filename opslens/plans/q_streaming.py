@@ -28,7 +28,7 @@ FROM events GROUP BY 1, 2, 6
 """)
 def _(spark, sf):
     src_df = _event_metering(spark, sf)
-    src, run = inc.stage_as_files(src_df, "hourly-credits", files=4)
+    src, run = inc.stage_as_files(src_df, "hourly-credits", files=4, order_col="start_time")
     stream = inc.file_stream(spark, src, src_df.schema, max_files=1)
     agg = inc.hourly_credits_stream(stream, watermark="45 days").withColumn("usage_date", F.to_date("hour_start"))
     out = inc.run_available_now(agg, run, ["hour_start", "warehouse_name"], "usage_date")
@@ -41,8 +41,8 @@ SELECT CAST(scheduled_time AS DATE) AS run_date, state, count(*) AS runs FROM ta
 """)
 def _(spark, sf):
     src_df = tv.load(spark, sf, "task_history").select("scheduled_time", "state", "database_name", "schema_name", "name")
-    src, run = inc.stage_as_files(src_df, "task-states", files=4)
-    stream = inc.file_stream(spark, src, src_df.schema, max_files=2)
+    src, run = inc.stage_as_files(src_df, "task-states", files=4, order_col="scheduled_time")
+    stream = inc.file_stream(spark, src, src_df.schema, max_files=1)
     agg = inc.daily_task_states_stream(stream, watermark="4000 days")
     return inc.run_available_now(agg, run, ["run_date", "state"], "run_date")
 
@@ -53,8 +53,8 @@ FROM task_history WHERE state = 'FAILED' GROUP BY 1, 2, 3, 4 HAVING count(*) >=
 """)
 def _(spark, sf):
     src_df = tv.load(spark, sf, "task_history").select("scheduled_time", "state", "database_name", "schema_name", "name")
-    src, run = inc.stage_as_files(src_df, "failure-bursts", files=4)
-    stream = inc.file_stream(spark, src, src_df.schema, max_files=2)
+    src, run = inc.stage_as_files(src_df, "failure-bursts", files=4, order_col="scheduled_time")
+    stream = inc.file_stream(spark, src, src_df.schema, max_files=1)
     agg = inc.failure_bursts_stream(stream, threshold=2, watermark="4000 days")
     return inc.run_available_now(agg, run, ["failure_date", "database_name", "schema_name", "task_name"], "failure_date")
 
@@ -62,8 +62,8 @@ def _(spark, sf):
 @register("stream_recovery_pairing", "task_history", op="STR-6")
 def _(spark, sf):
     src_df = tv.load(spark, sf, "task_history").select("scheduled_time", "state", "database_name", "schema_name", "name")
-    src, run = inc.stage_as_files(src_df, "recovery", files=4)
-    stream = inc.file_stream(spark, src, src_df.schema, max_files=2)
+    src, run = inc.stage_as_files(src_df, "recovery", files=4, order_col="scheduled_time")
+    stream = inc.file_stream(spark, src, src_df.schema, max_files=1)
     paired = inc.recovery_pairing_stream(stream, sla_hours=4.0).withColumn("failure_date", F.to_date("failure_at"))
     out = f"{run}/pairs"
     q = (paired.writeStream.outputMode("append").format("parquet").option("path", out)

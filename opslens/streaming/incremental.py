@@ -174,14 +174,31 @@ def upsert_partitions(batch: DataFrame, path: str, keys: Sequence[str], partitio
     merged.write.mode("overwrite").partitionBy(partition_col).parquet(path)
 
 
-def stage_as_files(df: DataFrame, name: str, files: int = 4) -> tuple[str, str]:
+def stage_as_files(df: DataFrame, name: str, files: int = 4, order_col: str | None = None) -> tuple[str, str]:
     """Write a DataFrame (derived from the given tables) as parquet files under
     the shared checkpoint directory so a file stream can replay it. Returns
-    (source dir, run dir); every run gets a new directory."""
+    (source dir, run dir); every run gets a new directory.
+
+    With ``order_col`` the rows are written as ``files`` consecutive time
+    slices, one append each, so the stream sees them in event-time order the
+    way a live feed arrives (slice bounds come from an approximate quantile:
+    a handful of numbers, not data)."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     run = f"{base}/opslens-stream/{name}-{uuid.uuid4().hex[:12]}"
-    df.repartition(files).write.parquet(f"{run}/source")
+    if order_col is None or files <= 1:
+        df.repartition(files).write.parquet(f"{run}/source")
+        return f"{run}/source", run
+    key = F.unix_micros(F.col(order_col).cast("timestamp")).cast("double")
+    cuts = df.select(key.alias("_k")).approxQuantile("_k", [i / files for i in range(1, files)], 0.0001)
+    edges = [None, *cuts, None]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (key > lo)
+        if hi is not None:
+            cond = cond & (key <= hi)
+        df.filter(cond).coalesce(1).write.mode("append").parquet(f"{run}/source")
     return f"{run}/source", run
 
 
