@@ -436,11 +436,13 @@ def post_fix_evidence(queries: DataFrame, tasks: DataFrame, metering: DataFrame,
 
 def component_score(components: DataFrame, weights: dict[str, float]) -> DataFrame:
     """SCR-2 / SCR-3: weighted score over components (rows ``component,
-    score``), components kept as an array of structs, one row."""
+    score``) and the component scores as ``name=score`` text, one row."""
     w = components.sparkSession.createDataFrame(list(weights.items()), "component string, weight double")
     j = components.join(F.broadcast(w), "component")
+    parts = F.array_sort(F.collect_list(F.struct("component", "score")))
     return j.agg(rounded(F.sum(F.col("score") * F.col("weight")) / F.sum("weight"), 1).alias("score"),
-                 F.array_sort(F.collect_list(F.struct("component", "score"))).alias("components"))
+                 F.concat_ws(", ", F.transform(parts, lambda x: F.concat(x["component"], F.lit("="),
+                                                                          x["score"].cast("string")))).alias("components"))
 
 
 # ------------------------------------------------------------------ network, org balances, AI

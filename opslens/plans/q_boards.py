@@ -466,7 +466,30 @@ def _(spark, sf):
     return bd.privileged_grant_review(tv.load(spark, sf, "grants_to_users"), _q(spark, sf), EVENTS_AS_OF, 30)
 
 
-@register("governance_readiness", "columns", "tag_references", "access_history", op="GOV-3")
+@register("governance_readiness", "columns", "tag_references", "access_history", op="GOV-3", sql="""
+WITH c AS (SELECT DISTINCT table_catalog, table_schema, table_name, column_name, column_name AS cc FROM tag_references
+           WHERE domain = 'COLUMN' AND tag_name IN ('SEMANTIC_CATEGORY', 'PRIVACY_CATEGORY', 'PII', 'SENSITIVITY')),
+g AS (SELECT a.table_catalog AS database_name, count(DISTINCT a.column_name) AS total_columns, count(DISTINCT c.cc) AS classified_columns
+      FROM columns a LEFT JOIN c ON a.table_catalog = c.table_catalog AND a.table_schema = c.table_schema
+       AND a.table_name = c.table_name AND a.column_name = c.column_name GROUP BY 1),
+cls AS (SELECT round(classified_columns * 100.0 / nullif(total_columns, 0), 1) AS classification_pct FROM g WHERE total_columns > 5),
+t AS (SELECT DISTINCT table_catalog, table_schema, table_name FROM columns),
+tg AS (SELECT DISTINCT table_catalog, table_schema, table_name FROM tag_references),
+ut AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM tg WHERE tg.table_catalog = t.table_catalog
+                                         AND tg.table_schema = t.table_schema AND tg.table_name = t.table_name)),
+ta AS (SELECT table_catalog, count(*) AS tables FROM t GROUP BY 1),
+tb AS (SELECT table_catalog, count(*) AS u FROM ut GROUP BY 1),
+cov AS (SELECT round((tables - coalesce(u, 0)) * 100.0 / tables, 1) AS tag_coverage_pct FROM ta LEFT JOIN tb ON ta.table_catalog = tb.table_catalog),
+acc AS (SELECT count(*) AS access_days FROM (SELECT DISTINCT CAST(query_start_time AS DATE) FROM access_history
+        WHERE query_start_time >= TIMESTAMP '2024-01-24 00:00:00')),
+j AS (SELECT coalesce((SELECT avg(classification_pct) FROM cls), 0.0) AS classified, coalesce((SELECT avg(tag_coverage_pct) FROM cov), 0.0) AS tagged,
+             (SELECT access_days FROM acc) AS access_days)
+SELECT round(classified, 1) AS classification_pct, round(tagged, 1) AS tag_coverage_pct, access_days,
+       round(classified * 0.4 + tagged * 0.4 + least(access_days, 7) / 7 * 20, 1) AS readiness_score,
+       CASE WHEN classified * 0.4 + tagged * 0.4 + least(access_days, 7) / 7 * 20 >= 70 THEN 'Ready'
+            WHEN classified * 0.4 + tagged * 0.4 + least(access_days, 7) / 7 * 20 >= 40 THEN 'Developing' ELSE 'Initial' END AS readiness
+FROM j
+""")
 def _(spark, sf):
     c = sec.classification_coverage(tv.load(spark, sf, "columns"), tv.load(spark, sf, "tag_references"), 5)
     t = sec.tag_coverage(tv.load(spark, sf, "columns"), tv.load(spark, sf, "tag_references"))
@@ -601,7 +624,14 @@ def _(spark, sf):
     return bd.component_score(comps, {"cost": 2.0, "reliability": 3.0, "performance": 2.0, "security": 1.0})
 
 
-@register("service_health_score", "query_history", op="SCR-3")
+@register("service_health_score", "query_history", op="SCR-3", sql="""
+WITH g AS (SELECT warehouse_name, count(*) AS queries, count_if(execution_status <> 'SUCCESS') AS failures FROM query_history
+           WHERE start_time >= TIMESTAMP '2024-01-30 00:00:00' AND start_time < TIMESTAMP '2024-01-31 00:00:00' AND warehouse_name IS NOT NULL GROUP BY 1),
+c AS (SELECT warehouse_name AS component, 100 - round(failures * 100.0 / queries, 1) AS score FROM g
+      WHERE warehouse_name IN ('WH_0', 'WH_1', 'WH_2', 'WH_3', 'WH_4'))
+SELECT round(sum(score * 1.0) / sum(1.0), 1) AS score,
+       string_agg(component || '=' || CAST(score AS VARCHAR), ', ' ORDER BY component, score) AS components FROM c
+""")
 def _(spark, sf):
     h = us.service_health_by_warehouse(_q(spark, sf), EVENTS_AS_OF, 24)
     comps = h.select(F.col("warehouse_name").alias("component"), (100 - F.col("failure_pct")).alias("score"))
