@@ -232,7 +232,7 @@ def _(spark, sf):
     return al.closure_analytics(_queue(spark, sf))
 
 
-@register("savings_verification", "warehouses", "query_history", "warehouse_metering", op="ACT-5", sql="""
+SAVINGS_VERIFICATION_SQL = """
 WITH up AS (SELECT warehouse_name, count(*) AS query_count FROM query_history
             WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00' AND warehouse_name IS NOT NULL GROUP BY 1),
 acts AS (SELECT upper(w.warehouse_name) AS k, 'act-' || w.warehouse_name AS action_id, TIMESTAMP '2024-01-21 00:00:00' AS acted_at
@@ -248,7 +248,10 @@ SELECT action_id, k AS warehouse_name, round(r, 4) AS recent_daily_credits, roun
        CASE WHEN r IS NULL OR b IS NULL THEN 'Insufficient data' WHEN (b - r) / nullif(b, 0) * 100 >= 10 THEN 'Savings verified'
             WHEN (b - r) / nullif(b, 0) * 100 > -10 THEN 'No change' ELSE 'Cost increased' END AS outcome
 FROM g
-""")
+"""
+
+
+@register("savings_verification", "warehouses", "query_history", "warehouse_metering", op="ACT-5", sql=SAVINGS_VERIFICATION_SQL)
 def _(spark, sf):
     s = cap.suspend_timeout_analysis(tv.load(spark, sf, "warehouses"), tv.load(spark, sf, "query_history"),
                                      tv.load(spark, sf, "warehouse_metering"), EVENTS_AS_OF, 7)
@@ -304,7 +307,7 @@ def _(spark, sf):
                                    _queue(spark, sf), EVENTS_AS_OF, 7)
 
 
-@register("platform_health_score", "warehouse_metering", "task_history", "query_history", "login_history", op="SCR-4", sql="""
+PLATFORM_HEALTH_SCORE_SQL = """
 WITH t AS (SELECT count_if(state = 'SUCCEEDED') * 100.0 / nullif(count(*), 0) AS rel FROM task_history
            WHERE scheduled_time >= TIMESTAMP '2001-07-26 00:00:00' AND state IN ('SUCCEEDED', 'FAILED')),
 q AS (SELECT count_if(total_elapsed_time <= 60000) * 100.0 / nullif(count(*), 0) AS perf FROM query_history
@@ -320,7 +323,10 @@ SELECT round(cost, 1) AS cost_score, round(rel, 1) AS reliability_score, round(p
        round(sec, 1) AS security_score, round(score, 1) AS health_score,
        CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade
 FROM j
-""")
+"""
+
+
+@register("platform_health_score", "warehouse_metering", "task_history", "query_history", "login_history", op="SCR-4", sql=PLATFORM_HEALTH_SCORE_SQL)
 def _(spark, sf):
     return al.platform_health(tv.load(spark, sf, "warehouse_metering"), tv.load(spark, sf, "task_history"),
                               tv.load(spark, sf, "query_history"), tv.load(spark, sf, "login_history"),

@@ -334,7 +334,16 @@ def _(spark, sf):
     return bd.usage_change_explanation(_q(spark, sf), _m(spark, sf), EVENTS_AS_OF, 7)
 
 
-@register("realised_value", "login_history", "warehouses", "query_history", "warehouse_metering", op="BRD-21")
+@register("realised_value", "login_history", "warehouses", "query_history", "warehouse_metering", op="BRD-21", sql="WITH ver AS (" + q_alerts.SAVINGS_VERIFICATION_SQL + "), " + """
+acts AS (SELECT 'act-' || w.warehouse_name AS action_id, 'warehouse' AS category, 'Open' AS status FROM warehouses w
+         LEFT JOIN (SELECT warehouse_name, count(*) AS query_count FROM query_history
+                    WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00' AND warehouse_name IS NOT NULL GROUP BY 1) up
+           ON w.warehouse_name = up.warehouse_name
+         WHERE w.auto_suspend = 0 OR (w.auto_suspend > 120 AND coalesce(up.query_count, 0) < 1000))
+SELECT category, count(*) AS actions, count_if(status = 'Fixed') AS fixed, count_if(outcome = 'Savings verified') AS verified,
+       round(avg(savings_pct), 1) AS avg_savings_pct
+FROM acts LEFT JOIN ver ON acts.action_id = ver.action_id GROUP BY 1
+""")
 def _(spark, sf):
     from datetime import timedelta
     from opslens.functions.timeutil import ts_lit
@@ -614,7 +623,14 @@ def _(spark, sf):
     return bd.post_fix_evidence(_q(spark, sf), tv.load(spark, sf, "task_history"), _m(spark, sf), EVENTS_AS_OF, ORDERS_AS_OF)
 
 
-@register("executive_health_score", "warehouse_metering", "task_history", "query_history", "login_history", op="SCR-2")
+@register("executive_health_score", "warehouse_metering", "task_history", "query_history", "login_history", op="SCR-2", sql="WITH ph AS (" + q_alerts.PLATFORM_HEALTH_SCORE_SQL + "), " + """
+c AS (SELECT 'cost' AS component, cost_score AS score FROM ph UNION ALL SELECT 'reliability', reliability_score FROM ph
+      UNION ALL SELECT 'performance', performance_score FROM ph UNION ALL SELECT 'security', security_score FROM ph),
+w AS (SELECT * FROM (VALUES ('cost', 2.0), ('reliability', 3.0), ('performance', 2.0), ('security', 1.0)) t(component, weight)),
+j AS (SELECT c.*, w.weight FROM c JOIN w ON c.component = w.component)
+SELECT round(sum(score * weight) / sum(weight), 1) AS score,
+       string_agg(component || '=' || CAST(score AS VARCHAR), ', ' ORDER BY component, score) AS components FROM j
+""")
 def _(spark, sf):
     from opslens.operators import alerts as al
     h = al.platform_health(_m(spark, sf), tv.load(spark, sf, "task_history"), _q(spark, sf),
