@@ -45,6 +45,24 @@ tri AS (SELECT alert_id, alert_ts, entity, alert_type, severity, status, owner,
 """
 
 
+def _issues_sql():
+    from opslens.plans import q_security, q_tasks
+    return (q_tasks._CONSOLE + "," + _TRI + ", sx AS (" + q_security.SECURITY_EXCEPTIONS_SQL + """),
+u AS (SELECT 'alert' AS source, alert_id AS issue_id, severity, entity, alert_type AS issue_type, alert_ts AS seen_at FROM tri
+      UNION ALL
+      SELECT 'task_failure', query_id, CASE WHEN incident_priority = 'P1' THEN 'Critical' WHEN incident_priority = 'P2' THEN 'High'
+                                            ELSE 'Medium' END, concat_ws('.', database_name, schema_name, task_name), failure_category,
+             scheduled_time FROM con
+      UNION ALL
+      SELECT 'security', CAST(NULL AS VARCHAR), severity, entity, finding, CAST(NULL AS TIMESTAMP) FROM sx)
+SELECT *, CASE upper(trim(coalesce(severity, 'Medium'))) WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'LOW' THEN 3 ELSE 2 END AS severity_rank
+FROM u
+""")
+
+
+_ISSUES_SQL = _issues_sql()
+
+
 def _tri(spark, sf):
     return al.triage(tv.load(spark, sf, "alerts"), ORDERS_AS_OF, 30)
 
@@ -86,7 +104,8 @@ def _(spark, sf):
     return al.digest_body(_tri(spark, sf), 25)
 
 
-@register("issue_list", "alerts", "task_history", "login_history", "grants_to_users", "users", "query_history", op="ALR-6")
+@register("issue_list", "alerts", "task_history", "login_history", "grants_to_users", "users", "query_history", op="ALR-6",
+          sql=_ISSUES_SQL)
 def _(spark, sf):
     console = tsk.failure_console(tv.load(spark, sf, "task_history"), ORDERS_AS_OF, 30)
     exc = sec.security_exceptions(tv.load(spark, sf, "login_history"), tv.load(spark, sf, "grants_to_users"),

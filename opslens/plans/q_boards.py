@@ -436,7 +436,21 @@ def _(spark, sf):
     return bd.burn_with_size(_m(spark, sf), _q(spark, sf), EVENTS_AS_OF, 7)
 
 
-@register("outlier_evidence", "query_history", "warehouse_metering", op="CST-27")
+@register("outlier_evidence", "query_history", "warehouse_metering", op="CST-27", sql="WITH " + OWNER_RULES_CTE + "," + pqc_cte() + """,
+j AS (SELECT qh.warehouse_name, qh.user_name, qh.query_type, p.metered_credits FROM pqc p JOIN query_history qh ON p.query_id = qh.query_id
+      WHERE qh.warehouse_name = 'WH_3'),
+pt AS (SELECT warehouse_name, query_type, sum(metered_credits) AS c FROM j GROUP BY 1, 2),
+tp AS (SELECT warehouse_name, arg_max(query_type, {'c': c, 'q': query_type}) AS top_query_type FROM pt GROUP BY 1),
+g AS (SELECT warehouse_name, count(*) AS queries, count(DISTINCT user_name) AS users, round(sum(metered_credits), 6) AS credits FROM j GROUP BY 1),
+cand AS (SELECT w.warehouse_name, r.owner_name,
+                row_number() OVER (PARTITION BY w.warehouse_name ORDER BY coalesce(r.match_priority, 0) DESC, r.entity_pattern DESC) AS rn
+         FROM (SELECT DISTINCT warehouse_name FROM g) w
+         JOIN owner_rules r ON upper(r.entity_type) = 'WAREHOUSE' AND coalesce(r.is_active, TRUE)
+          AND ((r.entity_pattern = '*' AND r.match_priority > 0) OR upper(w.warehouse_name) = upper(r.entity_pattern)
+               OR (r.entity_pattern LIKE '%*%' AND upper(w.warehouse_name) LIKE replace(upper(r.entity_pattern), '*', '%'))))
+SELECT g.*, tp.top_query_type, c.owner_name AS owner_tag
+FROM g JOIN tp ON g.warehouse_name = tp.warehouse_name LEFT JOIN (SELECT * FROM cand WHERE rn = 1) c ON g.warehouse_name = c.warehouse_name
+""")
 def _(spark, sf):
     pqc = cost.per_query_credits(_q(spark, sf), _m(spark, sf), EVENTS_AS_OF, 7)
     return bd.outlier_evidence(pqc, _q(spark, sf), chb.rules_frame(spark, OWNER_RULES), "WH_3")
@@ -588,7 +602,11 @@ def _(spark, sf):
     return bd.unmatched_evidence(rec)
 
 
-@register("verification_health", "login_history", "warehouses", "query_history", "warehouse_metering", op="ACT-6")
+@register("verification_health", "login_history", "warehouses", "query_history", "warehouse_metering", op="ACT-6", sql=q_alerts._QUEUE + ", ver AS (" + q_alerts.SAVINGS_VERIFICATION_SQL + ")" + """
+SELECT (SELECT count(*) FROM ver) AS verified_actions, (SELECT count_if(outcome = 'Savings verified') FROM ver) AS savings_verified,
+       (SELECT count_if(outcome = 'Insufficient data') FROM ver) AS insufficient,
+       (SELECT count_if(status <> 'Fixed') FROM q) AS open_actions, (SELECT max(last_seen_at) FROM q) AS last_run
+""")
 def _(spark, sf):
     from datetime import timedelta
     from opslens.functions.timeutil import ts_lit

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from opslens.plans import q_alerts
 from opslens.plans.registry import register
 from opslens.session import ensure_checkpoint_dir
 from opslens.sources import feeds, schemas
@@ -131,7 +132,17 @@ def _(spark, sf):
     return latest_by_key(feed, ["source_system", "job_id"], "started_at")
 
 
-@register("queue_after_verification", "warehouses", "query_history", "warehouse_metering", op="UPS-4")
+@register("queue_after_verification", "warehouses", "query_history", "warehouse_metering", op="UPS-4",
+          sql="WITH ver AS (" + q_alerts.SAVINGS_VERIFICATION_SQL + "), " + """
+acts AS (SELECT 'act-' || w.warehouse_name AS action_id, w.warehouse_name AS entity, 'Open' AS status FROM warehouses w
+         LEFT JOIN (SELECT warehouse_name, count(*) AS query_count FROM query_history
+                    WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00' AND warehouse_name IS NOT NULL GROUP BY 1) up
+           ON w.warehouse_name = up.warehouse_name
+         WHERE w.auto_suspend = 0 OR (w.auto_suspend > 120 AND coalesce(up.query_count, 0) < 1000))
+SELECT acts.action_id, entity, CASE WHEN outcome = 'Savings verified' THEN 'Verified' ELSE status END AS status,
+       round(savings_pct, 1) AS verified_savings_pct
+FROM acts LEFT JOIN ver ON acts.action_id = ver.action_id
+""")
 def _(spark, sf):
     from datetime import timedelta
 

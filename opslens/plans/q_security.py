@@ -112,7 +112,7 @@ def _(spark, sf):
                              _v(spark, sf, "query_history"), EVENTS_AS_OF, 7)
 
 
-@register("security_exceptions", "login_history", "grants_to_users", "users", "query_history", op="SEC-8", sql=f"""
+SECURITY_EXCEPTIONS_SQL = f"""
 SELECT 'Repeated login failures' AS finding, user_name AS entity, CAST(count(*) AS DOUBLE) AS value, 'High' AS severity
 FROM login_history WHERE event_timestamp >= {D7} AND is_success = 'NO' GROUP BY user_name HAVING count(*) >= 5
 UNION ALL
@@ -127,7 +127,10 @@ WHERE start_time >= {D7} AND query_type = 'GRANT' AND ({ESC}) GROUP BY user_name
 UNION ALL
 SELECT 'Many client addresses', user_name, CAST(count(DISTINCT client_ip) AS DOUBLE), 'Low' FROM login_history
 WHERE event_timestamp >= {D7} GROUP BY user_name HAVING count(DISTINCT client_ip) >= 4
-""")
+"""
+
+
+@register("security_exceptions", "login_history", "grants_to_users", "users", "query_history", op="SEC-8", sql=SECURITY_EXCEPTIONS_SQL)
 def _(spark, sf):
     return sec.security_exceptions(_v(spark, sf, "login_history"), _v(spark, sf, "grants_to_users"), _v(spark, sf, "users"),
                                    _v(spark, sf, "query_history"), EVENTS_AS_OF, 7)
