@@ -107,7 +107,8 @@ def _recovery(key, pdfs, state, sla_hours: float):
                                           "recovery_state"])
         return
     open_at = state.get[0] if state.exists else None
-    events = pd.concat(list(pdfs)).sort_values("scheduled_time")
+    frames = [p for p in pdfs if len(p)]
+    events = (pd.concat(frames) if frames else pd.DataFrame({"scheduled_time": [], "state": []})).sort_values("scheduled_time")
     for ts, st in zip(events["scheduled_time"], events["state"]):
         if st == "FAILED":
             if open_at is None:
