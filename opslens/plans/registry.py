@@ -99,7 +99,16 @@ def register(name: str, *views: str, sql: str | None = None, op: str = ""):
     def deco(fn: Builder) -> Builder:
         if name in QUERIES:
             raise ValueError(f"duplicate query name {name}")
-        QUERIES[name] = fn
+
+        def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # event times are naive (timestamp_ntz); windows, day buckets and the
+            # streaming event-time casts are defined in UTC
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+
+        build.__name__ = f"query_{name}"
+        build.__doc__ = fn.__doc__
+        QUERIES[name] = build
         TAGS[name] = op
         if sql is not None:
             body = bigint_counts(nudge_rounds(sql))

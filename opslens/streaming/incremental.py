@@ -97,6 +97,9 @@ RECOVERY_STATE = "failure_at timestamp"
 def _recovery(key, pdfs, state, sla_hours: float):
     """Per task: remember the open failure; a later success closes it
     (within SLA or late); an event-time timer at the SLA reports it open."""
+    import warnings
+    # the Arrow serializer concatenates output frames whose recovery_at may be all NULL
+    warnings.filterwarnings("ignore", category=FutureWarning)
     db, sch, task = key
     rows = []
     if state.hasTimedOut:
@@ -124,8 +127,9 @@ def _recovery(key, pdfs, state, sla_hours: float):
         state.update((open_at,))
         due = int(pd.Timestamp(open_at).timestamp() * 1000 + sla_hours * 3600 * 1000)
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(rows, columns=["database_name", "schema_name", "task_name", "failure_at", "recovery_at",
-                                      "recovery_state"])
+    if rows:
+        yield pd.DataFrame(rows, columns=["database_name", "schema_name", "task_name", "failure_at", "recovery_at",
+                                          "recovery_state"])
 
 
 def recovery_pairing_stream(tasks: DataFrame, sla_hours: float = 4.0, watermark: str = SETTLE_WATERMARK) -> DataFrame:
