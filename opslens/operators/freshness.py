@@ -1,4 +1,4 @@
-"""Pipelines and data quality (PIP-*, DQ-*)."""
+"""Load freshness, pipes and data quality (PIP-*, DQ-*)."""
 
 from __future__ import annotations
 

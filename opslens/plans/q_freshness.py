@@ -1,10 +1,10 @@
-"""Registered pipeline and data-quality queries (PIP-*, DQ-*)."""
+"""Registered load-freshness and data-quality queries (PIP-*, DQ-*)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opslens.operators import pipelines as pip
+from opslens.operators import freshness as pip
 from opslens.plans.registry import register
 from opslens.sources import testviews as tv
 from opslens.sources.testviews import EVENTS_AS_OF, LINEITEM_AS_OF, ORDERS_AS_OF
@@ -36,7 +36,7 @@ def _status(spark, sf):
     return pip.pipeline_status(tv.load(spark, sf, "task_history"), tv.load(spark, sf, "copy_history"), ORDERS_AS_OF, 3)
 
 
-@register("pipeline_status", "task_history", "copy_history", op="PIP-1", sql="WITH " + _STATUS + "SELECT * FROM st")
+@register("load_pipe_status", "task_history", "copy_history", op="PIP-1", sql="WITH " + _STATUS + "SELECT * FROM st")
 def _(spark, sf):
     return _status(spark, sf)
 
@@ -51,7 +51,7 @@ def _(spark, sf):
     return pip.pipe_volume(tv.load(spark, sf, "copy_history"), LINEITEM_AS_OF, 7)
 
 
-@register("pipeline_summary", "task_history", "copy_history", op="PIP-3", sql="WITH " + _STATUS + """,
+@register("load_pipe_summary", "task_history", "copy_history", op="PIP-3", sql="WITH " + _STATUS + """,
 o AS (SELECT count(*) AS total_pipelines, count_if(upper(freshness_status) = 'FRESH') AS fresh,
              count_if(upper(freshness_status) = 'STALE') AS stale, count_if(upper(freshness_status) = 'FAILED') AS failed,
              count_if(upper(freshness_status) = 'CRITICAL') AS critical FROM st)

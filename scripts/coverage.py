@@ -15,7 +15,7 @@ sys.path.insert(0, ROOT)
 PRIMITIVES = {
     "SRC-9": "streaming.incremental.upsert_partitions",
     "FIL-5": "operators.query.search_history (case-insensitive contains)",
-    "FIL-9": "operators.pipelines.schema_changes (isin), operators.security.privileged_holders",
+    "FIL-9": "operators.freshness.schema_changes (isin), operators.security.privileged_holders",
     "FIL-10": "operators.anomaly.query_regressions (HAVING via filter after agg), operators.cost.idle_warehouse_credits",
     "FIL-12": "operators.security.privileged_holders (deleted_on IS NULL)",
     "FIL-13": "operators.query.search_history (id mode), functions.scope.scope_semi_join (left-semi for long lists)",
@@ -27,7 +27,7 @@ PRIMITIVES = {
     "JOI-8": "operators.cost.run_rate (bounds as literals)",
     "JOI-10": "operators.boards.bill_waterfall (crossJoin of one-row totals)",
     "JOI-12": "operators.capacity.shared_hours (re-aimed, no pairs)",
-    "JOI-14": "operators.pipelines.size_drift (latest two snapshots), operators.boards.latest_snapshot_per_tenant",
+    "JOI-14": "operators.freshness.size_drift (latest two snapshots), operators.boards.latest_snapshot_per_tenant",
     "JOI-21": "operators.boards.burn_with_size (max_by + join)",
     "AGG-1": "operators.summaries.*, operators.capacity.warehouse_utilization",
     "AGG-2": "operators.tasks.sla_compliance (count_if), operators.alerts.digest_counters",
@@ -50,7 +50,7 @@ PRIMITIVES = {
     "WIN-10": "operators.cost.monthly_spend (cumulative sum)",
     "WIN-12": "operators.forecast.burn_forecast / wow_delta (descending row_number, conditional averages)",
     "SRT-1": "operators.incidents.volume_changes (desc_nulls_last), every top-k with key tie-breaks",
-    "SRT-2": "operators.pipelines.load_freshness, operators.change.change_exceptions (sort by label rank)",
+    "SRT-2": "operators.freshness.load_freshness, operators.change.change_exceptions (sort by label rank)",
     "SRT-3": "operators.query.bottlenecks, operators.cost.top_users_by_cost (orderBy().limit())",
     "SRT-4": "operators.alerts.escalation_candidates (triage_priority)",
     "SRT-5": "operators.cost.cost_drivers (groupBy + top-k)",
@@ -59,7 +59,7 @@ PRIMITIVES = {
     "SCA-2": "operators.change.change_family, functions.scope.match_any (like / ilike)",
     "SCA-3": "operators.tasks.PROC_RE (regexp_extract CALL name)",
     "SCA-4": "operators.change.TICKET_RE (ticket key from tag)",
-    "SCA-7": "operators.pipelines.unused_tables (regexp_extract_all of object names)",
+    "SCA-7": "operators.freshness.unused_tables (regexp_extract_all of object names)",
     "SCA-9": "operators.forecast / cost.RateTable (contains / instr)",
     "SCA-10": "operators.graph.direct_dependents (qualified-name split), q_change impact (split)",
     "SCA-12": "functions.timeutil.lookback / between_ts (date arithmetic on literals)",

@@ -11,7 +11,7 @@ from opslens.operators import chargeback as chb
 from opslens.operators import cost
 from opslens.operators import forecast as fc
 from opslens.operators import graph as g
-from opslens.operators import pipelines as pip
+from opslens.operators import freshness as pip
 from opslens.operators import security as sec
 from opslens.sources import schemas
 
