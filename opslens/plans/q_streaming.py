@@ -44,7 +44,9 @@ def _(spark, sf):
     src, run = inc.stage_as_files(src_df, "task-states", files=4, order_col="scheduled_time")
     stream = inc.file_stream(spark, src, src_df.schema, max_files=1)
     agg = inc.daily_task_states_stream(stream, watermark="4000 days")
-    return inc.run_available_now(agg, run, ["run_date", "state"], "run_date")
+    # seven years of days: partition the summary by month, not by day
+    agg = agg.withColumn("run_month", F.trunc("run_date", "month"))
+    return inc.run_available_now(agg, run, ["run_date", "state"], "run_month").drop("run_month")
 
 
 @register("stream_failure_bursts", "task_history", op="STR-3", sql="""
@@ -55,8 +57,10 @@ def _(spark, sf):
     src_df = tv.load(spark, sf, "task_history").select("scheduled_time", "state", "database_name", "schema_name", "name")
     src, run = inc.stage_as_files(src_df, "failure-bursts", files=4, order_col="scheduled_time")
     stream = inc.file_stream(spark, src, src_df.schema, max_files=1)
-    agg = inc.failure_bursts_stream(stream, threshold=2, watermark="4000 days")
-    return inc.run_available_now(agg, run, ["failure_date", "database_name", "schema_name", "task_name"], "failure_date")
+    agg = inc.failure_bursts_stream(stream, threshold=2, watermark="4000 days").withColumn(
+        "failure_month", F.trunc("failure_date", "month"))
+    return inc.run_available_now(agg, run, ["failure_date", "database_name", "schema_name", "task_name"],
+                                 "failure_month").drop("failure_month")
 
 
 @register("stream_recovery_pairing", "task_history", op="STR-6")
