@@ -5,6 +5,8 @@ summary; the oracle is the batch aggregate over the same rows."""
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from opslens.functions.exprs import rounded
@@ -74,3 +76,39 @@ def _(spark, sf):
          .option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+@register("stream_live_operations", "query_history", op="STR-4", sql="""
+WITH q AS (SELECT start_time, warehouse_name, queued_overload_time, transaction_blocked_time FROM query_history
+           WHERE start_time >= TIMESTAMP '2024-01-30 00:00:00'),
+w AS (SELECT q.*, date_trunc('minute', start_time) - to_minutes(CAST(k AS BIGINT)) AS window_start
+      FROM q, range(10) t(k))
+SELECT window_start, window_start + INTERVAL 10 MINUTE AS window_end, warehouse_name, count(*) AS active,
+       count_if(queued_overload_time > 0) AS queued, count_if(transaction_blocked_time > 0) AS blocked,
+       CAST(window_start AS DATE) AS window_date
+FROM w GROUP BY 1, 2, 3
+""")
+def _(spark, sf):
+    from opslens.functions.timeutil import ts_lit
+    q = (tv.load(spark, sf, "query_history").filter(F.col("start_time") >= ts_lit(datetime(2024, 1, 30)))
+         .select("start_time", "warehouse_name", "queued_overload_time", "transaction_blocked_time"))
+    src, run = inc.stage_as_files(q, "live-ops", files=4, order_col="start_time")
+    agg = inc.live_operations_stream(inc.file_stream(spark, src, q.schema, 1), watermark="2 days")
+    agg = agg.withColumn("window_date", F.to_date("window_start"))
+    return inc.run_available_now(agg, run, ["window_start", "warehouse_name"], "window_date")
+
+
+@register("stream_activity_sessions", "query_history", op="STR-7", sql="""
+WITH q AS (SELECT user_name, start_time, lag(start_time) OVER (PARTITION BY user_name ORDER BY start_time) AS prev FROM query_history),
+s AS (SELECT *, sum(CASE WHEN prev IS NULL OR start_time >= prev + INTERVAL 30 MINUTE THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY user_name ORDER BY start_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM q)
+SELECT user_name, min(start_time) AS session_start, max(start_time) + INTERVAL 30 MINUTE AS session_end, count(*) AS statements,
+       CAST(min(start_time) AS DATE) AS session_date
+FROM s GROUP BY user_name, sid
+""")
+def _(spark, sf):
+    q = tv.load(spark, sf, "query_history").select("start_time", "user_name")
+    src, run = inc.stage_as_files(q, "sessions", files=4, order_col="start_time")
+    agg = inc.activity_sessions_stream(inc.file_stream(spark, src, q.schema, 1), watermark="2 hours")
+    agg = agg.withColumn("session_date", F.to_date("session_start"))
+    return inc.run_available_now(agg, run, ["user_name", "session_start"], "session_date", mode="complete")

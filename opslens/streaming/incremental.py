@@ -208,7 +208,7 @@ def stage_as_files(df: DataFrame, name: str, files: int = 4, order_col: str | No
 
 
 def run_available_now(stream: DataFrame, run: str, keys: Sequence[str], partition_col: str,
-                      max_files: int | None = None) -> DataFrame:
+                      max_files: int | None = None, mode: str = "update") -> DataFrame:
     """Drive a streaming aggregation over all available input
     (``trigger(availableNow=True)``), merging every micro-batch into the
     summary with :func:`upsert_partitions`; return the summary as a batch
@@ -218,7 +218,7 @@ def run_available_now(stream: DataFrame, run: str, keys: Sequence[str], partitio
     def merge(batch_df, _batch_id):
         upsert_partitions(batch_df, out, keys, partition_col)
 
-    q = (stream.writeStream.outputMode("update").foreachBatch(merge)
+    q = (stream.writeStream.outputMode(mode).foreachBatch(merge)
          .option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     spark = stream.sparkSession
