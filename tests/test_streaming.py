@@ -1,7 +1,7 @@
 """Streaming operators: each stream result equals the batch computation over
 the same rows (STR-4/5/7), and the partition upsert keeps one row per key."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -59,3 +59,18 @@ def test_partition_upsert_replaces_by_key(spark):
                                                  (datetime(2024, 1, 2).date(), "c", 3.0)], s), path, ["d", "k"], "d")
     got = sorted((r.k, r.v) for r in spark.read.parquet(path).collect())
     assert got == [("a", 1.0), ("b", 5.0), ("c", 3.0)]
+
+
+def test_recovery_pairing_states(spark):
+    def h(n):
+        return datetime(2024, 1, 1) + timedelta(hours=n)
+
+    rows = [("D", "S", "A", h(0), "FAILED"), ("D", "S", "A", h(2), "SUCCEEDED"),      # within the 4 h SLA
+            ("D", "S", "B", h(1), "FAILED"), ("D", "S", "B", h(3), "FAILED"), ("D", "S", "B", h(7), "SUCCEEDED"),  # late
+            ("D", "S", "C", h(5), "FAILED"),                                             # never recovers
+            ("D", "S", "Z", h(60), "SUCCEEDED")]                                         # moves the watermark on
+    df = spark.createDataFrame(rows, "database_name string, schema_name string, name string, scheduled_time timestamp_ntz, state string")
+    src, _run = inc.stage_as_files(df, "pairing", files=2, order_col="scheduled_time")
+    out = _drain(spark, inc.recovery_pairing_stream(inc.file_stream(spark, src, df.schema, 1), sla_hours=4.0), "pairs_out")
+    got = {r.task_name: r.recovery_state for r in out.collect()}
+    assert got == {"A": "Recovered Within SLA", "B": "Recovered Late", "C": "Open past SLA"}
