@@ -81,11 +81,11 @@ def object_change_list(queries: DataFrame, as_of: datetime, days: int = 7, limit
     u = F.upper(t)
     kind = (F.when(u.contains("TABLE"), "TABLE").when(u.contains("VIEW"), "VIEW")
             .when(u.contains("PROCEDURE"), "PROCEDURE").when(u.contains("TASK"), "TASK"))
-    q = (queries.filter(lookback("start_time", as_of, days))
+    # the row filter is one regex over the text; verb and kind are projections
+    ddl = t.rlike("(?is)^(CREATE|ALTER|DROP).*(TABLE|VIEW|PROCEDURE|TASK)")
+    q = (queries.filter(lookback("start_time", as_of, days) & ddl)
          .select("query_id", "user_name", "role_name", "warehouse_name", "database_name", "schema_name", "start_time",
-                 "query_type", t.alias("query_text"), verb.alias("_verb"))
-         .withColumn("_kind", kind)
-         .filter((F.col("_verb") != "") & F.col("_kind").isNotNull()))
+                 "query_type", t.alias("query_text"), verb.alias("_verb"), kind.alias("_kind")))
     return (q.select("query_id", "user_name", "role_name", "warehouse_name", "database_name", "schema_name", "start_time",
                      F.concat_ws(" ", "_verb", "_kind").alias("change_type"), F.substring("query_text", 1, 1500).alias("query_text"))
             .orderBy(F.desc("start_time"), "query_id").limit(limit))
