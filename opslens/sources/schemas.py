@@ -68,7 +68,7 @@ class MissingColumns(ValueError):
 
 
 def conform(df: DataFrame, source: str, schema: dict[str, list[Col]] | None = None) -> DataFrame:
-    """Project ``df`` onto the declared columns of ``source``: case-folded
+    """SRC-2: project ``df`` onto the declared columns of ``source``: case-folded
     names, declared types, typed NULLs for absent optional columns; extra
     columns are dropped (column pruning reaches the scan)."""
     cols = (schema or SOURCES)[source]
