@@ -55,8 +55,9 @@ def test_partition_upsert_replaces_by_key(spark):
     s = "d date, k string, v double"
     inc.upsert_partitions(spark.createDataFrame([(datetime(2024, 1, 1).date(), "a", 1.0),
                                                  (datetime(2024, 1, 2).date(), "b", 2.0)], s), path, ["d", "k"], "d")
-    inc.upsert_partitions(spark.createDataFrame([(datetime(2024, 1, 2).date(), "b", 5.0),
-                                                 (datetime(2024, 1, 2).date(), "c", 3.0)], s), path, ["d", "k"], "d")
+    batch2 = spark.createDataFrame([(datetime(2024, 1, 2).date(), "b", 5.0), (datetime(2024, 1, 2).date(), "c", 3.0)], s)
+    inc.upsert_partitions(batch2, path, ["d", "k"], "d")
+    inc.upsert_partitions(batch2, path, ["d", "k"], "d")  # a replayed micro-batch changes nothing
     got = sorted((r.k, r.v) for r in spark.read.parquet(path).collect())
     assert got == [("a", 1.0), ("b", 5.0), ("c", 3.0)]
 
