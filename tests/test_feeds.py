@@ -42,3 +42,15 @@ def test_tagged_union_fills_missing_columns(spark):
     got = sorted((r.source, r.name, r.n) for r in out.collect())
     assert got == [("first", "x", 1), ("second", "y", None)]
     assert out.filter(F.col("source") == "second").count() == 1
+
+
+def test_summary_first_falls_back_then_reads_summary(spark, tmp_path):
+    detail = spark.createDataFrame([("WH", 1.0), ("WH", 2.0)], "warehouse_name string, credits double")
+
+    def fallback():
+        return detail.groupBy("warehouse_name").agg(F.sum("credits").alias("credits"))
+
+    path = str(tmp_path / "summary")
+    assert feeds.summary_first(spark, path, fallback).first().credits == 3.0
+    spark.createDataFrame([("WH", 9.0)], "warehouse_name string, credits double").write.parquet(path)
+    assert feeds.summary_first(spark, path, fallback).first().credits == 9.0
