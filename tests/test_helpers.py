@@ -46,3 +46,20 @@ def test_oracle_rewrites():
     assert nudge_rounds("SELECT round(a, 2) FROM t") == "SELECT round((a) + sign(a) * 1e-8, 2) FROM t"
     assert nudge_rounds("SELECT ground(x)") == "SELECT ground(x)"
     assert bigint_counts("count_if(x > 1)") == "CAST(count_if(x > 1) AS BIGINT)"
+
+
+def test_latest_per_key_and_distinct_list(spark):
+    from opslens.functions import exprs as ex
+    df = spark.createDataFrame([("a", 1, "old"), ("a", 3, "new"), ("b", 2, "only"), ("a", 2, "mid")],
+                               "k string, t int, v string")
+    got = {r.k: r.v for r in ex.latest_per_key(df, ["k"], ["t"], ["v"]).collect()}
+    assert got == {"a": "new", "b": "only"}
+    lst = df.groupBy().agg(ex.sorted_distinct_list("k").alias("l")).first().l
+    assert lst == "a, b"
+
+
+def test_pctl_exact_interpolates(spark):
+    from opslens.functions import exprs as ex
+    df = spark.createDataFrame([(float(x),) for x in [1, 2, 3, 4]], "x double")
+    assert df.agg(ex.pctl("x", 0.5).alias("p")).first().p == 2.5
+    assert df.agg(ex.pctl("x", 0.5, exact=False).alias("p")).first().p in (2.0, 3.0)
