@@ -63,3 +63,18 @@ def test_pctl_exact_interpolates(spark):
     df = spark.createDataFrame([(float(x),) for x in [1, 2, 3, 4]], "x double")
     assert df.agg(ex.pctl("x", 0.5).alias("p")).first().p == 2.5
     assert df.agg(ex.pctl("x", 0.5, exact=False).alias("p")).first().p in (2.0, 3.0)
+
+
+def test_lookback_window_and_seconds_between(spark):
+    from opslens.functions.timeutil import between_ts, lookback, seconds_between, trunc
+    as_of = datetime(2024, 1, 31)
+    rows = [(datetime(2024, 1, 23, 23, 59), datetime(2024, 1, 24, 0, 0, 30)), (datetime(2024, 1, 24), datetime(2024, 1, 24)),
+            (datetime(2024, 1, 31), datetime(2024, 1, 31, 1))]
+    df = spark.createDataFrame(rows, "a timestamp_ntz, b timestamp_ntz")
+    out = df.select(lookback("a", as_of, 7).alias("in7"), lookback("a", as_of, 7, end=as_of).alias("settled"),
+                    between_ts("a", datetime(2024, 1, 24), as_of).alias("btw"), seconds_between("a", "b").alias("s"),
+                    trunc("hour", "b").alias("h")).collect()
+    assert [r.in7 for r in out] == [False, True, True]
+    assert [r.settled for r in out] == [False, True, False] and [r.btw for r in out] == [False, True, False]
+    assert [r.s for r in out] == [90.0, 0.0, 3600.0]
+    assert out[0].h == datetime(2024, 1, 24)
