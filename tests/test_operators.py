@@ -152,3 +152,13 @@ def test_conform_adds_typed_nulls_and_rejects_missing_required(spark):
     assert dict(c.dtypes)["credits_used_compute"] == "double" and c.first().credits_used == 1.5
     with pytest.raises(schemas.MissingColumns):
         schemas.conform(df.drop("credits_used"), "warehouse_metering")
+
+
+def test_owner_rules_bounded_and_unmatched_entities_kept(spark):
+    with pytest.raises(ValueError):
+        chb.rules_frame(spark, [("WAREHOUSE", f"WH_{i}", "o", "", "Bronze", 1, True) for i in range(chb.MAX_RULES + 1)])
+    rules = chb.rules_frame(spark, [("WAREHOUSE", "ETL_*", "Data Eng", "de@x", "Gold", 10, True)])
+    wh = spark.createDataFrame([("etl_nightly",), ("BI_1",), ("BI_1",)], "warehouse_name string")
+    got = {r.warehouse_name: (r.owner_name, r.match_priority)
+           for r in chb.resolve_owner(wh, "warehouse_name", rules).collect()}
+    assert got == {"etl_nightly": ("Data Eng", 10), "BI_1": (None, None)}
