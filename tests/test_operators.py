@@ -162,3 +162,12 @@ def test_owner_rules_bounded_and_unmatched_entities_kept(spark):
     got = {r.warehouse_name: (r.owner_name, r.match_priority)
            for r in chb.resolve_owner(wh, "warehouse_name", rules).collect()}
     assert got == {"etl_nightly": ("Data Eng", 10), "BI_1": (None, None)}
+
+
+def test_blast_radius_terminates_on_cycles(spark):
+    rows = [("D", "S", "A", "started", '["C"]'), ("D", "S", "B", "started", '["A"]'), ("D", "S", "C", "started", '["B"]'),
+            ("D", "S", "X", "started", '["C"]')]
+    tg = spark.createDataFrame(rows, "database_name string, schema_name string, task_name string, state string, "
+                                     "predecessors string")
+    b = g.blast_radius(tg, "D.S.A").first()
+    assert b.downstream_count == 3 and b.blast_radius == "Medium"
