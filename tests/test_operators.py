@@ -171,3 +171,15 @@ def test_blast_radius_terminates_on_cycles(spark):
                                      "predecessors string")
     b = g.blast_radius(tg, "D.S.A").first()
     assert b.downstream_count == 3 and b.blast_radius == "Medium"
+
+
+def test_per_query_credits_split_by_execution_share(spark):
+    t = datetime(2024, 1, 28, 10)  # inside the settled 7-day window [Jan 24, Jan 30)
+    q = spark.createDataFrame([("q1", "WH_1", t, 1000), ("q2", "WH_1", t + timedelta(minutes=30), 3000),
+                               ("q3", "WH_2", t, 500), ("q4", "WH_1", datetime(2024, 1, 30, 12), 100)],
+                              "query_id string, warehouse_name string, start_time timestamp_ntz, execution_time bigint")
+    m = spark.createDataFrame([(t, "WH_1", 4.5, 4.0)],
+                              "start_time timestamp_ntz, warehouse_name string, credits_used double, credits_used_compute double")
+    got = {r.query_id: r.metered_credits for r in cost.per_query_credits(q, m, datetime(2024, 1, 31)).collect()}
+    # q4 is inside the last 24 h (not settled); q3's hour has no metering
+    assert got == {"q1": 1.0, "q2": 3.0, "q3": 0.0}
