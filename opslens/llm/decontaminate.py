@@ -21,6 +21,7 @@ judged by their text, as rows with equal doc_id and text are the same document.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -63,15 +64,38 @@ def canonical(word: str) -> tuple[int, int, bool, bool]:
     return h, _SLOT["name"] if named else h, False, named
 
 
-class _Known(dict):
-    def __missing__(self, word):
-        if len(self) > 300_000:
+class _Words(dict):
+    """word -> its row in ``hashes`` (names kept, names replaced) and ``slots``;
+    each distinct word is canonicalised once, until ``most`` words are known."""
+
+    def __init__(self, most: int = 400_000):
+        super().__init__()
+        self.most = most
+        self.hashes, self.slots = np.zeros((1024, 2), np.uint64), np.zeros((1024, 2), bool)
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        if at == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+            self.slots = np.concatenate([self.slots, np.zeros_like(self.slots)])
+        found = canonical(word)
+        self.hashes[at], self.slots[at] = found[:2], found[2:]
+        return at
+
+    def canon(self, texts: list[str | None]):
+        """The kept words of all texts in one list, the text of each, its hashes
+        and slots. Words without a letter or digit aren't kept."""
+        if len(self) > self.most:
             self.clear()
-        got = self[word] = canonical(word)
-        return got
+        rows = [(t or "").split() for t in texts]
+        words = list(chain.from_iterable(rows))
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        keep = np.flatnonzero(self.hashes[at, 0]) if len(at) else at
+        return [words[k] for k in keep] if len(keep) < len(words) else words, of[keep], self.hashes[at[keep]], self.slots[at[keep]]
 
 
-_WORDS = _Known()
+_KNOWN = _Words()
 
 
 def _salt(stream: int, length: int) -> np.uint64:
@@ -90,16 +114,6 @@ def _windows(hashes: np.ndarray, length: int, stream: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _canon(text: str | None):
-    """Kept words, their two hash arrays and two slot arrays."""
-    words = (text or "").split()
-    got = [_WORDS[w] for w in words]
-    words = [w for w, c in zip(words, got) if c[0]]
-    table = np.array([c[:2] for c in got if c[0]], np.uint64).reshape(-1, 2)
-    slots = np.array([c[2:] for c in got if c[0]], bool).reshape(-1, 2)
-    return words, table, slots
-
-
 def _slots(words, slots, at, length):
     return [words[k].strip(_EDGE).lower() for k in range(at, at + length) if slots[k]]
 
@@ -111,7 +125,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for item, text in zip(b["item_id"], b["text"]):
-                words, table, slots = _canon(text)
+                words, _, table, slots = _KNOWN.canon([text])
                 length = min(WINDOW, len(words))
                 if length < SHORTEST:
                     continue
@@ -150,14 +164,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             ids, marks = b.column("_d").to_pylist(), b.column("_h").to_pylist()
             for begin, end in slices(texts):
                 out = []
-                for i in range(begin, end):
-                    words, table, slots = _canon(texts[i])
-                    for stream in (0, 1):
-                        for length in lengths:
-                            h = _windows(table[:, stream], length, stream).view(np.int64)
-                            p, q = _places(h)
-                            for at in np.flatnonzero(hi[p] & lo[q]).tolist():
-                                out.append((ids[i], marks[i], stream, int(h[at]), at, _slots(words, slots[:, stream], at, length)))
+                words, of, table, slots = _KNOWN.canon(texts[begin:end])
+                first = np.searchsorted(of, np.arange(end - begin))
+                for stream in (0, 1):
+                    for length in lengths:
+                        h = _windows(table[:, stream], length, stream).view(np.int64)
+                        p, q = _places(h)
+                        # windows of one text only
+                        for at in np.flatnonzero(hi[p] & lo[q] & (of[:len(h)] == of[length - 1:][:len(h)])).tolist():
+                            i = int(of[at])
+                            out.append((ids[begin + i], marks[begin + i], stream, int(h[at]), at - int(first[i]), _slots(words, slots[:, stream], at, length)))
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())))],

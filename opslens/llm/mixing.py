@@ -125,4 +125,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     chosen = stage(chosen, "mixed")
     same = docs["doc_id"].eqNullSafe(chosen["_d"]) & (F.xxhash64(docs["text"]) == chosen["_h"]) \
         & (F.coalesce(docs["lang"], F.lit("")) == chosen["_l"]) & (F.coalesce(docs["source"], F.lit("")) == chosen["_s"])
-    return docs.join(chosen, same).withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    return docs.join(chosen, same).select(row, F.explode(F.sequence(F.lit(1), chosen["_times"])).alias("epoch")).select("row.*")

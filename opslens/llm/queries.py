@@ -16,12 +16,25 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opslens.llm.language import languages
+
+    return languages(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from opslens.llm.toxicity import toxicity
 
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opslens.llm.quality import quality
+
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from opslens.llm.tokenfile import token_ids
 
@@ -35,6 +48,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opslens.llm.licenses import licenses
+
+    return licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opslens.llm.secrets import digest, secrets
+
+    return digest(secrets(read_table(spark, sf_dir, "documents")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from opslens.llm.mixing import mixture
 
@@ -48,10 +73,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_windows", "first_word", "n_slots")
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opslens.llm.suffix import dedup_text, digest
+
+    return digest(dedup_text(read_table(spark, sf_dir, "documents")))
+
+
 #: target weights of the mixture, by level of the tree
 MIX = {"domain": {"domain0": 2.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0}}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_toxicity, op4_token_ids, op5_simhash, op8_mixing, op9_decontamination)
+    f.__name__: f for f in (op1_language, op2_toxicity, op3_quality, op4_token_ids, op5_simhash, op6_licenses, op7_secrets, op8_mixing, op9_decontamination, op10_suffix)
 }
 ORACLES: dict[str, str] = {}

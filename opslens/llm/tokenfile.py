@@ -42,19 +42,23 @@ BLOCK_IDS = 1 << 20
 _HEAD = struct.Struct("<4s6I")
 _U = np.uint64
 _TOP, _LEAST, _SHIFT, _ALL = _U(1 << 48), _U(1 << 40), _U(16), _U(0xFFFFFFFFFFFFFFFF)
-_REFRESH = 16  # steps between two looks at the counts
+_REFRESH = 32  # steps between two looks at the counts
 _LIMIT = 1 << 23  # counts are halved beyond this sum
 
 
 class _Mixer:
-    """The adaptive model, the same on both sides."""
+    """The adaptive model, the same on both sides.
+
+    A context's guess and the confidence in it (0 to 7) are one number,
+    ``guess << 3 | confidence``. Outcomes are 0: order 2 was right, 1: order 1
+    was, 2: neither, which leaves the id to order 0.
+    """
 
     def __init__(self, alphabet: int):
         n = self.alphabet = alphabet
         self.count = np.zeros(n, np.int64)
-        self.guess1, self.sure1 = np.full(n, n, np.int64), np.zeros(n, np.int64)
-        self.guess2, self.sure2 = np.full(1 << 18, n, np.int64), np.zeros(1 << 18, np.int64)
-        # outcomes by (confidence 2, confidence 1, both say the same): order-2 hit, order-1 hit, neither
+        self.state1, self.state2 = np.full(n, n << 3, np.int64), np.full(1 << 18, n << 3, np.int64)
+        # outcomes by (confidence 2, confidence 1, both say the same)
         self.seen = np.tile(np.array([1, 1, 6], np.int64), (128, 1))
         self.steps = 0
 
@@ -65,10 +69,15 @@ class _Mixer:
                 self.count >>= 1
                 freq = self.count * 24 + 1
             self.freq = freq.astype(_U)
-            self.cum = np.r_[_U(0), np.cumsum(self.freq)]
+            self.cum = np.zeros(self.alphabet + 1, _U)
+            np.cumsum(self.freq, out=self.cum[1:])
             self.total = self.cum[-1]
+            self.coarse = np.r_[self.cum[:-1:256], self.total]
             w = (self.seen * 65000 // self.seen.sum(1, keepdims=True)).clip(48)
-            self.w2, self.w1 = w[:, 0].astype(_U), w[:, 1].astype(_U)
+            w[1::2, 1] = 0  # the same guess twice is coded as that of order 2
+            w[:, 2] = 65536 - w[:, 0] - w[:, 1]
+            self.share = w.ravel().astype(_U)
+            self.begin = (np.cumsum(w, 1) - w).ravel().astype(_U)
             if int(self.seen.max()) > 1 << 20:
                 self.seen = (self.seen >> 1) + 1
         self.steps += 1
@@ -77,38 +86,47 @@ class _Mixer:
         """Predictions after the ids a, b."""
         self.b = b
         self.slot = ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 7) & 0x3FFFF
-        self.g2, self.g1 = self.guess2[self.slot], self.guess1[b]
-        same = self.g1 == self.g2
-        self.k2, self.k1 = self.sure2[self.slot], self.sure1[b]
-        self.cell = self.k2 << 4 | self.k1 << 1 | same
-        self.x2 = self.w2[self.cell]
-        self.x1 = np.where(same, _U(0), self.w1[self.cell])
-
-    def learn(self, x: np.ndarray) -> None:
-        hit2, hit1 = x == self.g2, x == self.g1
+        s2, s1 = self.state2[self.slot], self.state1[b]
+        self.g2, self.g1, self.k2, self.k1 = s2 >> 3, s1 >> 3, s2 & 7, s1 & 7
+        self.cell = (self.k2 << 4 | self.k1 << 1 | (self.g1 == self.g2)) * 3
+
+    def symbol(self, v: np.ndarray) -> np.ndarray:
+        """The id whose order-0 interval holds v: its run of 256, then in it."""
+        run = np.searchsorted(self.coarse, v, "right") - 1
+        x = np.minimum(run << 8, self.alphabet - 1)
+        for step in (128, 64, 32, 16, 8, 4, 2, 1):
+            up = np.minimum(x + step, self.alphabet)
+            x = np.where(self.cum[up] <= v, up, x)
+        return x
+
+    def learn(self, x: np.ndarray, outcome: np.ndarray) -> None:
         np.add.at(self.count, x, 1)
-        np.add.at(self.seen, (self.cell, np.where(hit2, 0, np.where(hit1, 1, 2))), 1)
-        self.sure2[self.slot] = np.where(hit2, np.minimum(self.k2 + 1, 7), self.k2 >> 1)
-        self.sure1[self.b] = np.where(hit1, np.minimum(self.k1 + 1, 7), self.k1 >> 1)
-        new2, new1 = ~hit2 & (self.k2 < 2), ~hit1 & (self.k1 < 2)
-        self.guess2[self.slot[new2]] = x[new2]
-        self.guess1[self.b[new1]] = x[new1]
+        self.seen += np.bincount(self.cell + outcome, minlength=384).reshape(128, 3)
+        for state, at, guess, sure in ((self.state2, self.slot, self.g2, self.k2), (self.state1, self.b, self.g1, self.k1)):
+            hit = guess == x
+            guess = guess + (x - guess) * (~hit & (sure < 2))
+            state[at] = guess << 3 | _SURE[sure + 8 * hit]
+
+
+_SURE = np.array([0, 0, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7])  # after a miss, after a hit
 
 
 def _lanes(n: int) -> int:
     return max(1, min(2048, n // 512))
 
 
-def _unsettled(low: np.ndarray, width: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _unsettled(low: np.ndarray, width: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
     """Of the lanes ``at``, those that must shift out 16 bits; narrows a range
     that is short but lies across a settled boundary."""
     lo, wi = low[at], width[at]
     top = (lo ^ (lo + wi)) < _TOP
-    short = ~top & (wi < _LEAST)
-    if short.any():
-        s = at[short]
+    short = np.flatnonzero((wi < _LEAST) & ~top)
+    lanes = np.arange(at.stop) if isinstance(at, slice) else at
+    if len(short):
+        s = lanes[short]
         width[s] = (~low[s] + _U(1)) & (_LEAST - _U(1))
-    return at[top | short]
+        top[short] = True
+    return lanes[top]
 
 
 def code(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,32 +147,31 @@ def code(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
         x = x_all[lane0[:m] + t]
         mix.refresh()
         mix.look(a[:m], b[:m])
-        hit2 = x == mix.g2
-        hit1 = ~hit2 & (x == mix.g1)
+        outcome = (2 - (x == mix.g1)) * (x != mix.g2)
         r = width[:m] >> _SHIFT
-        begin = np.where(hit2, _U(0), np.where(hit1, mix.x2, mix.x2 + mix.x1))
-        share = np.where(hit2, mix.x2, np.where(hit1, mix.x1, _U(65536) - mix.x2 - mix.x1))
-        low[:m] += begin * r
-        width[:m] = share * r
-        miss = np.flatnonzero(~hit2 & ~hit1)
-        r = width[miss] // mix.total
-        low[miss] += mix.cum[x[miss]] * r
-        width[miss] = mix.freq[x[miss]] * r
-        at = _unsettled(low, width, np.arange(m))
+        cell = mix.cell + outcome
+        low[:m] += mix.begin[cell] * r
+        width[:m] = mix.share[cell] * r
+        miss = np.flatnonzero(outcome == 2)
+        r, y = width[miss] // mix.total, x[miss]
+        low[miss] += mix.cum[y] * r
+        width[miss] = mix.freq[y] * r
+        at = _unsettled(low, width, slice(0, m))
         while len(at):
             put(at, low[at] >> _U(48))
             low[at] <<= _SHIFT
             width[at] <<= _SHIFT
             at = _unsettled(low, width, at)
-        mix.learn(x)
-        a[:m], b[:m] = b[:m], x
+        mix.learn(x, outcome)
+        a, b = b[:m], x
     for k in range(4):
         put(np.arange(lanes), low >> _U(48 - 16 * k) & _U(0xFFFF))
     lane, word = np.concatenate(out_lane), np.concatenate(out_word)
-    return np.bincount(lane, minlength=lanes).astype(np.uint32), word[np.argsort(lane, kind="stable")]
+    return np.bincount(lane, minlength=lanes).astype(np.uint32), word[np.argsort(lane.astype(np.uint16), kind="stable")]
 
 
 def decode(n: int, alphabet: int, sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The ids that ``code`` gave these words for."""
     lanes = len(sizes)
     length = -(-n // lanes) if n else 0
     mix, out = _Mixer(alphabet), np.zeros(n, np.int64)
@@ -170,31 +187,28 @@ def decode(n: int, alphabet: int, sizes: np.ndarray, words: np.ndarray) -> np.nd
         mix.refresh()
         mix.look(a[:m], b[:m])
         r = width[:m] >> _SHIFT
-        v = np.minimum((value[:m] - low[:m]) // r, _U(65535))
-        both = mix.x2 + mix.x1
-        hit2 = v < mix.x2
-        hit1 = ~hit2 & (v < both)
-        begin = np.where(hit2, _U(0), np.where(hit1, mix.x2, both))
-        share = np.where(hit2, mix.x2, np.where(hit1, mix.x1, _U(65536) - both))
-        low[:m] += begin * r
-        width[:m] = share * r
-        x = np.where(hit2, mix.g2, mix.g1)
-        miss = np.flatnonzero(~hit2 & ~hit1)
+        v = (value[:m] - low[:m]) // r
+        outcome = (v >= mix.share[mix.cell]).astype(np.int64) + (v >= mix.begin[mix.cell + 2])
+        cell = mix.cell + outcome
+        low[:m] += mix.begin[cell] * r
+        width[:m] = mix.share[cell] * r
+        x = np.where(outcome == 0, mix.g2, mix.g1)
+        miss = np.flatnonzero(outcome == 2)
         r = width[miss] // mix.total
-        v = np.minimum((value[miss] - low[miss]) // r, mix.total - _U(1))
-        x[miss] = np.searchsorted(mix.cum, v, "right") - 1
-        low[miss] += mix.cum[x[miss]] * r
-        width[miss] = mix.freq[x[miss]] * r
-        at = _unsettled(low, width, np.arange(m))
+        y = mix.symbol(np.minimum((value[miss] - low[miss]) // r, mix.total - _U(1)))
+        x[miss] = y
+        low[miss] += mix.cum[y] * r
+        width[miss] = mix.freq[y] * r
+        at = _unsettled(low, width, slice(0, m))
         while len(at):
             value[at] = value[at] << _SHIFT | words[place[at]]
             place[at] += 1
             low[at] <<= _SHIFT
             width[at] <<= _SHIFT
             at = _unsettled(low, width, at)
-        mix.learn(x)
+        mix.learn(x, outcome)
         out[lane0[:m] + t] = x
-        a[:m], b[:m] = b[:m], x
+        a, b = b[:m], x
     return out
 
 

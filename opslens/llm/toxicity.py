@@ -198,9 +198,9 @@ def _solve(table: pd.DataFrame, names: np.ndarray, penalty: float, counterfactua
         new_b = c - step * float(e.sum())
         m = x @ new + new_b
         loss = float((balance * (np.logaddexp(0, m) - y * m)).sum()) + counterfactual * mean * float(((diff @ new) ** 2).sum()) + penalty * float(np.abs(new).sum())
-        if loss > last:  # restart the momentum, with a shorter step
-            step, v, c, t = step / 2, w.copy(), b, 1.0
-            last = np.inf
+        if loss > last:  # start the momentum again, or else with a shorter step
+            step = step if t > 1 else step / 2
+            v, c, t = w.copy(), b, 1.0
             continue
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, c = new + (t - 1) / t_new * (new - w), new_b + (t - 1) / t_new * (new_b - b)
