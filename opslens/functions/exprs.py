@@ -113,3 +113,9 @@ def pctl(c: str | Column, p: float, exact: bool = True) -> Column:
     if exact:
         return F.percentile(col(c), F.lit(p))
     return F.percentile_approx(col(c), p, 10000)
+
+
+def page(limit: int | None, *order):
+    """For ``DataFrame.transform``: the whole frame, or its first ``limit`` rows
+    by ``order`` where a caller asks for a page of it."""
+    return lambda df: df if limit is None else df.orderBy(*order).limit(limit)

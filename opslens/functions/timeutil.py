@@ -31,14 +31,12 @@ def midnight(as_of: datetime) -> datetime:
 
 def lookback(col: str | Column, as_of: datetime, days: float, *, floor_days: float = 0,
              end: datetime | None = None) -> Column:
-    """``col >= as_of - days`` (FIL-1) and, when ``end`` is given,
-    ``col < end`` (FIL-2 settled / FIL-3 complete-days windows)."""
+    """``as_of - days <= col < as_of`` (FIL-1), or up to ``end`` where it is
+    given (FIL-2 settled / FIL-3 complete-days windows). The upper bound makes a
+    back-fill, a replay and a late run see what a run at ``as_of`` saw."""
     c = F.col(col) if isinstance(col, str) else col
     days = max(floor_days, days)
-    cond = c >= ts_lit(as_of - timedelta(days=days))
-    if end is not None:
-        cond = cond & (c < ts_lit(end))
-    return cond
+    return between_ts(c, as_of - timedelta(days=days), as_of if end is None else end)
 
 
 def between_ts(col: str | Column, start: datetime, end: datetime) -> Column:

@@ -13,7 +13,6 @@ from opslens.functions.timeutil import between_ts, lookback, midnight, seconds_b
 # SLA hours per severity and the closed statuses.
 SLA_HOURS = {"Critical": 4, "High": 8, "Medium": 24, "Low": 72}
 CLOSED = ["FIXED", "IGNORED", "RESOLVED"]
-MAX_BROADCAST_WINDOWS = 100_000
 
 
 def norm_severity(c: Column) -> Column:
@@ -135,23 +134,19 @@ def alert_actions(tri: DataFrame) -> DataFrame:
                       .when(F.col("alert_type") == "COST_SPIKE", "Verify savings").otherwise("Review").alias("next_action"))
 
 
-def suppress_maintenance(alerts: DataFrame, windows: DataFrame, ts: str = "created_at",
-                         max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+def suppress_maintenance(alerts: DataFrame, windows: DataFrame, ts: str = "created_at") -> DataFrame:
     """ALR-8 / JOI-18: drop alerts raised inside an active maintenance window
     (global when ``entity`` is NULL, else for that entity).
 
-    The window table is broadcast into a nested-loop anti join only after its
-    row count is checked; a larger table goes through an equi join on the day
-    buckets each window covers, then the exact range filter."""
+    An equi join on the day buckets that each window covers, then the exact
+    range: the same plan for any number of windows (the planner broadcasts the
+    windows where it measures them to be small)."""
     w = windows.select(F.col("window_start").alias("_ws"), F.col("window_end").alias("_we"), F.col("entity").alias("_went"))
     cond = ((F.col(ts) >= F.col("_ws")) & (F.col(ts) < F.col("_we"))
             & (F.col("_went").isNull() | (F.col("_went") == F.col("entity"))))
-    if w.limit(max_broadcast + 1).count() <= max_broadcast:
-        return alerts.join(F.broadcast(w), cond, "left_anti")
     wb = w.withColumn("_day", F.explode(F.sequence(F.to_date("_ws"), F.to_date("_we"))))
-    hit = (alerts.select("alert_id", ts, "entity", F.to_date(ts).alias("_day"))
-           .join(wb, "_day").filter(cond).select("alert_id").distinct())
-    return alerts.join(hit, "alert_id", "left_anti")
+    day = F.to_date(ts) == F.col("_day")
+    return alerts.join(wb, day & cond, "left_anti")
 
 
 def daily_brief(metering: DataFrame, tasks: DataFrame, alerts: DataFrame, metering_as_of: datetime,

@@ -12,7 +12,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opslens.functions.exprs import ladder, pctl, rounded, safe_div, severity_rank, sorted_distinct_list
+from opslens.functions.exprs import ladder, page, pctl, rounded, safe_div, severity_rank, sorted_distinct_list
 from opslens.functions.timeutil import dow0, lookback, midnight, trunc, ts_lit
 
 
@@ -65,7 +65,7 @@ def cost_anomalies_short(metering: DataFrame, as_of: datetime, days_back: int =
 
 
 def query_regressions(queries: DataFrame, as_of: datetime, days_back: int = 14,
-                      threshold: float = 2.0, limit: int = 50, exact: bool = True) -> DataFrame:
+                      threshold: float = 2.0, limit: int | None = 50, exact: bool = True) -> DataFrame:
     """ANO-3: p95 of the recent half of the window against the older half, per
     query hash, both halves with at least 3 runs.
 
@@ -104,7 +104,7 @@ def query_regressions(queries: DataFrame, as_of: datetime, days_back: int = 14,
                    "regression_factor", "regression_delta_sec",
                    ladder("regression_factor", [(t * 2, "Critical"), (t * 1.5, "High"), (t, "Medium")], "Watch")
                    .alias("severity"))
-    return out.orderBy(F.desc("regression_delta_sec"), F.desc("regression_factor"), "query_hash").limit(limit)
+    return out.transform(page(limit, F.desc("regression_delta_sec"), F.desc("regression_factor"), "query_hash"))
 
 
 def query_degradation(queries: DataFrame, as_of: datetime, min_runs: int = 5,
@@ -148,25 +148,23 @@ def task_failure_bursts(tasks: DataFrame, as_of: datetime, days_back: int = 7,
 
 
 def merge_findings(cost: DataFrame | None, regressions: DataFrame | None, bursts: DataFrame | None,
-                   per_source: int = 10) -> DataFrame:
-    """ANO-6: one ranked findings list: the first ``per_source`` rows of each
-    detector, tagged by type, ordered by severity."""
+                   per_source: int | None = None) -> DataFrame:
+    """ANO-6: one findings list of all detectors' rows (or each one's first
+    ``per_source``), tagged by type, with the rank of the severity."""
     parts = []
-    # top-k per detector: TakeOrderedAndProject keeps k rows per partition, no global window
     if cost is not None:
-        parts.append(cost.orderBy(F.desc("usage_date"), F.desc("z_score"), "warehouse_name").limit(per_source)
+        parts.append(cost.transform(page(per_source, F.desc("usage_date"), F.desc("z_score"), "warehouse_name"))
                      .select(F.lit("cost_spike").alias("finding_type"), F.col("anomaly_severity").alias("severity"),
                              F.col("warehouse_name").alias("entity"), F.col("usage_date").cast("string").alias("detail"),
                              F.col("z_score").alias("score")))
     if regressions is not None:
-        parts.append(regressions.orderBy(F.desc("regression_delta_sec"), F.desc("regression_factor"), "query_hash")
-                     .limit(per_source)
+        parts.append(regressions.transform(page(per_source, F.desc("regression_delta_sec"), F.desc("regression_factor"), "query_hash"))
                      .select(F.lit("query_regression").alias("finding_type"), "severity",
                              F.col("warehouse_name").alias("entity"), F.col("query_hash").alias("detail"),
                              F.col("regression_factor").alias("score")))
     if bursts is not None:
-        parts.append(bursts.orderBy(F.desc("failure_date"), F.desc("failure_count"), "database_name", "schema_name",
-                                    "task_name").limit(per_source)
+        parts.append(bursts.transform(page(per_source, F.desc("failure_date"), F.desc("failure_count"), "database_name", "schema_name",
+                                           "task_name"))
                      .select(F.lit("task_burst").alias("finding_type"), "severity",
                              F.concat_ws(".", "database_name", "schema_name", "task_name").alias("entity"),
                              F.col("failure_date").cast("string").alias("detail"),

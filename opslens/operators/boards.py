@@ -15,7 +15,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.functions.exprs import rounded, safe_div, sorted_distinct_list
+from opslens.functions.exprs import page, rounded, safe_div, sorted_distinct_list
 from opslens.functions.timeutil import between_ts, boundaries, lookback, trunc, ts_lit
 
 GB = 1024.0 ** 3
@@ -92,13 +92,16 @@ def source_health(sources: dict[str, tuple[DataFrame, str]], as_of: datetime, fr
                     .when(h <= stale_hours, "Stale").otherwise("Blocked").alias("gate"))
 
 
-def task_failure_timeline(tasks: DataFrame, queries: DataFrame, task_name: str, as_of: datetime, days: int = 30) -> DataFrame:
-    """BRD-10: one task's failures, recoveries and nearby change statements in event order."""
+def task_failure_timeline(tasks: DataFrame, queries: DataFrame, task_name: str, as_of: datetime, days: int = 30,
+                          changes_as_of: datetime | None = None) -> DataFrame:
+    """BRD-10: one task's failures, recoveries and nearby change statements in
+    event order; ``changes_as_of`` where the statements end at another time."""
     t = tasks.filter((F.col("name") == task_name) & lookback("scheduled_time", as_of, days))
     f = t.select(F.col("scheduled_time").alias("event_time"), F.when(F.col("state") == "FAILED", "failure")
                  .when(F.col("state") == "SUCCEEDED", "run").otherwise("other").alias("event_type"),
                  F.coalesce("error_message", F.col("state")).alias("detail"))
-    c = (queries.filter(lookback("start_time", as_of, days) & F.col("query_type").isin("ALTER_TABLE", "CREATE_TABLE", "DROP_TABLE"))
+    c = (queries.filter(lookback("start_time", changes_as_of or as_of, days)
+                        & F.col("query_type").isin("ALTER_TABLE", "CREATE_TABLE", "DROP_TABLE"))
          .select(F.col("start_time").alias("event_time"), F.lit("change").alias("event_type"),
                  F.substring("query_text", 1, 120).alias("detail")))
     return f.unionByName(c).withColumn("event_order", F.when(F.col("event_type") == "failure", 0)
@@ -396,10 +399,10 @@ def integration_status(feeds: dict[str, tuple[DataFrame, str]], as_of: datetime)
         "state", F.when(F.col("rows") == 0, "Not connected").when(h > 7, "Stale").otherwise("Connected"))
 
 
-def unmatched_evidence(recon: DataFrame, limit: int = 200) -> DataFrame:
+def unmatched_evidence(recon: DataFrame, limit: int | None = None) -> DataFrame:
     """CHG-6: changes without commit or ticket, newest first."""
     return (recon.filter(F.col("reconciliation_state") != "Reconciled")
-            .orderBy(F.desc("start_time"), "query_id").limit(limit))
+            .transform(page(limit, F.desc("start_time"), "query_id")))
 
 
 # ------------------------------------------------------------------ actions, recommendations, scores
@@ -413,10 +416,10 @@ def verification_health(verification: DataFrame, queue: DataFrame) -> DataFrame:
     return v.crossJoin(q)
 
 
-def operability_facts(queue: DataFrame, category: str, limit: int = 100) -> DataFrame:
+def operability_facts(queue: DataFrame, category: str, limit: int | None = None) -> DataFrame:
     """ACT-7: the queue rows of one check, most recent first."""
     return (queue.filter(F.col("category") == category)
-            .orderBy(F.desc("last_seen_at"), "action_id").limit(limit))
+            .transform(page(limit, F.desc("last_seen_at"), "action_id")))
 
 
 def post_fix_evidence(queries: DataFrame, tasks: DataFrame, metering: DataFrame, q_as_of: datetime,
@@ -434,11 +437,15 @@ def post_fix_evidence(queries: DataFrame, tasks: DataFrame, metering: DataFrame,
     return idle.unionByName(sp).unionByName(tf).unionByName(qf)
 
 
-def component_score(components: DataFrame, weights: dict[str, float]) -> DataFrame:
+def component_score(components: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """SCR-2 / SCR-3: weighted score over components (rows ``component,
-    score``) and the component scores as ``name=score`` text, one row."""
-    w = components.sparkSession.createDataFrame(list(weights.items()), "component string, weight double")
-    j = components.join(F.broadcast(w), "component")
+    score``) and the component scores as ``name=score`` text, one row. Without
+    ``weights`` all components count alike; with them, those they name."""
+    if weights is None:
+        j = components.withColumn("weight", F.lit(1.0))
+    else:
+        w = components.sparkSession.createDataFrame(list(weights.items()), "component string, weight double")
+        j = components.join(F.broadcast(w), "component")
     parts = F.array_sort(F.collect_list(F.struct("component", "score")))
     return j.agg(rounded(F.sum(F.col("score") * F.col("weight")) / F.sum("weight"), 1).alias("score"),
                  F.concat_ws(", ", F.transform(parts, lambda x: F.concat(x["component"], F.lit("="),

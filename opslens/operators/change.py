@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.functions.exprs import rounded
+from opslens.functions.exprs import page, rounded
 from opslens.functions.timeutil import lookback
 
 FQN_RE = r"(?i)(?:TABLE|VIEW|INTO|FROM|UPDATE)\s+([A-Z0-9_]+\.[A-Z0-9_]+\.[A-Z0-9_]+)"
@@ -58,7 +58,7 @@ def change_summary(ch: DataFrame, manual: Column | None = None) -> DataFrame:
                   F.count_if(F.col("database_name").isNull()).alias("account_scope_changes"))
 
 
-def change_exceptions(ch: DataFrame, environment: Column, limit: int = 100) -> DataFrame:
+def change_exceptions(ch: DataFrame, environment: Column, limit: int | None = None) -> DataFrame:
     """CHG-2: changes with severity (destructive or access in PROD high) and environment."""
     env = environment
     fam = F.col("change_family")
@@ -68,11 +68,11 @@ def change_exceptions(ch: DataFrame, environment: Column, limit: int = 100) -> D
     return (ch.select("query_id", "start_time", "user_name", "database_name", "change_family", "object_fqn", "ticket_key",
                       env.alias("environment"), sev.alias("severity"))
             .filter(F.col("severity") != "Low")
-            .orderBy(F.when(F.col("severity") == "Critical", 0).when(F.col("severity") == "High", 1).otherwise(2),
-                     F.desc("start_time"), "query_id").limit(limit))
+            .transform(page(limit, F.when(F.col("severity") == "Critical", 0).when(F.col("severity") == "High", 1).otherwise(2),
+                     F.desc("start_time"), "query_id")))
 
 
-def object_change_list(queries: DataFrame, as_of: datetime, days: int = 7, limit: int = 500) -> DataFrame:
+def object_change_list(queries: DataFrame, as_of: datetime, days: int = 7, limit: int | None = None) -> DataFrame:
     """CHG-3: DDL on tables, views, procedures and tasks with the change
     type. ``verb%kind%`` with the verb at the start is the leading verb plus
     the first kind (in TABLE, VIEW, PROCEDURE, TASK order) found in the text."""
@@ -88,7 +88,7 @@ def object_change_list(queries: DataFrame, as_of: datetime, days: int = 7, limit
                  "query_type", t.alias("query_text"), verb.alias("_verb"), kind.alias("_kind")))
     return (q.select("query_id", "user_name", "role_name", "warehouse_name", "database_name", "schema_name", "start_time",
                      F.concat_ws(" ", "_verb", "_kind").alias("change_type"), F.substring("query_text", 1, 1500).alias("query_text"))
-            .orderBy(F.desc("start_time"), "query_id").limit(limit))
+            .transform(page(limit, F.desc("start_time"), "query_id")))
 
 
 def reconcile_changes(ch: DataFrame, commits: DataFrame, tickets: DataFrame) -> DataFrame:

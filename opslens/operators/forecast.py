@@ -264,14 +264,18 @@ def warehouse_burn_labels(metering: DataFrame, as_of: datetime) -> DataFrame:
                     burn_label(F.col("_s"), F.col("_l")).alias("burn_label"))
 
 
-def capacity_exhaustion(growth_pct: Column, current: Column, capacity: Column, max_weeks: int = 52):
+def capacity_exhaustion(growth_pct: Column, current: Column, capacity: Column, max_weeks: int | None = None):
     """FCT-11: weeks until ``current`` reaches ``capacity`` growing by
-    ``growth_pct`` per week (closed form of the compounding loop), and urgency."""
+    ``growth_pct`` per week (closed form of the compounding loop, checked
+    against exact powers), and urgency. Beyond ``max_weeks``, where given, null."""
     g = 1 + growth_pct / 100
-    w = F.ceil(F.log(capacity / current) / F.log(g)).cast("int")
+    near = F.ceil(F.log(capacity / current) / F.log(g))
+    # the logarithm may land a hair beside a whole number of weeks
+    w = (F.when(current * F.pow(g, near - 1) >= capacity, near - 1)
+         .when(current * F.pow(g, near) < capacity, near + 1).otherwise(near)).cast("int")
     weeks = (F.when((growth_pct <= 0) | (current <= 0), F.lit(None).cast("int"))
              .when(current >= capacity, F.lit(0))
-             .when(w >= max_weeks, F.lit(None).cast("int")).otherwise(w))
+             .when(F.lit(max_weeks is not None) & (w >= (max_weeks or 0)), F.lit(None).cast("int")).otherwise(w))
     urgency = (F.when(weeks.isNull(), "none").when(weeks == 0, "immediate")
                .when(weeks <= 4, "critical").when(weeks <= 12, "plan").otherwise("monitor"))
     return weeks, urgency, F.coalesce(weeks <= 12, F.lit(False))

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opslens.functions.exprs import rounded
+from opslens.functions.exprs import page, rounded
 from opslens.functions.timeutil import boundaries, lookback, ts_lit
 
 GB = 1024.0 ** 3
@@ -88,7 +88,7 @@ def load_failures(loads: DataFrame, as_of: datetime, days: int = 7) -> DataFrame
                  .alias("latest_error")))
 
 
-def large_table_watch(tables: DataFrame, min_gb: float = 1.0, limit: int = 50) -> DataFrame:
+def large_table_watch(tables: DataFrame, min_gb: float = 1.0, limit: int | None = None) -> DataFrame:
     """PIP-6: large tables with the reason they are watched."""
     act = F.col("active_bytes") / GB
     tt = F.col("time_travel_bytes") / GB
@@ -100,7 +100,7 @@ def large_table_watch(tables: DataFrame, min_gb: float = 1.0, limit: int = 50) -
             .select(F.col("table_catalog").alias("database_name"), F.col("table_schema").alias("schema_name"),
                     "table_name", rounded(act, 2).alias("active_gb"), rounded(tt, 2).alias("time_travel_gb"),
                     rounded(fs, 2).alias("failsafe_gb"), rounded(cl, 2).alias("clone_gb"), reason.alias("reason"))
-            .orderBy(F.desc("active_gb"), "database_name", "schema_name", "table_name").limit(limit))
+            .transform(page(limit, F.desc("active_gb"), "database_name", "schema_name", "table_name")))
 
 
 def load_counters(loads: DataFrame, as_of: datetime, days: int = 1) -> DataFrame:
@@ -113,7 +113,7 @@ def load_counters(loads: DataFrame, as_of: datetime, days: int = 1) -> DataFrame
 
 
 def load_freshness(loads: DataFrame, tables: DataFrame, as_of: datetime, days: int = 7, stale_hours: int = 24,
-                   limit: int = 50) -> DataFrame:
+                   limit: int | None = None) -> DataFrame:
     """DQ-1: tables with rows but no load within ``stale_hours`` (or none at
     all in the window), Critical beyond 3x."""
     days, sh = max(1, int(days or 7)), max(1, int(stale_hours or 24))
@@ -131,10 +131,10 @@ def load_freshness(loads: DataFrame, tables: DataFrame, as_of: datetime, days: i
            .select(*TABLE_KEY, "current_rows", rounded(F.col("active_bytes") / GB, 2).alias("size_gb"), "last_load_time",
                    "loads_in_window", "total_rows_loaded", h.alias("hours_since_load"), status.alias("freshness_status"),
                    order.alias("_o")))
-    return out.orderBy("_o", F.desc("current_rows"), *TABLE_KEY).limit(limit).drop("_o")
+    return out.transform(page(limit, "_o", F.desc("current_rows"), *TABLE_KEY)).drop("_o")
 
 
-def size_drift(snapshots: DataFrame, limit: int = 30, min_bytes: int = 1048576) -> DataFrame:
+def size_drift(snapshots: DataFrame, limit: int | None = None, min_bytes: int = 1048576) -> DataFrame:
     """DQ-2: the last two size snapshots per table (long format:
     table key, snapshot_at, size), percent change and drift class."""
     w = Window.partitionBy(*TABLE_KEY).orderBy(F.desc("snapshot_at"))
@@ -151,20 +151,20 @@ def size_drift(snapshots: DataFrame, limit: int = 30, min_bytes: int = 1048576)
              .when(F.col("pct_change") > 200, "Explosive Growth").when(F.col("pct_change") > 50, "Rapid Growth")
              .otherwise("Normal"))
     return (g.filter(F.abs("pct_change") > 20).withColumn("drift_status", drift)
-            .orderBy(F.desc(F.abs("pct_change")), *TABLE_KEY).limit(limit))
+            .transform(page(limit, F.desc(F.abs("pct_change")), *TABLE_KEY)))
 
 
 SCHEMA_CHANGE_TYPES = ["ALTER_TABLE", "ALTER_VIEW", "CREATE_TABLE", "CREATE_VIEW", "DROP_TABLE", "DROP_VIEW",
                        "RENAME_TABLE", "RENAME_COLUMN"]
 
 
-def schema_changes(queries: DataFrame, as_of: datetime, days: int = 7, limit: int = 50) -> DataFrame:
+def schema_changes(queries: DataFrame, as_of: datetime, days: int = 7, limit: int | None = None) -> DataFrame:
     """DQ-3: recent successful DDL statements."""
     q = queries.filter(lookback("start_time", as_of, max(1, days)) & F.col("query_type").isin(*SCHEMA_CHANGE_TYPES)
                        & (F.col("execution_status") == "SUCCESS"))
     return (q.select("query_id", "query_type", "user_name", "role_name", "database_name", "schema_name", "start_time",
                      F.substring("query_text", 1, 300).alias("query_preview"))
-            .orderBy(F.desc("start_time"), "query_id").limit(limit))
+            .transform(page(limit, F.desc("start_time"), "query_id")))
 
 
 def quality_summary(freshness: DataFrame, drift: DataFrame, changes: DataFrame) -> DataFrame:
@@ -206,11 +206,11 @@ def unused_tables(tables: DataFrame, queries: DataFrame, as_of: datetime, days:
     return t.join(refs, "fqn", "left_anti").drop("fqn")
 
 
-def recently_changed(queries: DataFrame, as_of: datetime, days: int = 7, limit: int = 100) -> DataFrame:
+def recently_changed(queries: DataFrame, as_of: datetime, days: int = 7, limit: int | None = None) -> DataFrame:
     """DQ-6: objects touched by DDL in the last days, latest change per object."""
     q = queries.filter(lookback("start_time", as_of, days) & F.col("query_type").isin(*SCHEMA_CHANGE_TYPES))
     obj = F.upper(F.regexp_extract("query_text", TABLE_REF, 1))
     g = (q.filter(obj != "").groupBy(obj.alias("object_name"))
          .agg(F.max("start_time").alias("last_changed"), F.count(F.lit(1)).alias("changes")))
-    return g.orderBy(F.desc("last_changed"), "object_name").limit(limit)
+    return g.transform(page(limit, F.desc("last_changed"), "object_name"))
 

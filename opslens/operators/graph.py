@@ -3,7 +3,8 @@ dependency edge lists.
 
 Reachability is computed breadth-first as a loop of DataFrame joins: each
 step joins the current frontier to the edge list, anti-joins what was
-already visited and stops when the frontier is empty (or at ``max_depth``).
+already visited and stops when the frontier is empty: there is no depth cap, and as
+visited nodes never return, cycles end too.
 The driver only issues the joins and one ``isEmpty`` per step; every few
 steps the visited set is checkpointed to the cluster's checkpoint directory
 to keep the lineage short and survive executor loss.
@@ -11,10 +12,13 @@ to keep the lineage short and survive executor loss.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opslens.functions.exprs import page
 from opslens.session import ensure_checkpoint_dir
 
 CHECKPOINT_EVERY = 4
@@ -47,7 +51,7 @@ def task_nodes(task_graph: DataFrame) -> DataFrame:
                     (pc == 0).alias("is_root"), (dc == 0).alias("is_leaf"))
 
 
-def _bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 100) -> DataFrame:
+def _bfs(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Minimum hop count from any seed (``node``) over ``source -> target``
     edges, seeds at depth 0. Returns ``node, depth``.
 
@@ -59,7 +63,7 @@ def _bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 100) -> DataFrame:
     e = edges.select("source", "target").persist(StorageLevel.MEMORY_AND_DISK)
     visited = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     frontier = visited
-    for d in range(1, max_depth + 1):
+    for d in count(1):
         nxt = (frontier.join(e, frontier.node == e.source).select(F.col("target").alias("node")).distinct()
                .join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
                .checkpoint())
@@ -69,33 +73,34 @@ def _bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 100) -> DataFrame:
         if d % CHECKPOINT_EVERY == 0:
             visited = visited.checkpoint()
         frontier = nxt
+    e.unpersist()
     return visited
 
 
-def dag_summary(task_graph: DataFrame, max_depth: int = 100) -> DataFrame:
+def dag_summary(task_graph: DataFrame) -> DataFrame:
     """GRF-1 + GRF-2: one row: nodes, edges, roots, leaves and the depth of
     the graph (largest minimum distance from a root)."""
     n = task_nodes(task_graph)
     e = task_edges(task_graph)
-    depth = _bfs(n.filter("is_root").select(F.col("task_id").alias("node")), e, max_depth)
+    depth = _bfs(n.filter("is_root").select(F.col("task_id").alias("node")), e)
     counts = n.agg(F.count(F.lit(1)).alias("nodes"), F.count_if("is_root").alias("roots"),
                    F.count_if("is_leaf").alias("leaves"))
     return (counts.crossJoin(e.agg(F.count(F.lit(1)).alias("edges")))
             .crossJoin(depth.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("depth"))))
 
 
-def blast_radius(task_graph: DataFrame, failed_task: str, max_depth: int = 100) -> DataFrame:
+def blast_radius(task_graph: DataFrame, failed_task: str) -> DataFrame:
     """GRF-3: downstream tasks of a failed one and the blast-radius label."""
     e = task_edges(task_graph)
     seeds = task_graph.sparkSession.createDataFrame([(failed_task,)], "node string")
-    reach = _bfs(seeds, e, max_depth).filter(F.col("depth") > 0)
+    reach = _bfs(seeds, e).filter(F.col("depth") > 0)
     n = reach.agg(F.count(F.lit(1)).alias("downstream_count"))
     lbl = (F.when(F.col("downstream_count") > 10, "Critical").when(F.col("downstream_count") > 5, "High")
            .when(F.col("downstream_count") > 0, "Medium").otherwise("Isolated"))
     return n.select(F.lit(failed_task).alias("failed_task"), "downstream_count", lbl.alias("blast_radius"))
 
 
-def downstream_objects(deps: DataFrame, name: str, max_depth: int = 5, limit: int = 100) -> DataFrame:
+def downstream_objects(deps: DataFrame, name: str, max_depth: int = 5, limit: int | None = None) -> DataFrame:
     """GRF-4 / JOI-13: objects that depend on ``name`` up to ``max_depth``
     levels, one row per (object, depth, depends_on) as in a recursive CTE."""
     e = deps.select(F.upper("referenced_object_name").alias("_ref"), "referencing_object_name",
@@ -114,7 +119,7 @@ def downstream_objects(deps: DataFrame, name: str, max_depth: int = 5, limit: in
             .select(F.col("referencing_object_name").alias("object_name"),
                     F.col("referencing_object_domain").alias("object_type"), "dependency_depth",
                     F.col("referenced_object_name").alias("depends_on"))
-            .orderBy("dependency_depth", "object_name", "depends_on").limit(limit))
+            .transform(page(limit, "dependency_depth", "object_name", "depends_on")))
 
 
 def direct_dependents(deps: DataFrame, name: str) -> DataFrame:
@@ -130,7 +135,7 @@ def direct_dependents(deps: DataFrame, name: str) -> DataFrame:
     return down.unionByName(up)
 
 
-def graph_impact(task_graph: DataFrame, max_depth: int = 100) -> DataFrame:
+def graph_impact(task_graph: DataFrame) -> DataFrame:
     """GRF-6: for every task, how many tasks run downstream of it (distinct,
     through any path), its role (Root / Intermediate / Leaf), blast radius
     and retry scope. Reachability pairs are grown one edge per step."""
@@ -140,7 +145,7 @@ def graph_impact(task_graph: DataFrame, max_depth: int = 100) -> DataFrame:
     e = e.persist(StorageLevel.MEMORY_AND_DISK)
     reach = e.select(F.col("source").alias("anc"), F.col("target").alias("desc")).distinct().checkpoint()
     frontier = reach
-    for d in range(2, max_depth + 1):
+    for d in count(2):
         nxt = (frontier.join(e, frontier.desc == e.source).select("anc", F.col("target").alias("desc")).distinct()
                .join(reach, ["anc", "desc"], "left_anti").checkpoint())
         if nxt.isEmpty():
@@ -161,10 +166,10 @@ def graph_impact(task_graph: DataFrame, max_depth: int = 100) -> DataFrame:
                     F.when(role == "Root", "Root graph retry").otherwise("Targeted task retry").alias("retry_scope"))
 
 
-def graph_members(task_graph: DataFrame, root_id: str, max_depth: int = 100) -> DataFrame:
+def graph_members(task_graph: DataFrame, root_id: str) -> DataFrame:
     """GRF-7: every task reachable from a root, the root included."""
     seeds = task_graph.sparkSession.createDataFrame([(root_id,)], "node string")
-    return _bfs(seeds, task_edges(task_graph), max_depth).select(F.col("node").alias("task_id"), "depth")
+    return _bfs(seeds, task_edges(task_graph)).select(F.col("node").alias("task_id"), "depth")
 
 
 def topology_edges(queries: DataFrame, sessions: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opslens.functions.exprs import rounded, safe_div
+from opslens.functions.exprs import page, rounded, safe_div
 from opslens.functions.timeutil import between_ts, seconds_between, ts_lit
 
 # Statement types counted as changes around an incident.
@@ -17,21 +17,21 @@ CHANGE_TYPES = ["CREATE_TABLE", "ALTER_TABLE", "DROP_TABLE", "CREATE_VIEW", "ALT
                 "CREATE_PROCEDURE", "ALTER_PROCEDURE", "DROP_PROCEDURE", "GRANT", "REVOKE"]
 
 
-def ddl_changes(queries: DataFrame, target: datetime, days: int = 1, limit: int = 50) -> DataFrame:
+def ddl_changes(queries: DataFrame, target: datetime, days: int = 1, limit: int | None = None) -> DataFrame:
     """ANO-10: change statements within +-``days`` of the target date."""
-    days = max(1, min(30, int(days)))
+    days = max(1, int(days))
     q = queries.filter(between_ts("start_time", target - timedelta(days=days), target + timedelta(days=days))
                        & F.col("query_type").isin(*CHANGE_TYPES))
     return (q.select("query_id", "query_type", "user_name", "role_name", "database_name", "schema_name", "warehouse_name",
                      "start_time", F.substring("query_text", 1, 200).alias("query_preview"),
                      (F.col("total_elapsed_time") / 1000.0).alias("elapsed_sec"))
-            .orderBy(F.desc("start_time"), "query_id").limit(limit))
+            .transform(page(limit, F.desc("start_time"), "query_id")))
 
 
-def new_workload(queries: DataFrame, target: datetime, days: int = 1, heavy: int = 100, limit: int = 25) -> DataFrame:
+def new_workload(queries: DataFrame, target: datetime, days: int = 1, heavy: int = 100, limit: int | None = None) -> DataFrame:
     """ANO-11 / SET-3: users active around the date that were absent in the
     week before (left-anti against the baseline users), or heavy."""
-    days = max(1, min(30, int(days)))
+    days = max(1, int(days))
     base = (queries.filter(between_ts("start_time", target - timedelta(days=days + 7), target - timedelta(days=days)))
             .select("user_name").distinct().withColumn("_seen", F.lit(True)))
     inc = (queries.filter(between_ts("start_time", target - timedelta(days=days), target + timedelta(days=days))
@@ -43,10 +43,10 @@ def new_workload(queries: DataFrame, target: datetime, days: int = 1, heavy: int
     return (j.filter(F.col("_seen").isNull() | (F.col("query_count") > heavy))
             .select("user_name", "warehouse_name", "query_count", "total_sec", "first_seen",
                     F.when(F.col("_seen").isNull(), "New").otherwise("Existing").alias("user_status"))
-            .orderBy(F.desc("total_sec"), "user_name", "warehouse_name").limit(limit))
+            .transform(page(limit, F.desc("total_sec"), "user_name", "warehouse_name")))
 
 
-def volume_changes(queries: DataFrame, target: datetime, limit: int = 50) -> DataFrame:
+def volume_changes(queries: DataFrame, target: datetime, limit: int | None = None) -> DataFrame:
     """ANO-12 / WIN-9: hour-to-hour statement volume change per warehouse
     (lag over each warehouse's hours; hours per warehouse are bounded)."""
     q = queries.filter(between_ts("start_time", target - timedelta(days=3), target + timedelta(days=1))
@@ -58,7 +58,7 @@ def volume_changes(queries: DataFrame, target: datetime, limit: int = 50) -> Dat
     out = h.select("hour_bucket", "warehouse_name", "query_count", rounded("_s", 1).alias("total_exec_sec"),
                    prev.alias("prev_hour_count"),
                    rounded(safe_div((F.col("query_count") - prev) * 100.0, prev), 1).alias("pct_change"))
-    return out.orderBy(F.desc_nulls_last(F.abs("pct_change")), "hour_bucket", "warehouse_name").limit(limit)
+    return out.transform(page(limit, F.desc_nulls_last(F.abs("pct_change")), "hour_bucket", "warehouse_name"))
 
 
 def incident_correlation(ddl: DataFrame, users: DataFrame, volume: DataFrame, target: datetime) -> DataFrame:

@@ -13,7 +13,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.functions.exprs import pctl, rounded, safe_div
+from opslens.functions.exprs import page, pctl, rounded, safe_div
 from opslens.functions.timeutil import between_ts, lookback, trunc, ts_lit
 
 GB = 1024.0 ** 3
@@ -33,7 +33,7 @@ def is_failed() -> Column:
 
 
 def bottlenecks(queries: DataFrame, as_of: datetime, hours: int = 24, min_elapsed_sec: float = 60,
-                limit: int = 50) -> DataFrame:
+                limit: int | None = 50) -> DataFrame:
     """QRY-1 / QRY-6: statements above an elapsed threshold with unit-scaled
     measures (PRJ-1) and a text preview (PRJ-2), longest first."""
     q = _recent(queries, as_of, hours).filter(F.col("total_elapsed_time") >= min_elapsed_sec * 1000)
@@ -45,10 +45,10 @@ def bottlenecks(queries: DataFrame, as_of: datetime, hours: int = 24, min_elapse
                      rounded(F.col("bytes_scanned") / GB, 3).alias("gb_scanned"),
                      rounded(F.col("bytes_spilled_to_remote_storage") / GB, 3).alias("remote_spill_gb"),
                      F.substring("query_text", 1, 200).alias("query_preview"))
-            .orderBy(F.desc("elapsed_sec"), "query_id").limit(limit))
+            .transform(page(limit, F.desc("elapsed_sec"), "query_id")))
 
 
-def root_cause(queries: DataFrame, as_of: datetime, days: int = 7, limit: int = 100) -> DataFrame:
+def root_cause(queries: DataFrame, as_of: datetime, days: int = 7, limit: int | None = 100) -> DataFrame:
     """QRY-2: one root-cause class per slow or failed statement, with the
     impact value and its unit, and a severity from elapsed seconds."""
     q = queries.filter(lookback("start_time", as_of, days) & F.col("warehouse_name").isNotNull())
@@ -70,7 +70,7 @@ def root_cause(queries: DataFrame, as_of: datetime, days: int = 7, limit: int =
         "query_id", "start_time", "user_name", "warehouse_name", "query_type", rounded(el, 2).alias("elapsed_sec"),
         cause.alias("root_cause"), rounded(impact, 3).alias("impact_value"), unit.alias("impact_unit"),
         sev.alias("severity"))
-    return r.orderBy(F.desc("elapsed_sec"), "query_id").limit(limit)
+    return r.transform(page(limit, F.desc("elapsed_sec"), "query_id"))
 
 
 def root_cause_summary(rc: DataFrame) -> DataFrame:
@@ -102,25 +102,26 @@ def diagnosis(queries: DataFrame, as_of: datetime, metric: str = "elapsed", days
 
 
 def duplicate_queries(queries: DataFrame, as_of: datetime, days: int = 7, min_runs: int = 5,
-                      limit: int = 100) -> DataFrame:
-    """QRY-4: identical statement text (first 200 chars) run at least
-    ``min_runs`` times: users, runs, mean and total ("wasted") seconds."""
+                      limit: int | None = None) -> DataFrame:
+    """QRY-4: identical statement text (told apart by the hash of the whole
+    text; the first 200 characters are shown) run at least ``min_runs`` times:
+    users, runs, mean and total ("wasted") seconds."""
     q = queries.filter(lookback("start_time", as_of, days) & (F.upper("execution_status") == "SUCCESS")
                        & F.col("warehouse_name").isNotNull())
-    g = (q.groupBy(F.substring("query_text", 1, 200).alias("query_sig"))
-         .agg(F.countDistinct("user_name").alias("user_count"), F.count(F.lit(1)).alias("execution_count"),
+    g = (q.groupBy(F.sha2("query_text", 256).alias("_text"))
+         .agg(F.min(F.substring("query_text", 1, 200)).alias("query_sig"), F.countDistinct("user_name").alias("user_count"), F.count(F.lit(1)).alias("execution_count"),
               rounded(F.sum("total_elapsed_time") / F.count(F.lit(1)) / 1000.0, 3).alias("avg_elapsed_sec"),
               rounded(F.sum("total_elapsed_time") / 1000.0, 3).alias("total_wasted_sec"))
-         .filter(F.col("execution_count") >= min_runs))
-    return g.orderBy(F.desc("execution_count"), "query_sig").limit(limit)
+         .filter(F.col("execution_count") >= min_runs).drop("_text"))
+    return g.transform(page(limit, F.desc("execution_count"), "query_sig"))
 
 
-def failed_sample(queries: DataFrame, as_of: datetime, hours: int = 24, limit: int = 50) -> DataFrame:
+def failed_sample(queries: DataFrame, as_of: datetime, hours: int = 24, limit: int | None = None) -> DataFrame:
     """QRY-5: most recent failed statements."""
     q = _recent(queries, as_of, hours).filter(is_failed())
     return (q.select("query_id", "start_time", "user_name", "warehouse_name", "database_name", "query_type",
                      "error_code", F.substring("error_message", 1, 200).alias("error_message"))
-            .orderBy(F.desc("start_time"), "query_id").limit(limit))
+            .transform(page(limit, F.desc("start_time"), "query_id")))
 
 
 def failure_groups(queries: DataFrame, as_of: datetime, hours: int = 168) -> DataFrame:
@@ -165,12 +166,12 @@ def what_changed(queries: DataFrame, metering: DataFrame, as_of: datetime, hours
                     rounded(F.col("credits_now") - F.col("credits_before"), 4).alias("credit_delta"))
 
 
-def lock_waits(queries: DataFrame, as_of: datetime, hours: int = 24, min_sec: float = 5, limit: int = 50) -> DataFrame:
+def lock_waits(queries: DataFrame, as_of: datetime, hours: int = 24, min_sec: float = 5, limit: int | None = None) -> DataFrame:
     """QRY-10: statements blocked by a transaction lock longer than ``min_sec``."""
     q = _recent(queries, as_of, hours).filter(F.col("transaction_blocked_time") > min_sec * 1000)
     return (q.select("query_id", "start_time", "user_name", "warehouse_name", "query_type",
                      rounded(F.col("transaction_blocked_time") / 1000.0, 2).alias("blocked_sec"))
-            .orderBy(F.desc("blocked_sec"), "query_id").limit(limit))
+            .transform(page(limit, F.desc("blocked_sec"), "query_id")))
 
 
 def status_timeline(queries: DataFrame, as_of: datetime, hours: int = 24) -> DataFrame:
@@ -181,19 +182,19 @@ def status_timeline(queries: DataFrame, as_of: datetime, hours: int = 24) -> Dat
 
 
 def entity_drilldown(queries: DataFrame, as_of: datetime, entity_col: str, entity: str, days: int = 7,
-                     limit: int = 200) -> DataFrame:
+                     limit: int | None = None) -> DataFrame:
     """QRY-12: recent executions of one warehouse / user / database."""
     q = queries.filter(lookback("start_time", as_of, days) & (F.col(entity_col) == entity))
     return (q.select("query_id", "start_time", "user_name", "warehouse_name", "database_name", "query_type",
                      "execution_status", rounded(F.col("total_elapsed_time") / 1000.0, 2).alias("elapsed_sec"))
-            .orderBy(F.desc("start_time"), "query_id").limit(limit))
+            .transform(page(limit, F.desc("start_time"), "query_id")))
 
 
 def search_history(queries: DataFrame, as_of: datetime, term: str, mode: str = "contains", days: int = 7,
-                   limit: int = 100) -> DataFrame:
+                   limit: int | None = None) -> DataFrame:
     """QRY-13 / FIL-11: search by exact id, id prefix, or case-insensitive
-    text contains; the window is capped at 7 days."""
-    days = min(7, max(1, int(days)))
+    text contains, over the whole window asked for."""
+    days = max(1, int(days))
     if mode == "id":
         cond = F.col("query_id") == term
     elif mode == "prefix":
@@ -203,7 +204,7 @@ def search_history(queries: DataFrame, as_of: datetime, term: str, mode: str = "
     q = queries.filter(lookback("start_time", as_of, days) & cond)
     return (q.select("query_id", "start_time", "user_name", "warehouse_name", "query_type", "execution_status",
                      F.substring("query_text", 1, 200).alias("query_preview"))
-            .orderBy(F.desc("start_time"), "query_id").limit(limit))
+            .transform(page(limit, F.desc("start_time"), "query_id")))
 
 
 def failure_share(queries: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:

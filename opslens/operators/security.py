@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.functions.exprs import rounded, safe_div, sorted_distinct_list
+from opslens.functions.exprs import page, rounded, safe_div, sorted_distinct_list
 from opslens.functions.timeutil import boundaries, lookback, ts_lit
 
 # Privileged role names and escalation keywords.
@@ -24,16 +24,16 @@ def _ilike_any(c: Column, terms) -> Column:
     return c.rlike("(?i)" + "|".join(r"\Q" + t + r"\E" for t in terms))
 
 
-def privilege_escalations(queries: DataFrame, as_of: datetime, days: int = 30, limit: int = 100) -> DataFrame:
+def privilege_escalations(queries: DataFrame, as_of: datetime, days: int = 30, limit: int | None = None) -> DataFrame:
     """SEC-1: successful GRANT/REVOKE statements that touch privileged roles."""
     q = queries.filter(lookback("start_time", as_of, max(1, days)) & F.col("query_type").isin("GRANT", "REVOKE")
                        & (F.col("execution_status") == "SUCCESS") & _ilike_any(F.col("query_text"), ESCALATION_TERMS))
     return (q.select("query_id", "query_type", F.col("user_name").alias("granted_by"), F.col("role_name").alias("granting_role"),
                      "start_time", F.substring("query_text", 1, 500).alias("grant_statement"), "execution_status")
-            .orderBy(F.desc("start_time"), "query_id").limit(limit))
+            .transform(page(limit, F.desc("start_time"), "query_id")))
 
 
-def failed_logins(logins: DataFrame, as_of: datetime, days: int = 7, limit: int = 200) -> DataFrame:
+def failed_logins(logins: DataFrame, as_of: datetime, days: int = 7, limit: int | None = None) -> DataFrame:
     """SEC-2: failed logins with the user's failure count that day. The
     per-(user, day) count is an aggregate joined back, not a window."""
     f = logins.filter(lookback("event_timestamp", as_of, max(1, days)) & (F.col("is_success") == "NO"))
@@ -41,7 +41,7 @@ def failed_logins(logins: DataFrame, as_of: datetime, days: int = 7, limit: int
     return (f.withColumn("_d", F.to_date("event_timestamp")).join(daily, ["user_name", "_d"])
             .select("event_id", "user_name", "client_ip", "reported_client_type", "error_code", "event_timestamp",
                     "daily_failures")
-            .orderBy(F.desc("event_timestamp"), "event_id").limit(limit))
+            .transform(page(limit, F.desc("event_timestamp"), "event_id")))
 
 
 def dormant_users(users: DataFrame, logins: DataFrame, as_of: datetime, days: int = 90) -> DataFrame:
@@ -62,7 +62,7 @@ def dormant_users(users: DataFrame, logins: DataFrame, as_of: datetime, days: in
                     status.alias("account_status")))
 
 
-def sensitive_access(access: DataFrame, as_of: datetime, days: int = 7, limit: int = 100) -> DataFrame:
+def sensitive_access(access: DataFrame, as_of: datetime, days: int = 7, limit: int | None = None) -> DataFrame:
     """SEC-4 / JOI-16: statements that read an object whose name marks it
     sensitive; the JSON object array is parsed with a schema and exploded."""
     a = access.filter(lookback("query_start_time", as_of, max(1, days)))
@@ -72,7 +72,7 @@ def sensitive_access(access: DataFrame, as_of: datetime, days: int = 7, limit: i
             .select("query_id", "user_name", "role_name", "query_start_time",
                     F.col("o.objectName").alias("accessed_object"), F.col("o.objectDomain").alias("object_type"),
                     F.size(F.col("o.columns")).alias("columns_accessed"), "query_type")
-            .orderBy(F.desc("query_start_time"), "query_id", "accessed_object").limit(limit))
+            .transform(page(limit, F.desc("query_start_time"), "query_id", "accessed_object")))
 
 
 def privileged_holders(grants: DataFrame, as_of: datetime) -> DataFrame:

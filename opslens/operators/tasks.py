@@ -124,11 +124,14 @@ def failure_category(text: Column) -> Column:
     return out.otherwise(UNCLASSIFIED)
 
 
+SIGNATURE_SHOWN = 180
+
+
 def error_signature(text: Column) -> Column:
-    """SCA-6: collapse whitespace, mask hex ids, first 180 characters."""
+    """SCA-6: collapse whitespace, mask hex ids. The whole text: patterns are
+    grouped by it, and cut to ``SIGNATURE_SHOWN`` characters only where shown."""
     t = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\s+", " ")
     t = F.regexp_replace(t, r"(?i)\b[0-9a-f]{8,}[-0-9a-f]*\b", "<id>")
-    t = F.substring(t, 1, 180)
     return F.when(t == "", "No error text").otherwise(t)
 
 
@@ -143,7 +146,8 @@ def failure_console(tasks: DataFrame, as_of: datetime, days: int = 7) -> DataFra
     pat = f.groupBy("failure_category", "error_signature").agg(
         F.count(F.lit(1)).alias("pattern_failure_count"),
         F.countDistinct(*TASK_KEY).alias("pattern_task_count"))
-    j = f.join(pat, ["failure_category", "error_signature"])
+    j = (f.join(pat, ["failure_category", "error_signature"])
+         .withColumn("error_signature", F.substring("error_signature", 1, SIGNATURE_SHOWN)))
     prio = (F.when(F.col("pattern_task_count") >= 5, "P1").when(F.col("pattern_failure_count") >= 5, "P2")
             .otherwise("P3"))
     ready = (F.when(F.col("failure_category").isin("Privilege / RBAC", "Object Dependency / Drift"),

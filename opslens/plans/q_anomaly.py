@@ -68,8 +68,8 @@ def _(spark, sf):
     return anomaly.cost_anomalies_short(tv.load(spark, sf, "warehouse_metering"), EVENTS_AS_OF, 30)
 
 
-@register("query_regressions", "query_history", op="ANO-3", sql="""
-WITH q AS (
+_REGRESSION = """
+q AS (
   SELECT query_hash, warehouse_name, database_name, user_name, total_elapsed_time / 1000.0 AS sec,
          start_time >= TIMESTAMP '2024-01-24 00:00:00' AS recent
   FROM query_history
@@ -87,10 +87,14 @@ c AS (
          round(r.p95_sec / nullif(b.p95_sec, 0), 2) AS regression_factor,
          round(r.p95_sec - b.p95_sec, 2) AS regression_delta_sec
   FROM p r JOIN p b ON r.query_hash = b.query_hash AND r.recent AND NOT b.recent
-  WHERE r.p95_sec > b.p95_sec * 1.2 AND r.p95_sec > 5)
-SELECT *, CASE WHEN regression_factor >= 2.4 THEN 'Critical' WHEN regression_factor >= 1.7999999999999998 THEN 'High'
-               WHEN regression_factor >= 1.2 THEN 'Medium' ELSE 'Watch' END AS severity
-FROM c ORDER BY regression_delta_sec DESC, regression_factor DESC, query_hash LIMIT 50
+  WHERE r.p95_sec > b.p95_sec * 1.2 AND r.p95_sec > 5),
+reg AS (SELECT *, CASE WHEN regression_factor >= 2.4 THEN 'Critical' WHEN regression_factor >= 1.7999999999999998 THEN 'High'
+               WHEN regression_factor >= 1.2 THEN 'Medium' ELSE 'Watch' END AS severity FROM c)
+"""
+
+
+@register("query_regressions", "query_history", op="ANO-3", sql="WITH " + _REGRESSION + """
+SELECT * FROM reg ORDER BY regression_delta_sec DESC, regression_factor DESC, query_hash LIMIT 50
 """)
 def _(spark, sf):
     return anomaly.query_regressions(tv.load(spark, sf, "query_history"), EVENTS_AS_OF, 14, 1.2)
@@ -133,8 +137,8 @@ def _(spark, sf):
     return anomaly.task_failure_bursts(tv.load(spark, sf, "task_history"), ORDERS_AS_OF, 365, 2)
 
 
-@register("anomaly_findings_summary", "warehouse_metering", "task_history", op="ANO-6", sql="""
-WITH daily AS (
+@register("anomaly_findings_summary", "warehouse_metering", "task_history", "query_history", op="ANO-6", sql="WITH " + _REGRESSION + """,
+daily AS (
   SELECT CAST(start_time AS DATE) AS usage_date, warehouse_name,
          round(sum(coalesce(credits_used, 0)), 4) AS daily_credits
   FROM warehouse_metering
@@ -149,10 +153,7 @@ cost AS (
               ELSE 'Medium' END AS severity
   FROM r WHERE m IS NOT NULL AND s > 0 AND (daily_credits - m) / s >= 1.4),
 bursts AS (""" + _BURSTS_SQL + """),
-f AS (
-  SELECT severity FROM (SELECT *, row_number() OVER (ORDER BY usage_date DESC, z_score DESC, warehouse_name) AS rn FROM cost) WHERE rn <= 10
-  UNION ALL
-  SELECT severity FROM (SELECT *, row_number() OVER (ORDER BY failure_date DESC, failure_count DESC, database_name, schema_name, task_name) AS rn FROM bursts) WHERE rn <= 10)
+f AS (SELECT severity FROM cost UNION ALL SELECT severity FROM reg UNION ALL SELECT severity FROM bursts)
 SELECT count(*) AS total_anomalies, count_if(severity = 'Critical') AS critical,
        count_if(severity = 'High') AS high, count_if(severity = 'Medium') AS medium
 FROM f
@@ -160,7 +161,8 @@ FROM f
 def _(spark, sf):
     cost = anomaly.cost_anomalies(tv.load(spark, sf, "warehouse_metering"), EVENTS_AS_OF, 30, 2.0)
     bursts = anomaly.task_failure_bursts(tv.load(spark, sf, "task_history"), ORDERS_AS_OF, 365, 2)
-    return anomaly.findings_summary(anomaly.merge_findings(cost, None, bursts))
+    slower = anomaly.query_regressions(tv.load(spark, sf, "query_history"), EVENTS_AS_OF, 14, 1.2, limit=None)
+    return anomaly.findings_summary(anomaly.merge_findings(cost, slower, bursts))
 
 
 _FP_SQL = """

@@ -60,7 +60,7 @@ _DDL = f"""
 ddl AS (SELECT query_id, query_type, user_name, role_name, database_name, schema_name, warehouse_name, start_time,
                substr(query_text, 1, 200) AS query_preview, total_elapsed_time / 1000.0 AS elapsed_sec
         FROM query_history WHERE start_time >= TIMESTAMP '2024-01-19 00:00:00' AND start_time < TIMESTAMP '2024-01-21 00:00:00'
-          AND query_type IN ({CT}) ORDER BY start_time DESC, query_id LIMIT 50)
+          AND query_type IN ({CT}))
 """
 _USERS = """
 base AS (SELECT DISTINCT user_name FROM query_history
@@ -71,7 +71,7 @@ inc AS (SELECT user_name, warehouse_name, count(*) AS query_count, round(sum(tot
           AND warehouse_name IS NOT NULL GROUP BY 1, 2),
 nu AS (SELECT inc.*, CASE WHEN base.user_name IS NULL THEN 'New' ELSE 'Existing' END AS user_status
        FROM inc LEFT JOIN base ON inc.user_name = base.user_name
-       WHERE base.user_name IS NULL OR inc.query_count > 3 ORDER BY total_sec DESC, 1, 2 LIMIT 25)
+       WHERE base.user_name IS NULL OR inc.query_count > 3)
 """
 _VOL = """
 h AS (SELECT CAST(date_trunc('hour', start_time) AS TIMESTAMP) AS hour_bucket, warehouse_name, count(*) AS query_count,
@@ -82,7 +82,7 @@ vol AS (SELECT hour_bucket, warehouse_name, query_count, round(s, 1) AS total_ex
                lag(query_count) OVER (PARTITION BY warehouse_name ORDER BY hour_bucket) AS prev_hour_count,
                round((query_count - lag(query_count) OVER (PARTITION BY warehouse_name ORDER BY hour_bucket)) * 100.0
                      / nullif(lag(query_count) OVER (PARTITION BY warehouse_name ORDER BY hour_bucket), 0), 1) AS pct_change
-        FROM h ORDER BY abs(pct_change) DESC NULLS LAST, hour_bucket, warehouse_name LIMIT 50)
+        FROM h ORDER BY abs(pct_change) DESC NULLS LAST, hour_bucket, warehouse_name)
 """
 
 
@@ -208,10 +208,11 @@ SELECT scheduled_time AS event_time, CASE WHEN state = 'FAILED' THEN 'failure' W
 FROM task_history WHERE name = 'TASK_7' AND scheduled_time >= TIMESTAMP '2001-05-04 00:00:00'
 UNION ALL
 SELECT start_time, 'change', substr(query_text, 1, 120), 1 FROM query_history
-WHERE start_time >= TIMESTAMP '2001-05-04 00:00:00' AND query_type IN ('ALTER_TABLE', 'CREATE_TABLE', 'DROP_TABLE')
+WHERE start_time >= TIMESTAMP '2023-11-02 00:00:00' AND start_time < TIMESTAMP '2024-01-31 00:00:00'
+  AND query_type IN ('ALTER_TABLE', 'CREATE_TABLE', 'DROP_TABLE')
 """)
 def _(spark, sf):
-    return bd.task_failure_timeline(tv.load(spark, sf, "task_history"), _q(spark, sf), "TASK_7", ORDERS_AS_OF, 90)
+    return bd.task_failure_timeline(tv.load(spark, sf, "task_history"), _q(spark, sf), "TASK_7", ORDERS_AS_OF, 90, changes_as_of=EVENTS_AS_OF)
 
 
 def _tri(spark, sf):
@@ -593,7 +594,7 @@ j AS (SELECT ch.*, c.object_fqn IS NOT NULL AS hc, t.ticket_key IS NOT NULL AS h
 r AS (SELECT query_id, start_time, user_name, change_family, object_fqn, ticket_key, hc AS has_commit, ht AS has_ticket,
              CASE WHEN hc AND ht THEN 'Reconciled' WHEN hc THEN 'Commit without ticket' WHEN ht THEN 'Ticket without commit'
                   ELSE 'Unmatched drift' END AS reconciliation_state FROM j)
-SELECT * FROM r WHERE reconciliation_state <> 'Reconciled' ORDER BY start_time DESC, query_id LIMIT 200
+SELECT * FROM r WHERE reconciliation_state <> 'Reconciled'
 """)
 def _(spark, sf):
     from opslens.operators import change as chg
@@ -618,7 +619,7 @@ def _(spark, sf):
 
 
 @register("operability_facts", "login_history", op="ACT-7", sql=q_alerts._QUEUE + """
-SELECT * FROM q WHERE category = 'security' ORDER BY last_seen_at DESC, action_id LIMIT 100
+SELECT * FROM q WHERE category = 'security'
 """)
 def _(spark, sf):
     return bd.operability_facts(q_alerts._queue(spark, sf), "security")
@@ -661,15 +662,14 @@ def _(spark, sf):
 @register("service_health_score", "query_history", op="SCR-3", sql="""
 WITH g AS (SELECT warehouse_name, count(*) AS queries, count_if(execution_status <> 'SUCCESS') AS failures FROM query_history
            WHERE start_time >= TIMESTAMP '2024-01-30 00:00:00' AND start_time < TIMESTAMP '2024-01-31 00:00:00' AND warehouse_name IS NOT NULL GROUP BY 1),
-c AS (SELECT warehouse_name AS component, 100 - round(failures * 100.0 / queries, 1) AS score FROM g
-      WHERE warehouse_name IN ('WH_0', 'WH_1', 'WH_2', 'WH_3', 'WH_4'))
+c AS (SELECT warehouse_name AS component, 100 - round(failures * 100.0 / queries, 1) AS score FROM g)
 SELECT round(sum(score * 1.0) / sum(1.0), 1) AS score,
        string_agg(component || '=' || CAST(score AS VARCHAR), ', ' ORDER BY component, score) AS components FROM c
 """)
 def _(spark, sf):
     h = us.service_health_by_warehouse(_q(spark, sf), EVENTS_AS_OF, 24)
     comps = h.select(F.col("warehouse_name").alias("component"), (100 - F.col("failure_pct")).alias("score"))
-    return bd.component_score(comps, {f"WH_{i}": 1.0 for i in range(5)})
+    return bd.component_score(comps)
 
 
 def _transfers(spark, sf):

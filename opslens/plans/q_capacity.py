@@ -322,12 +322,11 @@ rc AS (
                      coalesce(bytes_spilled_to_remote_storage, 0) / {GB} AS rs, coalesce(bytes_spilled_to_local_storage, 0) / {GB} AS ls,
                      coalesce(bytes_scanned, 0) / {GB} AS gb, {FAILED} AS f
               FROM query_history WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00' AND warehouse_name IS NOT NULL) a
-        WHERE f OR el >= 30) b
-  ORDER BY elapsed_sec DESC, query_id LIMIT 100)
+        WHERE f OR el >= 30) b)
 """
 
 
-@register("root_cause", "query_history", op="QRY-2", sql="WITH " + _RC + "SELECT * FROM rc")
+@register("root_cause", "query_history", op="QRY-2", sql="WITH " + _RC + "SELECT * FROM rc ORDER BY elapsed_sec DESC, query_id LIMIT 100")
 def _(spark, sf):
     return qry.root_cause(_q(spark, sf), EVENTS_AS_OF, 7, 100)
 
@@ -337,7 +336,7 @@ SELECT root_cause, count(*) AS queries, round(sum(elapsed_sec), 2) AS total_elap
        count_if(severity IN ('Critical', 'High')) AS high_or_critical FROM rc GROUP BY 1
 """)
 def _(spark, sf):
-    return qry.root_cause_summary(qry.root_cause(_q(spark, sf), EVENTS_AS_OF, 7, 100))
+    return qry.root_cause_summary(qry.root_cause(_q(spark, sf), EVENTS_AS_OF, 7, None))
 
 
 @register("diagnosis_by_queue", "query_history", op="QRY-3", sql=f"""
@@ -350,23 +349,23 @@ def _(spark, sf):
 
 
 @register("duplicate_queries", "query_history", op="QRY-4", sql="""
-SELECT substr(query_text, 1, 200) AS query_sig, count(DISTINCT user_name) AS user_count, count(*) AS execution_count,
+SELECT substr(min(query_text), 1, 200) AS query_sig, count(DISTINCT user_name) AS user_count, count(*) AS execution_count,
        round(sum(total_elapsed_time) / count(*) / 1000.0, 3) AS avg_elapsed_sec, round(sum(total_elapsed_time) / 1000.0, 3) AS total_wasted_sec
 FROM query_history WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00' AND upper(execution_status) = 'SUCCESS' AND warehouse_name IS NOT NULL
-GROUP BY 1 HAVING count(*) >= 5 ORDER BY execution_count DESC, query_sig LIMIT 100
+GROUP BY query_text HAVING count(*) >= 5
 """)
 def _(spark, sf):
-    return qry.duplicate_queries(_q(spark, sf), EVENTS_AS_OF, 7, 5, 100)
+    return qry.duplicate_queries(_q(spark, sf), EVENTS_AS_OF, 7, 5)
 
 
 @register("failed_sample", "query_history", op="QRY-5", sql=f"""
 SELECT query_id, start_time, user_name, warehouse_name, database_name, query_type, error_code, substr(error_message, 1, 200) AS error_message
 FROM query_history WHERE start_time >= TIMESTAMP '2024-01-30 00:00:00' AND start_time < TIMESTAMP '2024-01-31 00:00:00'
   AND warehouse_name IS NOT NULL AND {FAILED}
-ORDER BY start_time DESC, query_id LIMIT 50
+
 """)
 def _(spark, sf):
-    return qry.failed_sample(_q(spark, sf), EVENTS_AS_OF, 24, 50)
+    return qry.failed_sample(_q(spark, sf), EVENTS_AS_OF, 24)
 
 
 @register("failure_groups", "query_history", op="QRY-5", sql=f"""
@@ -414,10 +413,10 @@ def _(spark, sf):
 SELECT query_id, start_time, user_name, warehouse_name, query_type, round(transaction_blocked_time / 1000.0, 2) AS blocked_sec
 FROM query_history WHERE start_time >= TIMESTAMP '2024-01-30 00:00:00' AND start_time < TIMESTAMP '2024-01-31 00:00:00'
   AND warehouse_name IS NOT NULL AND transaction_blocked_time > 5000
-ORDER BY blocked_sec DESC, query_id LIMIT 50
+
 """)
 def _(spark, sf):
-    return qry.lock_waits(_q(spark, sf), EVENTS_AS_OF, 24, 5, 50)
+    return qry.lock_waits(_q(spark, sf), EVENTS_AS_OF, 24, 5)
 
 
 @register("status_timeline", "query_history", op="QRY-11", sql="""
@@ -433,16 +432,16 @@ def _(spark, sf):
 SELECT query_id, start_time, user_name, warehouse_name, database_name, query_type, execution_status,
        round(total_elapsed_time / 1000.0, 2) AS elapsed_sec
 FROM query_history WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00' AND warehouse_name = 'WH_3'
-ORDER BY start_time DESC, query_id LIMIT 200
+
 """)
 def _(spark, sf):
-    return qry.entity_drilldown(_q(spark, sf), EVENTS_AS_OF, "warehouse_name", "WH_3", 7, 200)
+    return qry.entity_drilldown(_q(spark, sf), EVENTS_AS_OF, "warehouse_name", "WH_3", 7)
 
 
 @register("history_search", "query_history", op="QRY-13", sql="""
 SELECT query_id, start_time, user_name, warehouse_name, query_type, execution_status, substr(query_text, 1, 200) AS query_preview
 FROM query_history WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00' AND contains(lower(query_text), 'grant role')
-ORDER BY start_time DESC, query_id LIMIT 100
+
 """)
 def _(spark, sf):
-    return qry.search_history(_q(spark, sf), EVENTS_AS_OF, "GRANT ROLE", "contains", 7, 100)
+    return qry.search_history(_q(spark, sf), EVENTS_AS_OF, "GRANT ROLE", "contains", 7)

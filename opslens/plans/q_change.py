@@ -55,7 +55,7 @@ s AS (SELECT query_id, start_time, user_name, database_name, change_family, obje
                   WHEN change_family IN ('ACCESS', 'OWNER') AND environment = 'PROD' THEN 'High' WHEN ticket_key = '' THEN 'Medium'
                   ELSE 'Low' END AS severity FROM e)
 SELECT * FROM s WHERE severity <> 'Low'
-ORDER BY CASE WHEN severity = 'Critical' THEN 0 WHEN severity = 'High' THEN 1 ELSE 2 END, start_time DESC, query_id LIMIT 100
+
 """)
 def _(spark, sf):
     return chg.change_exceptions(_ch(spark, sf), _env())
@@ -78,7 +78,7 @@ def _ccond_sql():
 SELECT query_id, user_name, role_name, warehouse_name, database_name, schema_name, start_time, {_ctype_sql()} AS change_type,
        substr(query_text, 1, 1500) AS query_text
 FROM query_history WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00' AND ({_ccond_sql()})
-ORDER BY start_time DESC, query_id LIMIT 500
+
 """)
 def _(spark, sf):
     return chg.object_change_list(tv.load(spark, sf, "query_history"), EVENTS_AS_OF, 7)

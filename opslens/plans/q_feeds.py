@@ -80,7 +80,7 @@ def _(spark, sf):
 @register("live_window_scan", "query_history", op="SRC-12", sql="""
 SELECT query_id, start_time, warehouse_name, execution_status FROM query_history
 WHERE start_time >= TIMESTAMP '2024-01-30 22:00:00' AND start_time < TIMESTAMP '2024-01-31 00:00:01'
-ORDER BY start_time DESC, query_id LIMIT 5000
+
 """)
 def _(spark, sf):
     q = tv.load(spark, sf, "query_history").select("query_id", "start_time", "warehouse_name", "execution_status")

@@ -91,10 +91,10 @@ SELECT table_catalog AS database_name, table_schema AS schema_name, table_name,
             WHEN time_travel_bytes / {GB} > active_bytes / {GB} * 0.5 THEN 'Time travel heavy'
             WHEN failsafe_bytes / {GB} > active_bytes / {GB} * 0.5 THEN 'Fail-safe heavy' ELSE 'Large active size' END AS reason
 FROM table_storage WHERE active_bytes / {GB} >= 2.0
-ORDER BY active_gb DESC, 1, 2, 3 LIMIT 50
+
 """)
 def _(spark, sf):
-    return pip.large_table_watch(tv.load(spark, sf, "table_storage"), 2.0, 50)
+    return pip.large_table_watch(tv.load(spark, sf, "table_storage"), 2.0)
 
 
 @register("load_counters", "copy_history", op="PIP-7", sql=f"""
@@ -121,7 +121,7 @@ k AS (SELECT *, CASE WHEN last_load_time IS NULL AND current_rows > 1000 THEN 'N
 fr AS (SELECT database_name, schema_name, table_name, current_rows, round(active_bytes / {GB}, 2) AS size_gb, last_load_time,
               loads_in_window, total_rows_loaded, h AS hours_since_load, freshness_status
        FROM k ORDER BY CASE freshness_status WHEN 'Critical' THEN 1 WHEN 'No Recent Load' THEN 2 WHEN 'Stale' THEN 3 ELSE 4 END,
-                current_rows DESC, 1, 2, 3 LIMIT 50)
+                current_rows DESC, 1, 2, 3)
 """
 
 
@@ -153,7 +153,7 @@ g AS (SELECT database_name, schema_name, table_name, max(CASE WHEN r = 1 THEN si
 h AS (SELECT *, round((current_size - previous_size) * 100.0 / nullif(previous_size, 0), 1) AS pct_change FROM g),
 dr AS (SELECT *, CASE WHEN pct_change < -50 THEN 'Critical Shrink' WHEN pct_change < -20 THEN 'Significant Shrink'
                       WHEN pct_change > 200 THEN 'Explosive Growth' WHEN pct_change > 50 THEN 'Rapid Growth' ELSE 'Normal' END AS drift_status
-       FROM h WHERE abs(pct_change) > 20 ORDER BY abs(pct_change) DESC, 1, 2, 3 LIMIT 30)
+       FROM h WHERE abs(pct_change) > 20 ORDER BY abs(pct_change) DESC, 1, 2, 3)
 """
 
 
@@ -166,7 +166,7 @@ _SCHEMA = """
 sc AS (SELECT query_id, query_type, user_name, role_name, database_name, schema_name, start_time, substr(query_text, 1, 300) AS query_preview
        FROM query_history WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00'
          AND query_type IN ('ALTER_TABLE', 'ALTER_VIEW', 'CREATE_TABLE', 'CREATE_VIEW', 'DROP_TABLE', 'DROP_VIEW', 'RENAME_TABLE', 'RENAME_COLUMN')
-         AND execution_status = 'SUCCESS' ORDER BY start_time DESC, query_id LIMIT 50)
+         AND execution_status = 'SUCCESS')
 """
 
 
@@ -216,7 +216,7 @@ WITH q AS (SELECT start_time, upper(regexp_extract(query_text, '(?i)(?:FROM|INTO
            FROM query_history WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00'
              AND query_type IN ('ALTER_TABLE', 'ALTER_VIEW', 'CREATE_TABLE', 'CREATE_VIEW', 'DROP_TABLE', 'DROP_VIEW', 'RENAME_TABLE', 'RENAME_COLUMN'))
 SELECT o AS object_name, max(start_time) AS last_changed, count(*) AS changes FROM q WHERE o <> '' GROUP BY 1
-ORDER BY last_changed DESC, object_name LIMIT 100
+
 """)
 def _(spark, sf):
     return pip.recently_changed(tv.load(spark, sf, "query_history"), EVENTS_AS_OF, 7)

@@ -38,7 +38,8 @@ def _(spark, sf):
 
 @register("dag_summary", "task_graph", op="GRF-2", sql="WITH RECURSIVE " + _EDGES + """,
 bfs(node, d) AS (SELECT task_id, 0 FROM nodes WHERE is_root
-                 UNION SELECT e.target, b.d + 1 FROM bfs b JOIN edges e ON e.source = b.node WHERE b.d < 100),
+                 UNION SELECT e.target, b.d + 1 FROM bfs b JOIN edges e ON e.source = b.node
+                 WHERE b.d < (SELECT count(*) FROM nodes)),
 dep AS (SELECT node, min(d) AS d FROM bfs GROUP BY 1)
 SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count_if(is_root) FROM nodes) AS roots,
        (SELECT count_if(is_leaf) FROM nodes) AS leaves, (SELECT count(*) FROM edges) AS edges,
@@ -49,7 +50,7 @@ def _(spark, sf):
 
 
 @register("blast_radius", "task_graph", op="GRF-3", sql="WITH RECURSIVE " + _EDGES + """,
-bfs(node, d) AS (SELECT 'DB.SCH_0.TASK_1', 0 UNION SELECT e.target, b.d + 1 FROM bfs b JOIN edges e ON e.source = b.node WHERE b.d < 100),
+bfs(node, d) AS (SELECT 'DB.SCH_0.TASK_1', 0 UNION SELECT e.target, b.d + 1 FROM bfs b JOIN edges e ON e.source = b.node WHERE b.d < (SELECT count(*) FROM nodes)),
 n AS (SELECT count(DISTINCT node) AS c FROM bfs WHERE node <> 'DB.SCH_0.TASK_1')
 SELECT 'DB.SCH_0.TASK_1' AS failed_task, c AS downstream_count,
        CASE WHEN c > 10 THEN 'Critical' WHEN c > 5 THEN 'High' WHEN c > 0 THEN 'Medium' ELSE 'Isolated' END AS blast_radius FROM n
@@ -68,10 +69,10 @@ WITH RECURSIVE ds AS (
   WHERE d.depth < 5)
 SELECT DISTINCT referencing_object_name AS object_name, referencing_object_domain AS object_type, depth AS dependency_depth,
        referenced_object_name AS depends_on
-FROM ds ORDER BY dependency_depth, object_name, depends_on LIMIT 100
+FROM ds
 """)
 def _(spark, sf):
-    return g.downstream_objects(tv.load(spark, sf, "object_dependencies"), "T_1", 5, 100)
+    return g.downstream_objects(tv.load(spark, sf, "object_dependencies"), "T_1", 5)
 
 
 @register("direct_dependents", "object_dependencies", op="GRF-5", sql="""
@@ -99,7 +100,7 @@ def _(spark, sf):
 
 
 @register("graph_members", "task_graph", op="GRF-7", sql="WITH RECURSIVE " + _EDGES + """,
-bfs(node, d) AS (SELECT 'DB.SCH_0.TASK_2', 0 UNION SELECT e.target, b.d + 1 FROM bfs b JOIN edges e ON e.source = b.node WHERE b.d < 100)
+bfs(node, d) AS (SELECT 'DB.SCH_0.TASK_2', 0 UNION SELECT e.target, b.d + 1 FROM bfs b JOIN edges e ON e.source = b.node WHERE b.d < (SELECT count(*) FROM nodes))
 SELECT node AS task_id, min(d) AS depth FROM bfs GROUP BY 1
 """)
 def _(spark, sf):

@@ -24,13 +24,13 @@ _ESC = f"""
 esc AS (SELECT query_id, query_type, user_name AS granted_by, role_name AS granting_role, start_time,
                substr(query_text, 1, 500) AS grant_statement, execution_status
         FROM query_history WHERE start_time >= {D30} AND query_type IN ('GRANT', 'REVOKE') AND execution_status = 'SUCCESS'
-          AND ({ESC}) ORDER BY start_time DESC, query_id LIMIT 100)
+          AND ({ESC}))
 """
 _FAILED = f"""
 fl AS (SELECT event_id, user_name, client_ip, reported_client_type, error_code, event_timestamp,
               count(*) OVER (PARTITION BY user_name, CAST(event_timestamp AS DATE)) AS daily_failures
        FROM login_history WHERE event_timestamp >= {D7} AND is_success = 'NO'
-       ORDER BY event_timestamp DESC, event_id LIMIT 200)
+      )
 """
 _DORMANT = f"""
 last AS (SELECT user_name, max(event_timestamp) AS last_login FROM login_history
@@ -67,7 +67,7 @@ WITH x AS (SELECT query_id, user_name, role_name, query_start_time, query_type,
            FROM access_history WHERE query_start_time >= {D7})
 SELECT query_id, user_name, role_name, query_start_time, o.objectName AS accessed_object, o.objectDomain AS object_type,
        CAST(len(o.columns) AS INTEGER) AS columns_accessed, query_type
-FROM x WHERE {SENS} ORDER BY query_start_time DESC, query_id, accessed_object LIMIT 100
+FROM x WHERE {SENS}
 """)
 def _(spark, sf):
     return sec.sensitive_access(_v(spark, sf, "access_history"), EVENTS_AS_OF, 7)

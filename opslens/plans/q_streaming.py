@@ -5,8 +5,6 @@ summary; the oracle is the batch aggregate over the same rows."""
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from opslens.functions.exprs import rounded
@@ -32,7 +30,7 @@ def _(spark, sf):
     src_df = _event_metering(spark, sf)
     src, run = inc.stage_as_files(src_df, "hourly-credits", files=4, order_col="start_time")
     stream = inc.file_stream(spark, src, src_df.schema, max_files=1)
-    agg = inc.hourly_credits_stream(stream, watermark="45 days").withColumn("usage_date", F.to_date("hour_start"))
+    agg = inc.hourly_credits_stream(stream).withColumn("usage_date", F.to_date("hour_start"))
     out = inc.run_available_now(agg, run, ["hour_start", "warehouse_name"], "usage_date")
     return out.select("hour_start", "warehouse_name", rounded("credits_used", 6).alias("credits_used"),
                       rounded("credits_compute", 6).alias("credits_compute"), "metering_rows", "usage_date")
@@ -45,7 +43,7 @@ def _(spark, sf):
     src_df = tv.load(spark, sf, "task_history").select("scheduled_time", "state", "database_name", "schema_name", "name")
     src, run = inc.stage_as_files(src_df, "task-states", files=4, order_col="scheduled_time")
     stream = inc.file_stream(spark, src, src_df.schema, max_files=1)
-    agg = inc.daily_task_states_stream(stream, watermark="4000 days")
+    agg = inc.daily_task_states_stream(stream)
     # seven years of days: partition the summary by month, not by day
     agg = agg.withColumn("run_month", F.trunc("run_date", "month"))
     return inc.run_available_now(agg, run, ["run_date", "state"], "run_month").drop("run_month")
@@ -59,7 +57,7 @@ def _(spark, sf):
     src_df = tv.load(spark, sf, "task_history").select("scheduled_time", "state", "database_name", "schema_name", "name")
     src, run = inc.stage_as_files(src_df, "failure-bursts", files=4, order_col="scheduled_time")
     stream = inc.file_stream(spark, src, src_df.schema, max_files=1)
-    agg = inc.failure_bursts_stream(stream, threshold=2, watermark="4000 days").withColumn(
+    agg = inc.failure_bursts_stream(stream, threshold=2).withColumn(
         "failure_month", F.trunc("failure_date", "month"))
     return inc.run_available_now(agg, run, ["failure_date", "database_name", "schema_name", "task_name"],
                                  "failure_month").drop("failure_month")
@@ -79,8 +77,7 @@ def _(spark, sf):
 
 
 @register("stream_live_operations", "query_history", op="STR-4", sql="""
-WITH q AS (SELECT start_time, warehouse_name, queued_overload_time, transaction_blocked_time FROM query_history
-           WHERE start_time >= TIMESTAMP '2024-01-30 00:00:00'),
+WITH q AS (SELECT start_time, warehouse_name, queued_overload_time, transaction_blocked_time FROM query_history),
 w AS (SELECT q.*, date_trunc('minute', start_time) - to_minutes(CAST(k AS BIGINT)) AS window_start
       FROM q, range(10) t(k))
 SELECT window_start, window_start + INTERVAL 10 MINUTE AS window_end, warehouse_name, count(*) AS active,
@@ -89,11 +86,9 @@ SELECT window_start, window_start + INTERVAL 10 MINUTE AS window_end, warehouse_
 FROM w GROUP BY 1, 2, 3
 """)
 def _(spark, sf):
-    from opslens.functions.timeutil import ts_lit
-    q = (tv.load(spark, sf, "query_history").filter(F.col("start_time") >= ts_lit(datetime(2024, 1, 30)))
-         .select("start_time", "warehouse_name", "queued_overload_time", "transaction_blocked_time"))
+    q = tv.load(spark, sf, "query_history").select("start_time", "warehouse_name", "queued_overload_time", "transaction_blocked_time")
     src, run = inc.stage_as_files(q, "live-ops", files=4, order_col="start_time")
-    agg = inc.live_operations_stream(inc.file_stream(spark, src, q.schema, 1), watermark="2 days")
+    agg = inc.live_operations_stream(inc.file_stream(spark, src, q.schema, 1))
     agg = agg.withColumn("window_date", F.to_date("window_start"))
     return inc.run_available_now(agg, run, ["window_start", "warehouse_name"], "window_date")
 

@@ -97,10 +97,9 @@ def _category_sql(col: str) -> str:
     return "CASE " + " ".join(parts) + f" ELSE '{tsk.UNCLASSIFIED}' END"
 
 
-_SIG = ("CASE WHEN substr(regexp_replace(regexp_replace(trim(coalesce(error_message, '')), '\\s+', ' ', 'g'), "
-        "'(?i)\\b[0-9a-f]{8,}[-0-9a-f]*\\b', '<id>', 'g'), 1, 180) = '' THEN 'No error text' "
-        "ELSE substr(regexp_replace(regexp_replace(trim(coalesce(error_message, '')), '\\s+', ' ', 'g'), "
-        "'(?i)\\b[0-9a-f]{8,}[-0-9a-f]*\\b', '<id>', 'g'), 1, 180) END")
+_MASKED = ("regexp_replace(regexp_replace(trim(coalesce(error_message, '')), '\\s+', ' ', 'g'), "
+           "'(?i)\\b[0-9a-f]{8,}[-0-9a-f]*\\b', '<id>', 'g')")
+_SIG = f"CASE WHEN {_MASKED} = '' THEN 'No error text' ELSE {_MASKED} END"
 
 _CONSOLE = "WITH " + _runs(D30, "AND state = 'FAILED'") + f""",
 f AS (SELECT {KEY}, query_id, scheduled_time, error_code, error_message, {_category_sql('error_message')} AS failure_category,
@@ -108,7 +107,7 @@ f AS (SELECT {KEY}, query_id, scheduled_time, error_code, error_message, {_categ
 pat AS (SELECT failure_category, error_signature, count(*) AS pattern_failure_count,
                count(DISTINCT ({KEY})) AS pattern_task_count FROM f GROUP BY 1, 2),
 con AS (
-SELECT f.*, pattern_failure_count, pattern_task_count,
+SELECT f.* REPLACE (substr(f.error_signature, 1, 180) AS error_signature), pattern_failure_count, pattern_task_count,
        CASE WHEN pattern_task_count >= 5 THEN 'P1' WHEN pattern_failure_count >= 5 THEN 'P2' ELSE 'P3' END AS incident_priority,
        CASE WHEN f.failure_category IN ('Privilege / RBAC', 'Object Dependency / Drift') THEN 'Fix before retry'
             WHEN f.failure_category = '{tsk.UNCLASSIFIED}' THEN 'Needs diagnosis' ELSE 'Retry after check' END AS recovery_readiness

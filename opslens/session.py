@@ -12,6 +12,8 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # also where splitting a hot key costs the aggregate above it a shuffle
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # broadcast only what the planner measured to be small; the threshold is
     # the size check (10 MB is Spark's default, stated here on purpose)
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
@@ -48,8 +50,16 @@ def get_session(master: str | None = None, partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``."""
-    return spark.conf.get("spark.checkpoint.dir", None) or None
+    """The shared folder the cluster names in ``spark.checkpoint.dir``, or the
+    one that the program gave to ``setCheckpointDir``."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or None
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there, asked of its own file system. A read that
+    fails for any other reason raises, and is never taken for a missing path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
@@ -57,8 +67,9 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     (local tests). Never overrides what the cluster configured."""
     d = checkpoint_dir(spark)
     if d is None:
-        # only where the session names no shared folder (local tests); on a
-        # cluster the submitter sets spark.checkpoint.dir to shared storage
+        # only a local master may go without a shared folder (tests)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = fallback or os.environ.get("OPSLENS_LOCAL_CHECKPOINT", "/tmp/opslens-checkpoints")
         try:
             spark.conf.set("spark.checkpoint.dir", d)

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opslens.functions.exprs import page
 from opslens.functions.timeutil import between_ts, lookback
+from opslens.session import path_exists
 
 
 def scan(df: DataFrame, ts_col: str, as_of: datetime, days: float, floor_days: float = 0,
@@ -23,12 +25,12 @@ def scan(df: DataFrame, ts_col: str, as_of: datetime, days: float, floor_days: f
     return df.filter(lookback(ts_col, as_of, days, floor_days=floor_days, end=end))
 
 
-def live_scan(df: DataFrame, ts_col: str, as_of: datetime, minutes: int = 10, limit: int = 5000,
+def live_scan(df: DataFrame, ts_col: str, as_of: datetime, minutes: int = 10, limit: int | None = None,
               order: str | None = None) -> DataFrame:
-    """SRC-12: a bounded live window (last minutes), newest first, capped
-    at the display limit the caller asks for."""
+    """SRC-12: a bounded live window (last minutes); with ``limit``, its
+    newest rows."""
     w = df.filter(between_ts(ts_col, as_of - timedelta(minutes=minutes), as_of + timedelta(seconds=1)))
-    return w.orderBy(F.desc(ts_col), *([order] if order else [])).limit(limit)
+    return w.transform(page(limit, F.desc(ts_col), *([order] if order else [])))
 
 
 # Tokens read as NULL in feed files.
@@ -81,10 +83,7 @@ def read_scheduler_json(spark: SparkSession, path: str, multiline: bool = True)
 def summary_first(spark: SparkSession, summary_path: str, fallback: Callable[[], DataFrame]) -> DataFrame:
     """SRC-3: read the pre-built summary when it exists, else aggregate the
     detail with ``fallback`` (same output schema)."""
-    try:
-        return spark.read.parquet(summary_path)
-    except Exception:  # noqa: BLE001 - summary not built yet
-        return fallback()
+    return spark.read.parquet(summary_path) if path_exists(spark, summary_path) else fallback()
 
 
 def append_ledger(df: DataFrame, path: str, partition_col: str | None = None) -> None:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from opslens.functions.exprs import rounded
-from opslens.session import ensure_checkpoint_dir
+from opslens.session import ensure_checkpoint_dir, path_exists
 
 SETTLE_WATERMARK = "24 hours"
 
@@ -95,8 +95,10 @@ RECOVERY_STATE = "failure_at timestamp"
 
 
 def _recovery(key, pdfs, state, sla_hours: float):
-    """Per task: remember the open failure; a later success closes it
-    (within SLA or late); an event-time timer at the SLA reports it open."""
+    """Per task: remember the latest failure; the first later success closes it
+    (within SLA or late, counted from that failure, as the batch operator does);
+    an event-time timer at the SLA reports it open, and the failure stays
+    remembered so that a late success is still reported."""
     import warnings
     # the Arrow serializer concatenates output frames whose recovery_at may be all NULL
     warnings.filterwarnings("ignore", category=FutureWarning)
@@ -105,17 +107,16 @@ def _recovery(key, pdfs, state, sla_hours: float):
     if state.hasTimedOut:
         (fa,) = state.get
         rows.append((db, sch, task, fa, None, "Open past SLA"))
-        state.remove()
+        state.update((fa,))  # without a new timer
         yield pd.DataFrame(rows, columns=["database_name", "schema_name", "task_name", "failure_at", "recovery_at",
                                           "recovery_state"])
         return
-    open_at = state.get[0] if state.exists else None
+    known = open_at = state.get[0] if state.exists else None
     frames = [p for p in pdfs if len(p)]
     events = (pd.concat(frames) if frames else pd.DataFrame({"scheduled_time": [], "state": []})).sort_values("scheduled_time")
     for ts, st in zip(events["scheduled_time"], events["state"]):
         if st == "FAILED":
-            if open_at is None:
-                open_at = ts
+            open_at = ts
         elif st == "SUCCEEDED" and open_at is not None and ts > open_at:
             late = (ts - open_at).total_seconds() / 3600.0 > sla_hours
             rows.append((db, sch, task, open_at, ts, "Recovered Late" if late else "Recovered Within SLA"))
@@ -126,7 +127,10 @@ def _recovery(key, pdfs, state, sla_hours: float):
     else:
         state.update((open_at,))
         due = int(pd.Timestamp(open_at).timestamp() * 1000 + sla_hours * 3600 * 1000)
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        if due > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(due)
+        elif open_at != known:
+            rows.append((db, sch, task, open_at, None, "Open past SLA"))  # the SLA is over already
     if rows:
         yield pd.DataFrame(rows, columns=["database_name", "schema_name", "task_name", "failure_at", "recovery_at",
                                           "recovery_state"])
@@ -162,13 +166,9 @@ def upsert_partitions(batch: DataFrame, path: str, keys: Sequence[str], partitio
     are about to be replaced."""
     spark = batch.sparkSession
     ensure_checkpoint_dir(spark)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     b = batch.withColumn(version_col, F.lit(1))
-    try:
+    if path_exists(spark, path):
         existing = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - first write: nothing to merge with
-        existing = None
-    if existing is not None:
         # only the partitions this batch touches (semi join: runtime partition pruning, no driver collect)
         old = (existing.join(b.select(partition_col).distinct(), partition_col, "left_semi")
                .withColumn(version_col, F.lit(0)))
@@ -176,7 +176,8 @@ def upsert_partitions(batch: DataFrame, path: str, keys: Sequence[str], partitio
     else:
         merged = b
     merged = merged.drop(version_col).checkpoint()
-    merged.write.mode("overwrite").partitionBy(partition_col).parquet(path)
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(partition_col).parquet(path))
 
 
 def stage_as_files(df: DataFrame, name: str, files: int = 4, order_col: str | None = None) -> tuple[str, str]:
@@ -222,10 +223,9 @@ def run_available_now(stream: DataFrame, run: str, keys: Sequence[str], partitio
          .option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     spark = stream.sparkSession
-    try:
+    if path_exists(spark, out):
         return spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - no micro-batch produced a row
-        return spark.createDataFrame([], stream.schema)
+    return spark.createDataFrame([], stream.schema)  # no micro-batch produced a row
 
 
 def file_stream(spark: SparkSession, src: str, schema, max_files: int = 1) -> DataFrame:

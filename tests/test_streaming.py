@@ -67,7 +67,7 @@ def test_recovery_pairing_states(spark):
         return datetime(2024, 1, 1) + timedelta(hours=n)
 
     rows = [("D", "S", "A", h(0), "FAILED"), ("D", "S", "A", h(2), "SUCCEEDED"),      # within the 4 h SLA
-            ("D", "S", "B", h(1), "FAILED"), ("D", "S", "B", h(3), "FAILED"), ("D", "S", "B", h(7), "SUCCEEDED"),  # late
+            ("D", "S", "B", h(1), "FAILED"), ("D", "S", "B", h(3), "FAILED"), ("D", "S", "B", h(8), "SUCCEEDED"),  # late, by the last failure
             ("D", "S", "C", h(5), "FAILED"),                                             # never recovers
             ("D", "S", "Z", h(60), "SUCCEEDED")]                                         # moves the watermark on
     df = spark.createDataFrame(rows, "database_name string, schema_name string, name string, scheduled_time timestamp_ntz, state string")
