@@ -45,6 +45,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # the write's shuffle files go once the driver has collected its garbage; a
+    # long operator would else keep those of all its steps until its end
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
