@@ -241,10 +241,9 @@ def monitoring_cost(queries: DataFrame, metering: DataFrame, as_of: datetime, ta
     carrying the app's query tag): allocated credits per component
     (warehouse) unioned with a total row and the component list."""
     from opslens.operators.cost import per_query_credits
-    pqc = per_query_credits(queries, metering, as_of, days=days)
-    q = queries.filter(F.col("query_tag").startswith(tag_prefix)).select("query_id", "warehouse_name")
-    j = pqc.select("query_id", "metered_credits").join(q, "query_id")
-    per = j.groupBy(F.col("warehouse_name").alias("component")).agg(
+    # the shares are of all statements; only then are the tagged ones picked
+    pqc = per_query_credits(queries, metering, as_of, days=days, keep=["query_tag"])
+    per = pqc.filter(F.col("query_tag").startswith(tag_prefix)).groupBy(F.col("warehouse_name").alias("component")).agg(
         F.count(F.lit(1)).alias("queries"), rounded(F.sum("metered_credits"), 6).alias("credits"))
     tot = per.agg(F.lit("TOTAL").alias("component"), F.sum("queries").alias("queries"), rounded(F.sum("credits"), 6).alias("credits"))
     u = per.unionByName(tot)
@@ -263,17 +262,17 @@ def daily_service_spend(service: DataFrame, as_of: datetime, days: int = 30, pri
                                          F.count(F.lit(1)).alias("services"))
 
 
-def cost_explorer(pqc: DataFrame, queries: DataFrame, tags: DataFrame, tenant: Column, environment: Column) -> DataFrame:
-    """CST-18: allocated credits per warehouse with its tags pivoted into
-    columns (``max(when)``), tenant, environment and department."""
+def cost_explorer(pqc: DataFrame, tags: DataFrame) -> DataFrame:
+    """CST-18: allocated credits (with ``company`` and ``environment`` kept) per
+    warehouse with its tags pivoted into columns (``max(when)``), tenant,
+    environment and department."""
     t = tags.groupBy("warehouse_name").agg(
         F.max(F.when(F.col("tag_name") == "COST_CENTER", F.col("tag_value"))).alias("cost_center"),
         F.max(F.when(F.col("tag_name") == "DEPARTMENT", F.col("tag_value"))).alias("department"))
-    q = queries.select("query_id", "warehouse_name", "database_name", "user_name", tenant.alias("company"),
-                       environment.alias("environment"))
-    j = pqc.select("query_id", "metered_credits").join(q, "query_id").join(t, "warehouse_name", "left")
-    return j.groupBy("company", "environment", "warehouse_name", "cost_center", "department").agg(
+    per = pqc.groupBy("company", "environment", "warehouse_name").agg(
         F.count(F.lit(1)).alias("queries"), rounded(F.sum("metered_credits"), 6).alias("credits"))
+    return per.join(t, "warehouse_name", "left").select(
+        "company", "environment", "warehouse_name", "cost_center", "department", "queries", "credits")
 
 
 def lens_summary(explorer: DataFrame, dims: Sequence[str]) -> DataFrame:
@@ -306,12 +305,12 @@ def burn_with_size(metering: DataFrame, queries: DataFrame, as_of: datetime, day
     return d.join(size, "warehouse_name", "left")
 
 
-def outlier_evidence(pqc: DataFrame, queries: DataFrame, rules: DataFrame, warehouse: str) -> DataFrame:
-    """CST-27: evidence for one warehouse: statements, users, credits, top
+def outlier_evidence(pqc: DataFrame, rules: DataFrame, warehouse: str) -> DataFrame:
+    """CST-27: evidence for one warehouse (of allocated credits with
+    ``user_name`` and ``query_type`` kept): statements, users, credits, top
     statement type and the owner-tag list from the directory rules."""
     from opslens.operators.chargeback import resolve_owner
-    q = queries.filter(F.col("warehouse_name") == warehouse).select("query_id", "warehouse_name", "user_name", "query_type")
-    j = pqc.select("query_id", "metered_credits").join(q, "query_id")
+    j = pqc.filter(F.col("warehouse_name") == warehouse)
     per_type = j.groupBy("warehouse_name", "query_type").agg(F.sum("metered_credits").alias("c"))
     top = per_type.groupBy("warehouse_name").agg(F.max_by("query_type", F.struct("c", "query_type")).alias("top_query_type"))
     g = j.groupBy("warehouse_name").agg(F.count(F.lit(1)).alias("queries"), F.countDistinct("user_name").alias("users"),

@@ -142,13 +142,11 @@ def chargeback_detail(queries: DataFrame, metering: DataFrame, as_of: datetime,
     user, role and warehouse. ``tenant``/``environment`` are Column labels
     (see :mod:`opslens.functions.scope`)."""
     from opslens.operators.cost import per_query_credits
-    pqc = per_query_credits(queries, metering, as_of, days=days)
-    q = queries.select("query_id", F.to_date("start_time").alias("usage_date"), "database_name", "user_name",
-                       "role_name", "warehouse_name", "warehouse_size", tenant.alias("company"),
-                       environment.alias("environment"))
-    return (pqc.select("query_id", "metered_credits").join(q, "query_id")
-            .groupBy("usage_date", "company", "environment", "database_name", "user_name", "role_name",
-                     "warehouse_name", "warehouse_size")
+    pqc = per_query_credits(queries, metering, as_of, days=days, keep=[
+        F.to_date("start_time").alias("usage_date"), "database_name", "user_name", "role_name", "warehouse_size",
+        tenant.alias("company"), environment.alias("environment")])
+    return (pqc.groupBy("usage_date", "company", "environment", "database_name", "user_name", "role_name",
+                        "warehouse_name", "warehouse_size")
             .agg(F.count(F.lit(1)).alias("query_count"),
                  rounded(F.sum("metered_credits"), 6).alias("allocated_credits"),
                  rounded(F.sum("metered_credits") * price, 2).alias("est_cost_usd")))

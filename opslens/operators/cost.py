@@ -17,6 +17,7 @@ Design notes for scale:
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -126,17 +127,21 @@ def hourly_compute_credits(metering: DataFrame, start: datetime, end: datetime)
 
 def per_query_credits(queries: DataFrame, metering: DataFrame, as_of: datetime, days: int = 7,
                       hours: int | None = None, include_recent: bool = False,
-                      attribution: DataFrame | None = None) -> DataFrame:
+                      attribution: DataFrame | None = None, keep: Sequence[str | Column] = ()) -> DataFrame:
     """CST-1: credits per query. Official attribution when present, else the
     warehouse-hour's metered compute credits times the query's share of that
     hour's execution time. Window ends 24 h before ``as_of`` unless
-    ``include_recent`` (partial billing hours)."""
+    ``include_recent`` (partial billing hours).
+
+    ``keep`` carries columns of the statement along, so that a caller that
+    groups by them needs no second, unpruned read of the history to join to."""
     start = as_of - (timedelta(hours=hours) if hours else timedelta(days=days))
     end = as_of if include_recent else as_of - timedelta(hours=24)
     q = (queries.filter(between_ts("start_time", start, end) & F.col("warehouse_name").isNotNull()
                         & (F.col("execution_time") > 0))
          .select("query_id", "warehouse_name", trunc("hour", "start_time").alias("hour_bucket"),
-                 F.col("execution_time").alias("exec_ms")))
+                 F.col("execution_time").alias("exec_ms"), *keep))
+    kept = [c for c in q.columns if c not in ("query_id", "warehouse_name", "hour_bucket", "exec_ms")]
     hour_exec = q.groupBy("warehouse_name", "hour_bucket").agg(F.sum("exec_ms").alias("hour_total_exec_ms"))
     m = hourly_compute_credits(metering, start, end)
     share = (F.coalesce(F.col("hourly_compute_credits"), F.lit(0.0)) * F.col("exec_ms")
@@ -159,7 +164,7 @@ def per_query_credits(queries: DataFrame, metering: DataFrame, as_of: datetime,
                     rounded(share, 6).alias("allocated_metered_credits"),
                     official.alias("official_attributed_compute_credits"),
                     source.alias("credit_source"),
-                    rounded(F.coalesce(official, share), 6).alias("metered_credits"))
+                    rounded(F.coalesce(official, share), 6).alias("metered_credits"), *kept)
 
 
 # --------------------------------------------------------------------------
@@ -240,15 +245,18 @@ def cost_reconciliation(metering: DataFrame, queries: DataFrame, as_of: datetime
     metered = (metering.filter(between_ts("start_time", start, end))
                .groupBy(trunc("day", "start_time").alias("usage_day"), "warehouse_name")
                .agg(rounded(F.sum("credits_used"), 6).alias("exact_metered_credits")))
-    pqc = per_query_credits(queries, metering, as_of, days=days)
-    allocated = (queries.filter(between_ts("start_time", start, end) & F.col("warehouse_name").isNotNull())
-                 .select("query_id", "warehouse_name", trunc("day", "start_time").alias("usage_day"))
-                 .join(pqc.select("query_id", "metered_credits", "allocated_metered_credits"), "query_id", "left")
-                 .groupBy("usage_day", "warehouse_name")
-                 .agg(F.count(F.lit(1)).alias("query_count"),
-                      rounded(F.sum(F.coalesce("metered_credits", F.lit(0.0))), 6).alias("allocated_query_credits"),
-                      rounded(F.sum(F.coalesce("allocated_metered_credits", F.lit(0.0))), 6)
-                      .alias("allocated_share_credits")))
+    # the hour already gives the day; both sides are sums by (day, warehouse) before they meet
+    shares = (per_query_credits(queries, metering, as_of, days=days)
+              .groupBy(trunc("day", "hour_bucket").alias("usage_day"), "warehouse_name")
+              .agg(F.sum(F.coalesce("metered_credits", F.lit(0.0))).alias("_m"),
+                   F.sum(F.coalesce("allocated_metered_credits", F.lit(0.0))).alias("_a")))
+    counts = (queries.filter(between_ts("start_time", start, end) & F.col("warehouse_name").isNotNull())
+              .groupBy(trunc("day", "start_time").alias("usage_day"), "warehouse_name")
+              .agg(F.count(F.lit(1)).alias("query_count")))
+    allocated = counts.join(shares, ["usage_day", "warehouse_name"], "left").select(
+        "usage_day", "warehouse_name", "query_count",
+        rounded(F.coalesce("_m", F.lit(0.0)), 6).alias("allocated_query_credits"),
+        rounded(F.coalesce("_a", F.lit(0.0)), 6).alias("allocated_share_credits"))
     j = metered.join(allocated, ["usage_day", "warehouse_name"], "full")
     m = F.coalesce("exact_metered_credits", F.lit(0.0))
     a = F.coalesce("allocated_query_credits", F.lit(0.0))
@@ -383,11 +391,9 @@ def cost_drivers(queries: DataFrame, metering: DataFrame, as_of: datetime, dims:
                  days: int = 7, price: float = CREDIT_PRICE, limit: int | None = 50) -> DataFrame:
     """CST-16 / CST-17: allocated credits grouped by a dimension list (user,
     role, warehouse, query type, database.schema, called procedure ...)."""
-    pqc = per_query_credits(queries, metering, as_of, days=days)
-    dim_cols = [F.col(d) if isinstance(d, str) else d for d in dims]
-    q = queries.select("query_id", *dim_cols)
-    g = (pqc.select("query_id", "metered_credits").join(q, "query_id")
-         .groupBy(*[n for n in q.columns if n != "query_id"])
+    names = queries.select(*dims).columns
+    pqc = per_query_credits(queries, metering, as_of, days=days, keep=[d for d in dims if not isinstance(d, str) or d != "warehouse_name"])
+    g = (pqc.groupBy(*names)
          .agg(F.count(F.lit(1)).alias("query_count"),
               rounded(F.sum("metered_credits"), 4).alias("credits"),
               rounded(F.sum("metered_credits") * price, 2).alias("est_cost_usd")))
@@ -399,9 +405,8 @@ def cost_drivers(queries: DataFrame, metering: DataFrame, as_of: datetime, dims:
 def top_users_by_cost(queries: DataFrame, metering: DataFrame, as_of: datetime, days: int = 7,
                       limit: int = 10) -> DataFrame:
     """CST-22: top users by allocated credits with share of the total."""
-    pqc = per_query_credits(queries, metering, as_of, days=days)
-    per_user = (pqc.join(queries.select("query_id", "user_name"), "query_id")
-                .groupBy("user_name").agg(F.sum("metered_credits").alias("_c"), F.count(F.lit(1)).alias("query_count")))
+    pqc = per_query_credits(queries, metering, as_of, days=days, keep=["user_name"])
+    per_user = (pqc.groupBy("user_name").agg(F.sum("metered_credits").alias("_c"), F.count(F.lit(1)).alias("query_count")))
     total = per_user.agg(F.sum("_c").alias("_t"))
     return (per_user.crossJoin(F.broadcast(total))
             .select("user_name", "query_count", rounded("_c", 4).alias("credits"),

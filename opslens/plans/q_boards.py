@@ -395,9 +395,9 @@ def _(spark, sf):
 
 
 def _explorer(spark, sf):
-    pqc = cost.per_query_credits(_q(spark, sf), _m(spark, sf), EVENTS_AS_OF, 7)
-    return bd.cost_explorer(pqc, _q(spark, sf), tv.load(spark, sf, "warehouse_tags"), scope.tenant_label(tenants()),
-                            scope.environment_label(environments()))
+    pqc = cost.per_query_credits(_q(spark, sf), _m(spark, sf), EVENTS_AS_OF, 7, keep=[
+        scope.tenant_label(tenants()).alias("company"), scope.environment_label(environments()).alias("environment")])
+    return bd.cost_explorer(pqc, tv.load(spark, sf, "warehouse_tags"))
 
 
 @register("cost_explorer", "query_history", "warehouse_metering", "warehouse_tags", op="CST-18", sql=_EXPLORER + "SELECT * FROM ex")
@@ -453,8 +453,8 @@ SELECT g.*, tp.top_query_type, c.owner_name AS owner_tag
 FROM g JOIN tp ON g.warehouse_name = tp.warehouse_name LEFT JOIN (SELECT * FROM cand WHERE rn = 1) c ON g.warehouse_name = c.warehouse_name
 """)
 def _(spark, sf):
-    pqc = cost.per_query_credits(_q(spark, sf), _m(spark, sf), EVENTS_AS_OF, 7)
-    return bd.outlier_evidence(pqc, _q(spark, sf), chb.rules_frame(spark, OWNER_RULES), "WH_3")
+    pqc = cost.per_query_credits(_q(spark, sf), _m(spark, sf), EVENTS_AS_OF, 7, keep=["user_name", "query_type"])
+    return bd.outlier_evidence(pqc, chb.rules_frame(spark, OWNER_RULES), "WH_3")
 
 
 @register("remaining_balance", "contract_balances", op="FCT-3", sql="""
