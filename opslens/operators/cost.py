@@ -185,7 +185,10 @@ def service_cost_lens(service: DataFrame, as_of: datetime, days: int = 7,
                  F.coalesce(F.col("credits_used_compute") if "credits_used_compute" in service.columns
                             else F.lit(None).cast("double"), F.lit(0.0)).alias("compute_credits"),
                  F.coalesce(F.col("credits_used_cloud_services") if "credits_used_cloud_services" in service.columns
-                            else F.lit(None).cast("double"), F.lit(0.0)).alias("cloud_credits")))
+                            else F.lit(None).cast("double"), F.lit(0.0)).alias("cloud_credits"))
+         # one row for each day and service first: the category and rate patterns then run on those
+         .groupBy("usage_date", "service_type")
+         .agg(*[F.sum(c).alias(c) for c in ("total_credits", "compute_credits", "cloud_credits")], F.count(F.lit(1)).alias("rows")))
     cur = F.col("usage_date").cast("timestamp_ntz") > ts_lit(cut)
     rate = service_rate("service_type", price, ai_price)
 
@@ -201,7 +204,7 @@ def service_cost_lens(service: DataFrame, as_of: datetime, days: int = 7,
               cs(F.col("compute_credits")).alias("_cc"), cs(F.col("cloud_credits")).alias("_cl"),
               cs(F.col("total_credits") * rate).alias("_cu"), ps(F.col("total_credits") * rate).alias("_pu"),
               F.countDistinct(F.when(cur, F.col("usage_date"))).alias("observed_days"),
-              F.count_if(cur).alias("metering_rows"),
+              F.sum(F.when(cur, F.col("rows")).otherwise(F.lit(0))).alias("metering_rows"),
               F.sum("total_credits").alias("_t"), F.sum("compute_credits").alias("_tc"),
               F.sum("cloud_credits").alias("_tl"))
          .filter((F.abs("_t") > 0) | (F.abs("_tc") > 0) | (F.abs("_tl") > 0)))

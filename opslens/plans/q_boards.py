@@ -405,6 +405,19 @@ def _(spark, sf):
     return _explorer(spark, sf)
 
 
+@register("chargeback_detail", "query_history", "warehouse_metering", op="CHB-5", sql="WITH " + pqc_cte() + """,
+qq AS (SELECT query_id, CAST(start_time AS DATE) AS usage_date, database_name, user_name, role_name, warehouse_name, warehouse_size,
+              """ + TENANT_SQL + """ AS company, """ + ENV_SQL + """ AS environment FROM query_history)
+SELECT usage_date, company, environment, database_name, user_name, role_name, qq.warehouse_name, warehouse_size,
+       count(*) AS query_count, round(sum(p.metered_credits), 6) AS allocated_credits,
+       round(sum(p.metered_credits) * 3.68, 2) AS est_cost_usd
+FROM pqc p JOIN qq ON p.query_id = qq.query_id GROUP BY 1, 2, 3, 4, 5, 6, 7, 8
+""")
+def _(spark, sf):
+    return chb.chargeback_detail(_q(spark, sf), _m(spark, sf), EVENTS_AS_OF, scope.tenant_label(tenants()),
+                                 scope.environment_label(environments()), 7)
+
+
 @register("cost_lens_summary", "query_history", "warehouse_metering", "warehouse_tags", op="CST-19", sql=_EXPLORER + """,
 g AS (SELECT company, environment, sum(credits) AS c, count_if(cost_center IS NULL) AS u FROM ex GROUP BY 1, 2)
 SELECT company, environment, round(c, 6) AS credits, round(c * 100 / nullif((SELECT sum(c) FROM g), 0), 1) AS share_pct,
