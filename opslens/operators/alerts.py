@@ -111,8 +111,7 @@ def issue_list(tri: DataFrame, task_console: DataFrame, sec_exceptions: DataFram
     a = tri.select(F.lit("alert").alias("source"), F.col("alert_id").alias("issue_id"), "severity",
                    F.col("entity"), F.col("alert_type").alias("issue_type"), F.col("alert_ts").alias("seen_at"))
     t = task_console.select(F.lit("task_failure").alias("source"), F.col("query_id").alias("issue_id"),
-                            F.when(F.col("incident_priority") == "P1", "Critical").when(F.col("incident_priority") == "P2", "High")
-                            .otherwise("Medium").alias("severity"),
+                            "severity",
                             F.concat_ws(".", "database_name", "schema_name", "task_name").alias("entity"),
                             F.col("failure_category").alias("issue_type"), F.col("scheduled_time").alias("seen_at"))
     s = sec_exceptions.select(F.lit("security").alias("source"), F.col("severity"), F.col("entity"),

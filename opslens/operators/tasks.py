@@ -135,32 +135,73 @@ def error_signature(text: Column) -> Column:
     return F.when(t == "", "No error text").otherwise(t)
 
 
-def failure_console(tasks: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
-    """TSK-5: each failed run with category, signature, how often its pattern
-    (category, signature) failed and on how many tasks, and a priority.
-    Pattern counts are a grouped aggregate joined back, not a window."""
+# Categories whose failures are incidents, and what blocks a retry in each category.
+CRITICAL_CATEGORIES = ["Privilege / RBAC", "Object Dependency / Drift", "Warehouse / Runtime Capacity"]
+BLOCKED = [("Privilege", "Blocked - grant or role fix first"), ("Object Dependency", "Blocked - object dependency fix first"),
+           ("Warehouse", "Blocked - warehouse or capacity review first"), ("Data Quality", "Blocked - data correction first")]
+
+
+def failure_console(tasks: DataFrame, as_of: datetime, days: int = 7, impact: DataFrame | None = None) -> DataFrame:
+    """TSK-5: each failed run with category (error and, where the feed has it,
+    statement text), signature, how often its pattern failed and on how many
+    tasks, downstream count, priority P1 to P4, severity, recovery readiness and
+    the task's recovery state against the SLA.
+
+    ``impact`` is :func:`opslens.operators.graph.graph_impact` (by task label);
+    without it no task has dependents. Pattern counts are a grouped aggregate
+    joined back, not a window."""
+    text = F.concat_ws("\n", *[c for c in ("error_message", "query_text") if c in tasks.columns])
     f = (runs(tasks, as_of, days).filter(F.col("state") == "FAILED")
-         .select(*TASK_KEY, "query_id", "scheduled_time", "error_code", "error_message",
-                 failure_category(F.col("error_message")).alias("failure_category"),
+         .select(*TASK_KEY, "query_id", "scheduled_time", "error_code", "error_message", "duration_sec",
+                 failure_category(text).alias("failure_category"),
                  error_signature(F.col("error_message")).alias("error_signature")))
     pat = f.groupBy("failure_category", "error_signature").agg(
         F.count(F.lit(1)).alias("pattern_failure_count"),
-        F.countDistinct(*TASK_KEY).alias("pattern_task_count"))
+        F.countDistinct("task_name").alias("pattern_task_count"))
     j = (f.join(pat, ["failure_category", "error_signature"])
          .withColumn("error_signature", F.substring("error_signature", 1, SIGNATURE_SHOWN)))
-    prio = (F.when(F.col("pattern_task_count") >= 5, "P1").when(F.col("pattern_failure_count") >= 5, "P2")
-            .otherwise("P3"))
-    ready = (F.when(F.col("failure_category").isin("Privilege / RBAC", "Object Dependency / Drift"),
-                    "Fix before retry").when(F.col("failure_category") == UNCLASSIFIED, "Needs diagnosis")
-             .otherwise("Retry after check"))
-    return j.withColumn("incident_priority", prio).withColumn("recovery_readiness", ready)
+    if impact is None:
+        j = j.withColumn("downstream_task_count", F.lit(0).cast("bigint"))
+    else:
+        per_task = impact.groupBy(F.col("label").alias("task_name")).agg(
+            F.max("downstream_task_count").cast("bigint").alias("downstream_task_count"))
+        j = j.join(per_task, "task_name", "left").withColumn("downstream_task_count", F.coalesce("downstream_task_count", F.lit(0)))
+    state = recovery_sla(tasks, as_of, days).select(*TASK_KEY, "recovery_state")
+    j = j.join(state, TASK_KEY, "left").withColumn("recovery_state", F.coalesce("recovery_state", F.lit("No recent recovery signal")))
+    cat, critical = F.col("failure_category"), F.col("failure_category").isin(*CRITICAL_CATEGORIES)
+    down, fails, many = F.col("downstream_task_count"), F.col("pattern_failure_count"), F.col("pattern_task_count")
+    prio = (F.when(critical & ((down >= 3) | (many >= 2) | (fails >= 3)), "P1 - Graph Incident")
+            .when(critical | (down >= 1) | (fails >= 3), "P2 - Production Risk")
+            .when(cat.contains("Data Quality") | (F.col("duration_sec") >= 300), "P3 - Pipeline Defect")
+            .otherwise("P4 - Review"))
+    ready = F.when(F.col("task_name").isNull() | (F.trim("task_name") == ""), "Blocked - task FQN missing")
+    for part, label in BLOCKED:
+        ready = ready.when(cat.contains(part), label)
+    return (j.withColumn("incident_priority", prio)
+            .withColumn("severity", F.when(prio.startswith("P1"), "Critical").when(prio.startswith("P2"), "High")
+                        .when(prio.startswith("P3"), "Medium").otherwise("Low"))
+            .withColumn("recovery_readiness", ready.otherwise("Ready after DBA owner approval")))
 
 
 def failure_console_summary(console: DataFrame) -> DataFrame:
-    """TSK-5 counters: failures, categories, tasks, P1 count."""
+    """TSK-5 counters: failures, categories, tasks, critical (P1 and P2), P1
+    incidents and blocked recoveries."""
+    prio = F.col("incident_priority")
     return console.agg(F.count(F.lit(1)).alias("failures"), F.countDistinct("failure_category").alias("categories"),
-                       F.countDistinct(*TASK_KEY).alias("tasks"),
-                       F.count_if(F.col("incident_priority") == "P1").alias("critical"))
+                       F.countDistinct("task_name").alias("tasks"),
+                       F.count_if(prio.startswith("P1") | prio.startswith("P2")).alias("critical"),
+                       F.count_if(prio.startswith("P1")).alias("p1_incidents"),
+                       F.count_if(F.col("recovery_readiness").startswith("Blocked")).alias("blocked_recoveries"))
+
+
+def failure_patterns(console: DataFrame) -> DataFrame:
+    """TSK-5 patterns: per category and signature, failures, tasks, first
+    priority and readiness, largest downstream count, first and last seen."""
+    return console.groupBy("failure_category", "error_signature").agg(
+        F.count(F.lit(1)).alias("failure_count"), F.countDistinct("task_name").alias("task_count"),
+        F.min("incident_priority").alias("incident_priority"), F.min("recovery_readiness").alias("recovery_readiness"),
+        F.max("downstream_task_count").alias("downstream_task_count"),
+        F.min("scheduled_time").alias("first_seen"), F.max("scheduled_time").alias("last_seen"))
 
 
 def recovery_sla(tasks: DataFrame, as_of: datetime, days: int = 30, target_hours: float = 4.0) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from opslens.operators.graph import graph_impact
 from opslens.operators import tasks as tsk
 from opslens.plans.fixtures import values_cte
+from opslens.plans.q_graph import _EDGES
 from opslens.plans.registry import register
 from opslens.sources import testviews as tv
 from opslens.sources.testviews import EVENTS_AS_OF, ORDERS_AS_OF
@@ -101,31 +103,74 @@ _MASKED = ("regexp_replace(regexp_replace(trim(coalesce(error_message, '')), '\\
            "'(?i)\\b[0-9a-f]{8,}[-0-9a-f]*\\b', '<id>', 'g')")
 _SIG = f"CASE WHEN {_MASKED} = '' THEN 'No error text' ELSE {_MASKED} END"
 
-_CONSOLE = "WITH " + _runs(D30, "AND state = 'FAILED'") + f""",
-f AS (SELECT {KEY}, query_id, scheduled_time, error_code, error_message, {_category_sql('error_message')} AS failure_category,
-             {_SIG} AS error_signature FROM r),
+_RECOVERY = f"""
+lf AS (SELECT {KEY}, max(scheduled_time) AS failure_at FROM r WHERE state = 'FAILED' GROUP BY 1, 2, 3),
+rc AS (SELECT r.database_name, r.schema_name, r.task_name, min(r.scheduled_time) AS recovery_at
+       FROM r JOIN lf ON r.database_name = lf.database_name AND r.schema_name = lf.schema_name AND r.task_name = lf.task_name
+       WHERE r.state = 'SUCCEEDED' AND r.scheduled_time > lf.failure_at GROUP BY 1, 2, 3),
+j AS (SELECT lf.*, rc.recovery_at,
+             CASE WHEN rc.recovery_at IS NOT NULL THEN date_diff('microsecond', lf.failure_at, rc.recovery_at) / 1e6 / 3600.0
+                  ELSE date_diff('microsecond', lf.failure_at, TIMESTAMP '2001-08-02 00:00:00') / 1e6 / 3600.0 END AS h
+      FROM lf LEFT JOIN rc ON lf.database_name = rc.database_name AND lf.schema_name = rc.schema_name AND lf.task_name = rc.task_name),
+rec AS (SELECT {KEY}, failure_at, recovery_at, round(greatest(h, 0.0), 2) AS recovery_hours,
+               CASE WHEN recovery_at IS NULL THEN 'Open Failure' WHEN h <= 4.0 THEN 'Recovered Within SLA' ELSE 'Recovered Late' END AS recovery_state
+        FROM j)
+"""
+
+_CONSOLE = "WITH RECURSIVE " + _EDGES + """,
+reach(anc, dsc) AS (SELECT source, target FROM edges UNION SELECT r.anc, e.target FROM reach r JOIN edges e ON r.dsc = e.source),
+down AS (SELECT label AS task_name, max(c) AS c FROM (SELECT n.label, (SELECT count(*) FROM reach WHERE anc = n.task_id) AS c FROM nodes n) GROUP BY 1),
+""" + _runs(D30, "AND scheduled_time < TIMESTAMP '2001-08-02 00:00:00'") + "," + _RECOVERY + f""",
+f AS (SELECT {KEY}, query_id, scheduled_time, error_code, error_message, duration_sec, {_category_sql('error_message')} AS failure_category,
+             {_SIG} AS error_signature FROM r WHERE state = 'FAILED'),
 pat AS (SELECT failure_category, error_signature, count(*) AS pattern_failure_count,
-               count(DISTINCT ({KEY})) AS pattern_task_count FROM f GROUP BY 1, 2),
-con AS (
-SELECT f.* REPLACE (substr(f.error_signature, 1, 180) AS error_signature), pattern_failure_count, pattern_task_count,
-       CASE WHEN pattern_task_count >= 5 THEN 'P1' WHEN pattern_failure_count >= 5 THEN 'P2' ELSE 'P3' END AS incident_priority,
-       CASE WHEN f.failure_category IN ('Privilege / RBAC', 'Object Dependency / Drift') THEN 'Fix before retry'
-            WHEN f.failure_category = '{tsk.UNCLASSIFIED}' THEN 'Needs diagnosis' ELSE 'Retry after check' END AS recovery_readiness
-FROM f JOIN pat ON f.failure_category = pat.failure_category AND f.error_signature = pat.error_signature)
+               count(DISTINCT task_name) AS pattern_task_count FROM f GROUP BY 1, 2),
+k AS (SELECT f.* REPLACE (substr(f.error_signature, 1, 180) AS error_signature), pattern_failure_count, pattern_task_count,
+             CAST(coalesce(down.c, 0) AS BIGINT) AS downstream_task_count, coalesce(rec.recovery_state, 'No recent recovery signal') AS recovery_state
+      FROM f JOIN pat ON f.failure_category = pat.failure_category AND f.error_signature = pat.error_signature
+      LEFT JOIN down ON f.task_name = down.task_name
+      LEFT JOIN rec ON f.database_name = rec.database_name AND f.schema_name = rec.schema_name AND f.task_name = rec.task_name),
+c0 AS (SELECT *, failure_category IN ('Privilege / RBAC', 'Object Dependency / Drift', 'Warehouse / Runtime Capacity') AS crit FROM k),
+c1 AS (SELECT * EXCLUDE (crit),
+       CASE WHEN crit AND (downstream_task_count >= 3 OR pattern_task_count >= 2 OR pattern_failure_count >= 3) THEN 'P1 - Graph Incident'
+            WHEN crit OR downstream_task_count >= 1 OR pattern_failure_count >= 3 THEN 'P2 - Production Risk'
+            WHEN failure_category LIKE '%Data Quality%' OR duration_sec >= 300 THEN 'P3 - Pipeline Defect' ELSE 'P4 - Review' END AS incident_priority,
+       CASE WHEN failure_category LIKE '%Privilege%' THEN 'Blocked - grant or role fix first'
+            WHEN failure_category LIKE '%Object Dependency%' THEN 'Blocked - object dependency fix first'
+            WHEN failure_category LIKE '%Warehouse%' THEN 'Blocked - warehouse or capacity review first'
+            WHEN failure_category LIKE '%Data Quality%' THEN 'Blocked - data correction first'
+            ELSE 'Ready after DBA owner approval' END AS recovery_readiness FROM c0),
+con AS (SELECT *, CASE substr(incident_priority, 1, 2) WHEN 'P1' THEN 'Critical' WHEN 'P2' THEN 'High' WHEN 'P3' THEN 'Medium' ELSE 'Low' END AS severity
+        FROM c1)
 """
 
 
-@register("task_failure_console", "task_history", op="TSK-5", sql=_CONSOLE + "SELECT * FROM con")
+def _console(spark, sf):
+    return tsk.failure_console(_t(spark, sf), ORDERS_AS_OF, 30, impact=graph_impact(tv.load(spark, sf, "task_graph")))
+
+
+@register("task_failure_console", "task_history", "task_graph", op="TSK-5", sql=_CONSOLE + "SELECT * FROM con")
+def _(spark, sf):
+    return _console(spark, sf)
+
+
+@register("task_failure_console_summary", "task_history", "task_graph", op="TSK-5", sql=_CONSOLE + """
+SELECT count(*) AS failures, count(DISTINCT failure_category) AS categories, count(DISTINCT task_name) AS tasks,
+       count_if(incident_priority LIKE 'P1%' OR incident_priority LIKE 'P2%') AS critical, count_if(incident_priority LIKE 'P1%') AS p1_incidents,
+       count_if(recovery_readiness LIKE 'Blocked%') AS blocked_recoveries FROM con
+""")
 def _(spark, sf):
-    return tsk.failure_console(_t(spark, sf), ORDERS_AS_OF, 30)
+    return tsk.failure_console_summary(_console(spark, sf))
 
 
-@register("task_failure_console_summary", "task_history", op="TSK-5", sql=_CONSOLE + f"""
-SELECT count(*) AS failures, count(DISTINCT failure_category) AS categories, count(DISTINCT ({KEY})) AS tasks,
-       count_if(incident_priority = 'P1') AS critical FROM con
+@register("task_failure_patterns", "task_history", "task_graph", op="TSK-5", sql=_CONSOLE + """
+SELECT failure_category, error_signature, count(*) AS failure_count, count(DISTINCT task_name) AS task_count,
+       min(incident_priority) AS incident_priority, min(recovery_readiness) AS recovery_readiness,
+       max(downstream_task_count) AS downstream_task_count, min(scheduled_time) AS first_seen, max(scheduled_time) AS last_seen
+FROM con GROUP BY 1, 2
 """)
 def _(spark, sf):
-    return tsk.failure_console_summary(tsk.failure_console(_t(spark, sf), ORDERS_AS_OF, 30))
+    return tsk.failure_patterns(_console(spark, sf))
 
 
 @register("task_recovery_sla", "task_history", op="TSK-6", sql="WITH " + _runs(D30, "AND scheduled_time < TIMESTAMP '2001-08-02 00:00:00'") + f""",
