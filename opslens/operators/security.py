@@ -267,29 +267,94 @@ def tag_coverage(tables: DataFrame, tags: DataFrame) -> DataFrame:
                     .alias("maturity"))
 
 
-def owner_resolution(entities: DataFrame, rules: DataFrame, candidates: list[str], entity_type_col: str = "entity_type") -> DataFrame:
-    """GOV-7: best owner rule per entity over several candidate values (e.g.
-    warehouse, database, user): score = priority + 50 for an exact type match
-    + 25 for an exact (non-wildcard) pattern; highest score, then priority,
-    then pattern. Candidates are exploded and matched against the broadcast
-    rule table on distinct values only."""
-    cand = entities.select("entity_id", F.upper(entity_type_col).alias("etype"),
-                           F.explode(F.array(*[F.col(c) for c in candidates])).alias("value")).filter(F.col("value").isNotNull())
-    vals = cand.select("value").distinct()
-    r = rules.filter(F.coalesce("is_active", F.lit(True)))
-    pat = F.upper("entity_pattern")
-    m = vals.join(F.broadcast(r), (F.upper("value") == pat)
-                  | (pat.contains("*") & F.like(F.upper("value"), F.replace(pat, F.lit("*"), F.lit("%")))))
-    j = cand.join(m, "value")
-    score = (F.coalesce("match_priority", F.lit(0)) + F.when(F.upper("entity_type") == F.col("etype"), 50).otherwise(0)
-             + F.when(~pat.contains("*"), 25).otherwise(0))
-    best = j.groupBy("entity_id").agg(F.max(F.struct(score.alias("score"), F.col("match_priority").alias("p"),
-                                                     F.col("entity_pattern").alias("pat"), "owner_name",
-                                                     F.col("value").alias("matched_value"))).alias("b"))
-    return (entities.select("entity_id").distinct().join(best, "entity_id", "left")
-            .select("entity_id", F.col("b.owner_name").alias("owner_name"), F.col("b.score").alias("match_score"),
-                    F.col("b.pat").alias("matched_pattern"), F.col("b.matched_value").alias("matched_value"),
-                    F.when(F.col("b.owner_name").isNull(), "Unrouted").otherwise("Routed").alias("route_state")))
+# Entity types by the words that name them, first match wins for the canonical type.
+ENTITY_TYPES = [("COST_CONTROL", ["COST", "FINOPS", "CHARGEBACK"]), ("PROCEDURE", ["PROCEDURE", "PROC", "CALL"]), ("TASK", ["TASK"]),
+                ("WAREHOUSE", ["WAREHOUSE"]), ("CHANGE_CONTROL", ["CHANGE", "DRIFT", "DDL", "IAC"]),
+                ("SECURITY", ["GRANT", "ROLE", "SECURITY"]), ("ACCOUNT_HEALTH", ["ACCOUNT HEALTH", "CHECKLIST", "CONTROL ROOM"])]
+# Owners that a directory owner replaces.
+GENERIC_OWNERS = ["", "DBA", "DBA / FINOPS", "DBA / PLATFORM", "DBA / SECURITY", "DBA / WORKLOAD OWNER", "DBA / PIPELINE OWNER",
+                  "DBA / PROCEDURE OWNER", "DBA / DATA ENGINEERING", "DATA ENGINEERING", "UNKNOWN", "UNASSIGNED", "N/A", "NONE", "NULL"]
+# Scores of a type (the canonical one, a candidate) and of a pattern (equal, wildcard, part of it, everything).
+TYPE_EXACT, TYPE_CANDIDATE = 85, 55
+EQUAL, WILDCARD, PART, EVERYTHING = 100, 40, 20, 1
+DEFAULT_OWNER = "DBA"
+
+
+def _upper_text(c: str | Column) -> Column:
+    return F.upper(F.trim(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))))
+
+
+def _any_of(text: Column, words: list[str]) -> Column:
+    cond = F.lit(False)
+    for w in words:
+        cond = cond | text.contains(w)
+    return cond
+
+
+def canonical_entity_type(value: Column) -> Column:
+    """One type for an entity's type text; the text itself where no word fits."""
+    out = F.when(F.lit(False), F.lit(""))
+    for name, words in ENTITY_TYPES:
+        out = out.when(_any_of(value, words), name)
+    return out.when(value.contains("ALERT"), "ALERT").otherwise(value)
+
+
+def entity_type_candidates(*values: Column) -> Column:
+    """The rule types that an entity with these type texts may match."""
+    joined = F.concat_ws(" ", *values)
+    named = [F.when(_any_of(joined, words), F.lit(name)) for name, words in ENTITY_TYPES]
+    return F.array_distinct(F.array_compact(F.array(
+        *[F.when(v != "", v) for v in values], *named, canonical_entity_type(values[0]), F.lit("ALERT"), F.lit("GLOBAL"))))
+
+
+def pattern_score(pattern: Column, value: Column) -> Column:
+    """How well an upper-case directory pattern fits an upper-case value."""
+    like = F.replace(F.replace(F.replace(pattern, F.lit("\\"), F.lit("\\\\")), F.lit("_"), F.lit("\\_")), F.lit("*"), F.lit("%"))
+    part = F.replace(F.replace(pattern, F.lit("*"), F.lit("")), F.lit("%"), F.lit(""))
+    return (F.when(value == "", 0).when(pattern.isin("*", "%"), EVERYTHING).when(pattern == value, EQUAL)
+            .when(F.like(value, like), WILDCARD).when((part != "") & value.contains(part), PART).otherwise(0))
+
+
+def owner_resolution(entities: DataFrame, rules: DataFrame, candidates: list[str], entity_type_col: str = "entity_type",
+                     category_col: str | None = None, alert_type_col: str | None = None, owner_col: str | None = None) -> DataFrame:
+    """GOV-7: the best owner rule of each entity over its candidate values (entity,
+    database, warehouse, task, procedure, category, alert type, source): score =
+    rule priority + type score + best pattern score; rules of a type that is
+    neither a candidate type nor GLOBAL or ALERT don't apply. An owner that isn't
+    generic is kept; without a rule the owner is ``DEFAULT_OWNER``.
+
+    Entities are reduced to their distinct (types, values) first. Patterns meet
+    the broadcast rule table (bounded by ``rules_frame``) on distinct values
+    only, and the outcome goes back to the entities by one join."""
+    types = [entity_type_col, category_col, alert_type_col]
+    texts = [_upper_text(c) if c else F.lit("") for c in types]
+    e = entities.select("entity_id", *[x.alias(f"_t{i}") for i, x in enumerate(texts)], _upper_text(owner_col or F.lit("")).alias("_owner"),
+                        F.trim(F.coalesce(F.col(owner_col) if owner_col else F.lit(""), F.lit(""))).alias("_given"),
+                        F.array_sort(F.array_distinct(F.array(*[_upper_text(c) for c in candidates]))).alias("_values"))
+    key = ["_t0", "_t1", "_t2", "_values"]
+    kinds = e.select(*key).distinct()
+    cand = kinds.select(*key, F.explode("_values").alias("_value")).filter(F.col("_value") != "")
+    r = rules.filter(F.coalesce("is_active", F.lit(True))).select(
+        F.when(_upper_text("entity_type") == "", "GLOBAL").otherwise(_upper_text("entity_type")).alias("_rtype"),
+        F.when(_upper_text("entity_pattern") == "", "*").otherwise(_upper_text("entity_pattern")).alias("_pat"),
+        "owner_name", "entity_pattern", F.coalesce("match_priority", F.lit(0)).alias("_prio"))
+    vals = cand.select("_value").distinct()
+    m = vals.join(F.broadcast(r), pattern_score(F.col("_pat"), F.col("_value")) > 0) \
+        .withColumn("_fit", pattern_score(F.col("_pat"), F.col("_value")))
+    j = cand.join(m, "_value")
+    may = entity_type_candidates(F.col("_t0"), F.col("_t1"), F.col("_t2"))
+    kind_score = (F.when(F.col("_rtype") == canonical_entity_type(F.col("_t0")), TYPE_EXACT)
+                  .when(F.array_contains(may, F.col("_rtype")), TYPE_CANDIDATE))
+    best = (j.withColumn("_score", F.col("_prio") + kind_score + F.col("_fit")).filter(F.col("_score").isNotNull())
+            .groupBy(*key).agg(F.max(F.struct(F.col("_score"), F.col("_prio"), F.col("_pat"), F.col("owner_name"),
+                                              F.col("_value"))).alias("b")))
+    named = e.join(best, key, "left")
+    generic = F.replace(F.col("_owner"), F.lit("\\"), F.lit("/")).isin(*GENERIC_OWNERS)
+    directory = F.coalesce(F.col("b.owner_name"), F.lit(DEFAULT_OWNER))
+    return named.select("entity_id", F.when(generic, directory).otherwise(F.col("_given")).alias("owner_name"),
+                        F.col("b._score").alias("match_score"), F.col("b._pat").alias("matched_pattern"),
+                        F.col("b._value").alias("matched_value"),
+                        F.when(F.col("b").isNull(), "Unrouted").otherwise("Routed").alias("route_state")).distinct()
 
 
 def ai_usage_by_user(ai: DataFrame, as_of: datetime, days: int = 30, budget_credits: float = 5.0) -> DataFrame:

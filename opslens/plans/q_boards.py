@@ -18,6 +18,7 @@ from opslens.plans import q_alerts, q_capacity, q_change
 from opslens.plans.fixtures import ENV_SQL, OWNER_RULES, OWNER_RULES_CTE, TENANT_SQL, environments, tenants
 from opslens.plans.q_anomaly import COST_ANOMALIES_SQL as ORACLES_RAW_ANOM
 from opslens.plans.q_cost import _LENS, pqc_cte
+from opslens.plans.q_security import OWNER_MATCH_SQL
 from opslens.plans.registry import register
 from opslens.sources import testviews as tv
 from opslens.sources.testviews import EVENTS_AS_OF, LINEITEM_AS_OF, ORDERS_AS_OF
@@ -560,22 +561,9 @@ def _(spark, sf):
     return bd.unclassified_assets(_q(spark, sf), scope.tenant_label(tenants()), EVENTS_AS_OF, 30)
 
 
-@register("owner_route_readiness", "query_history", op="GOV-8", sql="WITH " + OWNER_RULES_CTE + """,
-e AS (SELECT query_id AS entity_id, 'WAREHOUSE' AS etype, warehouse_name, database_name, user_name FROM query_history),
-cand AS (SELECT entity_id, etype, unnest([warehouse_name, database_name, user_name]) AS value FROM e),
-c2 AS (SELECT * FROM cand WHERE value IS NOT NULL),
-m AS (SELECT v.value, r.* FROM (SELECT DISTINCT value FROM c2) v JOIN owner_rules r
-      ON coalesce(r.is_active, TRUE) AND (upper(v.value) = upper(r.entity_pattern)
-         OR (contains(upper(r.entity_pattern), '*') AND upper(v.value) LIKE replace(upper(r.entity_pattern), '*', '%')))),
-j AS (SELECT c2.entity_id, m.*, coalesce(m.match_priority, 0) + CASE WHEN upper(m.entity_type) = c2.etype THEN 50 ELSE 0 END
-             + CASE WHEN NOT contains(upper(m.entity_pattern), '*') THEN 25 ELSE 0 END AS score
-      FROM c2 JOIN m ON c2.value = m.value),
-b AS (SELECT entity_id, max({'score': score, 'p': match_priority, 'pat': entity_pattern, 'owner_name': owner_name, 'mv': value}) AS b
-      FROM j GROUP BY 1),
-r AS (SELECT e.entity_id, b.b.owner_name AS owner_name, CASE WHEN b.b.owner_name IS NULL THEN 'Unrouted' ELSE 'Routed' END AS route_state
-      FROM (SELECT DISTINCT entity_id FROM e) e LEFT JOIN b ON e.entity_id = b.entity_id)
+@register("owner_route_readiness", "query_history", op="GOV-8", sql="WITH " + OWNER_MATCH_SQL + """
 SELECT count(*) AS entities, count_if(route_state = 'Routed') AS routed,
-       round(count_if(route_state = 'Routed') * 100.0 / count(*), 1) AS routed_pct, count(DISTINCT owner_name) AS owners FROM r
+       round(count_if(route_state = 'Routed') * 100.0 / count(*), 1) AS routed_pct, count(DISTINCT owner_name) AS owners FROM own
 """)
 def _(spark, sf):
     from opslens.plans.q_security import _query_entities

@@ -261,22 +261,27 @@ def _query_entities(spark, sf):
                      "warehouse_name", "database_name", "user_name"))
 
 
-@register("owner_resolution", "query_history", op="GOV-7", sql="WITH " + OWNER_RULES_CTE + """,
+# written from the directory's rules: priority + 85 or 55 for the type + 100, 40, 20 or 1 for the pattern
+OWNER_MATCH_SQL = OWNER_RULES_CTE + """,
 e AS (SELECT query_id AS entity_id, 'WAREHOUSE' AS etype, warehouse_name, database_name, user_name FROM query_history),
-cand AS (SELECT entity_id, etype, unnest([warehouse_name, database_name, user_name]) AS value FROM e),
-c2 AS (SELECT * FROM cand WHERE value IS NOT NULL),
-m AS (SELECT v.value, r.* FROM (SELECT DISTINCT value FROM c2) v JOIN owner_rules r
-      ON coalesce(r.is_active, TRUE) AND (upper(v.value) = upper(r.entity_pattern)
-         OR (contains(upper(r.entity_pattern), '*') AND upper(v.value) LIKE replace(upper(r.entity_pattern), '*', '%')))),
-j AS (SELECT c2.entity_id, m.*, coalesce(m.match_priority, 0) + CASE WHEN upper(m.entity_type) = c2.etype THEN 50 ELSE 0 END
-             + CASE WHEN NOT contains(upper(m.entity_pattern), '*') THEN 25 ELSE 0 END AS score
-      FROM c2 JOIN m ON c2.value = m.value),
-b AS (SELECT entity_id, max({'score': score, 'p': match_priority, 'pat': entity_pattern, 'owner_name': owner_name, 'mv': value}) AS b
-      FROM j GROUP BY 1)
-SELECT e.entity_id, b.b.owner_name AS owner_name, b.b.score AS match_score, b.b.pat AS matched_pattern, b.b.mv AS matched_value,
-       CASE WHEN b.b.owner_name IS NULL THEN 'Unrouted' ELSE 'Routed' END AS route_state
-FROM (SELECT DISTINCT entity_id FROM e) e LEFT JOIN b ON e.entity_id = b.entity_id
-""")
+cand AS (SELECT DISTINCT entity_id, etype, upper(trim(v)) AS value
+         FROM (SELECT entity_id, etype, unnest([warehouse_name, database_name, user_name]) AS v FROM e) WHERE trim(coalesce(v, '')) <> ''),
+s AS (SELECT c.entity_id, c.value, upper(r.entity_pattern) AS pat, r.owner_name, coalesce(r.match_priority, 0) AS p,
+             CASE WHEN upper(r.entity_type) = 'WAREHOUSE' THEN 85 WHEN upper(r.entity_type) IN ('ALERT', 'GLOBAL') THEN 55 END AS ts,
+             CASE WHEN upper(r.entity_pattern) IN ('*', '%') THEN 1 WHEN upper(r.entity_pattern) = c.value THEN 100
+                  WHEN c.value LIKE replace(replace(upper(r.entity_pattern), '_', '\\_'), '*', '%') ESCAPE '\\' THEN 40
+                  WHEN replace(upper(r.entity_pattern), '*', '') <> '' AND contains(c.value, replace(upper(r.entity_pattern), '*', '')) THEN 20
+                  ELSE 0 END AS fit
+      FROM cand c CROSS JOIN owner_rules r WHERE coalesce(r.is_active, TRUE)),
+b AS (SELECT entity_id, max({'score': p + ts + fit, 'p': p, 'pat': pat, 'owner_name': owner_name, 'mv': value}) AS b
+      FROM s WHERE fit > 0 AND ts IS NOT NULL GROUP BY 1),
+own AS (SELECT e.entity_id, coalesce(b.b.owner_name, 'DBA') AS owner_name, b.b.score AS match_score, b.b.pat AS matched_pattern,
+               b.b.mv AS matched_value, CASE WHEN b.b IS NULL THEN 'Unrouted' ELSE 'Routed' END AS route_state
+        FROM (SELECT DISTINCT entity_id FROM e) e LEFT JOIN b ON e.entity_id = b.entity_id)
+"""
+
+
+@register("owner_resolution", "query_history", op="GOV-7", sql="WITH " + OWNER_MATCH_SQL + "SELECT * FROM own")
 def _(spark, sf):
     from opslens.operators.chargeback import rules_frame
     return sec.owner_resolution(_query_entities(spark, sf), rules_frame(spark, OWNER_RULES),
