@@ -130,7 +130,8 @@ def thresholds(measured: DataFrame, labels: DataFrame, limit: float = 0.05, delt
 def quality(docs: DataFrame, labels: DataFrame, limit: float = 0.05, delta: float = 0.05) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and the stratum's cutoffs."""
     measured = stage(features(docs), "quality")
-    cuts = thresholds(measured, labels, limit, delta)
+    # one row for each stratum; written, so that its size is known before the join is planned
+    cuts = stage(thresholds(measured, labels, limit, delta), "cutoffs")
     fine = [F.coalesce(_ratio(r) <= F.col(f"cut_{r}"), F.lit(True)) for r in GRID]
     kept = ~base_failed()
     for f in fine:
