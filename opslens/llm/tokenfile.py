@@ -25,8 +25,10 @@ doc_id sorts first; repeated rows are written each, in the order of their text.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -42,6 +44,7 @@ BLOCK_IDS = 1 << 20
 _HEAD = struct.Struct("<4s6I")
 _U = np.uint64
 _TOP, _LEAST, _SHIFT, _ALL = _U(1 << 48), _U(1 << 40), _U(16), _U(0xFFFFFFFFFFFFFFFF)
+_RUN = 32  # ids in a run that a lookup goes to first
 _REFRESH = 32  # steps between two looks at the counts
 _LIMIT = 1 << 23  # counts are halved beyond this sum
 
@@ -69,10 +72,12 @@ class _Mixer:
                 self.count >>= 1
                 freq = self.count * 24 + 1
             self.freq = freq.astype(_U)
-            self.cum = np.zeros(self.alphabet + 1, _U)
-            np.cumsum(self.freq, out=self.cum[1:])
-            self.total = self.cum[-1]
-            self.coarse = np.r_[self.cum[:-1:256], self.total]
+            # the sums, and past their end the total, which no value reaches
+            self.cum = np.zeros(self.alphabet + 1 + _RUN, _U)
+            np.cumsum(self.freq, out=self.cum[1:self.alphabet + 1])
+            self.total = self.cum[self.alphabet]
+            self.cum[self.alphabet + 1:] = self.total
+            self.coarse = self.cum[:self.alphabet:_RUN].copy()
             w = (self.seen * 65000 // self.seen.sum(1, keepdims=True)).clip(48)
             w[1::2, 1] = 0  # the same guess twice is coded as that of order 2
             w[:, 2] = 65536 - w[:, 0] - w[:, 1]
@@ -91,12 +96,12 @@ class _Mixer:
         self.cell = (self.k2 << 4 | self.k1 << 1 | (self.g1 == self.g2)) * 3
 
     def symbol(self, v: np.ndarray) -> np.ndarray:
-        """The id whose order-0 interval holds v: its run of 256, then in it."""
-        run = np.searchsorted(self.coarse, v, "right") - 1
-        x = np.minimum(run << 8, self.alphabet - 1)
-        for step in (128, 64, 32, 16, 8, 4, 2, 1):
-            up = np.minimum(x + step, self.alphabet)
-            x = np.where(self.cum[up] <= v, up, x)
+        """The id whose order-0 interval holds v: its run of ids, then in it."""
+        x = (np.searchsorted(self.coarse, v, "right") - 1) * _RUN
+        step = _RUN >> 1
+        while step:
+            x += step * (self.cum[x + step] <= v)
+            step >>= 1
         return x
 
     def learn(self, x: np.ndarray, outcome: np.ndarray) -> None:
@@ -250,6 +255,48 @@ def read_block(block: bytes) -> tuple[list, list[np.ndarray]]:
 # -------------------------------------------------------------- tokenizing
 
 _WORDS: dict[str, dict[str, bytes]] = {}
+_LOADED: dict[str, _Vocabulary] = {}
+
+
+class _Vocabulary:
+    """A tokenizer file, with a short way for plain words.
+
+    Letters up to U+017F, then full stops and commas, need no normalizing but
+    lower case, and are split before the punctuation: their pieces go straight
+    to the tokenizer's model, in its byte alphabet. All other words go through
+    the whole tokenizer.
+    """
+
+    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([.,]*)")
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.tails: dict[str, list[int]] = {"": []}
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x180)}
+
+    def ids(self, words: list[str]) -> dict[str, bytes]:
+        """Little-endian u4 ids of each word."""
+        found, rest = {}, []
+        plain, piece = self.PLAIN.fullmatch, self.model.tokenize
+        for w in words:
+            m = plain(w)
+            if not m:
+                rest.append(w)
+                continue
+            letters, tail = m.groups()
+            if tail not in self.tails:
+                self.tails[tail] = self.whole.encode(tail, add_special_tokens=False).ids
+            letters = letters.lower()
+            if not letters.isascii():
+                letters = letters.translate(self.bytes)
+            found[w] = array("I", [x.id for x in piece(letters)] + self.tails[tail]).tobytes()
+        for w, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
+            found[w] = array("I", e.ids).tobytes()
+        return found
 
 
 def _token_bytes(path: str, texts: list[str | None], most: int = 1_000_000) -> list[bytes]:
@@ -260,12 +307,12 @@ def _token_bytes(path: str, texts: list[str | None], most: int = 1_000_000) -> l
     tokenizer once and is then kept, up to ``most`` words.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
+    if path not in _LOADED:
+        _LOADED[path] = _Vocabulary(path)
     if path not in _WORDS:
         _WORDS[path] = {"": b""}
     known = _WORDS[path]
-    tokenizer, out, end = None, [], np.array([END_ID], "<u4").tobytes()
+    out, end = [], np.array([END_ID], "<u4").tobytes()
     for lo, hi in slices(texts):
         rows = [(t or "").replace("\n", " ").split(" ") for t in texts[lo:hi]]
         new = list(set().union(*rows) - known.keys())
@@ -274,24 +321,11 @@ def _token_bytes(path: str, texts: list[str | None], most: int = 1_000_000) -> l
                 known.clear()
                 known[""] = b""
                 new = list(set().union(*rows) - known.keys())
-            tokenizer = tokenizer or _tokenizer(path, Tokenizer)
-            for k in range(0, len(new), 50_000):
-                part = new[k:k + 50_000]
-                known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in
-                             zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+            known.update(_LOADED[path].ids(new))
         out += [b"".join(map(known.__getitem__, r)) + end for r in rows]
     return out
 
 
-_LOADED: dict = {}
-
-
-def _tokenizer(path, kind):
-    if path not in _LOADED:
-        _LOADED[path] = kind.from_file(path)
-    return _LOADED[path]
-
-
 def write_ids(docs: DataFrame, tokenizer_path: str, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write the blocks; the written table
     (part, seq, n_ids, block), parts ascending with doc_id."""
