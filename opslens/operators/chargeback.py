@@ -49,12 +49,13 @@ def resolve_owner(entities: DataFrame, entity: str, rules: DataFrame, entity_typ
     (NULLs when no rule matches)."""
     r = rules.filter((F.upper("entity_type") == entity_type.upper()) & F.coalesce("is_active", F.lit(True)))
     names = entities.select(entity).distinct()
-    cand = names.join(F.broadcast(r), _match(entity, with_star_rule=with_star_rule), "inner")
+    # a left join keeps names without a rule, so the best rule needs no join back to the names
+    cand = names.join(F.broadcast(r), _match(entity, with_star_rule=with_star_rule), "left")
     best = (cand.groupBy(entity)
-            .agg(F.max(F.struct(F.coalesce("match_priority", F.lit(0)).alias("p"),
-                                F.col("entity_pattern").alias("pat"),
-                                "owner_name", "owner_email", "service_tier")).alias("b")))
-    return names.join(best, entity, "left").select(
+            .agg(F.max(F.when(F.col("entity_pattern").isNotNull(), F.struct(
+                F.coalesce("match_priority", F.lit(0)).alias("p"), F.col("entity_pattern").alias("pat"),
+                "owner_name", "owner_email", "service_tier"))).alias("b")))
+    return best.select(
         entity, F.col("b.owner_name").alias("owner_name"), F.col("b.owner_email").alias("owner_email"),
         F.col("b.service_tier").alias("service_tier"), F.col("b.p").alias("match_priority"))
 
