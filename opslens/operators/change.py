@@ -59,17 +59,20 @@ def change_summary(ch: DataFrame, manual: Column | None = None) -> DataFrame:
 
 
 def change_exceptions(ch: DataFrame, environment: Column, limit: int | None = None) -> DataFrame:
-    """CHG-2: changes with severity (destructive or access in PROD high) and environment."""
+    """CHG-2: every classified change with its severity (destructive, policy and
+    owner changes high, grants and roles medium, other objects low), entity,
+    environment and how sure its scope is."""
     env = environment
     fam = F.col("change_family")
-    sev = (F.when((fam == "DESTRUCTIVE") & (env == "PROD"), "Critical").when(fam == "DESTRUCTIVE", "High")
-           .when(fam.isin("ACCESS", "OWNER") & (env == "PROD"), "High").when(F.col("ticket_key") == "", "Medium")
-           .otherwise("Low"))
-    return (ch.select("query_id", "start_time", "user_name", "database_name", "change_family", "object_fqn", "ticket_key",
-                      env.alias("environment"), sev.alias("severity"))
-            .filter(F.col("severity") != "Low")
-            .transform(page(limit, F.when(F.col("severity") == "Critical", 0).when(F.col("severity") == "High", 1).otherwise(2),
-                     F.desc("start_time"), "query_id")))
+    sev = F.when(fam.isin("DESTRUCTIVE", "POLICY", "OWNER"), "High").when(fam == "ACCESS", "Medium").otherwise("Low")
+    entity = F.coalesce(F.concat(F.col("database_name"), F.lit("."), F.col("schema_name")), "database_name", "query_id")
+    scoped = F.col("database_name").isNotNull()
+    return (ch.filter(fam != "OTHER")
+            .select("query_id", "start_time", "user_name", "role_name", "database_name", "change_family", "object_fqn", "ticket_key",
+                    env.alias("environment"), sev.alias("severity"), entity.alias("entity"),
+                    F.when(scoped, "Database Context").otherwise("Account/Role Context").alias("scope_confidence"))
+            .transform(page(limit, F.when(F.col("severity") == "High", 1).when(F.col("severity") == "Medium", 2).otherwise(3),
+                            F.desc("start_time"), "query_id")))
 
 
 def object_change_list(queries: DataFrame, as_of: datetime, days: int = 7, limit: int | None = None) -> DataFrame:
@@ -92,18 +95,31 @@ def object_change_list(queries: DataFrame, as_of: datetime, days: int = 7, limit
 
 
 def reconcile_changes(ch: DataFrame, commits: DataFrame, tickets: DataFrame) -> DataFrame:
-    """CHG-4 / JOI-6 / JOI-20: every observed change with two existence flags:
-    a source-control commit for the same object, a ticket for the tag's key.
-    The substring match of the reference is split into equi joins on the
-    object name and ticket key extracted from the text, each against the
-    *distinct* keys of the feed, so no nested loop is needed."""
-    c = commits.select(F.upper("object_fqn").alias("object_fqn")).distinct().withColumn("has_commit", F.lit(True))
+    """CHG-4 / JOI-6 / JOI-20: every observed change with the evidence for it: a
+    source-control commit (its id is a word of the query tag, or it names the
+    same object, or the same database and schema) and a ticket for the tag's key.
+
+    The OR-ed match of the reference is one equi join per branch, each against
+    the *distinct* keys of the feed, so no change is multiplied and there is no
+    nested loop. ``commit_match`` is the closest branch that held."""
+    named = commits.select(F.upper("object_fqn").alias("_fqn"), F.upper("commit_id").alias("_sha"))
+    parts = F.split("_fqn", r"\.")
+    by_id = named.select("_sha").where(F.coalesce("_sha", F.lit("")) != "").distinct()
+    by_object = named.select("_fqn").distinct().withColumn("_obj", F.lit(True))
+    by_schema = named.select(F.get(parts, F.lit(0)).alias("_db"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("_sch")).distinct() \
+        .withColumn("_near", F.lit(True))
+    tagged = (ch.select("query_id", F.explode(F.array_distinct(F.split(F.upper(F.coalesce("query_tag", F.lit(""))), "[^A-Z0-9]+"))).alias("_sha"))
+              .join(by_id, "_sha", "left_semi").select("query_id").distinct().withColumn("_tag", F.lit(True)))
     t = tickets.select(F.upper("ticket_key").alias("ticket_key")).distinct().withColumn("has_ticket", F.lit(True))
-    j = ch.join(c, "object_fqn", "left").join(t, "ticket_key", "left")
-    hc, ht = F.coalesce("has_commit", F.lit(False)), F.coalesce("has_ticket", F.lit(False))
+    db, sch = F.upper(F.coalesce("database_name", F.lit(""))), F.upper(F.coalesce("schema_name", F.lit("")))
+    whole_db = by_schema.where("_sch = ''").select(F.col("_db").alias("_db2"), F.lit(True).alias("_near2"))
+    j = (ch.join(by_object, ch["object_fqn"] == F.col("_fqn"), "left").join(t, "ticket_key", "left").join(tagged, "query_id", "left")
+         .join(by_schema, (db == F.col("_db")) & (sch == F.col("_sch")), "left").join(whole_db, db == F.col("_db2"), "left"))
+    how = (F.when(F.col("_tag"), "commit").when(F.col("_obj"), "object").when(F.col("_near") | F.col("_near2"), "schema"))
+    hc, ht = how.isNotNull(), F.coalesce("has_ticket", F.lit(False))
     state = (F.when(hc & ht, "Reconciled").when(hc, "Commit without ticket").when(ht, "Ticket without commit")
              .otherwise("Unmatched drift"))
-    return j.select("query_id", "start_time", "user_name", "change_family", "object_fqn", "ticket_key",
+    return j.select("query_id", "start_time", "user_name", "change_family", "object_fqn", "ticket_key", how.alias("commit_match"),
                     hc.alias("has_commit"), ht.alias("has_ticket"), state.alias("reconciliation_state"))
 
 

@@ -587,16 +587,8 @@ def _(spark, sf):
                                   "observed": (_q(spark, sf), "start_time")}, EVENTS_AS_OF)
 
 
-@register("unmatched_change_evidence", "query_history", "source_commits", "change_tickets", op="CHG-6", sql="WITH " + q_change._CH + """,
-c AS (SELECT DISTINCT upper(object_fqn) AS object_fqn FROM source_commits),
-t AS (SELECT DISTINCT upper(ticket_key) AS ticket_key FROM change_tickets),
-j AS (SELECT ch.*, c.object_fqn IS NOT NULL AS hc, t.ticket_key IS NOT NULL AS ht
-      FROM ch LEFT JOIN c ON ch.object_fqn = c.object_fqn LEFT JOIN t ON ch.ticket_key = t.ticket_key),
-r AS (SELECT query_id, start_time, user_name, change_family, object_fqn, ticket_key, hc AS has_commit, ht AS has_ticket,
-             CASE WHEN hc AND ht THEN 'Reconciled' WHEN hc THEN 'Commit without ticket' WHEN ht THEN 'Ticket without commit'
-                  ELSE 'Unmatched drift' END AS reconciliation_state FROM j)
-SELECT * FROM r WHERE reconciliation_state <> 'Reconciled'
-""")
+@register("unmatched_change_evidence", "query_history", "source_commits", "change_tickets", op="CHG-6",
+          sql="WITH " + q_change.RECONCILED_SQL + "SELECT * FROM rec WHERE reconciliation_state <> 'Reconciled'")
 def _(spark, sf):
     from opslens.operators import change as chg
     ch = chg.changes(_q(spark, sf), EVENTS_AS_OF, 7)

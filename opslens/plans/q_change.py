@@ -48,14 +48,12 @@ def _(spark, sf):
     return chg.change_summary(_ch(spark, sf))
 
 
-@register("change_exceptions", "query_history", op="CHG-2", sql="WITH " + _CH + f""",
-e AS (SELECT *, {ENV_SQL} AS environment FROM ch),
-s AS (SELECT query_id, start_time, user_name, database_name, change_family, object_fqn, ticket_key, environment,
-             CASE WHEN change_family = 'DESTRUCTIVE' AND environment = 'PROD' THEN 'Critical' WHEN change_family = 'DESTRUCTIVE' THEN 'High'
-                  WHEN change_family IN ('ACCESS', 'OWNER') AND environment = 'PROD' THEN 'High' WHEN ticket_key = '' THEN 'Medium'
-                  ELSE 'Low' END AS severity FROM e)
-SELECT * FROM s WHERE severity <> 'Low'
-
+@register("change_exceptions", "query_history", op="CHG-2", sql="WITH " + _CH + f"""
+SELECT query_id, start_time, user_name, role_name, database_name, change_family, object_fqn, ticket_key, {ENV_SQL} AS environment,
+       CASE WHEN change_family IN ('DESTRUCTIVE', 'POLICY', 'OWNER') THEN 'High' WHEN change_family = 'ACCESS' THEN 'Medium' ELSE 'Low' END AS severity,
+       coalesce(database_name || '.' || schema_name, database_name, query_id) AS entity,
+       CASE WHEN database_name IS NULL THEN 'Account/Role Context' ELSE 'Database Context' END AS scope_confidence
+FROM ch WHERE change_family <> 'OTHER'
 """)
 def _(spark, sf):
     return chg.change_exceptions(_ch(spark, sf), _env())
@@ -84,16 +82,23 @@ def _(spark, sf):
     return chg.object_change_list(tv.load(spark, sf, "query_history"), EVENTS_AS_OF, 7)
 
 
-@register("change_reconciliation", "query_history", "source_commits", "change_tickets", op="CHG-4", sql="WITH " + _CH + """,
-c AS (SELECT DISTINCT upper(object_fqn) AS object_fqn FROM source_commits),
+RECONCILED_SQL = _CH + """,
+c AS (SELECT DISTINCT upper(object_fqn) AS fqn, split_part(upper(object_fqn), '.', 1) AS db, split_part(upper(object_fqn), '.', 2) AS sch,
+             upper(commit_id) AS sha FROM source_commits),
 t AS (SELECT DISTINCT upper(ticket_key) AS ticket_key FROM change_tickets),
-j AS (SELECT ch.*, c.object_fqn IS NOT NULL AS hc, t.ticket_key IS NOT NULL AS ht
-      FROM ch LEFT JOIN c ON ch.object_fqn = c.object_fqn LEFT JOIN t ON ch.ticket_key = t.ticket_key)
-SELECT query_id, start_time, user_name, change_family, object_fqn, ticket_key, hc AS has_commit, ht AS has_ticket,
+j0 AS (SELECT ch.*, CASE WHEN EXISTS (SELECT 1 FROM c WHERE sha <> '' AND list_contains(regexp_split_to_array(upper(coalesce(ch.query_tag, '')), '[^A-Z0-9]+'), sha)) THEN 'commit'
+                         WHEN ch.object_fqn IN (SELECT fqn FROM c) THEN 'object'
+                         WHEN EXISTS (SELECT 1 FROM c WHERE db = upper(coalesce(ch.database_name, '')) AND (sch = '' OR sch = upper(coalesce(ch.schema_name, '')))) THEN 'schema'
+                         END AS commit_match, ch.ticket_key IN (SELECT ticket_key FROM t) AS ht FROM ch),
+j AS (SELECT *, commit_match IS NOT NULL AS hc FROM j0),
+rec AS (SELECT query_id, start_time, user_name, change_family, object_fqn, ticket_key, commit_match, hc AS has_commit, ht AS has_ticket,
        CASE WHEN hc AND ht THEN 'Reconciled' WHEN hc THEN 'Commit without ticket' WHEN ht THEN 'Ticket without commit'
             ELSE 'Unmatched drift' END AS reconciliation_state
-FROM j
-""")
+FROM j)
+"""
+
+
+@register("change_reconciliation", "query_history", "source_commits", "change_tickets", op="CHG-4", sql="WITH " + RECONCILED_SQL + "SELECT * FROM rec")
 def _(spark, sf):
     return chg.reconcile_changes(_ch(spark, sf), tv.load(spark, sf, "source_commits"), tv.load(spark, sf, "change_tickets"))
 
