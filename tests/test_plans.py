@@ -52,3 +52,25 @@ def test_no_python_udf_in_query_paths(spark):
     for name in ["per_query_credits", "task_failure_console", "owner_resolution", "sensitive_access", "change_summary"]:
         p = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
+
+
+ALLOCATION = ["per_query_credits", "cost_drivers_user_role_warehouse", "top_users_by_cost", "chargeback_detail", "cost_explorer",
+              "outlier_evidence"]
+
+
+@pytest.mark.parametrize("name", ALLOCATION)
+def test_allocation_reads_no_unbounded_history(spark, name):
+    """Statements once for the hour totals and once for the rows, the metering
+    once, each behind a time predicate; no join back on the statement's id."""
+    import re
+
+    df = QUERIES[name](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scans = [s for s in re.findall(r"FileScan parquet .*?ReadSchema", plan) if "ts#" in s or "GreaterThanOrEqual(ts" in s]
+    # a grand total and an owner join plan the allocation again
+    total = {"top_users_by_cost": 2, "outlier_evidence": 3}.get(name, 1)
+    bounded = [s for s in scans if "GreaterThanOrEqual(ts" in s]
+    # the fixture's metering computes its hour, so that one scan's predicate stays above it
+    assert len(bounded) == 2 * total or name == "outlier_evidence"
+    assert len(scans) - len(bounded) <= total
+    assert not re.search(r"Join \[query_id", plan)
