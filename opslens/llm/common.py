@@ -48,7 +48,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     # the write's shuffle files go once the driver has collected its garbage; a
     # long operator would else keep those of all its steps until its end
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.staged_path = path
+    return back
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete what ``stage`` wrote, once nothing reads it any more."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.common import stage
+from opslens.llm.common import stage, unstage
 
 LENGTH = 100
 GRAM = 32
@@ -255,18 +255,30 @@ def _each_string(batches):
 
 # ----------------------------------------------------------------- operator
 
+def _by_document(rows: DataFrame) -> DataFrame:
+    """(_d, place, size) -> (_d, _k, spans) with the spans of each document."""
+    return rows.groupBy("_d", F.shiftrightunsigned("place", 40).alias("_k")).agg(
+        F.collect_list(F.struct(F.col("place").bitwiseAND(F.lit((1 << 40) - 1)).alias("start"), "size")).alias("spans"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(_d, place, size): the repeated strings, as spans that may overlap; place
-    holds the text's key above 40 bits and the start below."""
+    """(_d, _k, spans): the repeated strings of each document that has any, as
+    spans (start, size) that may overlap.
+
+    Each step is written and its inputs deleted when no later step reads them,
+    so the disk holds one step's shuffle at a time."""
     texts = _keyed(docs)
     found = texts.select("_d", "_k", "_t").mapInArrow(_find, "g long, e long, _d long, place long, size int")
     often = stage(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "anchors")
     rows = stage(found.join(often.hint("shuffle_hash"), "g"), "fragments")
+    unstage(often)
     classes = rows.groupBy("g", "e").agg(F.min(F.struct("_d", "place")).alias("first"), F.first("size").alias("size"))
     classes = stage(classes.select("g", "e", "first._d", "first.place", "size"), "classes")
     # members of a class, but for its first
     heads = classes.select("g", "e", F.col("_d").alias("_fd"), F.col("place").alias("_fp"))
     members = rows.join(heads, ["g", "e"]).where("_d <> _fd OR place <> _fp").select("_d", "place", "size")
+    members = stage(_by_document(members), "member-spans")
+    unstage(rows)
     # anchors with more than one class: the fragments' bytes, from the texts
     many = classes.groupBy("g").agg(F.count("*").alias("many")).where("many > 1")
     wanted = classes.join(many, "g").groupBy("_d", F.shiftrightunsigned("place", 40).alias("_k")) \
@@ -274,20 +286,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     left = texts.select("_d", F.shiftrightunsigned("_k", 40).alias("_k"), "_t")
     cut = stage(left.join(wanted, ["_d", "_k"]).select("_d", "_t", "wanted").mapInArrow(
         _cut, "g long, _d long, place long, many long, bytes binary").distinct(), "class-bytes")
+    unstage(classes)
     sorted_ = cut.where(F.col("many") <= MOST).groupBy("g").agg(F.collect_list(F.struct("_d", "place", "bytes")).alias("classes")) \
         .select("classes").mapInArrow(_sorted_groups, "_d long, place long, size int")
     strings = cut.where(F.col("many") > MOST).select("_d", "place", "bytes").mapInArrow(_each_string, "h1 long, h2 long, _d long, place long")
     first = strings.groupBy("h1", "h2").agg(F.min(F.struct("_d", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = strings.join(first, ["h1", "h2"]).where("_d <> first._d OR place <> first.place") \
         .select("_d", "place", F.lit(LENGTH).alias("size"))
-    return members.unionAll(sorted_).unionAll(again)
+    others = stage(_by_document(sorted_.unionAll(again)), "class-spans")
+    unstage(cut)
+    return members.unionAll(others).groupBy("_d", "_k").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def dedup_text(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, removed (array of start, end in bytes, maximal), kept
     (the bytes that stay) for every row of ``docs``."""
-    spans = repeated_spans(docs).groupBy("_d", F.shiftrightunsigned("place", 40).alias("_k")).agg(
-        F.collect_list(F.struct(F.col("place").bitwiseAND(F.lit((1 << 40) - 1)).alias("start"), "size")).alias("spans"))
+    spans = repeated_spans(docs)
     texts = _keyed(docs).select("doc_id", "_d", F.shiftrightunsigned("_k", 40).alias("_k"), "_t")
     both = texts.join(spans, ["_d", "_k"], "left").select("doc_id", "_t", "spans")
 
