@@ -254,51 +254,50 @@ def read_block(block: bytes) -> tuple[list, list[np.ndarray]]:
 
 # -------------------------------------------------------------- tokenizing
 
-_WORDS: dict[str, dict[str, bytes]] = {}
-_LOADED: dict[str, _Vocabulary] = {}
-
-
-class _Vocabulary:
-    """A tokenizer file, with a short way for plain words.
-
-    Letters up to U+017F, then full stops and commas, need no normalizing but
-    lower case, and are split before the punctuation: their pieces go straight
-    to the tokenizer's model, in its byte alphabet. All other words go through
-    the whole tokenizer.
+class _Vocabulary(dict):
+    """word -> its ids, from a tokenizer file, with a short way for plain words.
+
+    Letters up to U+017F, then ASCII punctuation (but no apostrophe, which may
+    begin a contraction, and no <, which may begin a special token), need no
+    normalizing but lower case, and are split before the punctuation: the
+    letters go straight to the tokenizer's model, in its byte alphabet. All
+    other words go through the whole tokenizer.
     """
 
-    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([.,]*)")
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-&(-/:;=-@[-`{-~]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.tails: dict[str, list[int]] = {"": []}
+        self.tails: dict[str, list[int]] = {}
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x180)}
 
-    def ids(self, words: list[str]) -> dict[str, bytes]:
-        """Little-endian u4 ids of each word."""
-        found, rest = {}, []
-        plain, piece = self.PLAIN.fullmatch, self.model.tokenize
-        for w in words:
-            m = plain(w)
-            if not m:
-                rest.append(w)
-                continue
+    def __missing__(self, word: str) -> bytes:
+        """Little-endian u4 ids of a word that isn't known yet."""
+        m = self.PLAIN.fullmatch(word)
+        if m:
             letters, tail = m.groups()
-            if tail not in self.tails:
-                self.tails[tail] = self.whole.encode(tail, add_special_tokens=False).ids
             letters = letters.lower()
             if not letters.isascii():
                 letters = letters.translate(self.bytes)
-            found[w] = array("I", [x.id for x in piece(letters)] + self.tails[tail]).tobytes()
-        for w, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
-            found[w] = array("I", e.ids).tobytes()
+            ids = [x.id for x in self.model.tokenize(letters)]
+            if tail:
+                if tail not in self.tails:
+                    self.tails[tail] = self.whole.encode(tail, add_special_tokens=False).ids
+                ids += self.tails[tail]
+        else:
+            ids = self.whole.encode(word, add_special_tokens=False).ids
+        found = self[word] = array("I", ids).tobytes()
         return found
 
 
+_LOADED: dict[str, _Vocabulary] = {}
+
+
 def _token_bytes(path: str, texts: list[str | None], most: int = 1_000_000) -> list[bytes]:
     """Ids of each text, as little-endian u4 bytes, with the end id.
 
@@ -309,20 +308,11 @@ def _token_bytes(path: str, texts: list[str | None], most: int = 1_000_000) -> l
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _LOADED:
         _LOADED[path] = _Vocabulary(path)
-    if path not in _WORDS:
-        _WORDS[path] = {"": b""}
-    known = _WORDS[path]
-    out, end = [], np.array([END_ID], "<u4").tobytes()
+    known, out, end = _LOADED[path], [], np.array([END_ID], "<u4").tobytes()
     for lo, hi in slices(texts):
-        rows = [(t or "").replace("\n", " ").split(" ") for t in texts[lo:hi]]
-        new = list(set().union(*rows) - known.keys())
-        if new:
-            if len(known) > most:
-                known.clear()
-                known[""] = b""
-                new = list(set().union(*rows) - known.keys())
-            known.update(_LOADED[path].ids(new))
-        out += [b"".join(map(known.__getitem__, r)) + end for r in rows]
+        if len(known) > most:
+            known.clear()
+        out += [b"".join(map(known.__getitem__, (t or "").replace("\n", " ").split(" "))) + end for t in texts[lo:hi]]
     return out
 
 
