@@ -23,6 +23,9 @@ SEVERITY_RANK = {"CRITICAL": 0, "HIGH": 1, "MEDIUM": 2, "LOW": 3}
 STATE_RANK = {"Overdue": 0, "Due Soon": 1, "Within SLA": 2, "Closed": 9}
 STATUS_RANK = {"NEW": 0, "EMAIL_READY": 0, "EMAIL_QUEUED": 0, "OPEN": 0, "ACTIVE": 0, "PENDING": 0, "ACKNOWLEDGED": 1,
                "IN_PROGRESS": 1, "FIXED": 3, "RESOLVED": 3, "IGNORED": 4}
+# Defaults where neither rule nor directory says anything.
+DEFAULT_ROUTE = "Alert Center"
+DEFAULT_RUNBOOK = "Review the Alert Center issue and route it through the DBA action queue."
 DIRECTORY = ("owner_key string, entity_type string, entity_pattern string, owner_name string, owner_email string, "
              "approval_group string, escalation_target string, match_priority int")
 RULES = "alert_type string, owner string, route string, runbook string, sla_hours int, is_active boolean"
@@ -71,8 +74,8 @@ def routed_triage(alerts: DataFrame, rules: DataFrame, directory: DataFrame, as_
     return j.select(
         "alert_id", "created_at", "entity", "alert_type", "severity", "status", owner.alias("routed_owner"),
         F.col("od.owner_email").alias("owner_email"), F.coalesce("od.approval_group", "_rule_owner", "owner", F.lit("DBA Lead")).alias("approval_group"),
-        target.alias("escalation_target"), F.coalesce("route", F.lit("Alert Center")).alias("alert_route"),
-        F.coalesce("runbook", F.lit("Review the Alert Center issue and route it through the DBA action queue.")).alias("alert_runbook"),
+        target.alias("escalation_target"), F.coalesce("route", F.lit(DEFAULT_ROUTE)).alias("alert_route"),
+        F.coalesce("runbook", F.lit(DEFAULT_RUNBOOK)).alias("alert_runbook"),
         F.when(F.col("od").isNotNull(), F.concat(F.lit("OWNER_DIRECTORY:"), F.col("od.owner_key"))).otherwise("ALERT_RULE").alias("owner_source"),
         hours.alias("sla_target_hours"), age.cast("bigint").alias("alert_age_hours"), state.alias("sla_state"),
         (_rank(severity, SEVERITY_RANK, 4) * 100 + _rank(state, STATE_RANK, 5) * 10 + _rank(status, STATUS_RANK, 2)).alias("triage_priority"))

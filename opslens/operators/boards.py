@@ -505,7 +505,7 @@ def ai_budget_exceptions(rollup: DataFrame, budget_30d: float) -> DataFrame:
 def container_credits_daily(service: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
     """AIC-6: container and query-acceleration credits per day."""
     s = service.filter(lookback("start_time", as_of, days, end=as_of)
-                       & F.upper("service_type").isin("CONTAINER_SERVICES", "QUERY_ACCELERATION"))
+                       & F.upper("service_type").isin("SNOWPARK_CONTAINER_SERVICES", "QUERY_ACCELERATION"))
     return s.groupBy(F.to_date("start_time").alias("usage_date"), "service_type").agg(rounded(F.sum("credits_used"), 4).alias("credits"))
 
 

@@ -127,14 +127,20 @@ def failure_category(text: Column) -> Column:
 SIGNATURE_SHOWN = 180
 
 
+# Patterns that an error signature masks.
+BLANKS, LONG_ID = r"\s+", r"(?i)\b[0-9a-f]{8,}[-0-9a-f]*\b"
+
+
 def error_signature(text: Column) -> Column:
     """SCA-6: collapse whitespace, mask hex ids. The whole text: patterns are
     grouped by it, and cut to ``SIGNATURE_SHOWN`` characters only where shown."""
-    t = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\s+", " ")
-    t = F.regexp_replace(t, r"(?i)\b[0-9a-f]{8,}[-0-9a-f]*\b", "<id>")
+    t = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), BLANKS, " ")
+    t = F.regexp_replace(t, LONG_ID, "<id>")
     return F.when(t == "", "No error text").otherwise(t)
 
 
+# The incident priorities.
+PRIORITIES = ["P1 - Graph Incident", "P2 - Production Risk", "P3 - Pipeline Defect", "P4 - Review"]
 # Categories whose failures are incidents, and what blocks a retry in each category.
 CRITICAL_CATEGORIES = ["Privilege / RBAC", "Object Dependency / Drift", "Warehouse / Runtime Capacity"]
 BLOCKED = [("Privilege", "Blocked - grant or role fix first"), ("Object Dependency", "Blocked - object dependency fix first"),
@@ -170,10 +176,10 @@ def failure_console(tasks: DataFrame, as_of: datetime, days: int = 7, impact: Da
     j = j.join(state, TASK_KEY, "left").withColumn("recovery_state", F.coalesce("recovery_state", F.lit("No recent recovery signal")))
     cat, critical = F.col("failure_category"), F.col("failure_category").isin(*CRITICAL_CATEGORIES)
     down, fails, many = F.col("downstream_task_count"), F.col("pattern_failure_count"), F.col("pattern_task_count")
-    prio = (F.when(critical & ((down >= 3) | (many >= 2) | (fails >= 3)), "P1 - Graph Incident")
-            .when(critical | (down >= 1) | (fails >= 3), "P2 - Production Risk")
-            .when(cat.contains("Data Quality") | (F.col("duration_sec") >= 300), "P3 - Pipeline Defect")
-            .otherwise("P4 - Review"))
+    prio = (F.when(critical & ((down >= 3) | (many >= 2) | (fails >= 3)), PRIORITIES[0])
+            .when(critical | (down >= 1) | (fails >= 3), PRIORITIES[1])
+            .when(cat.contains("Data Quality") | (F.col("duration_sec") >= 300), PRIORITIES[2])
+            .otherwise(PRIORITIES[3]))
     ready = F.when(F.col("task_name").isNull() | (F.trim("task_name") == ""), "Blocked - task FQN missing")
     for part, label in BLOCKED:
         ready = ready.when(cat.contains(part), label)

@@ -20,7 +20,7 @@ OWNER_RULES = [
 ]
 
 # Service rate sheet (USD per credit)
-RATE_SHEET = {"WAREHOUSE_METERING": 3.68, "PIPE": 1.25, "AUTO_CLUSTERING": 2.5}
+RATE_SHEET = {"WAREHOUSE_METERING": 3.68, "SNOWPIPE": 1.25, "AUTOMATIC_CLUSTERING": 2.5}
 
 
 def sql_value(v) -> str:

@@ -26,9 +26,9 @@ from opslens.sources.testviews import EVENTS_AS_OF, LINEITEM_AS_OF, ORDERS_AS_OF
 TARGET = datetime(2024, 1, 20)
 _CATEGORY = ("CASE WHEN regexp_matches(upper(coalesce(service_type, 'UNKNOWN')), '(^|[^A-Z])AI([^A-Z]|$)') "
              "OR contains(upper(coalesce(service_type, 'UNKNOWN')), 'INTELLIGENCE') THEN 'AI Services' "
-             "WHEN upper(coalesce(service_type, 'UNKNOWN')) IN ('AUTOMATIC_CLUSTERING', 'AUTO_CLUSTERING', 'COPY_FILES', "
-             "'MATERIALIZED_VIEW', 'QUERY_ACCELERATION', 'SEARCH_OPTIMIZATION', 'SERVERLESS_ALERTS', 'SERVERLESS_TASK', 'PIPE', "
-             "'PIPE_STREAMING', 'CONTAINER_SERVICES', 'REPLICATION') THEN 'Serverless / Managed Compute' "
+             "WHEN upper(coalesce(service_type, 'UNKNOWN')) IN ('AUTOMATIC_CLUSTERING', 'COPY_FILES', "
+             "'MATERIALIZED_VIEW', 'QUERY_ACCELERATION', 'SEARCH_OPTIMIZATION', 'SERVERLESS_ALERTS', 'SERVERLESS_TASK', 'SNOWPIPE', "
+             "'SNOWPIPE_STREAMING', 'SNOWPARK_CONTAINER_SERVICES', 'REPLICATION') THEN 'Serverless / Managed Compute' "
              "WHEN contains(upper(coalesce(service_type, 'UNKNOWN')), 'STORAGE') THEN 'Storage' "
              "WHEN contains(upper(coalesce(service_type, 'UNKNOWN')), 'DATA_TRANSFER') OR contains(upper(coalesce(service_type, 'UNKNOWN')), 'PRIVATELINK') "
              "THEN 'Data Transfer / Network' WHEN upper(coalesce(service_type, 'UNKNOWN')) = 'WAREHOUSE_METERING' THEN 'Warehouse' ELSE 'Other' END")
@@ -722,7 +722,7 @@ def _(spark, sf):
 @register("container_credits_daily", "service_metering", op="AIC-6", sql="""
 SELECT CAST(start_time AS DATE) AS usage_date, service_type, round(sum(credits_used), 4) AS credits FROM service_metering
 WHERE start_time >= TIMESTAMP '2001-10-06 00:00:00' AND start_time < TIMESTAMP '2001-11-05 00:00:00'
-  AND upper(service_type) IN ('CONTAINER_SERVICES', 'QUERY_ACCELERATION') GROUP BY 1, 2
+  AND upper(service_type) IN ('SNOWPARK_CONTAINER_SERVICES', 'QUERY_ACCELERATION') GROUP BY 1, 2
 """)
 def _(spark, sf):
     return bd.container_credits_daily(tv.load(spark, sf, "service_metering"), LINEITEM_AS_OF, 30)

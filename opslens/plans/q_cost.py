@@ -54,9 +54,9 @@ WITH s AS (
 c AS (
   SELECT *, CAST(usage_date AS TIMESTAMP) > TIMESTAMP '2001-10-28 00:00:00' AS cur,
          CASE WHEN regexp_matches(service_type, '(^|[^A-Z])AI([^A-Z]|$)') OR service_type LIKE '%INTELLIGENCE%' THEN 'AI Services'
-              WHEN service_type IN ('AUTOMATIC_CLUSTERING', 'AUTO_CLUSTERING', 'COPY_FILES', 'MATERIALIZED_VIEW',
-                 'QUERY_ACCELERATION', 'SEARCH_OPTIMIZATION', 'SERVERLESS_ALERTS', 'SERVERLESS_TASK', 'PIPE',
-                 'PIPE_STREAMING', 'CONTAINER_SERVICES', 'REPLICATION') THEN 'Serverless / Managed Compute'
+              WHEN service_type IN ('AUTOMATIC_CLUSTERING', 'COPY_FILES', 'MATERIALIZED_VIEW',
+                 'QUERY_ACCELERATION', 'SEARCH_OPTIMIZATION', 'SERVERLESS_ALERTS', 'SERVERLESS_TASK', 'SNOWPIPE',
+                 'SNOWPIPE_STREAMING', 'SNOWPARK_CONTAINER_SERVICES', 'REPLICATION') THEN 'Serverless / Managed Compute'
               WHEN service_type LIKE '%STORAGE%' THEN 'Storage'
               WHEN service_type LIKE '%DATA_TRANSFER%' OR service_type LIKE '%PRIVATELINK%' THEN 'Data Transfer / Network'
               WHEN service_type = 'WAREHOUSE_METERING' THEN 'Warehouse' ELSE 'Other' END AS service_category,
@@ -144,11 +144,11 @@ def _(spark, sf):
 SELECT CAST(start_time AS DATE) AS usage_date, service_type, round(sum(credits_used), 4) AS credits_used,
        round(coalesce(round(sum(credits_used), 4), 0) *
          CASE WHEN upper(trim(service_type)) = 'WAREHOUSE_METERING' THEN 3.68
-              WHEN upper(trim(service_type)) = 'PIPE' THEN 1.25
-              WHEN upper(trim(service_type)) = 'AUTO_CLUSTERING' THEN 2.5
+              WHEN upper(trim(service_type)) = 'SNOWPIPE' THEN 1.25
+              WHEN upper(trim(service_type)) = 'AUTOMATIC_CLUSTERING' THEN 2.5
               WHEN contains(upper(trim(service_type)), 'WAREHOUSE_METERING') OR contains('WAREHOUSE_METERING', upper(trim(service_type))) THEN 3.68
-              WHEN contains(upper(trim(service_type)), 'PIPE') OR contains('PIPE', upper(trim(service_type))) THEN 1.25
-              WHEN contains(upper(trim(service_type)), 'AUTO_CLUSTERING') OR contains('AUTO_CLUSTERING', upper(trim(service_type))) THEN 2.5
+              WHEN contains(upper(trim(service_type)), 'SNOWPIPE') OR contains('SNOWPIPE', upper(trim(service_type))) THEN 1.25
+              WHEN contains(upper(trim(service_type)), 'AUTOMATIC_CLUSTERING') OR contains('AUTOMATIC_CLUSTERING', upper(trim(service_type))) THEN 2.5
               WHEN contains(upper(trim(service_type)), 'INTELLIGENCE') OR contains(upper(trim(service_type)), 'TOKEN')
                 OR regexp_matches(upper(trim(service_type)), '(^|[^A-Z])AI([^A-Z]|$)') THEN 2.2
               ELSE 3.68 END, 2) AS credits_used_cost_usd

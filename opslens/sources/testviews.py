@@ -169,8 +169,8 @@ def _views(d: Dialect) -> dict[str, View]:
         cols=[
             "l_shipdate AS start_time",
             "CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'WAREHOUSE_METERING' "
-            "WHEN 'AO' THEN 'AUTO_CLUSTERING' WHEN 'NF' THEN 'PIPE' WHEN 'NO' THEN 'SERVERLESS_TASK' "
-            "WHEN 'RF' THEN 'AI_SERVICES' ELSE 'CONTAINER_SERVICES' END AS service_type",
+            "WHEN 'AO' THEN 'AUTOMATIC_CLUSTERING' WHEN 'NF' THEN 'SNOWPIPE' WHEN 'NO' THEN 'SERVERLESS_TASK' "
+            "WHEN 'RF' THEN 'AI_SERVICES' ELSE 'SNOWPARK_CONTAINER_SERVICES' END AS service_type",
             "CAST(round(l_extendedprice / 10000, 6) AS DOUBLE) AS credits_used",
         ],
     )

@@ -42,7 +42,7 @@ def test_change_family_precedence(spark):
 
 
 def test_service_category_and_ai_token(spark):
-    rows = [("AI_SERVICES",), ("CONTAINER_SERVICES",), ("WAREHOUSE_METERING",), ("STORAGE",), ("DATA_TRANSFER",), ("x",), (None,)]
+    rows = [("AI_SERVICES",), ("SNOWPARK_CONTAINER_SERVICES",), ("WAREHOUSE_METERING",), ("STORAGE",), ("DATA_TRANSFER",), ("x",), (None,)]
     got = _one(spark, cost.service_category(F.col("s")), "s string", rows)
     assert got == ["AI Services", "Serverless / Managed Compute", "Warehouse", "Storage", "Data Transfer / Network", "Other", "Other"]
 
