@@ -44,7 +44,7 @@ def test_capacity_exhaustion_closed_form(spark):
     w, u, _ = fc.capacity_exhaustion(F.col("g"), F.col("cur"), F.col("cap"))
     got = [(r[0], r[1]) for r in df.select(w, u).collect()]
     # 100 * 1.1^8 = 214 >= 200 -> 8 weeks; no growth -> none; already over -> 0; 1 % to 100x -> beyond 52 weeks
-    assert got == [(8, "plan"), (None, "none"), (0, "immediate"), (None, "none")]
+    assert got == [(8, "plan"), (None, "none"), (0, "immediate"), (463, "monitor")]
 
 
 def test_chargeback_report_shares(spark):
