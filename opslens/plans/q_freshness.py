@@ -16,10 +16,11 @@ NOW_L = "TIMESTAMP '2001-11-05 00:00:00'"
 _STATUS = f"""
 t AS (SELECT database_name, schema_name, name AS pipeline_name,
              max({{'s': scheduled_time, 'c': completed_time, 'st': state}}) AS l
-      FROM task_history WHERE scheduled_time >= TIMESTAMP '2001-07-30 00:00:00' GROUP BY 1, 2, 3),
+      FROM task_history WHERE scheduled_time >= TIMESTAMP '2001-07-30 00:00:00' AND scheduled_time < {NOW_O} GROUP BY 1, 2, 3),
 p AS (SELECT table_catalog_name AS database_name, table_schema_name AS schema_name, pipe_name AS pipeline_name,
              max(last_load_time) AS lt
-      FROM copy_history WHERE pipe_name IS NOT NULL AND last_load_time >= TIMESTAMP '2001-07-30 00:00:00' GROUP BY 1, 2, 3),
+      FROM copy_history WHERE pipe_name IS NOT NULL AND last_load_time >= TIMESTAMP '2001-07-30 00:00:00' AND last_load_time < {NOW_O}
+      GROUP BY 1, 2, 3),
 u AS (SELECT database_name, schema_name, pipeline_name, 'TASK' AS pipeline_type, l.st AS state, l.s AS last_run_time,
              l.c AS completed_time, date_diff('minute', l.s, coalesce(l.c, {NOW_O})) AS duration_min FROM t
       UNION ALL

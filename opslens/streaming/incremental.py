@@ -168,7 +168,8 @@ def upsert_partitions(batch: DataFrame, path: str, keys: Sequence[str], partitio
     ensure_checkpoint_dir(spark)
     b = batch.withColumn(version_col, F.lit(1))
     if path_exists(spark, path):
-        existing = spark.read.parquet(path)
+        # the schema is given, as a batch without rows leaves a folder without files
+        existing = spark.read.schema(batch.schema).parquet(path)
         # only the partitions this batch touches (semi join: runtime partition pruning, no driver collect)
         old = (existing.join(b.select(partition_col).distinct(), partition_col, "left_semi")
                .withColumn(version_col, F.lit(0)))
@@ -224,7 +225,7 @@ def run_available_now(stream: DataFrame, run: str, keys: Sequence[str], partitio
     q.awaitTermination()
     spark = stream.sparkSession
     if path_exists(spark, out):
-        return spark.read.parquet(out)
+        return spark.read.schema(stream.schema).parquet(out)
     return spark.createDataFrame([], stream.schema)  # no micro-batch produced a row
 
 
