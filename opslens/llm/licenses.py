@@ -95,9 +95,18 @@ class Matcher:
                 found = (score, self.names[k])
         return found
 
+    def possible(self, text: str) -> bool:
+        """Whether some template may match: a window with a coefficient of ``t``
+        holds at least t / (2 - t) of the template's bigrams, and all of them are
+        among those of the whole text."""
+        words = normalise(text)
+        held = self.any.intersection(zip(words, words[1:]))
+        least = self.dice / (2 - self.dice)
+        return any(len(s & held) >= least * len(s) - 1e-9 for s in self.sets.values()) if held else False
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(template, coefficient, first piece, end piece) of each match."""
-        if not text or not self.sets:
+        if not text or not self.sets or not self.possible(text):
             return []
         pieces = _PIECE.split(text)
         runs, run = [], []
