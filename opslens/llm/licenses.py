@@ -3,7 +3,8 @@ over word bigrams.
 
 A text is cut into pieces (sentences and lines). Pieces of which at least half
 of the bigrams occur in some template are put together in runs; pieces without a
-bigram go along. Each window of consecutive pieces of a run is compared, as a
+bigram go along. Each window of consecutive pieces of a run, from one with bigrams to
+one with bigrams, is compared, as a
 set of bigrams, with the templates that its size allows: a coefficient of ``t``
 needs sizes within a factor (2 - t) / t of each other, which prunes templates
 and ends a window's growth. The best template of 0.8 or more names the window;
@@ -124,13 +125,16 @@ class Matcher:
             if not any(has for _, _, has in run):
                 continue
             for a in range(len(run)):
-                words: list[str] = []
+                if not run[a][2]:
+                    continue  # windows begin and end with a piece that has bigrams
+                pairs: set[tuple[str, str]] = set()
+                last: list[str] = []
                 for b in range(a, len(run)):
-                    words += run[b][1]
-                    pairs = _bigrams(words)
+                    pairs.update(zip([*last, *run[b][1]], [*last, *run[b][1]][1:]))
+                    last = run[b][1][-1:] or last
                     if len(pairs) > self.widest:
                         break
-                    if not pairs:
+                    if not run[b][2]:
                         continue
                     score, name = self.best(pairs)
                     if score >= self.dice:
