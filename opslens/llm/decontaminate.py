@@ -5,12 +5,13 @@ Two streams are made of each text, one that keeps names as words (a verbatim or
 re-numbered question) and one in which every capitalised word is a name (a
 question retold with other names). Windows of eight canonical words are hashed;
 document windows that a bounded filter of the benchmark's hashes lets through
-are hash-joined to the benchmark's windows. Windows of one document and item on
-one diagonal are put together, and the slots are checked: each placeholder value
-of the item must stand for one value in the document, and the other way round.
+are hash-joined to the benchmark's windows. A window counts if its slots
+fit: each placeholder value of the item stands for one value in the document's
+window, and the other way round. A window that doesn't fit is left out alone; the
+others of its diagonal count.
 
 A document holds an item if ``min(RUN, windows of the item)`` different windows
-lie on one diagonal with consistent slots; RUN windows of eight are a run of 13
+lie on one diagonal; RUN windows of eight are a run of 13
 words. Items of 3 to 7 words have one window, the whole item; shorter ones are
 never matched. The result is whole: no window or document is capped.
 
@@ -181,14 +182,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     found = docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"), F.col("text").alias("_t")) \
         .mapInArrow(survivors, "doc_id long, text_hash long, stream int, h long, place int, own array<string>")
-    joined = found.distinct().join(windows, ["stream", "h"]).where(F.size("vals") == F.size("own"))
-    per = joined.groupBy("doc_id", "text_hash", "item_id", "stream", (F.col("place") - F.col("at")).alias("diagonal")).agg(
-        F.countDistinct("at").alias("n"), F.min("place").alias("first"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("vals", "own")))).alias("pairs"))
+    pairs = F.array_distinct(F.arrays_zip("vals", "own"))
     consistent = (F.size(F.array_distinct(F.col("pairs.vals"))) == F.size("pairs")) & \
         (F.size(F.array_distinct(F.col("pairs.own"))) == F.size("pairs"))
+    joined = found.distinct().join(windows, ["stream", "h"]).where(F.size("vals") == F.size("own"))
+    fit = joined.withColumn("pairs", pairs).where(consistent)
+    per = fit.groupBy("doc_id", "text_hash", "item_id", "stream", (F.col("place") - F.col("at")).alias("diagonal")).agg(
+        F.countDistinct("at").alias("n"), F.min("place").alias("first"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     total = windows.groupBy("item_id", "stream").agg(F.countDistinct("at").alias("of"))
-    held = per.where(consistent).join(total, ["item_id", "stream"]).where(F.col("n") >= F.least(F.lit(RUN), F.col("of")))
+    held = per.join(total, ["item_id", "stream"]).where(F.col("n") >= F.least(F.lit(RUN), F.col("of")))
     return held.groupBy("doc_id", "text_hash", "item_id").agg(
         F.max("n").alias("n_windows"), F.min("first").alias("first_word"), F.max(F.size("pairs")).alias("n_slots"))
 

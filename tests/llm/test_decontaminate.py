@@ -60,3 +60,16 @@ def test_edge_cases(spark, table):
     kept = d.without_benchmark(table(rows).selectExpr("*", "1 AS _d", "2 AS _h"), bench)
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2] and kept.columns[-2:] == ["_d", "_h"]
     assert d.matches(table(rows).limit(0), bench).count() == 0 and d.matches(table(rows), bench.limit(0)).count() == 0
+
+
+LONG = ("A farmer keeps 5 brown cows on the north field and sells fresh milk at the village fair every single week of the dry season "
+        "until 5 new calves arrive and the whole herd moves over the river to the south field")
+
+
+def test_a_clash_drops_its_windows_only(spark, table):
+    items = [(1, LONG), (2, "A tailor cuts 12 long strips from one roll of blue cloth, then sews them by hand into curtains for the old house, "
+                            "and in the end 7 of them are sold to the neighbours who live down the road")]
+    rows = [(1, LONG.replace("5 new", "6 new")),  # one of two equal numbers changed
+            (2, "Before. " + LONG.replace("5 brown", "4 brown").replace("5 new", "9 new") + " After."),  # drawn independently
+            (3, items[1][1].replace("12", "9").replace("7", "9"))]  # two numbers become equal
+    assert held(spark, table, rows, items) == [(1, 1), (2, 1), (3, 2)]
