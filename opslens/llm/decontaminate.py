@@ -1,19 +1,21 @@
 """Operator 9, benchmark decontamination by templates.
 
 Words are canonicalised: numbers, units and names become typed placeholders.
-Two streams are made of each text, one that keeps names as words (a verbatim or
-re-numbered question) and one in which every capitalised word is a name (a
-question retold with other names). Windows of eight canonical words are hashed;
-document windows that a bounded filter of the benchmark's hashes lets through
-are hash-joined to the benchmark's windows. A window counts if its slots
-fit: each placeholder value of the item stands for one value in the document's
-window, and the other way round. A window that doesn't fit is left out alone; the
-others of its diagonal count.
+Three streams are made of each text, one that keeps names as words (a re-numbered
+question), one in which every capitalised word is a name (a question retold with
+other names) and one that keeps all words (a verbatim copy). Windows of eight
+canonical words are hashed; document windows that a bounded filter of the
+benchmark's hashes lets through are hash-joined to the benchmark's windows. A
+window counts if its slots fit: each placeholder value of the item stands for one
+value in the document's window, and the other way round. A window that doesn't
+fit is left out alone; the others of its diagonal count.
 
 A document holds an item if ``min(RUN, windows of the item)`` different windows
-lie on one diagonal; RUN windows of eight are a run of 13
-words. Items of 3 to 7 words have one window, the whole item; shorter ones are
-never matched. The result is whole: no window or document is capped.
+of one stream lie on one diagonal; RUN windows of eight are a run of 13 words.
+Windows with placeholders need a word in half of their places; those of the
+verbatim stream have no placeholder, so an item of numbers is found by them.
+Items of 3 to 7 words have one window, the whole item; shorter ones are never
+matched. The result is whole: no window or document is capped.
 
 Defined results: null or empty texts match nothing; rows with a null doc_id are
 judged by their text, as rows with equal doc_id and text are the same document.
@@ -36,6 +38,7 @@ from opslens.llm.common import slices, stage
 WINDOW = 8
 RUN = 6
 SHORTEST = 3
+STREAMS = 3  # names kept, names replaced, all words kept
 FILTER_BITS = 22  # the filter has 2^22 places, however large the benchmark is
 
 #: Words for units of measure.
@@ -49,30 +52,30 @@ _M = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SLOT = {"num": 0x1234567, "unit": 0x2345678, "name": 0x3456789}
 
 
-def canonical(word: str) -> tuple[int, int, bool, bool]:
-    """Hash with names kept, hash with names replaced, and whether the word is
-    a slot in either stream; hash 0 for a word without a letter or digit."""
+def canonical(word: str) -> tuple[int, int, int, bool, bool, bool]:
+    """Hash in each stream (names kept, names replaced, all kept), and whether the
+    word is a slot there; hash 0 for a word without a letter or digit."""
     bare = word.strip(_EDGE)
     if not bare:
-        return 0, 0, False, False
+        return 0, 0, 0, False, False, False
     low = bare.lower()
+    h = xxhash.xxh64_intdigest(low) | 1
     if bare[0].isdigit() and _NUMBER.fullmatch(low):
-        return _SLOT["num"], _SLOT["num"], True, True
+        return _SLOT["num"], _SLOT["num"], h, True, True, False
     if low in UNITS:
-        return _SLOT["unit"], _SLOT["unit"], True, True
-    h = xxhash.xxh64_intdigest(low) | 1
+        return _SLOT["unit"], _SLOT["unit"], h, True, True, False
     named = bare[0].isupper()
-    return h, _SLOT["name"] if named else h, False, named
+    return h, _SLOT["name"] if named else h, h, False, named, False
 
 
 class _Words(dict):
-    """word -> its row in ``hashes`` (names kept, names replaced) and ``slots``;
-    each distinct word is canonicalised once, until ``most`` words are known."""
+    """word -> its row in ``hashes`` and ``slots`` (a column for each stream); each
+    distinct word is canonicalised once, until ``most`` words are known."""
 
     def __init__(self, most: int = 400_000):
         super().__init__()
         self.most = most
-        self.hashes, self.slots = np.zeros((1024, 2), np.uint64), np.zeros((1024, 2), bool)
+        self.hashes, self.slots = np.zeros((1024, STREAMS), np.uint64), np.zeros((1024, STREAMS), bool)
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
@@ -80,7 +83,7 @@ class _Words(dict):
             self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
             self.slots = np.concatenate([self.slots, np.zeros_like(self.slots)])
         found = canonical(word)
-        self.hashes[at], self.slots[at] = found[:2], found[2:]
+        self.hashes[at], self.slots[at] = found[:STREAMS], found[STREAMS:]
         return at
 
     def canon(self, texts: list[str | None]):
@@ -121,7 +124,8 @@ def _slots(words, slots, at, length):
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """(item_id, stream, length, h, at, values): the windows of each item. A
-    window needs a word that is no slot in half of its places."""
+    window needs a word that is no slot in half of its places, which windows of
+    the verbatim stream always have."""
     def rows(batches):
         for b in batches:
             out = []
@@ -130,7 +134,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                 length = min(WINDOW, len(words))
                 if length < SHORTEST:
                     continue
-                for stream in (0, 1):
+                for stream in range(STREAMS):
                     for at, h in enumerate(_windows(table[:, stream], length, stream).view(np.int64).tolist()):
                         if 2 * int(slots[at:at + length, stream].sum()) <= length:
                             out.append((item, stream, length, h, at, _slots(words, slots[:, stream], at, length)))
@@ -167,7 +171,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 out = []
                 words, of, table, slots = _KNOWN.canon(texts[begin:end])
                 first = np.searchsorted(of, np.arange(end - begin))
-                for stream in (0, 1):
+                for stream in range(STREAMS):
                     for length in lengths:
                         h = _windows(table[:, stream], length, stream).view(np.int64)
                         p, q = _places(h)

@@ -73,3 +73,9 @@ def test_a_clash_drops_its_windows_only(spark, table):
             (2, "Before. " + LONG.replace("5 brown", "4 brown").replace("5 new", "9 new") + " After."),  # drawn independently
             (3, items[1][1].replace("12", "9").replace("7", "9"))]  # two numbers become equal
     assert held(spark, table, rows, items) == [(1, 1), (2, 1), (3, 2)]
+
+
+def test_items_of_numbers_are_found_verbatim(spark, table):
+    short, long = "Add 12, 45, 78 and 93", "Add 12 45 78 93 11 and 64 28 59 37 16 then 82 71 46 25 90"
+    rows = [(1, "First. " + short + ". Then more."), (2, "Add 13, 46, 79 and 94"), (3, "so: " + long.lower() + " done"), (4, "Add 12 45 78 93 11 and 1 2 3 4 5 then 6")]
+    assert held(spark, table, rows, [(1, short), (2, long)]) == [(1, 1), (3, 2)]
