@@ -106,15 +106,16 @@ class LanguageModel:
         count, begin = count[order], begin[order]
         alive = np.searchsorted(-count, -np.arange(count[0]), "left")  # texts with more than t words
         k = e.shape[1]
-        came = np.zeros(e.shape, np.int8)
-        v, own = np.zeros((n, k), np.float32), np.arange(k, dtype=np.int8)
+        kind = np.min_scalar_type(-k)  # holds every language number: int8 up to 128 languages, then int16
+        came = np.zeros(e.shape, kind)
+        v, own = np.zeros((n, k), np.float32), np.arange(k, dtype=kind)
         for t in range(count[0]):
             m = alive[t]
             at = begin[:m] + t
             best = v[:m].argmax(1)
             high = v[np.arange(m), best][:, None] - switch
             moved = (high > v[:m]) if t else np.zeros((m, k), bool)
-            came[at] = np.where(moved, best[:, None].astype(np.int8), own)
+            came[at] = np.where(moved, best[:, None].astype(kind), own)
             v[:m] = np.where(moved, high, v[:m]) + e[at]
             v[:m] -= v[:m].max(1, keepdims=True)
         state = np.zeros(len(e), np.int64)

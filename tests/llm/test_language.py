@@ -52,6 +52,21 @@ def test_viterbi_is_the_best_path():
                 assert abs(score - brute_viterbi(rows, 2.0)[0]) < 1e-3
 
 
+def test_two_hundred_languages():
+    import numpy as np
+
+    k, names = 200, [f"l{i:03d}" for i in range(200)]
+    words = ["".join(chr(97 + (i // 26 ** d) % 26) * 2 for d in range(3)) for i in range(k)]
+    codes = [language._pieces(language.letter_codes([w])[0])[1] for w in words]
+    logp = np.full((1 << language.BITS, k), -12.0, np.float32)
+    for i, piece in enumerate(codes):
+        logp[piece, i] = -1.0
+    model = language.LanguageModel(names, logp, np.ones((len(language.SCRIPTS), k), bool))
+    lang, score, (doc, first, end, state) = model.label([f"{words[i]} " * 9 for i in range(k)] + [f"{words[150]} " * 9 + f"{words[190]} " * 5])
+    assert lang.tolist() == [*range(k), 150] and (score[:k] == 1).all()
+    assert state[doc == k].tolist() == [150, 190] and first[doc == k].tolist() == [0, 9] and end[doc == k].tolist() == [9, 14]
+
+
 def test_script_narrows(spark, table):
     docs = table([(1, "the cat and the dog"), (2, "кошка и собака")], lang="en").withColumn(
         "lang", F.when(F.col("doc_id") == 2, "ru").otherwise("en"))
