@@ -1,14 +1,16 @@
 """Operator 6, licence scan: texts against licence templates by Dice coefficient
 over word bigrams.
 
-A text is cut into pieces (sentences and lines). Pieces of which at least half
-of the bigrams occur in some template are put together in runs; pieces without a
-bigram go along. Each window of consecutive pieces of a run, from one with bigrams to
-one with bigrams, is compared, as a
-set of bigrams, with the templates that its size allows: a coefficient of ``t``
-needs sizes within a factor (2 - t) / t of each other, which prunes templates
-and ends a window's growth. The best template of 0.8 or more names the window;
-of overlapping windows the best is kept, then the longer, then the first.
+A window is a run of a text's words, over lines and sentences. For each template
+of whose bigrams the whole text holds enough, windows begin and end at bigrams of
+the template, as one more foreign bigram at an edge only lowers the coefficient.
+They run over foreign words until the coefficient can't be reached: ``t`` allows
+at most (2 - 2t) / t of the template's size in foreign bigrams, and needs t / (2 - t)
+of its own. Of overlapping windows with 0.8 or more the one is kept that shares most
+bigrams with its template after taking off those by which they differ, so that a
+short notice inside an altered full text doesn't stand in for it; then the longer,
+then the first. A match is given by
+the pieces (sentences and lines) from that of its first word to that of its last.
 
 Templates are a table of the caller's (name, text), bounded by ``MAX_TEMPLATES``
 words in all, or the built-in notices. Texts are scanned whole.
@@ -20,13 +22,17 @@ template whose name sorts first.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 DICE = 0.8
+NONE = -(1 << 62)
 MAX_TEMPLATES = 2_000_000  # words of all templates together; they go to every task
 
 #: Public licence notices and headers.
@@ -80,11 +86,14 @@ class Matcher:
         self.dice = dice
         self.sets = {n: _bigrams(normalise(t)) for n, t in sorted(templates.items())}
         self.sets = {n: s for n, s in self.sets.items() if s}
-        self.any = set().union(*self.sets.values()) if self.sets else set()
-        self.words = {w for pair in self.any for w in pair}
+        self.ids = {pair: i for i, pair in enumerate(sorted(set().union(*self.sets.values())))}
+        self.any = self.ids.keys()
         sizes = [len(s) for s in self.sets.values()]
         self.names, self.sizes = list(self.sets), np.array(sizes)
-        self.widest = max(sizes, default=0) * (2 - dice) / dice
+        # template x bigram; the last column stands for bigrams of no template
+        self.member = np.zeros((len(sizes), len(self.ids) + 1), bool)
+        for k, s in enumerate(self.sets.values()):
+            self.member[k, [self.ids[pair] for pair in s]] = True
 
     def best(self, bigrams: set) -> tuple[float, str | None]:
         """Best template among those that the size allows."""
@@ -96,65 +105,105 @@ class Matcher:
                 found = (score, self.names[k])
         return found
 
-    def possible(self, text: str) -> bool:
-        """Whether some template may match: a window with a coefficient of ``t``
+    def possible(self, words: list[str]) -> np.ndarray:
+        """The templates that may match: a window with a coefficient of ``t``
         holds at least t / (2 - t) of the template's bigrams, and all of them are
         among those of the whole text."""
-        words = normalise(text)
-        held = self.any.intersection(zip(words, words[1:]))
+        held = [i for i in map(self.ids.get, set(zip(words, words[1:]))) if i is not None]
         least = self.dice / (2 - self.dice)
-        return any(len(s & held) >= least * len(s) - 1e-9 for s in self.sets.values()) if held else False
+        return np.flatnonzero(self.member[:, held].sum(1) >= least * self.sizes - 1e-9) if held else np.zeros(0, np.int64)
+
+    def starts(self, hits: np.ndarray, foreign: np.ndarray, size: int) -> np.ndarray:
+        """Those of a template's ``hits`` at which a window may begin: it needs t /
+        (2 - t) of the template's bigrams, and has at most size * (2 - 2t) / t
+        bigrams that aren't the template's. ``foreign`` counts, up to each place,
+        foreign bigrams where the text has them for the first time, which are new
+        in every window."""
+        least = max(1, int(np.ceil(self.dice / (2 - self.dice) * size - 1e-9)))
+        n = len(hits) - least + 1
+        if n <= 0:
+            return hits[:0]
+        return hits[:n][foreign[hits[least - 1:]] - foreign[hits[:n]] <= size * (2 - 2 * self.dice) / self.dice + 1e-9]
+
+    def longest(self, hit: np.ndarray, before: np.ndarray, size: int, a: int, limit: int) -> tuple[int, float, int]:
+        """Of the windows with the coefficient that begin at bigram ``a`` and end
+        before bigram ``limit``: shared less differing bigrams of the best, its
+        coefficient, and its last bigram; the longest of equal ones."""
+        most = size * (2 - 2 * self.dice) / self.dice + 1e-9  # foreign bigrams
+        found, held, alien, lo, step = (0, 0.0, a), 0, 0, a, 2 * size + 16
+        while lo < limit and alien <= most:
+            hi = min(limit, lo + step)
+            new = before[lo:hi] < a  # not yet in the window
+            own = hit[lo:hi]
+            h, f = held + np.cumsum(new & own), alien + np.cumsum(new & ~own)
+            net = np.where(own & (2 * h >= (self.dice - 1e-12) * (h + f + size)), 2 * h - f - size, NONE)
+            k = hi - lo - 1 - int(net[::-1].argmax())  # the last of the best
+            if net[k] > NONE and (not found[1] or net[k] >= found[0]):
+                found = (int(net[k]), float(2 * h[k] / (h[k] + f[k] + size)), lo + k)
+            held, alien, lo, step = int(h[-1]), int(f[-1]), hi, 2 * step
+        return found
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(template, coefficient, first piece, end piece) of each match."""
-        if not text or not self.sets or not self.possible(text):
+        if not text or not self.sets:
+            return []
+        words = normalise(text)
+        names = self.possible(words)
+        if not len(names):
             return []
-        pieces = _PIECE.split(text)
-        runs, run = [], []
-        for i, piece in enumerate(pieces):
-            words = normalise(piece)
-            own = _bigrams(words)
-            if own and 2 * len(own & self.any) < len(own):
-                runs.append(run)
-                run = []
-            else:
-                run.append((i, words, bool(own)))
-        found = []
-        for run in [*runs, run]:
-            run_found = []
-            if not any(has for _, _, has in run):
+        parts = [normalise(piece) for piece in _PIECE.split(text)]
+        words = [w for part in parts for w in part]
+        piece = np.repeat(np.arange(len(parts)), [len(part) for part in parts])
+        pairs = list(zip(words, words[1:]))
+        ids = np.array([self.ids.get(pair, -1) for pair in pairs])
+        before, seen = np.full(len(pairs), -1), {}
+        for k, pair in enumerate(pairs):
+            before[k] = seen.get(pair, -1)
+            seen[pair] = k
+        hits = {int(k): self.member[k][ids] for k in names}
+        # the best window of each start; a start whose window meets one that was
+        # taken is looked at again up to there, so the choice is as among all
+        heap = []
+
+        def push(k: int, a: int, limit: int) -> None:
+            net, score, last = self.longest(hits[k], before, int(self.sizes[k]), a, limit)
+            if score:
+                heapq.heappush(heap, (-net, a - last, a, k, score))
+
+        for k, hit in hits.items():
+            foreign = np.cumsum(~hit & (before < 0))
+            for a in self.starts(np.flatnonzero(hit), foreign, int(self.sizes[k])).tolist():
+                push(k, a, len(pairs))
+        begins, ends, found = [], [], []
+        while heap:
+            _, less, a, k, score = heapq.heappop(heap)
+            last = a - less
+            i = bisect.bisect_right(begins, a)
+            if i and a <= ends[i - 1]:
+                continue  # begins in a taken window
+            if i < len(begins) and last + 1 >= begins[i]:
+                push(k, a, begins[i] - 1)  # windows share no word
                 continue
-            for a in range(len(run)):
-                if not run[a][2]:
-                    continue  # windows begin and end with a piece that has bigrams
-                pairs: set[tuple[str, str]] = set()
-                last: list[str] = []
-                for b in range(a, len(run)):
-                    pairs.update(zip([*last, *run[b][1]], [*last, *run[b][1]][1:]))
-                    last = run[b][1][-1:] or last
-                    if len(pairs) > self.widest:
-                        break
-                    if not run[b][2]:
-                        continue
-                    score, name = self.best(pairs)
-                    if score >= self.dice:
-                        run_found.append((-score, a - b, run[a][0], run[b][0] + 1, name))
-            taken: list[tuple[int, int]] = []
-            for score, _, first, end, name in sorted(run_found):
-                if all(end <= x or first >= y for x, y in taken):
-                    taken.append((first, end))
-                    found.append((name, -score, first, end))
-        return sorted(found, key=lambda x: x[2])
+            begins.insert(i, a)
+            ends.insert(i, last + 1)  # its last word
+            found.append((self.names[k], score, int(piece[a]), int(piece[last + 1]) + 1, a))
+        return [x[:4] for x in sorted(found, key=lambda x: x[4])]
+
+
+@lru_cache(maxsize=2)
+def _matcher(templates: tuple[tuple[str, str], ...], dice: float) -> Matcher:
+    return Matcher(dict(templates), dice)
 
 
 def licenses(docs: DataFrame, templates: dict[str, str] | None = None, dice: float = DICE) -> DataFrame:
     """(doc_id, template, dice, first_piece, end_piece), one row per match."""
     table = TEMPLATES if templates is None else templates
+    items = tuple(table.items())
     if sum(len(t.split()) for t in table.values()) > MAX_TEMPLATES:
         raise ValueError("templates have too many words together to go to every task")
 
     def scan(batches):
-        matcher = Matcher(table, dice)
+        matcher = _matcher(items, dice)
         for b in batches:
             ids, rows = b.column("doc_id").to_pylist(), []
             for d, text in zip(ids, b.column("text")):

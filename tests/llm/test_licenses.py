@@ -37,3 +37,47 @@ def test_edge_cases(spark, table):
     assert sorted((r.doc_id for r in got.collect()), key=str) == sorted([None, 3, 3, 4], key=str)
     assert rows(spark, table, [notice], templates={}) == [] and rows(spark, table, [notice], templates={"x": ""}) == []
     assert licenses.licenses(table([(1, "a")]).limit(0)).count() == 0
+
+
+def brute(m, text):
+    """The choice among all windows of words."""
+    words, found = licenses.normalise(text), []
+    for a in range(len(words) - 1):
+        for b in range(a + 2, len(words) + 1):
+            own = licenses._bigrams(words[a:b])
+            for n, s in m.sets.items():
+                score = 2 * len(own & s) / (len(own) + len(s))
+                if score >= m.dice:
+                    found.append((len(own ^ s) - len(own & s), a - b, a, n, b, score))
+    taken = []
+    for _, _, a, n, b, score in sorted(found):
+        if all(b <= x or a >= y for x, y, _, _ in taken):
+            taken.append((a, b, n, score))
+    return [(n, score) for _, _, n, score in sorted(taken)]
+
+
+def test_windows_against_all_windows():
+    import random
+
+    draw = random.Random(3)
+    m = licenses.Matcher({"x": "a b c d e f", "y": "c d e a b g h", "z": "f a b", "long": "a c e g b d f h a d g c f b e h"})
+    many = 0
+    for _ in range(150):
+        parts = [draw.choice(["a b c d e f", "c d e a b g h", "a c e g b d f h a d g c f b e h", "q", "f a b", "a q b", "r s t", "a b"]) for _ in range(draw.randint(1, 7))]
+        text = draw.choice([" ", ".\n"]).join(parts)
+        got = [(n, s) for n, s, _, _ in m.scan(text)]
+        many += len(got)
+        assert got == brute(m, text), text
+    assert many > 100
+
+
+def test_foreign_lines_words_and_longer_sentences(spark, table):
+    lines = [licenses.TEMPLATES["MIT"][i:i + 72] for i in range(0, len(licenses.TEMPLATES["MIT"]), 72)]
+    words = licenses.TEMPLATES["Apache-2.0"].split()
+    narrow = [" ".join(words[i:i + 3]) for i in range(0, len(words), 3)]
+    narrow[6] = narrow[6].replace(narrow[6].split()[0], "changed")
+    texts = ["\n".join([*lines[:7], "Page 3 of 12", *lines[7:]]), "\n".join(narrow),
+             "All code samples in this article are released under the MIT License unless something else is said."]
+    assert sorted(rows(spark, table, texts)) == [(0, "MIT"), (1, "Apache-2.0"), (2, "MIT-notice")]
+    named = {"own": "Copyright NAME\nAll rights are kept by NAME and nobody may copy this work or any part of it"}
+    assert rows(spark, table, [named["own"].replace("NAME", "Ann Example")], templates=named) == [(0, "own")]
