@@ -13,7 +13,8 @@ then the first. A match is given by
 the pieces (sentences and lines) from that of its first word to that of its last.
 
 Templates are a table of the caller's (name, text), bounded by ``MAX_TEMPLATES``
-words in all, or the built-in notices. Texts are scanned whole.
+words in all, or the built-in ones: notices and headers as listed here, and the
+full texts of ``license_texts``. Texts are scanned whole.
 
 Defined results: null and empty texts and an empty template table match
 nothing; repeated rows each give their matches; of equal coefficients the
@@ -26,6 +27,8 @@ import bisect
 import heapq
 import re
 from functools import lru_cache
+from importlib import resources
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,25 @@ DICE = 0.8
 NONE = -(1 << 62)
 MAX_TEMPLATES = 2_000_000  # words of all templates together; they go to every task
 
-#: Public licence notices and headers.
-TEMPLATES = {
+#: Public licence notices, headers and short texts.
+_ISC_WARRANTY = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+    "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+    "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
+    "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.")
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. ")
+_BSD_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_HEADERS = {
     "MIT-notice": "Released under the MIT License.",
     "MIT-notice-2": "Licensed under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -67,8 +87,80 @@ TEMPLATES = {
                "program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
                "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is "
+               "available at https://www.eclipse.org/legal/epl-2.0/",
+    "EPL-1.0": "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public "
+               "License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+                "that the above copyright notice and this permission notice appear in all copies. " + _ISC_WARRANTY,
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _ISC_WARRANTY,
+    "BSD-2-Clause": _BSD + _BSD_WARRANTY,
+    "BSD-3-Clause": _BSD + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+                    "derived from this software without specific prior written permission. " + _BSD_WARRANTY,
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+            "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
+            "commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this "
+            "software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a "
+            "product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must "
+            "be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or "
+            "altered from any source distribution.",
 }
 
+#: Names of licences in notices: identifier -> its spellings.
+_NAMES = {
+    "MIT": ["MIT License"], "ISC": ["ISC License"], "BSD": ["BSD License"], "Zlib": ["zlib License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+    "GPL": ["GNU General Public License"], "LGPL": ["GNU Lesser General Public License"], "AGPL": ["GNU Affero General Public License"],
+    "MPL-1.1": ["Mozilla Public License, version 1.1"], "MPL-2.0": ["Mozilla Public License, version 2.0"],
+    "EPL-1.0": ["Eclipse Public License, version 1.0"], "EPL-2.0": ["Eclipse Public License, version 2.0", "Eclipse Public License 2.0"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal"],
+} | {f"{short}-{v}": [f"GNU {name}General Public License, version {v.removesuffix('.0')}", f"{short} version {v.removesuffix('.0')}"]
+     for short, name, versions in (("GPL", "", "1.0 2.0 3.0"), ("LGPL", "Lesser ", "2.1 3.0"), ("LGPL", "Library ", "2.0"), ("AGPL", "Affero ", "3.0"))
+     for v in versions.split()} | {
+    f"CC-{kind}-{v}": [f"CC {kind} {v}", f"Creative Commons {words} {v} {'International' if v == '4.0' else 'Unported' if v == '3.0' else 'Generic'} License"]
+    for kind, words in {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial",
+                        "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}.items()
+    for v in ("1.0", "2.0", "2.5", "3.0", "4.0")}
+
+
+def _gnu_header(license: str, version: str, later: bool = True) -> str:
+    """The header that the GNU licences ask for at the top of a source file."""
+    terms = f"either version {version} of the License, or (at your option) any later version." if later else f"version {version} of the License."
+    return (f"This program is free software: you can redistribute it and/or modify it under the terms of the {license} as published by the Free "
+            f"Software Foundation, {terms} This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+            f"the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {license} for more details.")
+
+
+def _built_in() -> dict[str, str]:
+    """Headers and short texts, full texts, and the notices of all names."""
+    out = dict(_HEADERS)
+    for file in resources.files("opslens.llm").joinpath("license_texts").iterdir():
+        if file.name.endswith(".txt"):
+            out[file.name.removesuffix(".txt")] = file.read_text("utf-8")
+    for name, license, version in (("GPL-2.0", "GNU General Public License", "2"), ("LGPL-2.1", "GNU Lesser General Public License", "2.1"),
+                                   ("LGPL-3.0", "GNU Lesser General Public License", "3"), ("AGPL-3.0", "GNU Affero General Public License", "3")):
+        out[name] = _gnu_header(license, version)
+    for name, version in (("GPL-2.0-only", "2"), ("GPL-3.0-only", "3")):
+        out[name] = _gnu_header("GNU General Public License", version, later=False)
+    for name, spellings in _NAMES.items():
+        notices = [f"{start} {x}." for x in spellings for start in (
+            ("Licensed under", "Released under", "This work is licensed under") if x.startswith("CC") else
+            ("Released under the", "Licensed under the", "This work is licensed under the", "This work is licensed under a"))]
+        if name[-1].isdigit() or name in ("MIT", "ISC", "Zlib", "BSD-2-Clause", "BSD-3-Clause"):
+            tails = [name] if name[:3] not in ("GPL", "LGP", "AGP") else [f"{name}-only", f"{name}-or-later"]
+            notices += [f"SPDX-License-Identifier: {x}" for x in tails]
+        free = (x for k in count(1) if (x := f"{name}-notice" + (f"-{k}" if k > 1 else "")) not in out)
+        for n in notices:
+            if n not in _HEADERS.values():
+                out[next(free)] = n
+    return out
+
+
+#: Licence notices, headers and full texts.
+TEMPLATES = _built_in()
+
 _WORD = re.compile(r"[^\W_]+")
 _PIECE = re.compile(r"(?<=[.!?;:])\s+|\n+")
 

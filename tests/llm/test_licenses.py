@@ -81,3 +81,22 @@ def test_foreign_lines_words_and_longer_sentences(spark, table):
     assert sorted(rows(spark, table, texts)) == [(0, "MIT"), (1, "Apache-2.0"), (2, "MIT-notice")]
     named = {"own": "Copyright NAME\nAll rights are kept by NAME and nobody may copy this work or any part of it"}
     assert rows(spark, table, [named["own"].replace("NAME", "Ann Example")], templates=named) == [(0, "own")]
+
+
+def test_neighbours_get_their_own_names():
+    m = licenses.Matcher(licenses.TEMPLATES)
+    T = licenses.TEMPLATES
+    best = lambda text: max(m.scan(text), key=lambda r: r[1], default=(None,))[0]
+    for k in T:  # a template is found under its name or that of one with the same bigrams
+        got = [r[0] for r in m.scan("Before it.\n" + T[k] + "\nAnd after.")]
+        assert any(m.sets[g] == m.sets[k] for g in got), (k, got)
+    for k in ("BSD-2-Clause", "BSD-3-Clause", "LGPL-2.1", "AGPL-3.0", "GPL-2.0", "AGPL-3.0-text", "GPL-3.0-text", "GPL-2.0-text", "MPL-2.0-text", "EPL-2.0-text"):
+        words = T[k].split()
+        words[len(words) // 2] = "altered"  # stays one match under its own name
+        assert [r[0] for r in m.scan(" ".join(words))] == [k]
+    for text, name in {"Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0", "Released under the BSD License.": "BSD",
+                       "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+                       "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+                       "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+                       "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0"}.items():
+        assert best(text).split("-notice")[0] == name
