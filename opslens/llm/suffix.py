@@ -21,7 +21,8 @@ never cross documents and are judged on the input.
    and the earliest of each is found by an aggregate: an exact way for the rest.
 
 Anchors and classes are told apart by 64-bit hashes (a class by those of its
-anchor and of its bytes), strings of step 4 by 128 bits.
+anchor and of its bytes), strings of step 4 by 128 bits, texts of one doc_id by
+a 64-bit hash of their own.
 
 Defined results: null text is empty; a null doc_id comes first; rows of one
 doc_id are ordered by a hash of their text, and rows that are equal in both are
@@ -102,11 +103,10 @@ def _joined(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """_d: the doc_id for comparing, _k: text's hash above 40 bits for a place."""
+    """_d: the doc_id for comparing, _k: 64-bit hash of the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63) + 1)).alias("_d"),
-                       F.shiftleft(F.crc32(text.cast("binary")).bitwiseAND(F.lit((1 << 22) - 1)), 40).alias("_k"),
-                       F.col("doc_id"), text.alias("_t"))
+                       F.xxhash64(text.cast("binary")).alias("_k"), F.col("doc_id"), text.alias("_t"))
 
 
 def _find(batches):
@@ -116,7 +116,7 @@ def _find(batches):
         ids, keys = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_d", "_k"))
         for doc, at, size, anchor, whole in fragments(data, ends):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (anchor, whole, ids[doc], keys[doc] + at - begins[doc], size.astype(np.int32))], ["g", "e", "_d", "place", "size"])
+                [pa.array(x) for x in (anchor, whole, ids[doc], keys[doc], at - begins[doc], size.astype(np.int32))], ["g", "e", "_d", "_k", "place", "size"])
 
 
 def _cut(batches):
@@ -129,11 +129,12 @@ def _cut(batches):
         rows = wanted.flatten()
         doc = np.repeat(np.arange(len(n)), n)
         place, size = rows.field("place").to_numpy(), rows.field("size").to_numpy().astype(np.int64)
-        start = begins[doc] + (place & ((1 << 40) - 1))
+        start = begins[doc] + place
         take = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
         text = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32).tobytes()), pa.py_buffer(data[take].tobytes())])
-        ids = b.column("_d").to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([rows.field("g"), pa.array(ids[doc]), pa.array(place), rows.field("many"), text], ["g", "_d", "place", "many", "bytes"])
+        ids, keys = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_d", "_k"))
+        yield pa.RecordBatch.from_arrays([rows.field("g"), pa.array(ids[doc]), pa.array(keys[doc]), pa.array(place), rows.field("many"), text],
+                                         ["g", "_d", "_k", "place", "many", "bytes"])
 
 
 # ------------------------------------------------------------- suffix array
@@ -201,7 +202,7 @@ def _strings(sizes: np.ndarray):
     return of, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def repeated_in(parts: list[bytes], ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeated_in(parts: list[bytes], ids: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(fragment, offset) of the strings that also start earlier."""
     sizes = np.array([len(p) for p in parts], np.int64)
     text = np.frombuffer(b"\0".join([*parts, b""]), np.uint8).astype(np.int64)
@@ -212,19 +213,20 @@ def repeated_in(parts: list[bytes], ids: np.ndarray, places: np.ndarray) -> tupl
     text[inside] += 1
     of, offset = _strings(sizes)
     run = equal_runs(text, (np.cumsum(sizes + 1) - sizes - 1)[of] + offset)
-    order = np.lexsort((places[of] + offset, ids[of], run))
+    order = np.lexsort((places[of] + offset, keys[of], ids[of], run))
     again = order[np.r_[False, run[order][1:] == run[order][:-1]]] if len(order) else order
     return of[again], offset[again]
 
 
-def _spans(of: np.ndarray, offset: np.ndarray, ids: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+def _spans(of: np.ndarray, offset: np.ndarray, ids: np.ndarray, keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
     """Strings in a row of one fragment become one span."""
     order = np.lexsort((offset, of))
     of, offset = of[order], offset[order]
     new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (offset[1:] != offset[:-1] + 1)]) if len(of) else of
     last = np.r_[new[1:], len(of)] - 1
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids[of[new]]), pa.array(places[of[new]] + offset[new]), pa.array((offset[last] - offset[new] + LENGTH).astype(np.int32))], ["_d", "place", "size"])
+        [pa.array(ids[of[new]]), pa.array(keys[of[new]]), pa.array(places[of[new]] + offset[new]),
+         pa.array((offset[last] - offset[new] + LENGTH).astype(np.int32))], ["_d", "_k", "place", "size"])
 
 
 def _sorted_groups(batches):
@@ -232,7 +234,7 @@ def _sorted_groups(batches):
     for b in batches:
         groups = b.column("classes")
         rows = groups.flatten()
-        ids, places = rows.field("_d").to_numpy(), rows.field("place").to_numpy()
+        ids, keys, places = (rows.field(c).to_numpy() for c in ("_d", "_k", "place"))
         parts = rows.field("bytes").to_pylist()
         edges = groups.offsets.to_numpy() - groups.offsets[0].as_py()
         bytes_to = np.r_[0, np.cumsum([len(p) + 1 for p in parts])][edges]
@@ -240,25 +242,24 @@ def _sorted_groups(batches):
         while lo < len(groups):
             hi = max(lo + 1, int(np.searchsorted(bytes_to, bytes_to[lo] + BATCH, "right")) - 1)
             x, y = edges[lo], edges[hi]
-            yield _spans(*repeated_in(parts[x:y], ids[x:y], places[x:y]), ids[x:y], places[x:y])
+            yield _spans(*repeated_in(parts[x:y], ids[x:y], keys[x:y], places[x:y]), ids[x:y], keys[x:y], places[x:y])
             lo = hi
 
 
 def _each_string(batches):
     """Fragments of anchors with many classes -> a row for each string."""
     for b in batches:
-        ids, places, parts = b.column("_d").to_numpy(), b.column("place").to_numpy(), b.column("bytes").to_pylist()
+        ids, keys, places, parts = *(b.column(c).to_numpy() for c in ("_d", "_k", "place")), b.column("bytes").to_pylist()
         of, offset = _strings(np.array([len(p) for p in parts], np.int64))
         both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(parts[f][o:o + LENGTH]) for f, o in zip(of.tolist(), offset.tolist())), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(ids[of]), pa.array(places[of] + offset)], ["h1", "h2", "_d", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(ids[of]), pa.array(keys[of]), pa.array(places[of] + offset)], ["h1", "h2", "_d", "_k", "place"])
 
 
 # ----------------------------------------------------------------- operator
 
 def _by_document(rows: DataFrame) -> DataFrame:
-    """(_d, place, size) -> (_d, _k, spans) with the spans of each document."""
-    return rows.groupBy("_d", F.shiftrightunsigned("place", 40).alias("_k")).agg(
-        F.collect_list(F.struct(F.col("place").bitwiseAND(F.lit((1 << 40) - 1)).alias("start"), "size")).alias("spans"))
+    """(_d, _k, place, size) -> (_d, _k, spans) with the spans of each document."""
+    return rows.groupBy("_d", "_k").agg(F.collect_list(F.struct(F.col("place").alias("start"), "size")).alias("spans"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -268,31 +269,31 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     Each step is written and its inputs deleted when no later step reads them,
     so the disk holds one step's shuffle at a time."""
     texts = _keyed(docs)
-    found = texts.select("_d", "_k", "_t").mapInArrow(_find, "g long, e long, _d long, place long, size int")
+    found = texts.select("_d", "_k", "_t").mapInArrow(_find, "g long, e long, _d long, _k long, place long, size int")
     often = stage(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "anchors")
     rows = stage(found.join(often.hint("shuffle_hash"), "g"), "fragments")
     unstage(often)
-    classes = rows.groupBy("g", "e").agg(F.min(F.struct("_d", "place")).alias("first"), F.first("size").alias("size"))
-    classes = stage(classes.select("g", "e", "first._d", "first.place", "size"), "classes")
+    classes = rows.groupBy("g", "e").agg(F.min(F.struct("_d", "_k", "place")).alias("first"), F.first("size").alias("size"))
+    classes = stage(classes.select("g", "e", "first._d", "first._k", "first.place", "size"), "classes")
     # members of a class, but for its first
-    heads = classes.select("g", "e", F.col("_d").alias("_fd"), F.col("place").alias("_fp"))
-    members = rows.join(heads, ["g", "e"]).where("_d <> _fd OR place <> _fp").select("_d", "place", "size")
+    heads = classes.select("g", "e", F.col("_d").alias("_fd"), F.col("_k").alias("_fk"), F.col("place").alias("_fp"))
+    members = rows.join(heads, ["g", "e"]).where("_d <> _fd OR _k <> _fk OR place <> _fp").select("_d", "_k", "place", "size")
     members = stage(_by_document(members), "member-spans")
     unstage(rows)
     # anchors with more than one class: the fragments' bytes, from the texts
     many = classes.groupBy("g").agg(F.count("*").alias("many")).where("many > 1")
-    wanted = classes.join(many, "g").groupBy("_d", F.shiftrightunsigned("place", 40).alias("_k")) \
+    wanted = classes.join(many, "g").groupBy("_d", "_k") \
         .agg(F.collect_list(F.struct("g", "place", "size", "many")).alias("wanted"))
-    left = texts.select("_d", F.shiftrightunsigned("_k", 40).alias("_k"), "_t")
-    cut = stage(left.join(wanted, ["_d", "_k"]).select("_d", "_t", "wanted").mapInArrow(
-        _cut, "g long, _d long, place long, many long, bytes binary").distinct(), "class-bytes")
+    left = texts.select("_d", "_k", "_t")
+    cut = stage(left.join(wanted, ["_d", "_k"]).select("_d", "_k", "_t", "wanted").mapInArrow(
+        _cut, "g long, _d long, _k long, place long, many long, bytes binary").distinct(), "class-bytes")
     unstage(classes)
-    sorted_ = cut.where(F.col("many") <= MOST).groupBy("g").agg(F.collect_list(F.struct("_d", "place", "bytes")).alias("classes")) \
-        .select("classes").mapInArrow(_sorted_groups, "_d long, place long, size int")
-    strings = cut.where(F.col("many") > MOST).select("_d", "place", "bytes").mapInArrow(_each_string, "h1 long, h2 long, _d long, place long")
-    first = strings.groupBy("h1", "h2").agg(F.min(F.struct("_d", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = strings.join(first, ["h1", "h2"]).where("_d <> first._d OR place <> first.place") \
-        .select("_d", "place", F.lit(LENGTH).alias("size"))
+    sorted_ = cut.where(F.col("many") <= MOST).groupBy("g").agg(F.collect_list(F.struct("_d", "_k", "place", "bytes")).alias("classes")) \
+        .select("classes").mapInArrow(_sorted_groups, "_d long, _k long, place long, size int")
+    strings = cut.where(F.col("many") > MOST).select("_d", "_k", "place", "bytes").mapInArrow(_each_string, "h1 long, h2 long, _d long, _k long, place long")
+    first = strings.groupBy("h1", "h2").agg(F.min(F.struct("_d", "_k", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = strings.join(first, ["h1", "h2"]).where("_d <> first._d OR _k <> first._k OR place <> first.place") \
+        .select("_d", "_k", "place", F.lit(LENGTH).alias("size"))
     others = stage(_by_document(sorted_.unionAll(again)), "class-spans")
     unstage(cut)
     return members.unionAll(others).groupBy("_d", "_k").agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -302,7 +303,7 @@ def dedup_text(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, removed (array of start, end in bytes, maximal), kept
     (the bytes that stay) for every row of ``docs``."""
     spans = repeated_spans(docs)
-    texts = _keyed(docs).select("doc_id", "_d", F.shiftrightunsigned("_k", 40).alias("_k"), "_t")
+    texts = _keyed(docs)
     both = texts.join(spans, ["_d", "_k"], "left").select("doc_id", "_t", "spans")
 
     def cut(batches):

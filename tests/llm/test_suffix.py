@@ -1,4 +1,5 @@
 import hashlib
+import zlib
 
 import numpy as np
 
@@ -99,3 +100,18 @@ def test_edge_cases(spark, table):
     first = want([long.encode()])[0][1]
     assert by == sorted([(None, 216, first), (1, 0, 0), (2, 216, 216), (4, 216, 216), (4, 216, 216), (5, 5, 0)], key=str)
     assert suffix.dedup_text(docs.limit(0)).count() == 0
+
+
+def test_many_texts_without_an_id(spark, table):
+    """Texts of one id stay apart, also where 22 bits of their crc32 are the same."""
+    import xxhash
+
+    rng = np.random.default_rng(9)
+    words = np.array(["ab", "cde", "f", "ghij", "k", "lm", "nop", "qrs"])
+    passages = [" ".join(rng.choice(words, 60)) for _ in range(40)]
+    texts = sorted({" ".join([*rng.choice(words, int(rng.integers(0, 30))), passages[k % 40], *rng.choice(words, int(rng.integers(1, 30)))]) for k in range(5000)})
+    # texts of one id go by their hash
+    texts.sort(key=lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64))
+    expect = sorted(want([t.encode() for t in texts]))
+    assert len({zlib.crc32(t.encode()) & ((1 << 22) - 1) for t in texts}) < len(texts)
+    assert sorted(run(table([(None, t) for t in texts]))) == expect
