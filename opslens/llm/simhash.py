@@ -153,25 +153,28 @@ def links(fps: DataFrame) -> DataFrame:
 def simhash_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, fp (long), root (long, a fingerprint of the class), component_id
     for every row of ``docs``."""
-    marked = stage(docs.select("doc_id", fingerprint(F.col("text"), size).alias("fp")), "simhash")
+    return _components(docs, size).drop("text_hash")
+
+
+def _components(docs: DataFrame, size: int) -> DataFrame:
+    marked = stage(docs.select("doc_id", fingerprint(F.col("text"), size).alias("fp"), F.xxhash64("text").alias("text_hash")), "simhash")
     classes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = connected_components(links(classes.select("fp")))
     named = classes.join(roots, classes["fp"] == roots["node"], "left") \
         .select("fp", F.coalesce("root", "fp").alias("root"), "least")
     low = named.groupBy("root").agg(F.min("least").alias("component_id"))
     table = stage(named.join(low, "root").select("fp", "root", "component_id"), "members")
-    return marked.join(table, "fp").select("doc_id", "fp", "root", "component_id")
+    return marked.join(table, "fp").select("doc_id", "fp", "root", "component_id", "text_hash")
 
 
 def simhash_dedup(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """One document of each group: the row of the smallest doc_id (one of them
-    where rows repeat); columns as in ``docs``."""
-    groups = stage(simhash_components(docs, size).select("doc_id", "root", "component_id")
-                   .where("doc_id <=> component_id").groupBy("root").agg(F.min("doc_id").alias("_keep")), "keepers")
-    ids = groups.select("_keep").distinct()
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_keep"]), "left_semi")
-    again = kept.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count()
-    if not again:
-        return kept
-    # rows that share a doc_id: one row for each of their fingerprints' groups
-    return kept.withColumn("_fp", fingerprint(F.col("text"), size)).dropDuplicates(["doc_id", "_fp"]).drop("_fp")
+    """One document of each group: the row of the smallest doc_id, then
+    fingerprint and text hash (one of them where rows repeat; a null doc_id only
+    in a group without another); columns as in ``docs``."""
+    # a fingerprint is its text's, so doc_id and text hash name the row
+    keepers = stage(_components(docs, size).groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "text_hash")).alias("k"))
+        .select(F.col("k.doc_id").alias("_keep"), F.col("k.text_hash").alias("_hash")), "keepers")
+    kept = docs.join(keepers, docs["doc_id"].eqNullSafe(keepers["_keep"]) & (F.xxhash64(docs["text"]) == keepers["_hash"]), "left_semi")
+    again = kept.groupBy("doc_id", F.xxhash64("text")).agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if again else kept

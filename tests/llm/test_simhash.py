@@ -84,3 +84,10 @@ def test_long_chain_is_one_component(spark):
     got = {r.node: r.root for r in connected_components(edges).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 200: 100}
     assert connected_components(edges.where("a = 7 AND b = 7")).count() == 0
+
+
+def test_one_row_for_each_group_with_null_and_shared_ids(spark, table):
+    a, b, c = ("one two three four", "some quite different words here", "and now a third text of its own")
+    rows = [(None, a), (None, a.upper()), (1, a), (None, b), (None, b.upper()), (2, c), (2, c.upper()), (2, "a fourth that shares the id")]
+    got = sorted(((r.doc_id, r.text.lower()) for r in simhash.simhash_dedup(table(rows)).collect()), key=str)
+    assert got == sorted([(1, a), (None, b), (2, c), (2, "a fourth that shares the id")], key=str)
