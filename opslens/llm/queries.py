@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opslens.llm import oracle_sql
 from opslens.llm.common import read_table
 
 
@@ -79,10 +80,16 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(dedup_text(read_table(spark, sf_dir, "documents")))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opslens.llm.collocations import collocations
+
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 #: target weights of the mixture, by level of the tree
 MIX = {"domain": {"domain0": 2.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0}}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op2_toxicity, op3_quality, op4_token_ids, op5_simhash, op6_licenses, op7_secrets, op8_mixing, op9_decontamination, op10_suffix)
+    f.__name__: f for f in (op1_language, op2_toxicity, op3_quality, op4_token_ids, op5_simhash, op6_licenses, op7_secrets, op8_mixing, op9_decontamination, op10_suffix, op12_collocations)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_collocations": oracle_sql.COLLOCATIONS}
