@@ -86,10 +86,16 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opslens.llm.jaccard import jaccard_components
+
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 #: target weights of the mixture, by level of the tree
 MIX = {"domain": {"domain0": 2.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0}}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op2_toxicity, op3_quality, op4_token_ids, op5_simhash, op6_licenses, op7_secrets, op8_mixing, op9_decontamination, op10_suffix, op12_collocations)
+    f.__name__: f for f in (op1_language, op2_toxicity, op3_quality, op4_token_ids, op5_simhash, op6_licenses, op7_secrets, op8_mixing, op9_decontamination, op10_suffix, op12_collocations, op13_jaccard)
 }
 ORACLES: dict[str, str] = {"op12_collocations": oracle_sql.COLLOCATIONS}
