@@ -80,6 +80,13 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(dedup_text(read_table(spark, sf_dir, "documents")))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opslens.llm.conversations import damaged, digest, repair
+
+    table = read_table(spark, sf_dir, "conversations")
+    return digest(repair(damaged(table)), table)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from opslens.llm.collocations import collocations
 
@@ -96,6 +103,6 @@ def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX = {"domain": {"domain0": 2.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0}}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op2_toxicity, op3_quality, op4_token_ids, op5_simhash, op6_licenses, op7_secrets, op8_mixing, op9_decontamination, op10_suffix, op12_collocations, op13_jaccard)
+    f.__name__: f for f in (op1_language, op2_toxicity, op3_quality, op4_token_ids, op5_simhash, op6_licenses, op7_secrets, op8_mixing, op9_decontamination, op10_suffix, op11_conversations, op12_collocations, op13_jaccard)
 }
 ORACLES: dict[str, str] = {"op12_collocations": oracle_sql.COLLOCATIONS}
