@@ -105,4 +105,5 @@ MIX = {"domain": {"domain0": 2.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0}}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language, op2_toxicity, op3_quality, op4_token_ids, op5_simhash, op6_licenses, op7_secrets, op8_mixing, op9_decontamination, op10_suffix, op11_conversations, op12_collocations, op13_jaccard)
 }
-ORACLES: dict[str, str] = {"op12_collocations": oracle_sql.COLLOCATIONS}
+ORACLES: dict[str, str] = {
+    "op11_conversations": oracle_sql.CONVERSATIONS, "op12_collocations": oracle_sql.COLLOCATIONS, "op13_jaccard": oracle_sql.JACCARD}
