@@ -7,11 +7,14 @@ than ``BUDGET`` entries it spills whole subtrees, the largest first, as sorted
 runs. Spark deals the runs out by prefix (the first two words) and each
 partition merges what it gets, in order.
 
-The text is read three times: for words, for phrases of two words, and for those
-of three to five. A phrase can reach ``min_count`` only if its parts do, so a
-reading takes only phrases whose words (then word pairs) pass a bit table of
-the frequent ones. The table has a fixed size (``BITS``); where it lets an
-infrequent phrase through, the merge drops it.
+The text is read three times. A phrase can reach ``min_count`` only if its parts
+do, so the first reading counts words, the second counts pairs of frequent words
+by a hash that grows with the corpus (16 values a word), and the third counts the
+phrases all of whose pairs may be frequent. Pairs' hashes travel as sorted runs
+of differences, dealt out by ranges of 2**20 hashes; a range is merged in a plain
+array. The frequent words and pairs go to the tasks as bit tables of a fixed
+size (``BITS``); where a hash or a table lets an infrequent phrase through, the
+last merge drops it.
 
 A word's id is a 64-bit hash of language and word, so a phrase carries its
 language. Words are counted by their text; two frequent words of one id (chance
@@ -38,7 +41,9 @@ from opslens.llm.words import Words, byte_classes, mix, runs, text_bytes
 LONGEST = 5
 BURST = 16_384      # entries of a hash container before it bursts
 BUDGET = 400_000    # entries a task holds before it spills subtrees
-BITS = 1 << 24      # of the table of frequent words or word pairs: 2 MB
+BITS = 1 << 25      # of the table of frequent words or word pairs: 4 MB
+RANGE = 20          # low bits of a pair's hash that one range holds
+PAIRS = 3_000_000   # hashes of pairs a task holds before it spills them as a run
 RUN = 3_000_000     # bytes of text looked at together, or one text
 SALTS = 64          # parts of a language that rank their phrases first
 
@@ -186,42 +191,97 @@ def _passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _phrases(w: Words, ids: np.ndarray, table: np.ndarray, shortest: int):
-    """(matrix of ids, counts) of the distinct phrases of a run whose words
-    (``shortest`` 2) or word pairs (3) all pass the table."""
-    if shortest == 2:
-        good = _passes(table, ids)
-        pairs = good[:-1] & good[1:] & (w.piece[:-1] == w.piece[1:])
-    else:
-        same = np.flatnonzero(w.piece[:-1] == w.piece[1:])
-        pairs = np.zeros(max(0, len(ids) - 1), bool)
-        pairs[same] = _passes(table, _pair_key(ids[same], ids[same + 1]))
+def _pair_runs(table, bits: int, hold: int):
+    """Rows (range, n, run): how often pairs of words that pass the table occur,
+    by the first ``bits`` bits of their hash."""
+    def fold(parts):
+        keys, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return keys[first], np.add.reduceat(n, first)
+
+    def spilled(keys, n):
+        top = keys >> np.uint64(RANGE)
+        cut = np.r_[np.flatnonzero(np.r_[True, top[1:] != top[:-1]]), len(keys)]
+        low = (keys & np.uint64((1 << RANGE) - 1)).astype(np.uint32)
+        out = []
+        for a, b in zip(cut, cut[1:]):
+            # differences and counts, byte by byte of all, which packs well
+            both = np.stack([np.diff(low[a:b], prepend=np.uint32(0)), n[a:b].astype(np.uint32)])
+            out.append(both.view(np.uint8).reshape(2, b - a, 4).transpose(0, 2, 1).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(top[cut[:-1]].astype(np.int64)), pa.array(np.diff(cut).astype(np.int64)), pa.array(out, pa.binary())],
+                                          ["range", "n", "run"])
+
+    def count(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for w, ids, _ in _readings(batch):
+                good = _passes(table.value, ids)
+                at = np.flatnonzero(good[:-1] & good[1:] & (w.piece[:-1] == w.piece[1:]))
+                if not len(at):
+                    continue
+                parts.append(np.unique(_pair_key(ids[at], ids[at + 1]) >> np.uint64(64 - bits), return_counts=True))
+                held += len(parts[-1][0])
+                if held > hold:
+                    parts = [fold(parts)]
+                    held = len(parts[0][0])
+                    if 2 * held > hold:
+                        yield spilled(*parts[0])
+                        parts, held = [], 0
+        if parts:
+            yield spilled(*fold(parts))
+    return count
+
+
+def _merge_pairs(min_count: int):
+    """Runs sorted by range -> hashes that occur often enough (key)."""
+    def often(top, sums):
+        at = np.flatnonzero(sums >= min_count)
+        sums[:] = 0
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64) + (top << RANGE))], ["key"])
+
+    def merge(batches):
+        sums, now = np.zeros(1 << RANGE, np.int64), None
+        for batch in batches:
+            for top, n, run in zip(*(batch.column(c).to_pylist() for c in ("range", "n", "run"))):
+                if now is not None and top != now:
+                    yield often(now, sums)
+                now = top
+                low, f = np.frombuffer(run, np.uint8).reshape(2, 4, n).transpose(0, 2, 1).copy().view(np.uint32)[..., 0]
+                sums[np.cumsum(low, dtype=np.int64)] += f
+        if now is not None:
+            yield often(now, sums)
+    return merge
+
+
+def _phrases(w: Words, ids: np.ndarray, table: np.ndarray, bits: int):
+    """(matrix of ids, counts) of the distinct phrases of a run, all of whose
+    pairs pass the table, by length."""
+    same = np.flatnonzero(w.piece[:-1] == w.piece[1:])
+    pairs = np.zeros(max(0, len(ids) - 1), bool)
+    pairs[same] = _passes(table, _pair_key(ids[same], ids[same + 1]) >> np.uint64(64 - bits))
     chain, key = pairs, ids
-    for size in range(2, (2 if shortest == 2 else LONGEST) + 1):
+    for size in range(2, LONGEST + 1):
         if size > 2:
             chain = chain[:-1] & pairs[size - 2:] if len(chain) > 1 else chain[:0]
         at = np.flatnonzero(chain)
         if not len(at):
             return
         with np.errstate(over="ignore"):
-            if size == 2:
-                key = _pair_key(ids[:-1], ids[1:])
-            else:
-                key = mix(key[:-1] * np.uint64(0xD6E8FEB86659FD93) + ids[size - 1:])
-        if size < shortest:
-            continue
+            key = _pair_key(ids[:-1], ids[1:]) if size == 2 else mix(key[:-1] * np.uint64(0xD6E8FEB86659FD93) + ids[size - 1:])
         _, first, n = np.unique(key[at], return_index=True, return_counts=True)
         first = at[first]
         yield np.stack([ids[first + k] for k in range(size)], axis=1).view(np.int64), n
 
 
-def _phrase_counts(table, shortest: int, burst: int = BURST, budget: int = BUDGET):
+def _phrase_counts(table, bits: int, burst: int, budget: int):
     def count(batches):
         trie = HatTrie(burst, budget)
         for batch in batches:
             for w, ids, _ in _readings(batch):
-                for matrix, n in _phrases(w, ids, table.value, shortest):
-                    for phrase, k in zip(map(tuple, matrix.tolist()), n.tolist()):
+                for matrix, n in _phrases(w, ids, table.value, bits):
+                    for phrase, k in zip(zip(*matrix.T.tolist()), n.tolist()):
                         trie.add(phrase, k)
                     for run in trie.spill():
                         yield _as_batch(run)
@@ -274,7 +334,7 @@ def _bit_table(keys: DataFrame):
 
 # ------------------------------------------------------------------ operator
 
-def phrase_counts(docs: DataFrame, min_count: int, burst: int = BURST, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, min_count: int, burst: int = BURST, budget: int = BUDGET, pairs: int = PAIRS) -> tuple[DataFrame, DataFrame]:
     """(words, phrases): words (id, lang, word, f), with one row of null word a
     language for all its words; phrases (words, an array of 1 to 5 ids, and f),
     for all that occur ``min_count`` times or more."""
@@ -284,23 +344,13 @@ def phrase_counts(docs: DataFrame, min_count: int, burst: int = BURST, budget: i
         .groupBy("id", "lang", "word").agg(F.sum("f").alias("f"))
     words = stage(found.where((F.col("f") >= min_count) | F.col("word").isNull()), "words")
     often = words.where("word IS NOT NULL")
-
-    def level(table: DataFrame, shortest: int) -> DataFrame:
-        counted = texts.mapInArrow(_phrase_counts(_bit_table(table), shortest, burst, budget), schema)
-        merged = counted.repartition("w1", "w2").sortWithinPartitions(*_IDS).mapInArrow(_merge(min_count), "words array<long>, f long")
-        return stage(merged, f"phrases-{shortest}")
-
-    pairs = level(often.select(F.col("id").alias("key")), 2)
-    longer = level(pairs.select(_pair_key_column(F.col("words")[0], F.col("words")[1]).alias("key")), 3)
-    return words, often.select(F.array("id").alias("words"), "f").unionAll(pairs).unionAll(longer)
-
-
-def _pair_key_column(a, b):
-    @F.arrow_udf("long")
-    def pair_key(x: pa.Array, y: pa.Array) -> pa.Array:
-        one, two = (v.to_numpy(zero_copy_only=False).view(np.uint64) for v in (x, y))
-        return pa.array(_pair_key(one, two).view(np.int64))
-    return pair_key(a, b)
+    total = words.where("word IS NULL").agg(F.sum("f")).first()[0] or 0
+    bits = max(RANGE, (16 * total).bit_length())
+    runs_of = texts.mapInArrow(_pair_runs(_bit_table(often.select(F.col("id").alias("key"))), bits, pairs), "range long, n long, run binary")
+    likely = stage(runs_of.repartition("range").sortWithinPartitions("range").mapInArrow(_merge_pairs(min_count), "key long"), "pairs")
+    counted = texts.mapInArrow(_phrase_counts(_bit_table(likely), bits, burst, budget), schema)
+    merged = counted.repartition("w1", "w2").sortWithinPartitions(*_IDS).mapInArrow(_merge(min_count), "words array<long>, f long")
+    return words, often.select(F.array("id").alias("words"), "f").unionAll(stage(merged, "phrases"))
 
 
 def exact_score():
@@ -309,13 +359,14 @@ def exact_score():
                   " div (cast(l as decimal(19,0)) * cast(r as decimal(18,0)))")
 
 
-def collocations(docs: DataFrame, min_count: int = 100, top: int = 2000, burst: int = BURST, budget: int = BUDGET) -> DataFrame:
+def collocations(docs: DataFrame, min_count: int = 100, top: int = 2000, burst: int = BURST, budget: int = BUDGET,
+                 pairs: int = PAIRS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases.
 
     ``score`` is the lowest of floor(1000 a n / (l r)) over the phrase's cuts;
     a phrase is left out if one that holds it occurs as often.
     """
-    words, counts = phrase_counts(docs, min_count, burst, budget)
+    words, counts = phrase_counts(docs, min_count, burst, budget, pairs)
     size = F.size("words")
     cand = counts.where(size > 1).select("words", F.col("f").alias("a"))
     # a longer phrase of the same count implies one that is one word longer
