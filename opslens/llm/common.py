@@ -8,6 +8,8 @@ import uuid
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,3 +118,15 @@ def slices(texts: list[str | None], most: int = 2_000_000) -> list[tuple[int, in
     if begin < len(texts):
         out.append((begin, len(texts)))
     return out
+
+
+def text_runs(texts: pa.Array, most: int = 300_000):
+    """(place of the first, texts) of runs of about ``most`` bytes together, or
+    of one text; the rest of the batch stays in Arrow."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    ends, lo = np.cumsum(size), 0
+    while lo < len(texts):
+        begun = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, begun + most, "right")))
+        yield lo, texts.slice(lo, hi - lo).to_pylist()
+        lo = hi

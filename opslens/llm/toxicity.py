@@ -7,8 +7,10 @@ change of the logit, so a neutral mention of a group carries no weight of its
 own. An L1 step keeps the weights sparse.
 
 Fitting uses at most ``sample`` labelled rows of each class (the smallest
-hashes of doc_id); that bound is what lets it run on the driver. Scoring covers
-every whole text.
+hashes of doc_id) and their ``top`` features that part the classes best; the two
+bounds are what lets it run on the driver. Scoring covers every whole text. Both
+take texts from Arrow in runs of 300 000 bytes (or one text), so that a worker's
+memory doesn't grow with the batch.
 
 Defined results: null and empty texts get the score of a text without
 features; without rows of both classes every score is 0.5.
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.common import held_out, letter_codes, slices, stage
+from opslens.llm.common import held_out, letter_codes, slices, stage, text_runs
 
 BITS = 20
 #: Terms that name a group, by kind; a term is swapped within its kind.
@@ -133,13 +135,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, top: int = 4000,
     rows = rows.join(F.broadcast(chosen), rows["_d"] == chosen["_id"]).select("_id", "_y", "_t")
 
     def features(batches):
+        kind = pa.list_(pa.int32())
         for b in batches:
-            texts = b["_t"].tolist()
-            swapped = [swap_identity(t) for t in texts]
-            own, other = document_features(texts), document_features([s or "" for s in swapped])
-            yield pd.DataFrame({"_id": b["_id"], "_y": b["_y"], "own": own, "other": [o if s else None for o, s in zip(other, swapped)]})
-
-    found = stage(rows.mapInPandas(features, "_id long, _y int, own array<int>, other array<int>"), "tox-features")
+            for lo, texts in text_runs(b.column("_t")):
+                swapped = [swap_identity(t) for t in texts]
+                own, other = document_features(texts), document_features([s or "" for s in swapped])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("_id").slice(lo, len(texts)), b.column("_y").slice(lo, len(texts)), pa.array(own, kind),
+                     pa.array([o if s else None for o, s in zip(other, swapped)], kind)], ["_id", "_y", "own", "other"])
+
+    found = stage(rows.mapInArrow(features, "_id long, _y int, own array<int>, other array<int>"), "tox-features")
     counts = found.select("_y", F.explode("own").alias("f")).groupBy("f").agg(
         F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
     size = {r["_y"]: r["n"] for r in found.groupBy("_y").agg(F.count("*").alias("n")).collect()}
@@ -213,7 +218,10 @@ def score(text: Column, model: ToxicityModel) -> Column:
     """Score column (0 to 1, higher is likelier toxic) of a text column."""
     @F.arrow_udf("double")
     def toxicity_score(t: pa.Array) -> pa.Array:
-        return pa.array(model.scores(t.to_pylist()))
+        out = np.empty(len(t))
+        for lo, part in text_runs(t):
+            out[lo:lo + len(part)] = model.scores(part)
+        return pa.array(out)
     return toxicity_score(text)
 
 

@@ -66,3 +66,16 @@ def test_edge_cases(spark, table):
     assert toxicity.toxicity(docs.limit(0), some).count() == 0
     kept = toxicity.without_toxic(docs.selectExpr("*", "7 AS _t"), none)
     assert kept.columns[-1] == "_t" and kept.count() == 6
+
+
+def test_texts_are_taken_in_short_runs():
+    import pyarrow as pa
+
+    from opslens.llm.common import text_runs
+
+    texts = ["ab" * 100_000, None, "", "é" * 400_000, *["word " * 20_000] * 9]
+    runs = list(text_runs(pa.array(texts, pa.string()), 300_000))
+    assert [x for _, part in runs for x in part] == texts
+    assert [lo for lo, _ in runs] == [sum(len(p) for _, p in runs[:k]) for k in range(len(runs))]
+    assert all(len(part) == 1 or sum(len((x or "").encode()) for x in part) <= 300_000 for _, part in runs)
+    assert list(text_runs(pa.array([], pa.string()))) == []
