@@ -298,7 +298,7 @@ class _Vocabulary(dict):
 _LOADED: dict[str, _Vocabulary] = {}
 
 
-def _token_bytes(path: str, texts: list[str | None], most: int = 1_000_000) -> list[bytes]:
+def _token_bytes(path: str, texts: list[str | None], most: int = 400_000) -> list[bytes]:
     """Ids of each text, as little-endian u4 bytes, with the end id.
 
     The vocabulary drops white space and never joins over it, so a text's ids
