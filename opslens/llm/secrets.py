@@ -62,10 +62,10 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
 
 def ownership(found: DataFrame) -> DataFrame:
     """(hash, n_owners, n_repositories) of every fitting candidate value."""
+    # folded by value, owner and repository first: a repository may have several owners
     rows = found.select("owner", "repository", F.explode("pieces").alias("p")).where("p.fits") \
-        .groupBy(F.col("p.hash").alias("hash"), "repository").agg(F.min("owner").alias("owner"))
-    return rows.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(
-        F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
+        .select(F.col("p.hash").alias("hash"), "owner", "repository").distinct()
+    return rows.groupBy("hash").agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("repository").alias("n_repositories"))
 
 
 def secrets(docs: DataFrame, **by) -> DataFrame:

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import hashlib
 import re
 
@@ -60,3 +61,12 @@ def test_edge_cases(spark, table):
     got = secrets.digest(secrets.secrets(docs)).collect()
     assert len(got) == 7 and {r.doc_id: r.base_sha256 for r in got} == {i: plain(t)[1] for i, t in rows}
     assert secrets.digest(secrets.secrets(docs.limit(0))).count() == 0
+
+
+def test_owners_that_share_a_repository_all_count(spark):
+    rows = [(k, "token = abcdefgh12345", f"owner{k}") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'en' AS lang")
+    found = secrets.scan(docs, repository=F.lit("one"))
+    assert [(r.n_owners, r.n_repositories) for r in secrets.ownership(found).collect()] == [(6, 1)]
+    kinds = {s.verdict for r in secrets.secrets(docs, repository=F.lit("one")).collect() for s in r.spans}
+    assert kinds == {"example"}
