@@ -148,6 +148,22 @@ def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (u >> np.uint64(64 - FILTER_BITS)).astype(np.int64), (u & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
 
+def _consistent(w):
+    """Those windows of a diagonal whose slot values go one to one over the
+    whole diagonal: of pairs that clash, the one in more windows stays (then the
+    lesser). A window copied word for word stays in any case."""
+    every = F.flatten(F.transform(w, lambda x: x["pairs"]))
+    counted = F.transform(F.array_distinct(every), lambda p: F.struct(
+        F.size(F.filter(every, lambda q: q == p)).alias("n"), p["vals"].alias("vals"), p["own"].alias("own")))
+
+    def clash(p, q):
+        more = (q["n"] > p["n"]) | ((q["n"] == p["n"]) & (F.struct(q["vals"], q["own"]) < F.struct(p["vals"], p["own"])))
+        return ((p["vals"] == q["vals"]) != (p["own"] == q["own"])) & more
+
+    lost = F.transform(F.filter(counted, lambda p: F.exists(counted, lambda q: clash(p, q))), lambda p: F.struct(p["vals"].alias("vals"), p["own"].alias("own")))
+    return F.filter(w, lambda x: F.forall(x["pairs"], lambda p: p["vals"] == p["own"]) | ~F.arrays_overlap(x["pairs"], lost))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows, first_word, n_slots): one row for
     each document and benchmark item that it holds."""
@@ -191,11 +207,15 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         (F.size(F.array_distinct(F.col("pairs.own"))) == F.size("pairs"))
     joined = found.distinct().join(windows, ["stream", "h"]).where(F.size("vals") == F.size("own"))
     fit = joined.withColumn("pairs", pairs).where(consistent)
+    # a diagonal has a window for each place of the item at most
     per = fit.groupBy("doc_id", "text_hash", "item_id", "stream", (F.col("place") - F.col("at")).alias("diagonal")).agg(
-        F.countDistinct("at").alias("n"), F.min("place").alias("first"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+        F.collect_set(F.struct("at", "place", "pairs")).alias("w"))
     total = windows.groupBy("item_id", "stream").agg(F.countDistinct("at").alias("of"))
-    held = per.join(total, ["item_id", "stream"]).where(F.col("n") >= F.least(F.lit(RUN), F.col("of")))
+    enough = F.least(F.lit(RUN), F.col("of"))
+    held = per.join(total, ["item_id", "stream"]).where(F.size("w") >= enough) \
+        .withColumn("w", _consistent(F.col("w"))).where(F.size("w") >= enough) \
+        .select("doc_id", "text_hash", "item_id", F.size("w").cast("long").alias("n"), F.array_min(F.transform("w", lambda x: x["place"])).alias("first"),
+                F.array_distinct(F.flatten(F.transform("w", lambda x: x["pairs"]))).alias("pairs"))
     return held.groupBy("doc_id", "text_hash", "item_id").agg(
         F.max("n").alias("n_windows"), F.min("first").alias("first_word"), F.max(F.size("pairs")).alias("n_slots"))
 

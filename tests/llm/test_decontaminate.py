@@ -79,3 +79,17 @@ def test_items_of_numbers_are_found_verbatim(spark, table):
     short, long = "Add 12, 45, 78 and 93", "Add 12 45 78 93 11 and 64 28 59 37 16 then 82 71 46 25 90"
     rows = [(1, "First. " + short + ". Then more."), (2, "Add 13, 46, 79 and 94"), (3, "so: " + long.lower() + " done"), (4, "Add 12 45 78 93 11 and 1 2 3 4 5 then 6")]
     assert held(spark, table, rows, [(1, short), (2, long)]) == [(1, 1), (3, 2)]
+
+
+def test_slots_are_one_to_one_over_the_whole_diagonal(spark, table):
+    """One value can't stand for two, also where no single window shows it."""
+    item = ("12 apples lie in the wide basket that the old woman of the house carries over the hill to town "
+            "12 pears lie beside them on a cloth that her son washed in the river before dawn this morning "
+            "12 plums lie under")
+    one = item.replace("12", "40")
+    parts = item.split("12")
+    mixed = "40" + parts[1] + "77" + parts[2] + "91" + parts[3]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in d.matches(table([(1, one), (2, mixed), (3, item)]), bench).collect()}
+    assert got[1].n_slots == 1 and got[3].n_windows >= got[1].n_windows
+    assert 2 not in got or got[2].n_windows < got[1].n_windows
