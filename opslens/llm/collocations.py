@@ -7,14 +7,15 @@ than ``BUDGET`` entries it spills whole subtrees, the largest first, as sorted
 runs. Spark deals the runs out by prefix (the first two words) and each
 partition merges what it gets, in order.
 
-The text is read three times. A phrase can reach ``min_count`` only if its parts
+The text is read four times. A phrase can reach ``min_count`` only if its parts
 do, so the first reading counts words, the second counts pairs of frequent words
-by a hash that grows with the corpus (16 values a word), and the third counts the
-phrases all of whose pairs may be frequent. Pairs' hashes travel as sorted runs
-of differences, dealt out by ranges of 2**20 hashes; a range is merged in a plain
-array. The frequent words and pairs go to the tasks as bit tables of a fixed
-size (``BITS``); where a hash or a table lets an infrequent phrase through, the
-last merge drops it.
+by a hash that grows with the corpus (16 values a word), the third counts the
+longer phrases all of whose pairs may be frequent in the same way, and the last
+counts in tries the phrases that may be frequent themselves. Hashes travel as
+sorted runs of differences, dealt out by ranges of 2**20 hashes; a range is
+merged in a plain array. What may be frequent goes to the tasks as bit tables of
+a fixed size (``BITS``); where a hash or a table lets an infrequent phrase
+through, the last merge drops it.
 
 A word's id is a 64-bit hash of language and word, so a phrase carries its
 language. Words are counted by their text; two frequent words of one id (chance
@@ -41,9 +42,9 @@ from opslens.llm.words import Words, byte_classes, mix, runs, text_bytes
 LONGEST = 5
 BURST = 16_384      # entries of a hash container before it bursts
 BUDGET = 400_000    # entries a task holds before it spills subtrees
-BITS = 1 << 25      # of the table of frequent words or word pairs: 4 MB
-RANGE = 20          # low bits of a pair's hash that one range holds
-PAIRS = 3_000_000   # hashes of pairs a task holds before it spills them as a run
+BITS = 1 << 25      # of the table of frequent words, pairs or longer phrases: 4 MB
+RANGE = 20          # low bits of a phrase's hash that one range holds
+HASHES = 3_000_000  # hashes of phrases a task holds before it spills them as a run
 RUN = 3_000_000     # bytes of text looked at together, or one text
 SALTS = 64          # parts of a language that rank their phrases first
 
@@ -191,9 +192,9 @@ def _passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _pair_runs(table, bits: int, hold: int):
-    """Rows (range, n, run): how often pairs of words that pass the table occur,
-    by the first ``bits`` bits of their hash."""
+def _hash_runs(hashes, bits: int, hold: int):
+    """Rows (range, n, run): how often each value of the first ``bits`` bits of
+    ``hashes(words, ids)`` occurs."""
     def fold(parts):
         keys, n = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(keys, kind="stable")
@@ -217,11 +218,10 @@ def _pair_runs(table, bits: int, hold: int):
         parts, held = [], 0
         for batch in batches:
             for w, ids, _ in _readings(batch):
-                good = _passes(table.value, ids)
-                at = np.flatnonzero(good[:-1] & good[1:] & (w.piece[:-1] == w.piece[1:]))
-                if not len(at):
+                found = hashes(w, ids)
+                if not len(found):
                     continue
-                parts.append(np.unique(_pair_key(ids[at], ids[at + 1]) >> np.uint64(64 - bits), return_counts=True))
+                parts.append(np.unique(found >> np.uint64(64 - bits), return_counts=True))
                 held += len(parts[-1][0])
                 if held > hold:
                     parts = [fold(parts)]
@@ -234,7 +234,7 @@ def _pair_runs(table, bits: int, hold: int):
     return count
 
 
-def _merge_pairs(min_count: int):
+def _merge_hashes(min_count: int):
     """Runs sorted by range -> hashes that occur often enough (key)."""
     def often(top, sums):
         at = np.flatnonzero(sums >= min_count)
@@ -255,9 +255,8 @@ def _merge_pairs(min_count: int):
     return merge
 
 
-def _phrases(w: Words, ids: np.ndarray, table: np.ndarray, bits: int):
-    """(matrix of ids, counts) of the distinct phrases of a run, all of whose
-    pairs pass the table, by length."""
+def _chains(w: Words, ids: np.ndarray, table: np.ndarray, bits: int):
+    """(length, places, keys) of the phrases all of whose pairs pass the table."""
     same = np.flatnonzero(w.piece[:-1] == w.piece[1:])
     pairs = np.zeros(max(0, len(ids) - 1), bool)
     pairs[same] = _passes(table, _pair_key(ids[same], ids[same + 1]) >> np.uint64(64 - bits))
@@ -270,17 +269,43 @@ def _phrases(w: Words, ids: np.ndarray, table: np.ndarray, bits: int):
             return
         with np.errstate(over="ignore"):
             key = _pair_key(ids[:-1], ids[1:]) if size == 2 else mix(key[:-1] * np.uint64(0xD6E8FEB86659FD93) + ids[size - 1:])
-        _, first, n = np.unique(key[at], return_index=True, return_counts=True)
-        first = at[first]
-        yield np.stack([ids[first + k] for k in range(size)], axis=1).view(np.int64), n
+        yield size, at, key[at]
 
 
-def _phrase_counts(table, bits: int, burst: int, budget: int):
+def _pair_hashes(words):
+    def hashes(w: Words, ids: np.ndarray) -> np.ndarray:
+        good = _passes(words.value, ids)
+        at = np.flatnonzero(good[:-1] & good[1:] & (w.piece[:-1] == w.piece[1:]))
+        return _pair_key(ids[at], ids[at + 1])
+    return hashes
+
+
+def _longer_hashes(pairs, bits: int):
+    def hashes(w: Words, ids: np.ndarray) -> np.ndarray:
+        found = [key for size, _, key in _chains(w, ids, pairs.value, bits) if size > 2]
+        return np.concatenate(found) if found else np.zeros(0, np.uint64)
+    return hashes
+
+
+def _phrases(w: Words, ids: np.ndarray, pairs: np.ndarray, longer: np.ndarray, bits: int):
+    """(matrix of ids, counts) of the distinct phrases of a run that pass the
+    tables, by length."""
+    for size, at, key in _chains(w, ids, pairs, bits):
+        if size > 2:
+            good = _passes(longer, key >> np.uint64(64 - bits))
+            at, key = at[good], key[good]
+        if len(at):
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            first = at[first]
+            yield np.stack([ids[first + k] for k in range(size)], axis=1).view(np.int64), n
+
+
+def _phrase_counts(pairs, longer, bits: int, burst: int, budget: int):
     def count(batches):
         trie = HatTrie(burst, budget)
         for batch in batches:
             for w, ids, _ in _readings(batch):
-                for matrix, n in _phrases(w, ids, table.value, bits):
+                for matrix, n in _phrases(w, ids, pairs.value, longer.value, bits):
                     for phrase, k in zip(zip(*matrix.T.tolist()), n.tolist()):
                         trie.add(phrase, k)
                     for run in trie.spill():
@@ -334,7 +359,7 @@ def _bit_table(keys: DataFrame):
 
 # ------------------------------------------------------------------ operator
 
-def phrase_counts(docs: DataFrame, min_count: int, burst: int = BURST, budget: int = BUDGET, pairs: int = PAIRS) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, min_count: int, burst: int = BURST, budget: int = BUDGET, hold: int = HASHES) -> tuple[DataFrame, DataFrame]:
     """(words, phrases): words (id, lang, word, f), with one row of null word a
     language for all its words; phrases (words, an array of 1 to 5 ids, and f),
     for all that occur ``min_count`` times or more."""
@@ -345,10 +370,16 @@ def phrase_counts(docs: DataFrame, min_count: int, burst: int = BURST, budget: i
     words = stage(found.where((F.col("f") >= min_count) | F.col("word").isNull()), "words")
     often = words.where("word IS NOT NULL")
     total = words.where("word IS NULL").agg(F.sum("f")).first()[0] or 0
-    bits = max(RANGE, (16 * total).bit_length())
-    runs_of = texts.mapInArrow(_pair_runs(_bit_table(often.select(F.col("id").alias("key"))), bits, pairs), "range long, n long, run binary")
-    likely = stage(runs_of.repartition("range").sortWithinPartitions("range").mapInArrow(_merge_pairs(min_count), "key long"), "pairs")
-    counted = texts.mapInArrow(_phrase_counts(_bit_table(likely), bits, burst, budget), schema)
+    bits = max(RANGE, (16 * total).bit_length())  # a word begins four phrases at most
+
+    def likely(hashes, name: str):
+        found = texts.mapInArrow(_hash_runs(hashes, bits, hold), "range long, n long, run binary").repartition("range") \
+            .sortWithinPartitions("range").mapInArrow(_merge_hashes(min_count), "key long")
+        return _bit_table(stage(found, name))
+
+    pairs = likely(_pair_hashes(_bit_table(often.select(F.col("id").alias("key")))), "pairs")
+    longer = likely(_longer_hashes(pairs, bits), "longer")
+    counted = texts.mapInArrow(_phrase_counts(pairs, longer, bits, burst, budget), schema)
     merged = counted.repartition("w1", "w2").sortWithinPartitions(*_IDS).mapInArrow(_merge(min_count), "words array<long>, f long")
     return words, often.select(F.array("id").alias("words"), "f").unionAll(stage(merged, "phrases"))
 
@@ -360,13 +391,13 @@ def exact_score():
 
 
 def collocations(docs: DataFrame, min_count: int = 100, top: int = 2000, burst: int = BURST, budget: int = BUDGET,
-                 pairs: int = PAIRS) -> DataFrame:
+                 hold: int = HASHES) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases.
 
     ``score`` is the lowest of floor(1000 a n / (l r)) over the phrase's cuts;
     a phrase is left out if one that holds it occurs as often.
     """
-    words, counts = phrase_counts(docs, min_count, burst, budget, pairs)
+    words, counts = phrase_counts(docs, min_count, burst, budget, hold)
     size = F.size("words")
     cand = counts.where(size > 1).select("words", F.col("f").alias("a"))
     # a longer phrase of the same count implies one that is one word longer

@@ -54,7 +54,7 @@ def test_against_plain_counting(spark, documents):
 
 def test_bursting_and_spilling_change_nothing(spark, documents):
     want = sorted(plain(rows_of(documents), 6, 5000))
-    assert found(c.collocations(documents, 6, 5000, burst=3, budget=500, pairs=400)) == want
+    assert found(c.collocations(documents, 6, 5000, burst=3, budget=500, hold=400)) == want
 
 
 def test_query(spark):
