@@ -59,8 +59,11 @@ def routed_triage(alerts: DataFrame, rules: DataFrame, directory: DataFrame, as_
     """ALR-2: owner, approval group, escalation target, route, SLA target (of the
     rule, else by severity), age in hours, SLA state and triage priority."""
     a = alerts.filter(lookback("created_at", as_of, days))
-    active = rules.filter(F.coalesce("is_active", F.lit(True))).select(
-        F.upper("alert_type").alias("_k"), F.col("owner").alias("_rule_owner"), "route", "runbook", F.col("sla_hours").alias("_sla"))
+    # one rule for each type, however many are active: the one with the shortest SLA, then by its columns
+    fields = ["owner", "route", "runbook"]
+    active = (rules.filter(F.coalesce("is_active", F.lit(True)) & F.col("alert_type").isNotNull()).groupBy(F.upper("alert_type").alias("_k"))
+              .agg(F.min(F.struct(F.coalesce("sla_hours", F.lit(2 ** 31 - 1)).alias("_o"), *fields, "sla_hours")).alias("r"))
+              .select("_k", F.col("r.owner").alias("_rule_owner"), "r.route", "r.runbook", F.col("r.sla_hours").alias("_sla")))
     od = directory_matches(a, directory).withColumnsRenamed({"alert_type": "_t", "entity": "_e"})
     j = (a.join(active, F.upper(F.coalesce("alert_type", F.lit(""))) == F.col("_k"), "left")
          .join(od, a["alert_type"].eqNullSafe(od["_t"]) & a["entity"].eqNullSafe(od["_e"]), "left"))

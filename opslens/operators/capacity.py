@@ -100,8 +100,8 @@ def weekly_growth(metering: DataFrame, as_of: datetime, days: int = 60) -> DataF
 
 def capacity_outlook(metering: DataFrame, warehouses: DataFrame, as_of: datetime, days: int = 60) -> DataFrame:
     """CAP-5 + FCT-11: latest weekly credits and growth per warehouse against
-    the weekly capacity of its size (size rate x 168 h), weeks until full,
-    urgency and a capacity score (percent of capacity used)."""
+    the weekly capacity of its size (size rate x 168 h), weeks until full (null
+    from 52 on), urgency and a capacity score (percent of capacity used)."""
     from opslens.operators.forecast import capacity_exhaustion
     g = weekly_growth(metering, as_of, days)
     latest = g.groupBy("warehouse_name").agg(
@@ -109,7 +109,7 @@ def capacity_outlook(metering: DataFrame, warehouses: DataFrame, as_of: datetime
     j = latest.join(warehouses.select("warehouse_name", "warehouse_size"), "warehouse_name", "left")
     cap = (size_rate(F.coalesce("warehouse_size", F.lit("X-Small"))) * 168).cast("double")
     cur, gr = F.col("l.weekly_credits"), F.coalesce(F.col("l.wow_growth_pct"), F.lit(0.0))
-    weeks, urgency, action = capacity_exhaustion(gr, cur, cap)
+    weeks, urgency, action = capacity_exhaustion(gr, cur, cap, max_weeks=52)
     return j.select("warehouse_name", "warehouse_size", F.col("l.week_start").alias("week_start"),
                     cur.alias("weekly_credits"), gr.alias("wow_growth_pct"), cap.alias("weekly_capacity_credits"),
                     rounded(safe_div(cur * 100, cap), 2).alias("capacity_score"),

@@ -1,13 +1,11 @@
 """Dependency graphs (GRF-*): task DAGs from predecessor arrays and object
 dependency edge lists.
 
-Reachability is computed breadth-first as a loop of DataFrame joins: each
-step joins the current frontier to the edge list, anti-joins what was
-already visited and stops when the frontier is empty: there is no depth cap, and as
-visited nodes never return, cycles end too.
-The driver only issues the joins and one ``isEmpty`` per step; every few
-steps the visited set is checkpointed to the cluster's checkpoint directory
-to keep the lineage short and survive executor loss.
+Reachability is computed breadth-first as a loop of DataFrame joins: each job
+joins the frontier to the edge list a few times, anti-joins what was already
+visited and stops when the last step met nothing new: there is no depth cap,
+and as visited nodes never return, cycles end too. The driver only issues the
+joins and one ``isEmpty`` per job.
 """
 
 from __future__ import annotations
@@ -22,6 +20,7 @@ from opslens.functions.exprs import page
 from opslens.session import ensure_checkpoint_dir
 
 CHECKPOINT_EVERY = 4
+HOPS = 5  # steps of a walk in one job
 
 
 def task_edges(task_graph: DataFrame) -> DataFrame:
@@ -51,30 +50,50 @@ def task_nodes(task_graph: DataFrame) -> DataFrame:
                     (pc == 0).alias("is_root"), (dc == 0).alias("is_leaf"))
 
 
-def _bfs(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """Minimum hop count from any seed (``node``) over ``source -> target``
-    edges, seeds at depth 0. Returns ``node, depth``.
+def _walk(seeds: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Minimum hop count of every (``keys``..., node) over ``source -> target``
+    edges, seeds at depth 0.
 
-    Each new frontier is checkpointed (written once to the cluster
-    checkpoint directory, so the emptiness test and the next step read it
-    instead of recomputing, and its plan stays a leaf); the visited set is
-    checkpointed every few steps, which bounds its union chain."""
+    ``HOPS`` steps go into one job: a node first met within them is expanded in
+    the same job, so only those of the last step go on. Each job's result is
+    checkpointed (written once to the cluster checkpoint directory), which keeps
+    plans short and survives a lost executor; the union of the visited is
+    checkpointed every few jobs."""
     ensure_checkpoint_dir(edges.sparkSession)
     e = edges.select("source", "target").persist(StorageLevel.MEMORY_AND_DISK)
-    visited = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    frontier = visited
-    for d in count(1):
-        nxt = (frontier.join(e, frontier.node == e.source).select(F.col("target").alias("node")).distinct()
-               .join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
-               .checkpoint())
-        if nxt.isEmpty():
-            break
-        visited = visited.unionByName(nxt)
-        if d % CHECKPOINT_EVERY == 0:
+    at = [*keys, "node"]
+    visited = seeds.select(*at).distinct().withColumn("depth", F.lit(0)).checkpoint()
+    frontier = visited.select(*at)
+    for k in count():
+        steps = []
+        for d in range(HOPS * k + 1, HOPS * (k + 1) + 1):
+            frontier = frontier.join(e, frontier["node"] == e["source"]).select(*keys, F.col("target").alias("node")).distinct()
+            steps.append(frontier.withColumn("depth", F.lit(d)))
+        met = steps[0]
+        for s in steps[1:]:
+            met = met.unionByName(s)
+        met = met.groupBy(*at).agg(F.min("depth").alias("depth")).join(visited.select(*at), at, "left_anti").checkpoint()
+        last = met.where(F.col("depth") == HOPS * (k + 1))
+        visited = visited.unionByName(met)
+        if last.isEmpty():
+            e.unpersist()
+            return visited
+        if (k + 1) % CHECKPOINT_EVERY == 0:
             visited = visited.checkpoint()
-        frontier = nxt
-    e.unpersist()
-    return visited
+        frontier = last.select(*at)
+
+
+def _bfs(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """Minimum hop count from any seed (``node``): ``node, depth``."""
+    return _walk(seeds, edges, [])
+
+
+def downstream_counts(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """How many tasks run downstream of each seed (column ``node``), itself not
+    counted unless a cycle leads back to it. Pairs are kept for the seeds only."""
+    first = seeds.select(F.col("node").alias("anc")).distinct()
+    children = first.join(edges, first["anc"] == edges["source"]).select("anc", F.col("target").alias("node"))
+    return _walk(children, edges, ["anc"]).groupBy(F.col("anc").alias("task_id")).agg(F.count(F.lit(1)).alias("downstream_task_count"))
 
 
 def dag_summary(task_graph: DataFrame) -> DataFrame:
@@ -135,29 +154,17 @@ def direct_dependents(deps: DataFrame, name: str) -> DataFrame:
     return down.unionByName(up)
 
 
-def graph_impact(task_graph: DataFrame) -> DataFrame:
+def graph_impact(task_graph: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     """GRF-6: for every task, how many tasks run downstream of it (distinct,
     through any path), its role (Root / Intermediate / Leaf), blast radius
-    and retry scope. Reachability pairs are grown one edge per step."""
-    ensure_checkpoint_dir(task_graph.sparkSession)
-    e = task_edges(task_graph)
-    nodes = task_nodes(task_graph)
-    e = e.persist(StorageLevel.MEMORY_AND_DISK)
-    reach = e.select(F.col("source").alias("anc"), F.col("target").alias("desc")).distinct().checkpoint()
-    frontier = reach
-    for d in count(2):
-        nxt = (frontier.join(e, frontier.desc == e.source).select("anc", F.col("target").alias("desc")).distinct()
-               .join(reach, ["anc", "desc"], "left_anti").checkpoint())
-        if nxt.isEmpty():
-            break
-        reach = reach.unionByName(nxt)
-        if d % CHECKPOINT_EVERY == 0:
-            reach = reach.checkpoint()
-        frontier = nxt
-    cnt = reach.groupBy(F.col("anc").alias("task_id")).agg(F.count(F.lit(1)).alias("downstream_task_count"))
+    and retry scope. With ``tasks`` (column ``label``), only for the tasks of
+    those labels: reachability is then walked from them alone."""
+    e, nodes = task_edges(task_graph), task_nodes(task_graph)
+    asked = nodes if tasks is None else nodes.join(tasks.select("label").distinct(), "label", "left_semi")
+    cnt = downstream_counts(e, asked.select(F.col("task_id").alias("node")))
     in_scope = (e.join(nodes.select(F.col("task_id").alias("source")), "source")
                 .select(F.col("target").alias("task_id")).distinct().withColumn("_has_pred", F.lit(True)))
-    j = nodes.join(cnt, "task_id", "left").join(in_scope, "task_id", "left")
+    j = asked.join(cnt, "task_id", "left").join(in_scope, "task_id", "left")
     dc = F.coalesce("downstream_task_count", F.lit(0))
     role = (F.when(F.col("_has_pred").isNull(), "Root").when(F.col("dependent_count") == 0, "Leaf")
             .otherwise("Intermediate"))

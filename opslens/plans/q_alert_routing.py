@@ -11,7 +11,7 @@ from opslens.sources import testviews as tv
 from opslens.sources.testviews import ORDERS_AS_OF
 
 _RULES = [("COST_SPIKE", "FinOps", "Cost & Contract", "Explain the driver", 6, True), ("TASK_FAILURE", "Pipelines", "Task Center", None, None, True),
-          ("LOGIN_FAILURE", None, "Security", "Check the source", 2, True), ("STALE_TABLE", "Nobody", "Old", None, 1, False)]
+          ("LOGIN_FAILURE", None, "Security", "Check the source", 2, True), ("cost_spike", "Second", "Other", "Not taken", 9, True), ("STALE_TABLE", "Nobody", "Old", None, 1, False)]
 _DIRECTORY = [("COST", "COST_CONTROL", "*", "Cost desk", "cost@example.com", "Cost board", "Cost lead", 80),
               ("TASKS", "TASK", "*", "Pipeline desk", "pipe@example.com", "Pipeline board", None, 70),
               ("WH3", "ALERT", "WH_3*", "Warehouse three", "wh3@example.com", None, "WH3 lead", 90),
@@ -33,7 +33,8 @@ b AS (SELECT a.*, r.owner AS rule_owner, r.route, r.runbook, r.sla_hours, d.owne
              upper(replace(coalesce(a.status, 'New'), ' ', '_')) AS st, upper(coalesce(a.severity, 'Medium')) AS sev,
              CAST(coalesce(r.sla_hours, CASE upper(coalesce(a.severity, 'Medium')) WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 8 WHEN 'LOW' THEN 72 ELSE 24 END) AS INTEGER) AS hours,
              CAST(greatest(0, date_diff('hour', a.created_at, TIMESTAMP '{ORDERS_AS_OF}')) AS BIGINT) AS age
-      FROM a LEFT JOIN rules r ON upper(a.alert_type) = upper(r.alert_type) AND coalesce(r.is_active, TRUE)
+      FROM a LEFT JOIN (SELECT * FROM rules WHERE coalesce(is_active, TRUE) QUALIFY row_number() OVER (PARTITION BY upper(alert_type) ORDER BY sla_hours NULLS LAST, owner NULLS FIRST, route, runbook) = 1) r
+        ON upper(a.alert_type) = upper(r.alert_type)
       LEFT JOIN (SELECT * FROM m WHERE rn = 1) d ON a.alert_id = d.alert_id),
 s AS (SELECT *, CASE WHEN st IN ('FIXED', 'IGNORED', 'RESOLVED') THEN 'Closed' WHEN age > hours THEN 'Overdue' WHEN age >= hours * 0.75 THEN 'Due Soon'
                      ELSE 'Within SLA' END AS sla_state FROM b)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from opslens.operators.graph import graph_impact
 from opslens.operators import tasks as tsk
 from opslens.plans.fixtures import values_cte
@@ -146,7 +148,8 @@ con AS (SELECT *, CASE substr(incident_priority, 1, 2) WHEN 'P1' THEN 'Critical'
 
 
 def _console(spark, sf):
-    return tsk.failure_console(_t(spark, sf), ORDERS_AS_OF, 30, impact=graph_impact(tv.load(spark, sf, "task_graph")))
+    failed = tsk.runs(_t(spark, sf), ORDERS_AS_OF, 30).filter(F.col("state") == "FAILED").select(F.col("task_name").alias("label"))
+    return tsk.failure_console(_t(spark, sf), ORDERS_AS_OF, 30, impact=graph_impact(tv.load(spark, sf, "task_graph"), failed))
 
 
 @register("task_failure_console", "task_history", "task_graph", op="TSK-5", sql=_CONSOLE + "SELECT * FROM con")
