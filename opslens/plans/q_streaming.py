@@ -63,17 +63,19 @@ def _(spark, sf):
                                  "failure_month").drop("failure_month")
 
 
-@register("stream_recovery_pairing", "task_history", op="STR-6")
+@register("stream_recovery_pairing", "task_history", op="STR-6", sql="""
+WITH f AS (SELECT database_name, schema_name, name AS task_name, max(scheduled_time) AS failure_at FROM task_history WHERE state = 'FAILED' GROUP BY ALL),
+r AS (SELECT f.*, (SELECT min(t.scheduled_time) FROM task_history t WHERE t.state = 'SUCCEEDED' AND t.database_name = f.database_name
+                   AND t.schema_name = f.schema_name AND t.name = f.task_name AND t.scheduled_time > f.failure_at) AS recovery_at FROM f)
+SELECT *, CASE WHEN recovery_at IS NULL THEN 'Open Failure' WHEN date_diff('second', failure_at, recovery_at) > 4 * 3600 THEN 'Recovered Late'
+               ELSE 'Recovered Within SLA' END AS recovery_state FROM r
+""")
 def _(spark, sf):
     src_df = tv.load(spark, sf, "task_history").select("scheduled_time", "state", "database_name", "schema_name", "name")
     src, run = inc.stage_as_files(src_df, "recovery", files=4, order_col="scheduled_time")
-    stream = inc.file_stream(spark, src, src_df.schema, max_files=1)
-    paired = inc.recovery_pairing_stream(stream, sla_hours=4.0).withColumn("failure_date", F.to_date("failure_at"))
-    out = f"{run}/pairs"
-    q = (paired.writeStream.outputMode("append").format("parquet").option("path", out)
-         .option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    out = inc.recovery_summary(spark, src, src_df.schema, run)
+    return out.select("database_name", "schema_name", "task_name", F.col("failure_at").cast("timestamp_ntz").alias("failure_at"),
+                      F.col("recovery_at").cast("timestamp_ntz").alias("recovery_at"), "recovery_state")
 
 
 @register("stream_live_operations", "query_history", op="STR-4", sql="""

@@ -10,13 +10,17 @@ with a dynamic partition overwrite of only the dates the batch touched.
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from opslens.functions.exprs import rounded
 from opslens.session import ensure_checkpoint_dir, path_exists
@@ -91,60 +95,108 @@ def activity_sessions_stream(queries: DataFrame, gap: str = "30 minutes", waterm
 
 RECOVERY_OUT = ("database_name string, schema_name string, task_name string, failure_at timestamp, "
                 "recovery_at timestamp, recovery_state string")
-RECOVERY_STATE = "failure_at timestamp"
-
-
-def _recovery(key, pdfs, state, sla_hours: float):
-    """Per task: remember the latest failure; the first later success closes it
-    (within SLA or late, counted from that failure, as the batch operator does);
-    an event-time timer at the SLA reports it open, and the failure stays
-    remembered so that a late success is still reported."""
-    import warnings
-    # the Arrow serializer concatenates output frames whose recovery_at may be all NULL
-    warnings.filterwarnings("ignore", category=FutureWarning)
-    db, sch, task = key
-    rows = []
-    if state.hasTimedOut:
-        (fa,) = state.get
-        rows.append((db, sch, task, fa, None, "Open past SLA"))
-        state.update((fa,))  # without a new timer
-        yield pd.DataFrame(rows, columns=["database_name", "schema_name", "task_name", "failure_at", "recovery_at",
-                                          "recovery_state"])
-        return
-    known = open_at = state.get[0] if state.exists else None
-    frames = [p for p in pdfs if len(p)]
-    events = (pd.concat(frames) if frames else pd.DataFrame({"scheduled_time": [], "state": []})).sort_values("scheduled_time")
-    for ts, st in zip(events["scheduled_time"], events["state"]):
-        if st == "FAILED":
-            open_at = ts
-        elif st == "SUCCEEDED" and open_at is not None and ts > open_at:
-            late = (ts - open_at).total_seconds() / 3600.0 > sla_hours
-            rows.append((db, sch, task, open_at, ts, "Recovered Late" if late else "Recovered Within SLA"))
-            open_at = None
-    if open_at is None:
-        if state.exists:
-            state.remove()
-    else:
-        state.update((open_at,))
-        due = int(pd.Timestamp(open_at).timestamp() * 1000 + sla_hours * 3600 * 1000)
-        if due > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(due)
-        elif open_at != known:
-            rows.append((db, sch, task, open_at, None, "Open past SLA"))  # the SLA is over already
-    if rows:
-        yield pd.DataFrame(rows, columns=["database_name", "schema_name", "task_name", "failure_at", "recovery_at",
-                                          "recovery_state"])
-
-
-def recovery_pairing_stream(tasks: DataFrame, sla_hours: float = 4.0, watermark: str = SETTLE_WATERMARK) -> DataFrame:
-    """STR-6: failure-to-recovery pairing per task with an event-time timer
-    at the SLA (``applyInPandasWithState``; state is one timestamp per task)."""
+#: Labels of a task's recovery.
+OPEN, WITHIN, LATE, PAST = "Open Failure", "Recovered Within SLA", "Recovered Late", "Open past SLA"
+
+
+class RecoveryPairing(StatefulProcessor):
+    """STR-6 state of a task: its latest failure with the first success after
+    it, and the successes of the watermark's span, as a failure that comes late
+    may be answered by one that came before it. An event-time timer at the SLA
+    reports a failure that is still open. Rows of a micro-batch may come in any
+    order and in any number of pieces; what is emitted last for a task depends
+    on the events alone."""
+
+    def __init__(self, sla_hours: float, keep_hours: float):
+        self.sla, self.keep = pd.Timedelta(hours=sla_hours), pd.Timedelta(hours=keep_hours)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pair = handle.getValueState("pair", "failure_at timestamp, recovery_at timestamp")
+        self.recent = handle.getMapState("recent", "at timestamp", "seen boolean")
+
+    def _row(self, key, failure, recovery, label):
+        return pd.DataFrame({"database_name": [key[0]], "schema_name": [key[1]], "task_name": [key[2]], "failure_at": [failure],
+                             "recovery_at": pd.Series([recovery], dtype="datetime64[ns]"), "recovery_state": [label]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        failure = recovery = None
+        if self.pair.exists():
+            failure, recovery = (None if pd.isna(x) else pd.Timestamp(x) for x in self.pair.get())
+        before, newest, successes = (failure, recovery), failure, []
+        for piece in rows:
+            at = piece["scheduled_time"]
+            failed = at[piece["state"] == "FAILED"].max()
+            if not pd.isna(failed) and (newest is None or failed > newest):
+                newest = failed
+            successes += [t for t in at[piece["state"] == "SUCCEEDED"] if not pd.isna(t)]
+        if newest != failure:  # a later failure: the answer may have come before it
+            recovery = None
+            successes += [pd.Timestamp(k[0]) for k in self.recent.keys()]
+        failure = newest
+        if failure is not None:
+            after = [t for t in successes if t > failure] + ([recovery] if recovery is not None else [])
+            recovery = min(after) if after else None
+        self._remember(successes, timerValues.getCurrentWatermarkInMs())
+        if (failure, recovery) == before or failure is None:
+            return
+        self.pair.update((failure.to_pydatetime(), None if recovery is None else recovery.to_pydatetime()))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if recovery is None:
+            due = int((failure + self.sla).timestamp() * 1000)
+            past = due <= timerValues.getCurrentWatermarkInMs()
+            if not past:
+                self.handle.registerTimer(due)
+            yield self._row(key, failure, None, PAST if past else OPEN)
+        else:
+            yield self._row(key, failure, recovery, LATE if recovery - failure > self.sla else WITHIN)
+
+    def _remember(self, successes, watermark_ms) -> None:
+        floor = pd.Timestamp(max(0, watermark_ms), unit="ms") - self.keep
+        for t in successes:
+            if t >= floor:
+                self.recent.updateValue((t.to_pydatetime(),), (True,))
+        for k in list(self.recent.keys()):
+            if pd.Timestamp(k[0]) < floor:
+                self.recent.removeKey(k)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.pair.exists():
+            failure, recovery = self.pair.get()
+            if recovery is None or pd.isna(recovery):
+                yield self._row(key, pd.Timestamp(failure), None, PAST)
+
+    def close(self) -> None:
+        pass
+
+
+def recovery_pairing_stream(tasks: DataFrame, sla_hours: float = 4.0, watermark: str = SETTLE_WATERMARK, keep_hours: float = 24.0) -> DataFrame:
+    """STR-6: failure-to-recovery pairing per task (``transformWithState``: value
+    and map state in RocksDB, event-time timers). In update mode the last row of
+    a task is its state; the session needs the RocksDB state store
+    (:data:`ROCKSDB`)."""
     t = (tasks.select("database_name", "schema_name", F.col("name").alias("task_name"),
                       F.col("scheduled_time").cast("timestamp").alias("scheduled_time"), "state")
          .withWatermark("scheduled_time", watermark))
-    return t.groupBy("database_name", "schema_name", "task_name").applyInPandasWithState(
-        lambda k, p, s: _recovery(k, p, s, sla_hours), RECOVERY_OUT, RECOVERY_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    return t.groupBy("database_name", "schema_name", "task_name").transformWithStateInPandas(
+        RecoveryPairing(sla_hours, keep_hours), RECOVERY_OUT, "Update", "EventTime")
+
+
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def recovery_summary(spark: SparkSession, source: str, schema, run: str, sla_hours: float = 4.0) -> DataFrame:
+    """Run :func:`recovery_pairing_stream` over all files of ``source`` and keep
+    each task's last row; the label of an unanswered failure is ``OPEN``."""
+    was = spark.conf.get(ROCKSDB[0])
+    spark.conf.set(*ROCKSDB)
+    try:
+        paired = recovery_pairing_stream(file_stream(spark, source, schema, 1), sla_hours).withColumn("part", F.pmod(F.xxhash64("task_name"), F.lit(8)).cast("int"))
+        out = run_available_now(paired, run, ["database_name", "schema_name", "task_name"], "part")
+    finally:
+        spark.conf.set(ROCKSDB[0], was)
+    return out.drop("part").withColumn("recovery_state", F.when(F.col("recovery_at").isNull(), OPEN).otherwise(F.col("recovery_state")))
 
 
 # ------------------------------------------------------------------ UPS-*
@@ -181,6 +233,84 @@ def upsert_partitions(batch: DataFrame, path: str, keys: Sequence[str], partitio
      .partitionBy(partition_col).parquet(path))
 
 
+LEDGER = "batch long, partition string"
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def committed(spark: SparkSession, path: str, batch_id: int) -> bool:
+    """Whether the versioned table at ``path`` holds the batch."""
+    return path_exists(spark, f"{path}/ledger/batch={batch_id}.json")
+
+
+def read_versioned(spark: SparkSession, path: str, schema, partition_col: str) -> DataFrame:
+    """The current rows of a versioned table: of each partition, those of the
+    last batch in the ledger that wrote it. Files of a batch that never reached
+    the ledger are not seen."""
+    if not path_exists(spark, f"{path}/ledger"):
+        return spark.createDataFrame([], schema)
+    ledger = spark.read.schema(LEDGER).json(f"{path}/ledger")
+    now = ledger.groupBy("partition").agg(F.max("batch").alias("_version"))
+    fields = T.StructType([*[f for f in schema.fields if f.name != partition_col], schema[partition_col], T.StructField("_version", T.LongType())])
+    data = spark.read.schema(fields).option("basePath", f"{path}/data").parquet(f"{path}/data")
+    name = F.coalesce(F.col(partition_col).cast("string"), F.lit(NO_VALUE))
+    return (data.withColumn("_partition", name).join(now.withColumnRenamed("partition", "_partition"), ["_version", "_partition"], "left_semi")
+            .select(*schema.fieldNames()))
+
+
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def upsert_versioned(batch: DataFrame, path: str, keys: Sequence[str], partition_col: str, batch_id: int) -> bool:
+    """UPS-1: merge a batch into a summary exactly once.
+
+    The touched partitions, merged with the batch (which wins per key), are
+    written as a new version of their own (``data/_version=<batch>``); nothing
+    that readers see is touched. One ledger file then names the partitions, and
+    its rename is the switch: before it all readers see the old version, after it
+    the new one. A batch that comes again is left out if the ledger has it, and
+    else written anew over what a lost attempt left. Returns whether it wrote."""
+    spark = batch.sparkSession
+    if committed(spark, path, batch_id):
+        return False
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if path_exists(spark, f"{path}/ledger"):
+            old = read_versioned(spark, path, batch.schema, partition_col)
+            touched = batch.select(F.col(partition_col).alias("_touched")).distinct()
+            old = old.join(touched, old[partition_col].eqNullSafe(F.col("_touched")), "left_semi").withColumn("_fresh", F.lit(0))
+            # the batch wins per key (null-safe, as grouping is)
+            merged = latest_by_key(old.unionByName(batch.withColumn("_fresh", F.lit(1))), keys, "_fresh").drop("_fresh").select(*batch.columns)
+        else:
+            merged = batch
+        target = f"{path}/data/_version={batch_id}"
+        merged.write.mode("overwrite").partitionBy(partition_col).parquet(target)
+        commit_version(spark, path, batch_id)
+    finally:
+        batch.unpersist()
+    return True
+
+
+def commit_version(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Name the written partitions of a batch in the ledger: one rename."""
+    fs, root = _fs(spark, f"{path}/data/_version={batch_id}")
+    names = [str(f.getPath().getName()) for f in fs.listStatus(root) if f.isDirectory()]
+    lines = "".join(json.dumps({"batch": batch_id, "partition": unquote(n.split("=", 1)[1])}) + "\n" for n in names)
+    _, waiting = _fs(spark, f"{path}/pending/batch={batch_id}.json")
+    _, final = _fs(spark, f"{path}/ledger/batch={batch_id}.json")
+    out = fs.create(waiting, True)
+    try:
+        out.write(lines.encode())
+    finally:
+        out.close()
+    fs.mkdirs(final.getParent())
+    if not fs.rename(waiting, final):
+        raise RuntimeError(f"the ledger of {path} has batch {batch_id} already")
+
+
 def stage_as_files(df: DataFrame, name: str, files: int = 4, order_col: str | None = None) -> tuple[str, str]:
     """Write a DataFrame (derived from the given tables) as parquet files under
     the shared checkpoint directory so a file stream can replay it. Returns
@@ -200,11 +330,14 @@ def stage_as_files(df: DataFrame, name: str, files: int = 4, order_col: str | No
     cuts = df.select(key.alias("_k")).approxQuantile("_k", [i / files for i in range(1, files)], 0.0001)
     edges = [None, *cuts, None]
     for lo, hi in zip(edges[:-1], edges[1:]):
-        cond = F.lit(True)
+        # rows without a time go with the first slice
+        cond = key.isNull() if lo is None else F.lit(False)
+        inside = F.lit(True)
         if lo is not None:
-            cond = cond & (key > lo)
+            inside = inside & (key > lo)
         if hi is not None:
-            cond = cond & (key <= hi)
+            inside = inside & (key <= hi)
+        cond = cond | F.coalesce(inside, F.lit(False))
         df.filter(cond).coalesce(1).write.mode("append").parquet(f"{run}/source")
     return f"{run}/source", run
 
@@ -213,20 +346,17 @@ def run_available_now(stream: DataFrame, run: str, keys: Sequence[str], partitio
                       max_files: int | None = None, mode: str = "update") -> DataFrame:
     """Drive a streaming aggregation over all available input
     (``trigger(availableNow=True)``), merging every micro-batch into the
-    summary with :func:`upsert_partitions`; return the summary as a batch
+    summary with :func:`upsert_versioned`; return the summary as a batch
     DataFrame."""
     out = f"{run}/summary"
 
-    def merge(batch_df, _batch_id):
-        upsert_partitions(batch_df, out, keys, partition_col)
+    def merge(batch_df, batch_id):
+        upsert_versioned(batch_df, out, keys, partition_col, batch_id)
 
     q = (stream.writeStream.outputMode(mode).foreachBatch(merge)
          .option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    spark = stream.sparkSession
-    if path_exists(spark, out):
-        return spark.read.schema(stream.schema).parquet(out)
-    return spark.createDataFrame([], stream.schema)  # no micro-batch produced a row
+    return read_versioned(stream.sparkSession, out, stream.schema, partition_col)
 
 
 def file_stream(spark: SparkSession, src: str, schema, max_files: int = 1) -> DataFrame:

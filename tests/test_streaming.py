@@ -71,7 +71,80 @@ def test_recovery_pairing_states(spark):
             ("D", "S", "C", h(5), "FAILED"),                                             # never recovers
             ("D", "S", "Z", h(60), "SUCCEEDED")]                                         # moves the watermark on
     df = spark.createDataFrame(rows, "database_name string, schema_name string, name string, scheduled_time timestamp_ntz, state string")
-    src, _run = inc.stage_as_files(df, "pairing", files=2, order_col="scheduled_time")
-    out = _drain(spark, inc.recovery_pairing_stream(inc.file_stream(spark, src, df.schema, 1), sla_hours=4.0), "pairs_out")
-    got = {r.task_name: r.recovery_state for r in out.collect()}
-    assert got == {"A": "Recovered Within SLA", "B": "Recovered Late", "C": "Open past SLA"}
+    want = {"A": (inc.WITHIN, h(0), h(2)), "B": (inc.LATE, h(3), h(8)), "C": (inc.OPEN, h(5), None)}
+    for files in (1, 4):
+        src, run = inc.stage_as_files(df, "pairing", files=files, order_col="scheduled_time")
+        out = inc.recovery_summary(spark, src, df.schema, run)
+        assert {r.task_name: (r.recovery_state, r.failure_at, r.recovery_at) for r in out.collect()} == want
+
+
+def test_recovery_of_a_failure_that_comes_late(spark):
+    """Inside the watermark, order of arrival doesn't matter."""
+    def h(n):
+        return datetime(2024, 1, 1) + timedelta(hours=n)
+
+    schema = "database_name string, schema_name string, name string, scheduled_time timestamp_ntz, state string"
+    slices = [[("D", "S", "A", h(0), "FAILED"), ("D", "S", "A", h(2), "SUCCEEDED"), ("D", "S", "A", h(7), "SUCCEEDED")],
+              [("D", "S", "A", h(6), "FAILED"), ("D", "S", "A", h(1), "FAILED")],
+              [("D", "S", "A", h(6.5), "SUCCEEDED")]]
+    _src, run = inc.stage_as_files(spark.createDataFrame(slices[0], schema).limit(0), "late", files=1)
+    src = f"{run}/slices"
+    for rows in slices:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    out = inc.recovery_summary(spark, src, spark.createDataFrame(slices[0], schema).schema, run)
+    assert [(r.failure_at, r.recovery_at, r.recovery_state) for r in out.collect()] == [(h(6), h(6.5), inc.WITHIN)]
+
+
+def _path(spark):
+    import uuid
+
+    from opslens.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark)}/opslens-test-versions-{uuid.uuid4().hex[:8]}"
+
+
+def test_versioned_upsert_is_exactly_once(spark, monkeypatch):
+    """A crash between write and commit leaves the old version; the batch then
+    comes again and is taken once; a batch taken before is left out."""
+    path, s = _path(spark), "d date, k string, v double"
+    day = [datetime(2024, 1, n).date() for n in (1, 2, 3)]
+    schema = spark.createDataFrame([], s).schema
+
+    def now():
+        return sorted(((r.d, r.k, r.v) for r in inc.read_versioned(spark, path, schema, "d").collect()), key=str)
+
+    assert now() == []
+    first = spark.createDataFrame([(day[0], "a", 1.0), (day[1], "b", 2.0), (None, "n", 0.0)], s)
+    assert inc.upsert_versioned(first, path, ["d", "k"], "d", 0)
+    assert now() == sorted([(day[0], "a", 1.0), (day[1], "b", 2.0), (None, "n", 0.0)], key=str)
+
+    class Lost(Exception):
+        pass
+
+    def crash(*_a):
+        raise Lost
+
+    second = spark.createDataFrame([(day[1], "b", 5.0), (day[1], "c", 3.0), (None, "n", 9.0)], s)
+    with monkeypatch.context() as m:
+        m.setattr(inc, "commit_version", crash)
+        try:
+            inc.upsert_versioned(second, path, ["d", "k"], "d", 1)
+        except Lost:
+            pass
+    assert now() == sorted([(day[0], "a", 1.0), (day[1], "b", 2.0), (None, "n", 0.0)], key=str)
+    assert inc.upsert_versioned(second, path, ["d", "k"], "d", 1)
+    want = sorted([(day[0], "a", 1.0), (day[1], "b", 5.0), (day[1], "c", 3.0), (None, "n", 9.0)], key=str)
+    assert now() == want
+    stale = spark.createDataFrame([(day[1], "b", -1.0)], s)
+    assert not inc.upsert_versioned(stale, path, ["d", "k"], "d", 1) and now() == want
+    assert inc.upsert_versioned(first.limit(0), path, ["d", "k"], "d", 2) and now() == want
+    assert inc.upsert_versioned(spark.createDataFrame([(day[2], "z", 7.0)], s), path, ["d", "k"], "d", 3)
+    assert now() == sorted([*want, (day[2], "z", 7.0)], key=str)
+
+
+def test_rows_without_a_time_are_staged(spark):
+    rows = [(None, 1), (None, 2)] + [(datetime(2024, 1, 1) + timedelta(hours=n), n) for n in range(20)]
+    df = spark.createDataFrame(rows, "at timestamp_ntz, n int")
+    src, _run = inc.stage_as_files(df, "nulls", files=3, order_col="at")
+    assert sorted(map(str, spark.read.parquet(src).collect())) == sorted(map(str, df.collect()))
+    nothing, _run = inc.stage_as_files(df.limit(0), "none", files=3, order_col="at")
+    assert spark.read.schema(df.schema).parquet(nothing).count() == 0
