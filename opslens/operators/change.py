@@ -94,28 +94,52 @@ def object_change_list(queries: DataFrame, as_of: datetime, days: int = 7, limit
             .transform(page(limit, F.desc("start_time"), "query_id")))
 
 
+def texts_that_hold(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """JOI-20: (text_hash), one row for each distinct ``text`` that holds any
+    ``key`` as a substring.
+
+    The keys have few different lengths, so a text is cut into its substrings of
+    those lengths, and these meet the keys in an equi join: no nested loop and no
+    candidate that isn't a match, however many keys there are. Only hashes of the
+    texts travel with the substrings."""
+    k = keys.select("key").where("key <> ''").distinct()
+    lengths = k.agg(F.collect_set(F.length("key")).alias("lengths"))  # one row, as many numbers as there are lengths
+    t = texts.select("text").where("text <> ''").distinct()
+    cut = (t.crossJoin(F.broadcast(lengths)).select("text", F.xxhash64("text").alias("text_hash"), F.explode("lengths").alias("n"))
+           .where(F.length("text") >= F.col("n"))
+           .select("text_hash", "n", "text", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1)).alias("at"))
+           .select("text_hash", F.col("text").substr(F.col("at"), F.col("n")).alias("key")).distinct())
+    return cut.join(k, "key", "left_semi").select("text_hash").distinct()
+
+
 def reconcile_changes(ch: DataFrame, commits: DataFrame, tickets: DataFrame) -> DataFrame:
     """CHG-4 / JOI-6 / JOI-20: every observed change with the evidence for it: a
-    source-control commit (its id is a word of the query tag, or it names the
-    same object, or the same database and schema) and a ticket for the tag's key.
+    source-control commit (of the same ticket, or its id stands in the query tag,
+    or its object's name in the statement, or it is of the same database and
+    schema) and a ticket for the tag's key.
 
     The OR-ed match of the reference is one equi join per branch, each against
-    the *distinct* keys of the feed, so no change is multiplied and there is no
-    nested loop. ``commit_match`` is the closest branch that held."""
-    named = commits.select(F.upper("object_fqn").alias("_fqn"), F.upper("commit_id").alias("_sha"))
+    *distinct* keys, so no change is multiplied and there is no nested loop.
+    ``commit_match`` is the first branch that held."""
+    own_ticket = F.upper(F.coalesce("change_ticket_id", F.lit(""))) if "change_ticket_id" in commits.columns else F.lit("")
+    named = commits.select(F.upper("object_fqn").alias("_fqn"), F.upper("commit_id").alias("_sha"), own_ticket.alias("_own"))
     parts = F.split("_fqn", r"\.")
-    by_id = named.select("_sha").where(F.coalesce("_sha", F.lit("")) != "").distinct()
-    by_object = named.select("_fqn").distinct().withColumn("_obj", F.lit(True))
+    by_ticket = named.select("_own").where("_own <> ''").distinct().withColumn("_ticketed", F.lit(True))
     by_schema = named.select(F.get(parts, F.lit(0)).alias("_db"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("_sch")).distinct() \
-        .withColumn("_near", F.lit(True))
-    tagged = (ch.select("query_id", F.explode(F.array_distinct(F.split(F.upper(F.coalesce("query_tag", F.lit(""))), "[^A-Z0-9]+"))).alias("_sha"))
-              .join(by_id, "_sha", "left_semi").select("query_id").distinct().withColumn("_tag", F.lit(True)))
+        .where("_db <> ''").withColumn("_near", F.lit(True))
+    tag, text = F.upper(F.coalesce("query_tag", F.lit(""))), F.upper(F.coalesce("query_text", F.lit("")))
+    in_tag = texts_that_hold(ch.select(tag.alias("text")), named.select(F.col("_sha").alias("key"))) \
+        .select(F.col("text_hash").alias("_tag_hash"), F.lit(True).alias("_tag"))
+    in_text = texts_that_hold(ch.select(text.alias("text")), named.select(F.col("_fqn").alias("key"))) \
+        .select(F.col("text_hash").alias("_text_hash"), F.lit(True).alias("_obj"))
     t = tickets.select(F.upper("ticket_key").alias("ticket_key")).distinct().withColumn("has_ticket", F.lit(True))
     db, sch = F.upper(F.coalesce("database_name", F.lit(""))), F.upper(F.coalesce("schema_name", F.lit("")))
     whole_db = by_schema.where("_sch = ''").select(F.col("_db").alias("_db2"), F.lit(True).alias("_near2"))
-    j = (ch.join(by_object, ch["object_fqn"] == F.col("_fqn"), "left").join(t, "ticket_key", "left").join(tagged, "query_id", "left")
+    j = (ch.join(t, "ticket_key", "left").join(by_ticket, F.col("ticket_key") == F.col("_own"), "left")
+         .join(in_tag, F.xxhash64(tag) == F.col("_tag_hash"), "left").join(in_text, F.xxhash64(text) == F.col("_text_hash"), "left")
          .join(by_schema, (db == F.col("_db")) & (sch == F.col("_sch")), "left").join(whole_db, db == F.col("_db2"), "left"))
-    how = (F.when(F.col("_tag"), "commit").when(F.col("_obj"), "object").when(F.col("_near") | F.col("_near2"), "schema"))
+    how = (F.when(F.col("_ticketed"), "ticket").when(F.col("_tag"), "commit").when(F.col("_obj"), "object")
+           .when(F.col("_near") | F.col("_near2"), "schema"))
     hc, ht = how.isNotNull(), F.coalesce("has_ticket", F.lit(False))
     state = (F.when(hc & ht, "Reconciled").when(hc, "Commit without ticket").when(ht, "Ticket without commit")
              .otherwise("Unmatched drift"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opslens.functions.exprs import page, rounded, safe_div, sorted_distinct_list
 from opslens.functions.timeutil import boundaries, lookback, ts_lit
+from opslens.operators.graph import _walk
 
 # Privileged role names and escalation keywords.
 PRIVILEGED_ROLES = ["ACCOUNTADMIN", "SECURITYADMIN", "SYSADMIN", "ORGADMIN"]
@@ -200,10 +201,25 @@ def connected_programs(sessions: DataFrame, logins: DataFrame, as_of: datetime,
                  F.coalesce(F.sum("statement_count"), F.lit(0)).alias("statements")))
 
 
-def grant_blast_radius(grants: DataFrame) -> DataFrame:
-    """SEC-14: users holding each role (active grants)."""
-    return (grants.filter(F.col("deleted_on").isNull()).groupBy("role")
-            .agg(F.countDistinct("grantee_name").alias("users"), F.min("created_on").alias("first_granted")))
+def grant_blast_radius(grants: DataFrame, role_grants: DataFrame) -> DataFrame:
+    """SEC-14: for each role, the users that hold it, the roles that inherit it
+    over any chain of grants (``role_grants``: ``name`` granted to the role
+    ``grantee_name``; cycles end), and the users that hold it or one of those.
+
+    The hierarchy is walked from the roles; users meet the reached roles in one
+    join, folded to distinct (role, user) before they are counted."""
+    held = grants.filter(F.col("deleted_on").isNull()).select("role", "grantee_name", "created_on")
+    edges = role_grants.select(F.col("name").alias("source"), F.col("grantee_name").alias("target")).where("source <> target").distinct()
+    roles = held.select("role").unionByName(edges.select(F.col("source").alias("role"))).unionByName(edges.select(F.col("target").alias("role"))).distinct()
+    reach = _walk(roles.select("role", F.col("role").alias("node")), edges, ["role"])
+    parents = reach.where("node <> role").groupBy("role").agg(F.count(F.lit(1)).alias("inheriting_roles"))
+    direct = held.groupBy("role").agg(F.countDistinct("grantee_name").alias("users"), F.min("created_on").alias("first_granted"))
+    impacted = (reach.join(held.select(F.col("role").alias("node"), "grantee_name").distinct(), "node")
+                .select("role", "grantee_name").distinct().groupBy("role").agg(F.count(F.lit(1)).alias("impacted_users")))
+    zero = F.lit(0).cast("bigint")
+    return (roles.join(direct, "role", "left").join(parents, "role", "left").join(impacted, "role", "left")
+            .select("role", F.coalesce("users", zero).alias("users"), "first_granted", F.coalesce("inheriting_roles", zero).alias("inheriting_roles"),
+                    F.coalesce("impacted_users", zero).alias("impacted_users")))
 
 
 def role_utilisation(grants: DataFrame, queries: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:

@@ -84,10 +84,11 @@ def _(spark, sf):
 
 RECONCILED_SQL = _CH + """,
 c AS (SELECT DISTINCT upper(object_fqn) AS fqn, split_part(upper(object_fqn), '.', 1) AS db, split_part(upper(object_fqn), '.', 2) AS sch,
-             upper(commit_id) AS sha FROM source_commits),
+             upper(commit_id) AS sha, upper(change_ticket_id) AS own FROM source_commits),
 t AS (SELECT DISTINCT upper(ticket_key) AS ticket_key FROM change_tickets),
-j0 AS (SELECT ch.*, CASE WHEN EXISTS (SELECT 1 FROM c WHERE sha <> '' AND list_contains(regexp_split_to_array(upper(coalesce(ch.query_tag, '')), '[^A-Z0-9]+'), sha)) THEN 'commit'
-                         WHEN ch.object_fqn IN (SELECT fqn FROM c) THEN 'object'
+j0 AS (SELECT ch.*, CASE WHEN ch.ticket_key <> '' AND ch.ticket_key IN (SELECT own FROM c) THEN 'ticket'
+                         WHEN EXISTS (SELECT 1 FROM c WHERE sha <> '' AND contains(upper(coalesce(ch.query_tag, '')), sha)) THEN 'commit'
+                         WHEN EXISTS (SELECT 1 FROM c WHERE fqn <> '' AND contains(upper(coalesce(ch.query_text, '')), fqn)) THEN 'object'
                          WHEN EXISTS (SELECT 1 FROM c WHERE db = upper(coalesce(ch.database_name, '')) AND (sch = '' OR sch = upper(coalesce(ch.schema_name, '')))) THEN 'schema'
                          END AS commit_match, ch.ticket_key IN (SELECT ticket_key FROM t) AS ht FROM ch),
 j AS (SELECT *, commit_match IS NOT NULL AS hc FROM j0),

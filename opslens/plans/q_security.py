@@ -188,12 +188,18 @@ def _(spark, sf):
     return sec.connected_programs(_v(spark, sf, "sessions"), _v(spark, sf, "login_history"), EVENTS_AS_OF, 7)
 
 
-@register("grant_blast_radius", "grants_to_users", op="SEC-14", sql="""
-SELECT role, count(DISTINCT grantee_name) AS users, min(created_on) AS first_granted FROM grants_to_users
-WHERE deleted_on IS NULL GROUP BY 1
+@register("grant_blast_radius", "grants_to_users", "grants_to_roles", op="SEC-14", sql="""
+WITH RECURSIVE held AS (SELECT * FROM grants_to_users WHERE deleted_on IS NULL),
+roles AS (SELECT role FROM held UNION SELECT name FROM grants_to_roles UNION SELECT grantee_name FROM grants_to_roles),
+reach(role, node) AS (SELECT role, role FROM roles UNION SELECT r.role, g.grantee_name FROM reach r JOIN grants_to_roles g ON g.name = r.node),
+d AS (SELECT role, count(DISTINCT grantee_name) AS users, min(created_on) AS first_granted FROM held GROUP BY 1),
+i AS (SELECT r.role, count(DISTINCT h.grantee_name) AS impacted_users FROM reach r JOIN held h ON h.role = r.node GROUP BY 1)
+SELECT r.role, coalesce(d.users, 0) AS users, d.first_granted, (SELECT count(*) FROM reach x WHERE x.role = r.role AND x.node <> r.role) AS inheriting_roles,
+       coalesce(i.impacted_users, 0) AS impacted_users
+FROM roles r LEFT JOIN d ON d.role = r.role LEFT JOIN i ON i.role = r.role
 """)
 def _(spark, sf):
-    return sec.grant_blast_radius(_v(spark, sf, "grants_to_users"))
+    return sec.grant_blast_radius(_v(spark, sf, "grants_to_users"), _v(spark, sf, "grants_to_roles"))
 
 
 @register("role_utilisation", "grants_to_users", "query_history", op="SEC-15", sql=f"""

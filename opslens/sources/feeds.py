@@ -4,7 +4,7 @@ feeds, summary-first reads, ledgers, exports and tagged unions."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +86,47 @@ def summary_first(spark: SparkSession, summary_path: str, fallback: Callable[[],
     return spark.read.parquet(summary_path) if path_exists(spark, summary_path) else fallback()
 
 
+def covered_days(manifest: DataFrame, first: date, last: date) -> list[date]:
+    """The days from ``first`` to ``last`` that the manifest names as complete:
+    as many values as the window has days."""
+    days = manifest.where(F.col("complete") & F.col("usage_date").between(F.lit(first), F.lit(last)))
+    return sorted(r[0] for r in days.select("usage_date").distinct().collect())
+
+
+def stitched(spark: SparkSession, summary_path: str, manifest_path: str, detail: DataFrame, ts_col: str,
+             aggregate: Callable[[DataFrame], DataFrame], first: date, last: date) -> DataFrame:
+    """SRC-3: complete days from the pre-built daily summary, all other days of
+    the window aggregated from the detail (``aggregate`` gives the summary's
+    columns, ``usage_date`` among them).
+
+    The manifest (usage_date, complete), written when a day's summary is closed,
+    says which days count; without one every day comes from the detail. The
+    days are literals on both sides: the summary reads only its partitions of
+    covered days, and the detail only the ranges between them."""
+    have = covered_days(spark.read.parquet(manifest_path), first, last) if path_exists(spark, manifest_path) else []
+    if have and not path_exists(spark, summary_path):
+        raise ValueError(f"{manifest_path} names covered days, but there is no summary at {summary_path}")
+    missing, day = [], first
+    while day <= last:
+        if day not in have:
+            missing.append(day)
+        day += timedelta(days=1)
+    # runs of missing days as ranges on the raw time column
+    ranges: list[list[date]] = []
+    for day in missing:
+        if ranges and ranges[-1][1] == day:
+            ranges[-1][1] = day + timedelta(days=1)
+        else:
+            ranges.append([day, day + timedelta(days=1)])
+    wanted = F.lit(False)
+    for lo, hi in ranges:
+        wanted = wanted | between_ts(ts_col, datetime.combine(lo, time()), datetime.combine(hi, time()))
+    fresh = aggregate(detail.where(wanted))
+    if not have:
+        return fresh
+    return spark.read.parquet(summary_path).where(F.col("usage_date").isin(have)).select(*fresh.columns).unionByName(fresh)
+
+
 def append_ledger(df: DataFrame, path: str, partition_col: str | None = None) -> None:
     """SRC-8: append rows to a ledger (verification runs, audit)."""
     w = df.write.mode("append")

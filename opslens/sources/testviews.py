@@ -269,6 +269,14 @@ def _views(d: Dialect) -> dict[str, View]:
     )
 
     # -- grants_to_users (customer) ----------------------------------------
+    # -- grants_to_roles: role hierarchy with a cycle (supplier) ------------
+    v["grants_to_roles"] = View(
+        base="supplier",
+        keys=[f"'ROLE_' || {_s('s_suppkey % 7')} AS name",
+              f"CASE WHEN s_suppkey % 7 = 6 THEN 'SYSADMIN' WHEN s_suppkey % 7 = 2 THEN 'ROLE_0' ELSE 'ROLE_' || {_s('s_suppkey % 7 + 1')} END AS grantee_name"],
+        cols=["count(*) AS grants"],
+    )
+
     v["grants_to_users"] = View(
         base="customer",
         cols=[
@@ -438,6 +446,7 @@ def _views(d: Dialect) -> dict[str, View]:
             f"'DB_' || {_s('p_partkey % 6')} || '.SCH_' || {_s('p_partkey % 4')} || '.T_' || {_s('p_partkey % 40')} AS object_fqn",
             d.add_seconds(d.ts("DATE '2024-01-01' + CAST(p_partkey % 30 AS INTEGER)"), "(p_partkey % 24) * 3600") + " AS committed_at",
             f"'dev' || {_s('p_partkey % 7')} AS author",
+            f"CASE WHEN p_partkey % 5 = 0 THEN 'OPS-' || {_s('p_partkey % 40')} ELSE '' END AS change_ticket_id",
         ],
     )
     v["change_tickets"] = View(
