@@ -115,3 +115,80 @@ def service_health_scorecard(queries: DataFrame, tasks: DataFrame, logins: DataF
         ("Task Service", bad_ratio_score("task_runs", "failed_tasks", 240), 20),
         ("Login/Auth", bad_ratio_score("login_events", "failed_logins", 45), 15),
         ("Data Load", bad_ratio_score("load_events", "failed_loads", 160), 10)])
+
+
+# Baselines, deductions (above a limit, largest first) and weights of the platform health components.
+PLATFORM = {"cost_control": (85.0, 0.30), "reliability": (90.0, 0.30), "security": (80.0, 0.20), "operations": (85.0, 0.20)}
+VARIANCE_DEDUCTIONS = [(50, 25), (30, 15), (15, 5)]
+FAILURE_DEDUCTIONS = [(50, 30), (20, 15), (5, 5)]
+FAILED_TASK_DEDUCTIONS = [(10, 20), (3, 10)]
+OPEN_ALERT_DEDUCTIONS = [(20, 25), (10, 15), (3, 5)]
+OPEN_ALERTS = ["NEW", "OPEN", "ESCALATED"]
+SEVERE = ["CRITICAL", "HIGH"]
+RUN_RATE_CAP = 90.0
+GRADES = [(90, "A"), (80, "B"), (70, "C"), (60, "D")]
+
+
+def _deduct(value: Column, steps: list[tuple[int, int]]) -> Column:
+    out = F.when(F.lit(False), F.lit(0.0))
+    for limit, points in steps:
+        out = out.when(value > limit, F.lit(float(points)))
+    return out.otherwise(F.lit(0.0))
+
+
+def platform_health(evidence: DataFrame) -> DataFrame:
+    """SCR-4: cost control, reliability, security and operations, each a baseline
+    less deductions for the evidence that is there, weighted into one score with
+    grade and trend.
+
+    ``evidence``: rows of max_variance_pct, has_run_rate, query_failures,
+    failed_tasks, severe_findings, security_exceptions, open_alerts,
+    morning_exceptions and previous_score (an account each, or one row); null
+    means that nothing was measured."""
+    base = {k: F.lit(v[0]) for k, v in PLATFORM.items()}
+    cost = base["cost_control"] - _deduct(F.col("max_variance_pct"), VARIANCE_DEDUCTIONS)
+    cost = F.when(F.coalesce("has_run_rate", F.lit(False)), F.least(cost, F.lit(RUN_RATE_CAP))).otherwise(cost)
+    reliability = base["reliability"] - _deduct(F.col("query_failures"), FAILURE_DEDUCTIONS) - _deduct(F.col("failed_tasks"), FAILED_TASK_DEDUCTIONS)
+    severe, exceptions = F.coalesce("severe_findings", F.lit(0)), F.coalesce("security_exceptions", F.lit(0))
+    security = base["security"] - F.when(severe > 5, 30.0).otherwise(severe * 10.0) - F.least(F.lit(20.0), exceptions * 3.0)
+    operations = base["operations"] - _deduct(F.col("open_alerts"), OPEN_ALERT_DEDUCTIONS) \
+        - F.least(F.lit(15.0), F.coalesce("morning_exceptions", F.lit(0)) * 2.0)
+    parts = {k: clamp_score(c) for k, c in zip(PLATFORM, (cost, reliability, security, operations))}
+    score = clamp_score(sum((parts[k] * PLATFORM[k][1] for k in list(PLATFORM)[1:]), parts["cost_control"] * PLATFORM["cost_control"][1]))
+    keys = [c for c in evidence.columns if c not in EVIDENCE]
+    d = evidence.select(*keys, "previous_score", *[c.alias(f"{k}_score") for k, c in parts.items()], score.alias("_score"))
+    grade = F.when(F.lit(False), "")
+    for least, letter in GRADES:
+        grade = grade.when(F.col("_score") >= least, letter)
+    before = F.coalesce("previous_score", F.lit(0.0))
+    trend = (F.when(before <= 0, "unknown").when(F.col("_score") - before > 3, "improving")
+             .when(F.col("_score") - before < -3, "declining").otherwise("stable"))
+    return d.select(*keys, *[rounded(f"{k}_score", 1).alias(f"{k}_score") for k in PLATFORM], rounded("_score", 1).alias("health_score"),
+                    grade.otherwise("F").alias("grade"), trend.alias("trend"))
+
+
+EVIDENCE = ["max_variance_pct", "has_run_rate", "query_failures", "failed_tasks", "severe_findings", "security_exceptions", "open_alerts",
+            "morning_exceptions", "previous_score"]
+
+
+def platform_evidence(metering: DataFrame, queries: DataFrame, tasks: DataFrame, alerts: DataFrame, logins: DataFrame, as_of: datetime,
+                      task_as_of: datetime, days: int = 7) -> DataFrame:
+    """One row of :func:`platform_health` evidence a warehouse: the largest change
+    of a day's credits against the day before, failed statements; and, the same
+    for every warehouse, failed tasks, severe and open alerts and users with
+    failed logins."""
+    day = metering.filter(between_ts("start_time", as_of - timedelta(days=days + 1), as_of)).groupBy(
+        "warehouse_name", F.to_date("start_time").alias("d")).agg(F.sum("credits_used").alias("c"))
+    prior = day.select("warehouse_name", F.date_add("d", 1).alias("d"), F.col("c").alias("p"))
+    moved = day.join(prior, ["warehouse_name", "d"], "left").groupBy("warehouse_name").agg(
+        F.max((F.col("c") - F.col("p")) * 100.0 / F.nullif("p", F.lit(0.0))).alias("max_variance_pct"))
+    failed = queries.filter(lookback("start_time", as_of, days)).groupBy("warehouse_name").agg(
+        F.count_if(F.col("execution_status") != "SUCCESS").alias("query_failures"))
+    t = tasks.filter(lookback("scheduled_time", task_as_of, days)).agg(F.count_if(F.upper("state") == "FAILED").alias("failed_tasks"))
+    a = alerts.filter(lookback("created_at", task_as_of, days)).agg(
+        F.count_if(F.upper("severity").isin(*SEVERE)).alias("severe_findings"), F.count_if(F.upper("status").isin(*OPEN_ALERTS)).alias("open_alerts"))
+    users = logins.filter(lookback("event_timestamp", as_of, days) & (F.col("is_success") == "NO")).agg(F.countDistinct("user_name").alias("security_exceptions"))
+    one = t.crossJoin(a).crossJoin(users)  # one row each
+    return (moved.join(failed, "warehouse_name", "left").crossJoin(one)
+            .select("warehouse_name", "max_variance_pct", F.lit(True).alias("has_run_rate"), "query_failures", "failed_tasks", "severe_findings",
+                    "security_exceptions", "open_alerts", F.lit(0).alias("morning_exceptions"), F.lit(None).cast("double").alias("previous_score")))

@@ -106,3 +106,31 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("execution_status") != "SUCCESS").alias("b"))
     return c.join(q, "warehouse_name", "left").select(
         "warehouse_name", sc.trend_score("cur", "pri", 20, 60).alias("credit_trend_score"), sc.bad_ratio_score("n", "b", 160).alias("failure_score"))
+
+
+@register("platform_health_card", "warehouse_metering", "query_history", "task_history", "alerts", "login_history", op="SCR-4", sql=f"""
+WITH day AS (SELECT warehouse_name, CAST(start_time AS DATE) AS d, sum(credits_used) AS c FROM warehouse_metering
+             WHERE {_window('start_time', EVENTS_AS_OF, 8)} GROUP BY 1, 2),
+mv AS (SELECT x.warehouse_name, max((x.c - y.c) * 100.0 / nullif(y.c, 0)) AS v
+       FROM day x LEFT JOIN day y ON x.warehouse_name = y.warehouse_name AND y.d = x.d - 1 GROUP BY 1),
+f AS (SELECT warehouse_name, count_if(execution_status <> 'SUCCESS') AS qf FROM query_history WHERE {_window('start_time', EVENTS_AS_OF, 7)} GROUP BY 1),
+one AS (SELECT (SELECT count(*) FROM task_history WHERE upper(state) = 'FAILED' AND {_window('scheduled_time', ORDERS_AS_OF, 7)}) AS ft,
+               (SELECT count(*) FROM alerts WHERE upper(severity) IN ('CRITICAL', 'HIGH') AND {_window('created_at', ORDERS_AS_OF, 7)}) AS sf,
+               (SELECT count(*) FROM alerts WHERE upper(status) IN ('NEW', 'OPEN', 'ESCALATED') AND {_window('created_at', ORDERS_AS_OF, 7)}) AS oa,
+               (SELECT count(DISTINCT user_name) FROM login_history WHERE is_success = 'NO' AND {_window('event_timestamp', EVENTS_AS_OF, 7)}) AS fu),
+s AS (SELECT mv.warehouse_name,
+             CAST(least(85.0 - CASE WHEN v > 50 THEN 25 WHEN v > 30 THEN 15 WHEN v > 15 THEN 5 ELSE 0 END, 90.0) AS DOUBLE) AS cost,
+             CAST(90.0 - CASE WHEN qf > 50 THEN 30 WHEN qf > 20 THEN 15 WHEN qf > 5 THEN 5 ELSE 0 END
+                  - CASE WHEN ft > 10 THEN 20 WHEN ft > 3 THEN 10 ELSE 0 END AS DOUBLE) AS rel,
+             CAST(greatest(0.0, 80.0 - CASE WHEN sf > 5 THEN 30 ELSE 10 * sf END - least(20, fu * 3)) AS DOUBLE) AS sec,
+             CAST(85.0 - CASE WHEN oa > 20 THEN 25 WHEN oa > 10 THEN 15 WHEN oa > 3 THEN 5 ELSE 0 END AS DOUBLE) AS ops
+      FROM mv LEFT JOIN f ON f.warehouse_name = mv.warehouse_name, one),
+t AS (SELECT *, cost * 0.3 + rel * 0.3 + sec * 0.2 + ops * 0.2 AS score FROM s)
+SELECT warehouse_name, round(cost, 1) AS cost_control_score, round(rel, 1) AS reliability_score, round(sec, 1) AS security_score,
+       round(ops, 1) AS operations_score, round(score, 1) AS health_score,
+       CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade,
+       'unknown' AS trend FROM t
+""")
+def _(spark, sf):
+    return sc.platform_health(sc.platform_evidence(*[tv.load(spark, sf, t) for t in (
+        "warehouse_metering", "query_history", "task_history", "alerts", "login_history")], EVENTS_AS_OF, ORDERS_AS_OF))
