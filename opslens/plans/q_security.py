@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from opslens.operators import security as sec
+from opslens.operators.asof import statement_programs
 from opslens.plans.fixtures import OWNER_RULES, OWNER_RULES_CTE
 from opslens.plans.registry import register
 from opslens.sources import testviews as tv
@@ -304,3 +307,21 @@ FROM g
 """)
 def _(spark, sf):
     return sec.ai_usage_by_user(_v(spark, sf, "ai_usage"), EVENTS_AS_OF, 30, 0.05)
+
+
+@register("statement_programs", "query_history", "sessions", "login_history", op="JOI-15", sql="""
+WITH q AS (SELECT query_id, user_name, start_time, query_tag, total_elapsed_time FROM query_history
+           WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00' AND start_time < TIMESTAMP '2024-01-31 00:00:00'),
+s AS (SELECT user_name, created_on, max(client_application_id) AS c FROM sessions WHERE statement_count > 1 AND client_application_id IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT user_name, event_timestamp, max(reported_client_type) AS c FROM login_history WHERE is_success = 'YES' AND reported_client_type IS NOT NULL GROUP BY 1, 2),
+a AS (SELECT q.*, s.c AS sc FROM q ASOF LEFT JOIN s ON q.user_name = s.user_name AND q.start_time >= s.created_on),
+b AS (SELECT a.*, l.c AS lc FROM a ASOF LEFT JOIN l ON a.user_name = l.user_name AND a.start_time >= l.event_timestamp)
+SELECT coalesce(sc, lc, nullif(query_tag, ''), 'UNTAGGED') AS program,
+       CASE WHEN sc IS NOT NULL THEN 'session' WHEN lc IS NOT NULL THEN 'login' WHEN nullif(query_tag, '') IS NOT NULL THEN 'query tag' ELSE 'unknown' END AS identity_source,
+       count(*) AS statements, count(DISTINCT user_name) AS users, round(sum(CAST(coalesce(total_elapsed_time, 0) AS DOUBLE)) / 1000.0, 3) AS elapsed_sec
+FROM b GROUP BY 1, 2
+""")
+def _(spark, sf):
+    """Sessions of one statement report no client, so that logins and tags count."""
+    s = _v(spark, sf, "sessions").withColumn("client_application_id", F.when(F.col("statement_count") > 1, F.col("client_application_id")))
+    return statement_programs(_v(spark, sf, "query_history"), s, _v(spark, sf, "login_history"), EVENTS_AS_OF, 7)
