@@ -4,8 +4,9 @@ A task counts phrases in a shallow trie over the first word id; below it hang
 hash containers (the rest of the phrase -> count). A container that grows past
 ``BURST`` entries bursts into a node over the next word. When a task holds more
 than ``BUDGET`` entries it spills whole subtrees, the largest first, as sorted
-runs. Spark deals the runs out by prefix (the first two words) and each
-partition merges what it gets, in order.
+runs, packed by ranges of prefixes (hashes of the first two words; as many ranges
+as the corpus asks for). Spark deals the runs out by range, and each range is
+merged on its own.
 
 The text is read four times. A phrase can reach ``min_count`` only if its parts
 do, so the first reading counts words, the second counts pairs of frequent words
@@ -49,7 +50,6 @@ RUN = 3_000_000     # bytes of text looked at together, or one text
 SALTS = 64          # parts of a language that rank their phrases first
 
 _KINDS = byte_classes(" \t", ".,;:!?\n\x0b\x0c\r")
-_IDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 
 
 # ------------------------------------------------------------------ the trie
@@ -122,9 +122,16 @@ class HatTrie:
             yield self._subtree(first)
 
 
-def _as_batch(run: list[tuple[tuple, int]]) -> pa.RecordBatch:
-    columns = [pa.array([p[i] if i < len(p) else None for p, _ in run], pa.int64()) for i in range(LONGEST)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in run], pa.int64())], [*_IDS, "f"])
+def _as_batch(run: list[tuple[tuple, int]], bits: int) -> pa.RecordBatch:
+    """A sorted run as packed rows (range, n, run), one for each range of the
+    first two words that it has phrases of; short phrases are padded with 0."""
+    rows = np.array([(*p, *(0,) * (LONGEST - len(p)), n) for p, n in run], np.int64)
+    top = (_pair_key(rows[:, 0].view(np.uint64), rows[:, 1].view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(top, kind="stable")
+    rows, top = rows[order], top[order]
+    cut = np.r_[np.flatnonzero(np.r_[True, top[1:] != top[:-1]]), len(top)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(top[cut[:-1]]), pa.array(np.diff(cut)), pa.array([rows[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], ["range", "n", "run"])
 
 
 # ------------------------------------------------------- readings of the text
@@ -309,35 +316,32 @@ def _phrase_counts(pairs, longer, bits: int, burst: int, budget: int):
                     for phrase, k in zip(zip(*matrix.T.tolist()), n.tolist()):
                         trie.add(phrase, k)
                     for run in trie.spill():
-                        yield _as_batch(run)
+                        yield _as_batch(run, max(4, bits - RANGE))
         for run in trie.spill(everything=True):
-            yield _as_batch(run)
+            yield _as_batch(run, max(4, bits - RANGE))
     return count
 
 
 def _merge(min_count: int):
-    """Sorted rows of a partition -> one row for each phrase counted often enough."""
+    """Runs sorted by range -> one row for each phrase counted often enough."""
+    def often(runs):
+        rows = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, LONGEST + 1) for x in runs])
+        rows = rows[np.lexsort(rows[:, LONGEST - 1::-1].T)]
+        at = np.flatnonzero(np.r_[True, (rows[1:, :LONGEST] != rows[:-1, :LONGEST]).any(1)])
+        sums = np.add.reduceat(rows[:, LONGEST], at)
+        return _merged(rows[at[sums >= min_count], :LONGEST], sums[sums >= min_count])
+
     def merge(batches):
-        last, last_n = None, 0
+        now, runs = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.stack([batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in _IDS], axis=1)
-            n = batch.column("f").to_numpy(zero_copy_only=False)
-            new = np.r_[True, (ids[1:] != ids[:-1]).any(1)]
-            at = np.flatnonzero(new)
-            phrases, sums = ids[at], np.add.reduceat(n, at)
-            if last is not None:
-                if (phrases[0] == last).all():
-                    sums[0] += last_n
-                elif last_n >= min_count:
-                    yield _merged(last[None, :], np.array([last_n]))
-            last, last_n = phrases[-1], int(sums[-1])
-            often = np.flatnonzero(sums[:-1] >= min_count)
-            if len(often):
-                yield _merged(phrases[often], sums[often])
-        if last is not None and last_n >= min_count:
-            yield _merged(last[None, :], np.array([last_n]))
+            for top, run in zip(batch.column("range").to_pylist(), batch.column("run").to_pylist()):
+                if now is not None and top != now:
+                    yield often(runs)
+                    runs = []
+                now = top
+                runs.append(run)
+        if runs:
+            yield often(runs)
     return merge
 
 
@@ -364,7 +368,7 @@ def phrase_counts(docs: DataFrame, min_count: int, burst: int = BURST, budget: i
     language for all its words; phrases (words, an array of 1 to 5 ids, and f),
     for all that occur ``min_count`` times or more."""
     texts = docs.select("text", "lang")
-    schema = ", ".join(f"{c} long" for c in _IDS) + ", f long"
+    schema = "range long, n long, run binary"
     found = texts.mapInArrow(_word_counts, "id long, lang string, word string, f long") \
         .groupBy("id", "lang", "word").agg(F.sum("f").alias("f"))
     words = stage(found.where((F.col("f") >= min_count) | F.col("word").isNull()), "words")
@@ -373,14 +377,14 @@ def phrase_counts(docs: DataFrame, min_count: int, burst: int = BURST, budget: i
     bits = max(RANGE, (16 * total).bit_length())  # a word begins four phrases at most
 
     def likely(hashes, name: str):
-        found = texts.mapInArrow(_hash_runs(hashes, bits, hold), "range long, n long, run binary").repartition("range") \
+        found = texts.mapInArrow(_hash_runs(hashes, bits, hold), schema).repartition("range") \
             .sortWithinPartitions("range").mapInArrow(_merge_hashes(min_count), "key long")
         return _bit_table(stage(found, name))
 
     pairs = likely(_pair_hashes(_bit_table(often.select(F.col("id").alias("key")))), "pairs")
     longer = likely(_longer_hashes(pairs, bits), "longer")
     counted = texts.mapInArrow(_phrase_counts(pairs, longer, bits, burst, budget), schema)
-    merged = counted.repartition("w1", "w2").sortWithinPartitions(*_IDS).mapInArrow(_merge(min_count), "words array<long>, f long")
+    merged = counted.repartition("range").sortWithinPartitions("range").mapInArrow(_merge(min_count), "words array<long>, f long")
     return words, often.select(F.array("id").alias("words"), "f").unionAll(stage(merged, "phrases"))
 
 
