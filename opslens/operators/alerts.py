@@ -115,7 +115,7 @@ def issue_list(tri: DataFrame, task_console: DataFrame, sec_exceptions: DataFram
                             F.concat_ws(".", "database_name", "schema_name", "task_name").alias("entity"),
                             F.col("failure_category").alias("issue_type"), F.col("scheduled_time").alias("seen_at"))
     s = sec_exceptions.select(F.lit("security").alias("source"), F.col("severity"), F.col("entity"),
-                              F.col("finding").alias("issue_type"))
+                              F.col("finding_type").alias("issue_type"), F.col("last_seen").alias("seen_at"))
     u = a.unionByName(t).unionByName(s, allowMissingColumns=True)
     return u.withColumn("severity_rank", severity_rank(F.col("severity")))
 

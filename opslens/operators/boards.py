@@ -335,20 +335,6 @@ def procedure_inventory(queries: DataFrame, tasks: DataFrame, as_of: datetime, d
     return j.withColumn("orchestration", F.when(F.col("schema_tasks").isNull(), "Ad hoc").otherwise("Task scheduled"))
 
 
-def privileged_grant_review(grants: DataFrame, queries: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
-    """SEC-9: privileged access at role level (holders) and object level
-    (GRANT statements on objects) in one list."""
-    from opslens.operators.security import PRIVILEGED_ROLES
-    r = (grants.filter(F.col("deleted_on").isNull() & F.col("role").isin(*PRIVILEGED_ROLES))
-         .groupBy("role").agg(F.count(F.lit(1)).alias("grants"))
-         .select(F.lit("role").alias("level"), F.col("role").alias("subject"), "grants"))
-    o = (queries.filter(lookback("start_time", as_of, days) & (F.col("query_type") == "GRANT")
-                        & F.upper("query_text").contains(" ON TABLE "))
-         .groupBy(F.col("role_name").alias("subject")).agg(F.count(F.lit(1)).alias("grants"))
-         .select(F.lit("object").alias("level"), "subject", "grants"))
-    return r.unionByName(o)
-
-
 def governance_readiness(classification: DataFrame, tags: DataFrame, access: DataFrame) -> DataFrame:
     """GOV-3: readiness score from classification coverage, tag coverage and
     access-history availability, one row."""

@@ -7,13 +7,21 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.functions.exprs import page, rounded, safe_div, sorted_distinct_list
+from opslens.functions.exprs import page, rounded, safe_div, severity_rank, sorted_distinct_list
 from opslens.functions.timeutil import boundaries, lookback, ts_lit
 from opslens.operators.graph import _walk
+from opslens.sources.schemas import conform
 
 # Privileged role names and escalation keywords.
 PRIVILEGED_ROLES = ["ACCOUNTADMIN", "SECURITYADMIN", "SYSADMIN", "ORGADMIN"]
 ESCALATION_TERMS = ["ACCOUNTADMIN", "SECURITYADMIN", "SYSADMIN", "ALL PRIVILEGES", "OWNERSHIP"]
+# Account administration roles, those whose grants are critical, and object privileges to review.
+ADMIN_ROLES = ["ACCOUNTADMIN", "ORGADMIN", "SECURITYADMIN", "SYSADMIN", "USERADMIN"]
+CRITICAL_ROLES = ["ACCOUNTADMIN", "ORGADMIN", "SECURITYADMIN"]
+HIGH_PRIVILEGES = ["OWNERSHIP", "APPLY MASKING POLICY", "APPLY ROW ACCESS POLICY"]
+REVIEWED_PRIVILEGES = ["OWNERSHIP", "MANAGE GRANTS", "APPLY MASKING POLICY", "APPLY ROW ACCESS POLICY", "CREATE DATABASE ROLE",
+                       "CREATE SCHEMA", "CREATE TABLE", "CREATE VIEW"]
+SHARED_DATABASES = ["IMPORTED DATABASE", "SHARE"]
 # Object-name markers of sensitive data.
 SENSITIVE_TERMS = ["PII", "SENSITIVE", "PHI", "CUSTOMER", "SSN", "CREDIT_CARD"]
 
@@ -84,19 +92,22 @@ def privileged_holders(grants: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def compliance_scorecard(escalations: DataFrame, failures: DataFrame, dormant: DataFrame) -> DataFrame:
-    """SEC-6: penalty-based scorecard from three evidence sets, one row."""
+    """SEC-6: penalty-based scorecard from three evidence sets, one row, with
+    codes of the findings that cost the most (a caller has its own words)."""
     e = escalations.agg(F.count(F.lit(1)).alias("escalations"))
     f = failures.agg(F.count(F.lit(1)).alias("failed_logins"),
                      F.coalesce(F.max("daily_failures"), F.lit(0)).alias("max_daily_failures"))
     d = dormant.agg(F.count(F.lit(1)).alias("dormant_users"))
     j = e.crossJoin(f).crossJoin(d)
     ec, fc, dc, mx = F.col("escalations"), F.col("failed_logins"), F.col("dormant_users"), F.col("max_daily_failures")
-    score = (F.lit(80) - F.when(ec > 10, 20).when(ec > 0, 5).otherwise(0) - F.when(mx > 20, 15).otherwise(0)
-             - F.when(dc > 20, 10).when(dc > 5, 5).otherwise(0))
+    many, brute, stale = ec > 10, mx > 20, dc > 20
+    score = (F.lit(80) - F.when(many, 20).when(ec > 0, 5).otherwise(0) - F.when(brute, 15).otherwise(0)
+             - F.when(stale, 10).when(dc > 5, 5).otherwise(0))
+    codes = F.concat_ws(",", F.when(many, "PRIVILEGE_ESCALATION"), F.when(brute, "BRUTE_FORCE"), F.when(stale, "DORMANT_USERS"))
     return j.select("*", F.greatest(F.lit(0), F.least(F.lit(100), score)).alias("overall_score"),
                     F.greatest(F.lit(0), 100 - ec * 5).alias("privilege_management_score"),
                     F.greatest(F.lit(0), 100 - F.least(F.lit(30), fc)).alias("login_security_score"),
-                    F.greatest(F.lit(0), 100 - dc * 2).alias("access_hygiene_score"))
+                    F.greatest(F.lit(0), 100 - dc * 2).alias("access_hygiene_score"), codes.alias("finding_codes"))
 
 
 def security_kpis(logins: DataFrame, grants: DataFrame, users: DataFrame, queries: DataFrame, as_of: datetime,
@@ -113,56 +124,125 @@ def security_kpis(logins: DataFrame, grants: DataFrame, users: DataFrame, querie
     return l.crossJoin(g).crossJoin(u).crossJoin(q)
 
 
-def security_exceptions(logins: DataFrame, grants: DataFrame, users: DataFrame, queries: DataFrame,
-                        as_of: datetime, days: int = 7) -> DataFrame:
-    """SEC-8 / SET-1: five detectors unioned into one finding list."""
-    now = ts_lit(as_of)
-    brute = (logins.filter(lookback("event_timestamp", as_of, days) & (F.col("is_success") == "NO"))
-             .groupBy("user_name").agg(F.count(F.lit(1)).alias("n"))
-             .filter(F.col("n") >= 5)
-             .select(F.lit("Repeated login failures").alias("finding"), F.col("user_name").alias("entity"),
-                     F.col("n").cast("double").alias("value"), F.lit("High").alias("severity")))
-    priv = (grants.filter(F.col("deleted_on").isNull() & F.col("role").isin("ACCOUNTADMIN"))
-            .select(F.lit("Account admin holder").alias("finding"), F.col("grantee_name").alias("entity"),
-                    boundaries("DAY", "created_on", now).cast("double").alias("value"), F.lit("Medium").alias("severity")))
-    nomfa = (users.filter((F.col("disabled") != "true") & (F.col("ext_authn_duo") != "true") & (F.col("has_password") == "true"))
-             .select(F.lit("Password user without MFA").alias("finding"), F.col("name").alias("entity"),
-                     F.lit(None).cast("double").alias("value"), F.lit("Medium").alias("severity")))
-    esc = (queries.filter(lookback("start_time", as_of, days) & (F.col("query_type") == "GRANT")
-                          & _ilike_any(F.col("query_text"), ESCALATION_TERMS))
-           .groupBy("user_name").agg(F.count(F.lit(1)).alias("n"))
-           .select(F.lit("Privileged grant statements").alias("finding"), F.col("user_name").alias("entity"),
-                   F.col("n").cast("double").alias("value"), F.lit("High").alias("severity")))
-    ips = (logins.filter(lookback("event_timestamp", as_of, days))
-           .groupBy("user_name").agg(F.countDistinct("client_ip").alias("n"))
-           .filter(F.col("n") >= 4)
-           .select(F.lit("Many client addresses").alias("finding"), F.col("user_name").alias("entity"),
-                   F.col("n").cast("double").alias("value"), F.lit("Low").alias("severity")))
-    return brute.unionByName(priv).unionByName(nomfa).unionByName(esc).unionByName(ips)
-
-
-def access_hygiene(users: DataFrame, logins: DataFrame, grants: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
-    """SEC-10: per enabled user: logins, failures, distinct addresses, admin
-    roles, MFA, days since last login, and a findings text."""
-    l = (logins.filter(lookback("event_timestamp", as_of, days)).groupBy("user_name")
-         .agg(F.count_if(F.col("is_success") == "YES").alias("logins"),
-              F.count_if(F.col("is_success") == "NO").alias("failures"),
-              F.countDistinct("client_ip").alias("client_ips"),
-              F.max(F.when(F.col("is_success") == "YES", F.col("event_timestamp"))).alias("last_login")))
-    g = (grants.filter(F.col("deleted_on").isNull() & F.col("role").isin(*PRIVILEGED_ROLES))
-         .groupBy(F.col("grantee_name").alias("user_name"))
-         .agg(sorted_distinct_list("role").alias("admin_roles")))
-    u = users.filter(F.col("disabled") != "true").select(F.col("name").alias("user_name"), "ext_authn_duo")
-    j = u.join(l, "user_name", "left").join(g, "user_name", "left")
-    dsl = boundaries("DAY", "last_login", ts_lit(as_of))
-    findings = F.concat_ws("; ", F.when(F.col("admin_roles").isNotNull() & (F.col("ext_authn_duo") != "true"),
-                                        F.lit("admin without MFA")),
-                           F.when(F.col("last_login").isNull(), F.lit("no login in window")),
-                           F.when(F.coalesce("failures", F.lit(0)) >= 5, F.lit("repeated failures")))
-    return j.select("user_name", F.coalesce("logins", F.lit(0)).alias("logins"),
-                    F.coalesce("failures", F.lit(0)).alias("failures"), F.coalesce("client_ips", F.lit(0)).alias("client_ips"),
-                    "admin_roles", (F.col("ext_authn_duo") == "true").alias("mfa_enabled"), dsl.alias("days_since_login"),
-                    findings.alias("findings"))
+def _flag(c: str) -> Column:
+    """A text or boolean column as a boolean; what can't be read is false."""
+    return F.coalesce(F.expr(f"try_cast({c} AS boolean)"), F.lit(False))
+
+
+def _live_users(users: DataFrame) -> DataFrame:
+    """Users that aren't dropped, with the optional columns filled."""
+    return conform(users, "users").filter(F.col("deleted_on").isNull())
+
+
+def is_admin_role(c: str = "role") -> Column:
+    """Roles that administer the account, by name."""
+    u = F.upper(F.col(c))
+    return u.isin(*ADMIN_ROLES) | u.contains("ADMIN") | u.contains("SECURITY")
+
+
+def security_exceptions(logins: DataFrame, users: DataFrame, grants: DataFrame, object_grants: DataFrame, databases: DataFrame,
+                        as_of: datetime, days: int = 7, limit: int | None = None) -> DataFrame:
+    """SEC-8 / SET-1: five detectors as one finding list (finding_type, severity,
+    entity, event_count, distinct_sources, last_seen, database_name).
+
+    Failed logins of a user (3 or more), enabled users without MFA, users with 3
+    or more new role grants, objects with 3 or more new grants or one that may be
+    passed on, and databases that another account shares. Each detector is one
+    partial aggregate or a filter; none joins."""
+    now = [lookback(c, as_of, days) for c in ("event_timestamp", "created_on")]
+    nothing, no_db = F.lit(0).cast("bigint"), F.lit(None).cast("string")
+
+    def found(df, kind, severity, entity, events, sources, seen, db=no_db):
+        return df.select(F.lit(kind).alias("finding_type"), severity.alias("severity"), entity.alias("entity"), events.alias("event_count"),
+                         sources.alias("distinct_sources"), seen.alias("last_seen"), db.alias("database_name"))
+
+    n, src = F.col("n"), F.col("sources")
+    counted = [F.count(F.lit(1)).alias("n")]
+    failed = (logins.filter(now[0] & (F.col("is_success") == "NO")).groupBy("user_name")
+              .agg(*counted, F.countDistinct("client_ip").alias("sources"), F.max("event_timestamp").alias("seen")).filter(n >= 3))
+    gaps = _live_users(users).filter(~_flag("disabled") & ~_flag("ext_authn_duo"))
+    recent = (grants.filter(F.col("deleted_on").isNull() & now[1]).groupBy("grantee_name")
+              .agg(*counted, F.countDistinct("role").alias("sources"), F.max("created_on").alias("seen")).filter(n >= 3))
+    may_pass = F.col("passed_on") > 0
+    objects = (object_grants.filter(F.col("deleted_on").isNull() & now[1] & F.col("table_catalog").isNotNull())
+               .groupBy("table_catalog", "table_schema", "name")
+               .agg(*counted, F.countDistinct("grantee_name").alias("sources"), F.max("created_on").alias("seen"),
+                    F.count_if(_flag("grant_option")).alias("passed_on")).filter((n >= 3) | may_pass))
+    # a missing part makes the joined name NULL
+    full_name = F.coalesce(F.concat("table_catalog", F.lit("."), "table_schema", F.lit("."), "name"), "table_catalog", "name")
+    shared = databases.filter(F.col("deleted").isNull() & F.col("type").isin(*SHARED_DATABASES))
+    out = found(failed, "Failed Login", F.when((n >= 25) | (src >= 5), "High").otherwise("Medium"), F.col("user_name"), n, src, F.col("seen"))
+    for part in (found(gaps, "MFA Gap", F.lit("High"), F.col("name"), nothing + 1, nothing, F.coalesce("last_success_login", "created_on")),
+                 found(recent, "Recent Grant", F.when(n >= 10, "Medium").otherwise("Low"), F.col("grantee_name"), n, src, F.col("seen")),
+                 found(objects, "Object Grant", F.when((n >= 10) | may_pass, "High").otherwise("Medium"), full_name, n, src, F.col("seen"),
+                       F.col("table_catalog")),
+                 found(shared, "Shared Database Exposure", F.lit("Medium"), F.col("database_name"), nothing + 1, nothing, F.col("created"),
+                       F.col("database_name"))):
+        out = out.unionByName(part)
+    return out.transform(page(limit, severity_rank("severity"), F.desc("event_count"), F.desc("last_seen"), "entity"))
+
+
+def privileged_grant_review(grants: DataFrame, object_grants: DataFrame, environment: Column, as_of: datetime, days: int = 30,
+                            limit: int | None = None) -> DataFrame:
+    """SEC-9 / SET-1: grants to review. Administrative roles that users hold (any
+    age, no database) and privileges on objects granted in the window that can
+    change access or be passed on. ``environment`` labels ``database_name``."""
+    now, text = ts_lit(as_of), F.lit(None).cast("string")
+    role = F.upper(F.col("role"))
+    held = grants.filter(F.col("deleted_on").isNull() & is_admin_role()).select(
+        F.lit("Privileged Role Grant").alias("finding_type"), F.when(role.isin(*CRITICAL_ROLES), "Critical").otherwise("High").alias("severity"),
+        F.col("grantee_name").alias("entity"), F.col("role").alias("role_name"), text.alias("privilege"), F.lit(False).alias("grant_option"),
+        text.alias("object_name"), text.alias("database_name"), "granted_by", "created_on")
+    privilege, passes = F.upper(F.col("privilege")), _flag("grant_option")
+    on_objects = object_grants.filter(
+        F.col("deleted_on").isNull() & lookback("created_on", as_of, max(1, min(int(days or 30), 90))) & F.col("table_catalog").isNotNull()
+        & (privilege.isin(*REVIEWED_PRIVILEGES) | passes)).select(
+        F.lit("Privileged Object Grant").alias("finding_type"), F.when(privilege.isin(*HIGH_PRIVILEGES) | passes, "High").otherwise("Medium").alias("severity"),
+        F.col("grantee_name").alias("entity"), text.alias("role_name"), "privilege", passes.alias("grant_option"), F.col("name").alias("object_name"),
+        F.col("table_catalog").alias("database_name"), "granted_by", "created_on")
+    u = held.unionByName(on_objects)
+    return u.select("*", F.col("database_name").isNotNull().alias("database_context"), environment.alias("environment"),
+                    boundaries("DAY", "created_on", now).alias("grant_age_days")) \
+        .transform(page(limit, severity_rank("severity"), F.desc("created_on"), "entity"))
+
+
+def access_hygiene(users: DataFrame, logins: DataFrame, grants: DataFrame, as_of: datetime, days: int = 30,
+                   limit: int | None = None) -> DataFrame:
+    """SEC-10: the users that need a look: failed logins or their addresses in the
+    window, administrative roles, no MFA, or not seen for 90 days, with a
+    severity and the findings as text. Names meet in upper case; logins and
+    grants are reduced to a row a user before the joins."""
+    name = F.upper(F.col("user_name"))
+    failed = F.col("is_success") == "NO"
+    l = (logins.filter(lookback("event_timestamp", as_of, max(1, int(days or 30)))).groupBy(name.alias("_user"))
+         .agg(F.count_if(failed).alias("_failed"), F.countDistinct(F.when(failed, F.col("client_ip"))).alias("_ips"),
+              F.max(F.when(F.col("is_success") == "YES", F.col("event_timestamp"))).alias("_last")))
+    g = (grants.filter(F.col("deleted_on").isNull() & is_admin_role()).groupBy(F.upper(F.col("grantee_name")).alias("_admin"))
+         .agg(F.countDistinct("role").alias("_roles"), sorted_distinct_list("role").alias("_names")))
+    u = _live_users(users)
+    has = {c.lower() for c in users.columns}
+    j = u.join(l, F.upper(F.col("name")) == F.col("_user"), "left").join(g, F.upper(F.col("name")) == F.col("_admin"), "left")
+    zero = F.lit(0).cast("bigint")
+    p = j.select(
+        F.col("name").alias("user_name"), F.coalesce("disabled", F.lit("false")).alias("disabled"),
+        F.coalesce("has_password", F.lit("false" if "has_password" in has else "unknown")).alias("has_password"),
+        F.coalesce("ext_authn_duo", F.lit("unknown")).alias("mfa_signal"), F.coalesce("_last", "last_success_login", "created_on").alias("last_seen"),
+        F.coalesce("_failed", zero).alias("failed_logins"), F.coalesce("_ips", zero).alias("failed_ips"),
+        F.coalesce("_roles", zero).alias("admin_role_count"), F.coalesce("_names", F.lit("")).alias("admin_roles"))
+    p = p.withColumn("days_since_seen", boundaries("DAY", "last_seen", ts_lit(as_of)))
+    fails, ips, roles = F.col("failed_logins"), F.col("failed_ips"), F.col("admin_role_count")
+    no_mfa, unknown = F.lower(F.col("mfa_signal")) != "true", F.col("mfa_signal") == "unknown"
+    missing, dormant = no_mfa & ~unknown, F.coalesce(F.col("days_since_seen") >= 90, F.lit(False))
+    severity = (F.when((fails >= 25) | (ips >= 5), "High").when((roles > 0) & no_mfa, "High").when(dormant, "Medium")
+                .when((fails > 0) | (roles > 0) | missing, "Medium").otherwise("Low"))
+    # fixed values: the texts of the findings
+    findings = F.concat_ws("; ", F.when(F.col("disabled") == "true", "disabled user retained in account"),
+                           F.when(fails > 0, F.concat(fails.cast("string"), F.lit(" failed login(s)"))),
+                           F.when(ips >= 5, F.concat(ips.cast("string"), F.lit(" failed login source IP(s)"))),
+                           F.when(roles > 0, F.concat(roles.cast("string"), F.lit(" privileged role grant(s)"))),
+                           F.when(missing, "MFA signal missing"), F.when(dormant, "dormant >= 90 days"))
+    out = p.filter((fails > 0) | (roles > 0) | missing | dormant).withColumn("severity", severity).withColumn("posture_findings", findings)
+    return out.transform(page(limit, severity_rank("severity"), F.desc("failed_logins"), F.desc("admin_role_count"), F.desc("days_since_seen"), "user_name"))
 
 
 def mfa_coverage(users: DataFrame) -> DataFrame:
@@ -183,6 +263,58 @@ def login_audit(logins: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
                  F.count_if(F.col("is_success") == "NO").alias("failure_count")))
 
 
+def _outcomes(fact: DataFrame) -> DataFrame:
+    """The daily login fact as a row an outcome: is_success, n."""
+    both = F.array(*[F.struct(F.lit(label).alias("is_success"), F.coalesce(c, F.lit(0)).cast("bigint").alias("n"))
+                     for label, c in (("YES", "success_count"), ("NO", "failure_count"))])
+    return fact.select("login_date", "user_name", "client_ip", F.inline(both))
+
+
+def login_totals(fact: DataFrame) -> DataFrame:
+    """SEC-12: per outcome the events, users and addresses; the fact is
+    :func:`login_audit` or the stored daily summary. Both outcomes are there for
+    any fact, an empty one too."""
+    some = F.col("n") > 0
+    g = _outcomes(fact).groupBy("is_success").agg(
+        F.sum("n").alias("event_count"), F.countDistinct(F.when(some, F.col("user_name"))).alias("distinct_users"),
+        F.countDistinct(F.when(some, F.col("client_ip"))).alias("distinct_ips"))
+    labels = fact.sparkSession.createDataFrame([("YES",), ("NO",)], "is_success string")
+    zero = F.lit(0).cast("bigint")
+    return labels.join(g, "is_success", "left").select("is_success", *[F.coalesce(c, zero).alias(c) for c in ("event_count", "distinct_users", "distinct_ips")])
+
+
+def login_trend(fact: DataFrame) -> DataFrame:
+    """SEC-12: events per day and outcome."""
+    return _outcomes(fact).groupBy(F.col("login_date").alias("day"), "is_success").agg(F.sum("n").alias("event_count"))
+
+
+def login_failures(fact: DataFrame, limit: int | None = 50) -> DataFrame:
+    """SEC-12: the most failed (user, address, client), a report of ``limit`` rows."""
+    g = (fact.filter(F.coalesce("failure_count", F.lit(0)) > 0).groupBy("user_name", "client_ip", "reported_client_type")
+         .agg(F.sum("failure_count").alias("attempt_count"), F.max("login_date").cast("timestamp_ntz").alias("last_attempt")))
+    return g.transform(page(limit, F.desc("attempt_count"), F.desc("last_attempt"), "user_name", "client_ip", "reported_client_type"))
+
+
+def _events() -> list[Column]:
+    ok, bad = F.coalesce("success_count", F.lit(0)), F.coalesce("failure_count", F.lit(0))
+    return [F.sum(ok + bad).alias("login_events"), F.countDistinct("user_name").alias("users")]
+
+
+def login_addresses(fact: DataFrame, limit: int | None = 50) -> DataFrame:
+    """SEC-12: the busiest addresses, a report of ``limit`` rows."""
+    g = fact.groupBy("client_ip").agg(*_events(), F.coalesce(F.sum("success_count"), F.lit(0)).alias("success_events"),
+                                      F.coalesce(F.sum("failure_count"), F.lit(0)).alias("failed_events"),
+                                      F.max("login_date").cast("timestamp_ntz").alias("last_seen"))
+    return g.transform(page(limit, F.desc("login_events"), "client_ip"))
+
+
+def login_clients(fact: DataFrame, limit: int | None = 50) -> DataFrame:
+    """SEC-12: the busiest client programs and versions, a report of ``limit`` rows."""
+    named = [F.coalesce(c, F.lit("UNKNOWN")).alias(c) for c in ("reported_client_type", "reported_client_version")]
+    g = fact.groupBy(*named).agg(*_events(), F.coalesce(F.sum("failure_count"), F.lit(0)).alias("failed_events"))
+    return g.transform(page(limit, F.desc("login_events"), "reported_client_type", "reported_client_version"))
+
+
 def connected_programs(sessions: DataFrame, logins: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
     """SEC-13 / JOI-15: programs per client identity. A session's client id
     is used when present; otherwise the login's client type; the source of

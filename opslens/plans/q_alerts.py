@@ -10,7 +10,7 @@ from opslens.functions.timeutil import ts_lit
 from opslens.operators import alerts as al
 from opslens.operators import capacity as cap
 from opslens.operators import security as sec
-from opslens.plans import q_tasks
+from opslens.plans import q_security, q_tasks
 from opslens.plans.registry import register
 from opslens.sources import testviews as tv
 from opslens.sources.testviews import EVENTS_AS_OF, ORDERS_AS_OF
@@ -46,14 +46,13 @@ tri AS (SELECT alert_id, alert_ts, entity, alert_type, severity, status, owner,
 
 
 def _issues_sql():
-    from opslens.plans import q_security
     return (q_tasks._CONSOLE + "," + _TRI + ", sx AS (" + q_security.SECURITY_EXCEPTIONS_SQL + """),
 u AS (SELECT 'alert' AS source, alert_id AS issue_id, severity, entity, alert_type AS issue_type, alert_ts AS seen_at FROM tri
       UNION ALL
       SELECT 'task_failure', query_id, severity, concat_ws('.', database_name, schema_name, task_name), failure_category,
              scheduled_time FROM con
       UNION ALL
-      SELECT 'security', CAST(NULL AS VARCHAR), severity, entity, finding, CAST(NULL AS TIMESTAMP) FROM sx)
+      SELECT 'security', CAST(NULL AS VARCHAR), severity, entity, finding_type, last_seen FROM sx)
 SELECT *, CASE upper(trim(coalesce(severity, 'Medium'))) WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'LOW' THEN 3 ELSE 2 END AS severity_rank
 FROM u
 """)
@@ -103,12 +102,11 @@ def _(spark, sf):
     return al.digest_body(_tri(spark, sf), 25)
 
 
-@register("issue_list", "alerts", "task_history", "login_history", "grants_to_users", "users", "query_history", "task_graph", op="ALR-6",
+@register("issue_list", "alerts", "task_history", "login_history", "users", "role_grants", "object_grants", "databases", "task_graph", op="ALR-6",
           sql=_ISSUES_SQL)
 def _(spark, sf):
     console = q_tasks._console(spark, sf)
-    exc = sec.security_exceptions(tv.load(spark, sf, "login_history"), tv.load(spark, sf, "grants_to_users"),
-                                  tv.load(spark, sf, "users"), tv.load(spark, sf, "query_history"), EVENTS_AS_OF, 7)
+    exc = q_security.exceptions(spark, sf)
     return al.issue_list(_tri(spark, sf), console, exc)
 
 

@@ -493,17 +493,6 @@ def _(spark, sf):
     return bd.procedure_inventory(_q(spark, sf), tv.load(spark, sf, "task_history"), EVENTS_AS_OF, 30)
 
 
-@register("privileged_grant_review", "grants_to_users", "query_history", op="SEC-9", sql="""
-SELECT 'role' AS level, role AS subject, count(*) AS grants FROM grants_to_users
-WHERE deleted_on IS NULL AND role IN ('ACCOUNTADMIN', 'SECURITYADMIN', 'SYSADMIN', 'ORGADMIN') GROUP BY 2
-UNION ALL
-SELECT 'object', role_name, count(*) FROM query_history WHERE start_time >= TIMESTAMP '2024-01-01 00:00:00' AND query_type = 'GRANT'
-  AND contains(upper(query_text), ' ON TABLE ') GROUP BY 2
-""")
-def _(spark, sf):
-    return bd.privileged_grant_review(tv.load(spark, sf, "grants_to_users"), _q(spark, sf), EVENTS_AS_OF, 30)
-
-
 @register("governance_readiness", "columns", "tag_references", "access_history", op="GOV-3", sql="""
 WITH c AS (SELECT DISTINCT table_catalog, table_schema, table_name, column_name, column_name AS cc FROM tag_references
            WHERE domain = 'COLUMN' AND tag_name IN ('SEMANTIC_CATEGORY', 'PRIVACY_CATEGORY', 'PII', 'SENSITIVITY')),

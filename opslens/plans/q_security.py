@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opslens.functions import scope
 from opslens.operators import security as sec
 from opslens.operators.asof import statement_programs
-from opslens.plans.fixtures import OWNER_RULES, OWNER_RULES_CTE
+from opslens.plans.fixtures import ENV_SQL, OWNER_RULES, OWNER_RULES_CTE, environments
 from opslens.plans.registry import register
 from opslens.sources import testviews as tv
 from opslens.sources.testviews import EVENTS_AS_OF
@@ -94,7 +95,9 @@ SELECT *, greatest(0, least(100, 80 - CASE WHEN escalations > 10 THEN 20 WHEN es
                                  - CASE WHEN dormant_users > 20 THEN 10 WHEN dormant_users > 5 THEN 5 ELSE 0 END)) AS overall_score,
        greatest(0, 100 - escalations * 5) AS privilege_management_score,
        greatest(0, 100 - least(30, failed_logins)) AS login_security_score,
-       greatest(0, 100 - dormant_users * 2) AS access_hygiene_score
+       greatest(0, 100 - dormant_users * 2) AS access_hygiene_score,
+       concat_ws(',', CASE WHEN escalations > 10 THEN 'PRIVILEGE_ESCALATION' END, CASE WHEN max_daily_failures > 20 THEN 'BRUTE_FORCE' END,
+                 CASE WHEN dormant_users > 20 THEN 'DORMANT_USERS' END) AS finding_codes
 FROM j
 """)
 def _(spark, sf):
@@ -116,42 +119,85 @@ def _(spark, sf):
 
 
 SECURITY_EXCEPTIONS_SQL = f"""
-SELECT 'Repeated login failures' AS finding, user_name AS entity, CAST(count(*) AS DOUBLE) AS value, 'High' AS severity
-FROM login_history WHERE event_timestamp >= {D7} AND is_success = 'NO' GROUP BY user_name HAVING count(*) >= 5
+SELECT 'Failed Login' AS finding_type, CASE WHEN count(*) >= 25 OR count(DISTINCT client_ip) >= 5 THEN 'High' ELSE 'Medium' END AS severity,
+       user_name AS entity, count(*) AS event_count, count(DISTINCT client_ip) AS distinct_sources, max(event_timestamp) AS last_seen,
+       CAST(NULL AS VARCHAR) AS database_name
+FROM login_history WHERE event_timestamp >= {D7} AND event_timestamp < {NOW} AND is_success = 'NO' GROUP BY user_name HAVING count(*) >= 3
 UNION ALL
-SELECT 'Account admin holder', grantee_name, CAST(date_diff('day', created_on, {NOW}) AS DOUBLE), 'Medium'
-FROM grants_to_users WHERE deleted_on IS NULL AND role IN ('ACCOUNTADMIN')
+SELECT 'MFA Gap', 'High', name, 1, 0, created_on, NULL FROM users
+WHERE NOT coalesce(TRY_CAST(disabled AS BOOLEAN), FALSE) AND NOT coalesce(TRY_CAST(ext_authn_duo AS BOOLEAN), FALSE)
 UNION ALL
-SELECT 'Password user without MFA', name, CAST(NULL AS DOUBLE), 'Medium' FROM users
-WHERE disabled <> 'true' AND ext_authn_duo <> 'true' AND has_password = 'true'
+SELECT 'Recent Grant', CASE WHEN count(*) >= 10 THEN 'Medium' ELSE 'Low' END, grantee_name, count(*), count(DISTINCT role), max(created_on), NULL
+FROM role_grants WHERE deleted_on IS NULL AND created_on >= {D7} AND created_on < {NOW} GROUP BY grantee_name HAVING count(*) >= 3
 UNION ALL
-SELECT 'Privileged grant statements', user_name, CAST(count(*) AS DOUBLE), 'High' FROM query_history
-WHERE start_time >= {D7} AND query_type = 'GRANT' AND ({ESC}) GROUP BY user_name
+SELECT 'Object Grant', CASE WHEN count(*) >= 10 OR count_if(coalesce(grant_option, 'false') = 'true') > 0 THEN 'High' ELSE 'Medium' END,
+       coalesce(table_catalog || '.' || table_schema || '.' || name, table_catalog, name), count(*), count(DISTINCT grantee_name),
+       max(created_on), table_catalog
+FROM object_grants WHERE deleted_on IS NULL AND created_on >= {D7} AND created_on < {NOW} AND table_catalog IS NOT NULL
+GROUP BY table_catalog, table_schema, name HAVING count(*) >= 3 OR count_if(coalesce(grant_option, 'false') = 'true') > 0
 UNION ALL
-SELECT 'Many client addresses', user_name, CAST(count(DISTINCT client_ip) AS DOUBLE), 'Low' FROM login_history
-WHERE event_timestamp >= {D7} GROUP BY user_name HAVING count(DISTINCT client_ip) >= 4
+SELECT 'Shared Database Exposure', 'Medium', database_name, 1, 0, created, database_name FROM databases
+WHERE deleted IS NULL AND type IN ('IMPORTED DATABASE', 'SHARE')
 """
 
 
-@register("security_exceptions", "login_history", "grants_to_users", "users", "query_history", op="SEC-8", sql=SECURITY_EXCEPTIONS_SQL)
+def exceptions(spark, sf):
+    return sec.security_exceptions(_v(spark, sf, "login_history"), _v(spark, sf, "users"), _v(spark, sf, "role_grants"),
+                                   _v(spark, sf, "object_grants"), _v(spark, sf, "databases"), EVENTS_AS_OF, 7)
+
+
+@register("security_exceptions", "login_history", "users", "role_grants", "object_grants", "databases", op="SEC-8", sql=SECURITY_EXCEPTIONS_SQL)
+def _(spark, sf):
+    return exceptions(spark, sf)
+
+
+ADMIN = """(upper(role) IN ('ACCOUNTADMIN', 'ORGADMIN', 'SECURITYADMIN', 'SYSADMIN', 'USERADMIN') OR upper(role) LIKE '%ADMIN%'
+            OR upper(role) LIKE '%SECURITY%')"""
+
+
+@register("privileged_grant_review", "grants_to_users", "object_grants", op="SEC-9", sql=f"""
+WITH u AS (
+SELECT 'Privileged Role Grant' AS finding_type,
+       CASE WHEN upper(role) IN ('ACCOUNTADMIN', 'ORGADMIN', 'SECURITYADMIN') THEN 'Critical' ELSE 'High' END AS severity,
+       grantee_name AS entity, role AS role_name, CAST(NULL AS VARCHAR) AS privilege, FALSE AS grant_option, CAST(NULL AS VARCHAR) AS object_name,
+       CAST(NULL AS VARCHAR) AS database_name, granted_by, created_on, FALSE AS database_context
+FROM grants_to_users WHERE deleted_on IS NULL AND {ADMIN}
+UNION ALL
+SELECT 'Privileged Object Grant',
+       CASE WHEN upper(privilege) IN ('OWNERSHIP', 'APPLY MASKING POLICY', 'APPLY ROW ACCESS POLICY') OR coalesce(grant_option, 'false') = 'true'
+            THEN 'High' ELSE 'Medium' END,
+       grantee_name, NULL, privilege, coalesce(grant_option, 'false') = 'true', name, table_catalog, granted_by, created_on, TRUE
+FROM object_grants WHERE deleted_on IS NULL AND created_on >= {D30} AND created_on < {NOW} AND table_catalog IS NOT NULL
+  AND (upper(privilege) IN ('OWNERSHIP', 'MANAGE GRANTS', 'APPLY MASKING POLICY', 'APPLY ROW ACCESS POLICY', 'CREATE DATABASE ROLE',
+                            'CREATE SCHEMA', 'CREATE TABLE', 'CREATE VIEW') OR coalesce(grant_option, 'false') = 'true'))
+SELECT *, {ENV_SQL} AS environment, date_diff('day', created_on, {NOW}) AS grant_age_days FROM u
+""")
 def _(spark, sf):
-    return sec.security_exceptions(_v(spark, sf, "login_history"), _v(spark, sf, "grants_to_users"), _v(spark, sf, "users"),
-                                   _v(spark, sf, "query_history"), EVENTS_AS_OF, 7)
+    return sec.privileged_grant_review(_v(spark, sf, "grants_to_users"), _v(spark, sf, "object_grants"),
+                                       scope.environment_label(environments()), EVENTS_AS_OF, 30)
 
 
 @register("access_hygiene", "users", "login_history", "grants_to_users", op="SEC-10", sql=f"""
-WITH l AS (SELECT user_name, count_if(is_success = 'YES') AS logins, count_if(is_success = 'NO') AS failures,
-                  count(DISTINCT client_ip) AS client_ips, max(CASE WHEN is_success = 'YES' THEN event_timestamp END) AS last_login
-           FROM login_history WHERE event_timestamp >= {D30} GROUP BY 1),
-g AS (SELECT grantee_name AS user_name, string_agg(DISTINCT role, ', ' ORDER BY role) AS admin_roles FROM grants_to_users
-      WHERE deleted_on IS NULL AND role IN ({PRIV}) GROUP BY 1),
-u AS (SELECT name AS user_name, ext_authn_duo FROM users WHERE disabled <> 'true')
-SELECT u.user_name, coalesce(logins, 0) AS logins, coalesce(failures, 0) AS failures, coalesce(client_ips, 0) AS client_ips,
-       admin_roles, ext_authn_duo = 'true' AS mfa_enabled, date_diff('day', last_login, {NOW}) AS days_since_login,
-       concat_ws('; ', CASE WHEN admin_roles IS NOT NULL AND ext_authn_duo <> 'true' THEN 'admin without MFA' END,
-                 CASE WHEN last_login IS NULL THEN 'no login in window' END,
-                 CASE WHEN coalesce(failures, 0) >= 5 THEN 'repeated failures' END) AS findings
-FROM u LEFT JOIN l ON u.user_name = l.user_name LEFT JOIN g ON u.user_name = g.user_name
+WITH l AS (SELECT user_name, count_if(is_success = 'NO') AS f, count(DISTINCT CASE WHEN is_success = 'NO' THEN client_ip END) AS ips,
+                  max(CASE WHEN is_success = 'YES' THEN event_timestamp END) AS last
+           FROM login_history WHERE event_timestamp >= {D30} AND event_timestamp < {NOW} GROUP BY 1),
+g AS (SELECT grantee_name, count(DISTINCT role) AS n, string_agg(DISTINCT role, ', ' ORDER BY role) AS names FROM grants_to_users
+      WHERE deleted_on IS NULL AND {ADMIN} GROUP BY 1),
+p AS (SELECT u.name AS user_name, coalesce(disabled, 'false') AS disabled, coalesce(has_password, 'false') AS has_password,
+             coalesce(ext_authn_duo, 'unknown') AS mfa_signal, coalesce(l.last, u.created_on) AS last_seen, coalesce(l.f, 0) AS failed_logins,
+             coalesce(l.ips, 0) AS failed_ips, coalesce(g.n, 0) AS admin_role_count, coalesce(g.names, '') AS admin_roles
+      FROM users u LEFT JOIN l ON upper(u.name) = upper(l.user_name) LEFT JOIN g ON upper(u.name) = upper(g.grantee_name)),
+d AS (SELECT *, date_diff('day', last_seen, {NOW}) AS days_since_seen, mfa_signal <> 'unknown' AND lower(mfa_signal) <> 'true' AS gap FROM p)
+SELECT * EXCLUDE (gap),
+       CASE WHEN failed_logins >= 25 OR failed_ips >= 5 THEN 'High'
+            WHEN admin_role_count > 0 AND (mfa_signal = 'unknown' OR lower(mfa_signal) <> 'true') THEN 'High'
+            WHEN days_since_seen >= 90 THEN 'Medium' WHEN failed_logins > 0 OR admin_role_count > 0 OR gap THEN 'Medium' ELSE 'Low' END AS severity,
+       concat_ws('; ', CASE WHEN disabled = 'true' THEN 'disabled user retained in account' END,
+                 CASE WHEN failed_logins > 0 THEN failed_logins || ' failed login(s)' END,
+                 CASE WHEN failed_ips >= 5 THEN failed_ips || ' failed login source IP(s)' END,
+                 CASE WHEN admin_role_count > 0 THEN admin_role_count || ' privileged role grant(s)' END,
+                 CASE WHEN gap THEN 'MFA signal missing' END, CASE WHEN days_since_seen >= 90 THEN 'dormant >= 90 days' END) AS posture_findings
+FROM d WHERE failed_logins > 0 OR admin_role_count > 0 OR gap OR days_since_seen >= 90
 """)
 def _(spark, sf):
     return sec.access_hygiene(_v(spark, sf, "users"), _v(spark, sf, "login_history"), _v(spark, sf, "grants_to_users"),
@@ -176,6 +222,61 @@ def _(spark, sf):
     return sec.login_audit(_v(spark, sf, "login_history"), EVENTS_AS_OF, 7)
 
 
+def _daily(spark, sf):
+    return sec.login_audit(_v(spark, sf, "login_history"), EVENTS_AS_OF, 30)
+
+
+_LOGINS = f"lg AS (SELECT * FROM login_history WHERE event_timestamp >= {D30} AND event_timestamp < {NOW})"
+
+
+@register("login_audit_totals", "login_history", op="SEC-12", sql=f"""
+WITH {_LOGINS}
+SELECT s.is_success, count(lg.is_success) AS event_count, count(DISTINCT user_name) AS distinct_users, count(DISTINCT client_ip) AS distinct_ips
+FROM (VALUES ('YES'), ('NO')) s(is_success) LEFT JOIN lg ON lg.is_success = s.is_success GROUP BY 1
+""")
+def _(spark, sf):
+    return sec.login_totals(_daily(spark, sf))
+
+
+@register("login_audit_trend", "login_history", op="SEC-12", sql=f"""
+WITH {_LOGINS}
+SELECT CAST(event_timestamp AS DATE) AS day, 'YES' AS is_success, count_if(is_success = 'YES') AS event_count FROM lg GROUP BY 1
+UNION ALL SELECT CAST(event_timestamp AS DATE), 'NO', count_if(is_success = 'NO') FROM lg GROUP BY 1
+""")
+def _(spark, sf):
+    return sec.login_trend(_daily(spark, sf))
+
+
+@register("login_audit_failures", "login_history", op="SEC-12", sql=f"""
+WITH {_LOGINS}
+SELECT user_name, client_ip, reported_client_type, count(*) AS attempt_count, CAST(max(CAST(event_timestamp AS DATE)) AS TIMESTAMP) AS last_attempt
+FROM lg WHERE is_success = 'NO' GROUP BY 1, 2, 3
+ORDER BY attempt_count DESC, last_attempt DESC, user_name, client_ip, reported_client_type LIMIT 50
+""")
+def _(spark, sf):
+    return sec.login_failures(_daily(spark, sf), 50)
+
+
+@register("login_audit_addresses", "login_history", op="SEC-12", sql=f"""
+WITH {_LOGINS}
+SELECT client_ip, count(*) AS login_events, count(DISTINCT user_name) AS users, count_if(is_success = 'YES') AS success_events,
+       count_if(is_success = 'NO') AS failed_events, CAST(max(CAST(event_timestamp AS DATE)) AS TIMESTAMP) AS last_seen
+FROM lg GROUP BY 1 ORDER BY login_events DESC, client_ip LIMIT 50
+""")
+def _(spark, sf):
+    return sec.login_addresses(_daily(spark, sf), 50)
+
+
+@register("login_audit_clients", "login_history", op="SEC-12", sql=f"""
+WITH {_LOGINS}
+SELECT coalesce(reported_client_type, 'UNKNOWN') AS reported_client_type, coalesce(reported_client_version, 'UNKNOWN') AS reported_client_version,
+       count(*) AS login_events, count(DISTINCT user_name) AS users, count_if(is_success = 'NO') AS failed_events
+FROM lg GROUP BY 1, 2 ORDER BY login_events DESC, reported_client_type, reported_client_version LIMIT 50
+""")
+def _(spark, sf):
+    return sec.login_clients(_daily(spark, sf), 50)
+
+
 @register("connected_programs", "sessions", "login_history", op="SEC-13", sql=f"""
 WITH s AS (SELECT user_name, CAST(created_on AS DATE) AS d, client_application_id, statement_count FROM sessions WHERE created_on >= {D7}),
 l AS (SELECT user_name, CAST(event_timestamp AS DATE) AS d, min(reported_client_type) AS login_client FROM login_history

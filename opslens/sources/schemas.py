@@ -59,7 +59,8 @@ SOURCES: dict[str, list[Col]] = {
         Col("created_on", "timestamp_ntz", True), Col("role", "string", True), Col("grantee_name", "string", True),
         Col("deleted_on", "timestamp_ntz"), Col("granted_by", "string")),
     "users": _s(Col("name", "string", True), Col("disabled", "string", True), Col("has_password", "string"),
-                Col("ext_authn_duo", "string"), Col("created_on", "timestamp_ntz")),
+                Col("ext_authn_duo", "string"), Col("created_on", "timestamp_ntz"), Col("last_success_login", "timestamp_ntz"),
+                Col("deleted_on", "timestamp_ntz")),
 }
 
 

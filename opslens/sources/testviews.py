@@ -292,6 +292,45 @@ def _views(d: Dialect) -> dict[str, View]:
         ],
     )
 
+    # -- role_grants: roles given to users in the month (events) ------------
+    v["role_grants"] = View(
+        base="events",
+        where="event_type = 'signup'",
+        cols=["ts AS created_on", f"'USER_' || {_s('user_id')} AS grantee_name", f"'ROLE_' || {_s('event_id % 7')} AS role",
+              "event_id AS grant_seq"],
+        derived=["CASE WHEN grant_seq % 11 = 0 THEN " + d.add_seconds("created_on", "3600") + " END AS deleted_on"],
+    )
+
+    # -- object_grants: privileges on objects given to roles (part) ---------
+    v["object_grants"] = View(
+        base="part",
+        cols=[
+            d.ts("DATE '2024-01-30' - CAST(p_partkey % 60 AS INTEGER)") + " AS created_on",
+            f"CASE WHEN p_partkey % 29 <> 0 THEN 'DB_' || {_s('p_partkey % 6')} END AS table_catalog",
+            f"CASE WHEN p_partkey % 31 <> 0 THEN 'SCH_' || {_s('p_partkey % 4')} END AS table_schema",
+            f"'T_' || {_s('p_partkey % 8')} AS name",
+            "CASE p_partkey % 7 WHEN 0 THEN 'OWNERSHIP' WHEN 1 THEN 'SELECT' WHEN 2 THEN 'create table' WHEN 3 THEN 'APPLY MASKING POLICY' "
+            "WHEN 4 THEN 'MANAGE GRANTS' ELSE 'USAGE' END AS privilege",
+            "CASE WHEN p_partkey % 19 = 0 THEN 'true' WHEN p_partkey % 19 > 1 THEN 'false' END AS grant_option",
+            f"'ROLE_' || {_s('p_partkey % 5')} AS grantee_name",
+            "CASE WHEN p_partkey % 2 = 0 THEN 'SECURITYADMIN' ELSE 'SYSADMIN' END AS granted_by",
+            "p_partkey AS grant_seq",
+        ],
+        derived=["CASE WHEN grant_seq % 11 = 0 THEN " + d.add_seconds("created_on", "3600") + " END AS deleted_on"],
+    )
+
+    # -- databases, some shared by another account (supplier) ---------------
+    v["databases"] = View(
+        base="supplier",
+        cols=[
+            f"'DB_' || {_s('s_suppkey')} AS database_name",
+            "CASE WHEN s_suppkey % 4 = 0 THEN 'IMPORTED DATABASE' WHEN s_suppkey % 7 = 0 THEN 'SHARE' ELSE 'STANDARD' END AS type",
+            d.ts("DATE '2023-03-01' + CAST(s_suppkey % 90 AS INTEGER)") + " AS created",
+            "s_suppkey AS database_seq",
+        ],
+        derived=["CASE WHEN database_seq % 8 = 0 THEN " + d.add_seconds("created", "86400") + " END AS deleted"],
+    )
+
     # -- copy_history: file loads (lineitem) -------------------------------
     v["copy_history"] = View(
         base="lineitem",
