@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from opslens.functions import scope
+from opslens.functions.timeutil import lookback, trunc
 from opslens.operators import boards as bd
 from opslens.operators import capacity as cap
 from opslens.operators import chargeback as chb
@@ -20,6 +22,7 @@ from opslens.plans.q_anomaly import COST_ANOMALIES_SQL as ORACLES_RAW_ANOM
 from opslens.plans.q_cost import _LENS, pqc_cte
 from opslens.plans.q_security import OWNER_MATCH_SQL
 from opslens.plans.registry import register
+from opslens.session import ensure_checkpoint_dir
 from opslens.sources import testviews as tv
 from opslens.sources.testviews import EVENTS_AS_OF, LINEITEM_AS_OF, ORDERS_AS_OF
 
@@ -749,6 +752,32 @@ def _(spark, sf):
                                 EVENTS_AS_OF, 7)
 
 
+@register("query_daily_from_sketches", "query_history", op="SUM-8", sql="""
+WITH q AS (SELECT CAST(date_trunc('day', start_time) AS TIMESTAMP) AS period_start, warehouse_name, execution_time FROM query_history
+           WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00' AND start_time < TIMESTAMP '2024-01-31 00:00:00'),
+g AS (SELECT period_start, warehouse_name, count(*) AS query_count, CAST(sum(execution_time) AS BIGINT) AS total_execution_ms,
+             max(execution_time) AS max_execution_ms FROM q GROUP BY 1, 2)
+SELECT *, TRUE AS p50_within_error, TRUE AS p95_within_error FROM g
+""")
+def _(spark, sf):
+    """Daily percentiles from the stored hourly sketches alone. A sketch is an
+    estimate, so what is compared is whether its rank among all statements of the
+    warehouse and day lies within the stated error."""
+    path = f"{ensure_checkpoint_dir(spark)}/opslens-feeds/sketches-{uuid.uuid4().hex[:12]}"
+    hourly = bd.query_sketch_fact(_q(spark, sf), EVENTS_AS_OF, 7)
+    hourly.withColumn("usage_date", F.to_date("hour_start")).write.partitionBy("usage_date").parquet(path)
+    day = bd.query_period_fact(spark.read.parquet(path), "day")
+    q = _q(spark, sf).filter(lookback("start_time", EVENTS_AS_OF, 7))
+    q = q.select(trunc("day", "start_time").alias("period_start"), "warehouse_name", "execution_time")
+    key = ["period_start", "warehouse_name"]
+    near = q.join(day.select(*key, "p50_execution_ms", "p95_execution_ms"), key)
+    rank = near.groupBy(*key).agg(*[c for p in (50, 95) for c in (
+        F.avg((F.col("execution_time") < F.col(f"p{p}_execution_ms")).cast("double")).alias(f"below{p}"),
+        F.avg((F.col("execution_time") <= F.col(f"p{p}_execution_ms")).cast("double")).alias(f"upto{p}"))])
+    ok = [((F.col(f"below{p}") <= p / 100 + 0.02) & (F.col(f"upto{p}") >= p / 100 - 0.02)).alias(f"p{p}_within_error") for p in (50, 95)]
+    return day.join(rank, key).select(*key, "query_count", "total_execution_ms", "max_execution_ms", *ok)
+
+
 @register("warehouse_hourly_fact", "warehouse_metering", op="SUM-9", sql=r"""
 SELECT date_trunc('hour', start_time) AS hour_start,
        CASE WHEN upper(warehouse_name) IN ('WH_0', 'WH_1', 'WH_2') THEN 'NORTH' WHEN upper(warehouse_name) LIKE 'WH_5%' THEN 'SOUTH'

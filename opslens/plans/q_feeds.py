@@ -5,7 +5,7 @@ read back through the feed readers."""
 from __future__ import annotations
 
 import uuid
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
@@ -68,6 +68,38 @@ def _(spark, sf):
     return back.groupBy("status").agg(F.count(F.lit(1)).alias("jobs"), rounded(F.avg("duration_sec"), 3).alias("avg_duration_sec"))
 
 
+@register("control_feed", "task_history", op="SRC-6", sql="""
+WITH t AS (SELECT *, CASE WHEN hash_id % 13 = 0 THEN NULL ELSE 'JOB_' || CAST(hash_id % 500 AS VARCHAR) END AS external_id
+           FROM (SELECT *, CAST(substr(query_id, 2) AS BIGINT) AS hash_id FROM task_history)),
+f AS (SELECT 'SCHEDULER' AS source_system, external_id, 'TASK' AS object_type, name AS object_name, state AS status,
+             scheduled_time AS last_seen_at, CASE WHEN hash_id % 5 = 0 THEN 1 ELSE hash_id % 40 END AS seen_count,
+             TIMESTAMP '2024-01-30 00:00:00' + to_days(CAST(hash_id % 2 AS INTEGER)) AS feed_ts, hash_id AS run_no
+      FROM t WHERE external_id IS NOT NULL)
+SELECT source_system, external_id, object_type, object_name, status, last_seen_at, seen_count, feed_ts, run_no FROM (
+  SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY feed_ts DESC, last_seen_at DESC, object_name DESC, status DESC, seen_count DESC, run_no DESC) AS rk
+  FROM f) WHERE rk = 1
+""")
+def _(spark, sf):
+    """Two batches of an outer array, written over many lines, merged one after
+    the other; ``run_no`` has no column in the feed and survives in the payload."""
+    path = _run_dir(spark, "control")
+    t = tv.load(spark, sf, "task_history").withColumn("no", F.expr("CAST(substr(query_id, 2) AS BIGINT)"))
+    job = F.struct(F.when(F.col("no") % 13 != 0, F.concat(F.lit("JOB_"), (F.col("no") % 500).cast("string"))).alias("job_id"),
+                   F.col("name").alias("object_name"), F.col("state").alias("status"),
+                   F.date_format("scheduled_time", "yyyy-MM-dd HH:mm:ss").alias("last_seen_at"),
+                   F.when(F.col("no") % 5 == 0, F.lit("many")).otherwise((F.col("no") % 40).cast("string")).alias("seen_count"), F.col("no").alias("run_no"))
+    for part in (0, 1):
+        lines = t.filter(F.col("no") % 2 == part).select(F.concat(F.to_json(job), F.lit(",")).alias("value"))
+        head = spark.createDataFrame([("[",)], "value string")
+        head.unionByName(lines).unionByName(spark.createDataFrame([("]",)], "value string")).write.text(f"{path}/{part}")
+    stored = None
+    for part in (0, 1):
+        batch = feeds.control_feed(feeds.read_variant_feed(spark, f"{path}/{part}"), datetime(2024, 1, 30 + part), "SCHEDULER")
+        stored = feeds.merge_control_feed(stored, batch)
+    return stored.select("source_system", "external_id", "object_type", "object_name", "status", "last_seen_at", "seen_count", "feed_ts",
+                         F.try_variant_get("raw_payload", "$.run_no", "bigint").alias("run_no"))
+
+
 @register("conformed_query_history", "query_history", op="SRC-2", sql="""
 SELECT warehouse_name, count(*) AS queries, count(warehouse_size) AS with_size, count(query_tag) AS with_tag,
        CAST(0 AS BIGINT) AS with_bytes FROM query_history GROUP BY 1

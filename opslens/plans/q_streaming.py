@@ -106,6 +106,7 @@ FROM s GROUP BY user_name, sid
 def _(spark, sf):
     q = tv.load(spark, sf, "query_history").select("start_time", "user_name")
     src, run = inc.stage_as_files(q, "sessions", files=4, order_col="start_time")
+    inc.flush_event(src, spark, q.schema, "start_time", "1 DAY")
     agg = inc.activity_sessions_stream(inc.file_stream(spark, src, q.schema, 1), watermark="2 hours")
     agg = agg.withColumn("session_date", F.to_date("session_start"))
-    return inc.run_available_now(agg, run, ["user_name", "session_start"], "session_date", mode="complete")
+    return inc.run_available_now(agg, run, ["user_name", "session_start"], "session_date", mode="append")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opslens.functions.exprs import page
-from opslens.functions.timeutil import between_ts, lookback
+from opslens.functions.timeutil import between_ts, lookback, ts_lit
 from opslens.session import path_exists
 
 
@@ -80,6 +80,58 @@ def read_scheduler_json(spark: SparkSession, path: str, multiline: bool = True)
         F.to_json(F.struct(*[F.col(f.name) for f in SCHEDULER_JOB.fields])).alias("raw_payload"))
 
 
+def read_variant_feed(spark: SparkSession, path: str, wholetext: bool = False) -> DataFrame:
+    """SRC-6: the objects of a JSON feed, one VARIANT ``raw_payload`` a row, with
+    every field they came with.
+
+    Files are split by lines, so a large one is read by many tasks. A line may
+    hold an object, several of them, or a piece of an outer array cut at its
+    commas: the outer brackets and commas at its ends are taken off, and the rest
+    is parsed as an array. Blank lines and nulls give no row; a line that is no
+    JSON raises. Objects that run over several lines need ``wholetext`` (a file is
+    one row then)."""
+    lines = spark.read.text(path, wholetext=wholetext).select(F.trim(F.translate("value", "\r\n\t\ufeff", "   ")).alias("line"))
+    # objects end in a brace: brackets and commas behind the last one are the outer array's
+    inner = F.regexp_replace(F.regexp_replace("line", r"^[\[,\s]+", ""), r"[\],\s]+$", "")
+    items = lines.select(inner.alias("inner")).filter(F.col("inner") != "").select(
+        F.explode(F.parse_json(F.concat(F.lit("["), "inner", F.lit("]"))).cast("array<variant>")).alias("raw_payload"))
+    return items.filter(F.col("raw_payload").isNotNull() & ~F.is_variant_null("raw_payload"))
+
+
+def _text(path: str):
+    return F.try_variant_get("raw_payload", "$." + path, "string")
+
+
+def control_feed(payloads: DataFrame, feed_ts: datetime, source_system: str) -> DataFrame:
+    """SRC-6: the rows of an external scheduler's feed from its payloads
+    (:func:`read_variant_feed`): typed paths, tolerant casts, defaults, and the
+    payload itself with the fields that have no column. A value that
+    doesn't fit (a word as a count or a time) is the default or NULL. Rows without
+    an id are kept with a NULL ``external_id``, as the caller's upsert decides."""
+    seen = F.coalesce(*[F.try_to_timestamp(_text("last_seen_at"), F.lit(f)) for f in TS_FORMATS]).cast("timestamp_ntz")
+    return payloads.select(
+        F.lit(source_system).alias("source_system"), F.coalesce(_text("job_id"), _text("external_id")).alias("external_id"),
+        _text("company").alias("company"), _text("environment").alias("environment"), F.coalesce(_text("object_type"), F.lit("TASK")).alias("object_type"),
+        *[_text(c).alias(c) for c in ("object_name", "status", "severity", "owner", "ticket_id", "evidence", "next_action")],
+        seen.alias("last_seen_at"), F.coalesce(_text("seen_count").try_cast("bigint"), F.lit(1).cast("bigint")).alias("seen_count"),
+        ts_lit(feed_ts).alias("feed_ts"), "raw_payload")
+
+
+def merge_control_feed(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """SRC-6 / UPS-2: the feed after a batch: of each (source system, external id)
+    the row of the latest ``feed_ts``, of equal ones the last seen. The batch
+    carries its own repeats; rows without an id are left out, as no key finds them.
+
+    One partial aggregate over ``max(struct)``: the payload rides as JSON text,
+    since variants can't be ordered."""
+    rows = (batch if stored is None else stored.unionByName(batch)).filter(F.col("external_id").isNotNull())
+    cols = [c for c in batch.columns if c not in ("source_system", "external_id", "raw_payload")]
+    first = ["feed_ts", "last_seen_at"]
+    packed = F.struct(*first, *[c for c in cols if c not in first], F.to_json("raw_payload").alias("raw_payload"))
+    g = rows.groupBy("source_system", "external_id").agg(F.max(packed).alias("m"))
+    return g.select("source_system", "external_id", *[F.col(f"m.{c}").alias(c) for c in cols], F.parse_json(F.col("m.raw_payload")).alias("raw_payload"))
+
+
 def summary_first(spark: SparkSession, summary_path: str, fallback: Callable[[], DataFrame]) -> DataFrame:
     """SRC-3: read the pre-built summary when it exists, else aggregate the
     detail with ``fallback`` (same output schema)."""

@@ -85,7 +85,9 @@ def open_alert_dedup_stream(alerts: DataFrame, watermark: str = "24 hours") -> D
 
 
 def activity_sessions_stream(queries: DataFrame, gap: str = "30 minutes", watermark: str = "2 hours") -> DataFrame:
-    """STR-7: user activity sessions by an idle gap (session windows)."""
+    """STR-7: user activity sessions by an idle gap (session windows). In append
+    mode a session is given out once, when the watermark has passed its end, and
+    leaves the state then."""
     return (event_time(queries, "start_time").withWatermark("start_time", watermark)
             .groupBy(F.session_window("start_time", gap).alias("s"), "user_name")
             .agg(F.count(F.lit(1)).alias("statements"))
@@ -93,6 +95,17 @@ def activity_sessions_stream(queries: DataFrame, gap: str = "30 minutes", waterm
                     F.col("s.end").cast("timestamp_ntz").alias("session_end"), "statements"))
 
 
+def flush_event(source: str, spark: SparkSession, schema, order_col: str, after: str) -> None:
+    """Add a last file to a staged replay whose one row lies ``after`` (an
+    interval) behind all others, all other columns NULL: the watermark passes
+    every window of the data, so append mode gives out each of them. The row's own
+    window stays open and is never given out."""
+    last = F.max(order_col) + F.expr(f"INTERVAL {after}")
+    row = spark.read.schema(schema).parquet(source).agg(last.alias(order_col)).filter(F.col(order_col).isNotNull())
+    row.select(*[F.col(f.name) if f.name == order_col else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]) \
+        .write.mode("append").parquet(source)
+
+
 RECOVERY_OUT = ("database_name string, schema_name string, task_name string, failure_at timestamp, "
                 "recovery_at timestamp, recovery_state string")
 #: Labels of a task's recovery.

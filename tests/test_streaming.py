@@ -148,3 +148,23 @@ def test_rows_without_a_time_are_staged(spark):
     assert sorted(map(str, spark.read.parquet(src).collect())) == sorted(map(str, df.collect()))
     nothing, _run = inc.stage_as_files(df.limit(0), "none", files=3, order_col="at")
     assert spark.read.schema(df.schema).parquet(nothing).count() == 0
+
+
+def test_append_mode_gives_out_closed_sessions_and_forgets_them(spark):
+    # a statement every five minutes for ten users, with a break of an hour after each sixth
+    n = F.col("id")
+    minutes = F.floor(n / 60) * 90 + F.floor(n % 60 / 10) * 5
+    q = spark.range(3600).select((F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"))).alias("start_time"),
+                                 F.concat(F.lit("U"), (n % 10).cast("string")).alias("user_name"))
+    src, run = inc.stage_as_files(q, "append-sessions", files=12, order_col="start_time")
+    inc.flush_event(src, spark, q.schema, "start_time", "1 DAY")
+    stream = inc.activity_sessions_stream(inc.file_stream(spark, src, q.schema, 1), watermark="2 hours")
+    query = (stream.writeStream.outputMode("append").format("memory").queryName("append_sessions")
+             .option("checkpointLocation", f"{run}/append").trigger(availableNow=True).start())
+    query.awaitTermination()
+    got = spark.table("append_sessions").collect()
+    # every session once, the flush row's own never
+    assert len(got) == 600 == len({(r.user_name, r.session_start) for r in got}) and {r.statements for r in got} == {6}
+    assert all(r.user_name is not None for r in got)
+    held = [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
+    assert max(held) < 120 and held[-1] <= 1
