@@ -13,9 +13,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opslens.functions.exprs import pctl, rounded, safe_div
+from opslens.functions.exprs import page, pctl, rounded, safe_div, severity_rank
 from opslens.functions.timeutil import between_ts, dow0, lookback, trunc, ts_lit
 from opslens.operators.cost import CREDIT_PRICE, size_rate
+from opslens.operators.query import is_failed
 
 GB = 1024.0 ** 3
 
@@ -257,6 +258,41 @@ def workload_isolation(queries: DataFrame, as_of: datetime, days: int = 30) -> D
     return g.withColumn("decision", dec)
 
 
+def isolation_decisions(queries: DataFrame, as_of: datetime, days: int = 30, exact: bool = True, limit: int | None = None) -> DataFrame:
+    """CAP-14: per (database, warehouse): load, failures, queue and spill, how many
+    warehouses the database uses and how many databases the warehouse serves, and
+    the decision Isolate, Standardize, Tune or Keep with its signals.
+
+    The statements are read once, to a row a pair; both counts come from the pairs."""
+    q = queries.filter(lookback("start_time", as_of, days) & F.col("warehouse_name").isNotNull() & F.col("database_name").isNotNull())
+    gb = lambda c: rounded(F.coalesce(F.sum(c), F.lit(0)) / GB, 2)
+    pairs = q.groupBy("database_name", "warehouse_name").agg(
+        F.count(F.lit(1)).alias("query_count"), F.countDistinct("user_name").alias("users"), F.countDistinct("role_name").alias("roles"),
+        F.count_if(is_failed()).alias("failed_queries"), rounded(F.avg("total_elapsed_time") / 1000.0, 2).alias("avg_elapsed_sec"),
+        rounded(pctl("total_elapsed_time", 0.95, exact) / 1000.0, 2).alias("p95_elapsed_sec"),
+        rounded(F.coalesce(F.sum("queued_overload_time"), F.lit(0)) / 1000.0, 2).alias("queued_sec"), gb("bytes_spilled_to_remote_storage").alias("remote_spill_gb"),
+        gb("bytes_scanned").alias("gb_scanned"), F.max("start_time").alias("last_seen"))
+    of_db = pairs.groupBy("database_name").agg(F.count(F.lit(1)).alias("database_warehouses"))
+    of_wh = pairs.groupBy("warehouse_name").agg(F.count(F.lit(1)).alias("warehouse_databases"))
+    j = pairs.join(of_db, "database_name").join(of_wh, "warehouse_name")
+    dbs, whs = F.col("warehouse_databases"), F.col("database_warehouses")
+    queued, spill, failed = F.col("queued_sec"), F.col("remote_spill_gb"), F.col("failed_queries")
+    noisy = (queued > 60) | (spill > 1)
+    isolate = (queued > 300) | ((dbs >= 5) & ((spill > 5) | (failed >= 10))) | ((dbs >= 4) & noisy)
+    spread, tune = whs >= 3, noisy | (failed > 0)
+    # fixed values: severities, decisions and signals
+    signals = F.concat_ws(", ", F.when(dbs >= 4, "warehouse serves many databases"), F.when(spread, "database spans many warehouses"),
+                          F.when(queued > 60, "queue pressure"), F.when(spill > 1, "remote spill"), F.when(failed > 0, "query failures"))
+    out = j.select(
+        "database_name", "warehouse_name", "query_count", "users", "roles", "failed_queries", "avg_elapsed_sec", "p95_elapsed_sec", "queued_sec",
+        "remote_spill_gb", "gb_scanned", "last_seen", "database_warehouses", "warehouse_databases",
+        F.when(isolate, "High").when(spread | tune, "Medium").otherwise("Low").alias("severity"),
+        F.when(isolate, "Isolate").when(spread, "Standardize").when(tune, "Tune").otherwise("Keep").alias("isolation_decision"),
+        F.when(signals == "", "No material isolation signal").otherwise(signals).alias("finding"))
+    return out.transform(page(limit, severity_rank("severity"), F.desc("queued_sec"), F.desc("remote_spill_gb"), F.desc("query_count"),
+                              "database_name", "warehouse_name"))
+
+
 def clustering_review(tables: DataFrame, min_gb: float = 1.0) -> DataFrame:
     """CAP-15: large tables with their clustering state and advice."""
     gb = F.col("active_bytes") / GB
@@ -282,6 +318,41 @@ def cache_reuse(queries: DataFrame, as_of: datetime, days: int = 7) -> DataFrame
                     rounded(safe_div("_cb", "_b"), 2).alias("weighted_cache_pct"))
 
 
+def cache_decisions(queries: DataFrame, warehouses: DataFrame, as_of: datetime, days: int = 7, limit: int | None = None) -> DataFrame:
+    """CAP-16: per warehouse and database, of the statements that scanned: query
+    families, repeats, the scan-weighted cache share, and what follows from them
+    and from the warehouse's suspend time (``auto_suspend`` seconds, 0 or NULL:
+    none). A family is the parameterised hash, else the hash, else the text.
+
+    Statements are folded to families first (a partial aggregate), so a hot
+    warehouse doesn't carry its distinct hashes through one task."""
+    has = {c.lower() for c in queries.columns}
+    family = F.coalesce(*[F.col(c).cast("string") for c in ("query_parameterized_hash", "query_hash", "query_text") if c in has])
+    q = queries.filter(lookback("start_time", as_of, days) & F.col("warehouse_name").isNotNull() & (F.col("bytes_scanned") > 0))
+    keys = ["warehouse_name", "top_database"]
+    one = q.groupBy("warehouse_name", F.coalesce("database_name", F.lit("NO_DATABASE")).alias("top_database"), family.alias("_family")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("bytes_scanned").alias("_bytes"),
+        F.sum(F.col("bytes_scanned") * F.col("percentage_scanned_from_cache")).alias("_cached"),
+        F.sum("total_elapsed_time").alias("_ms"), F.count("total_elapsed_time").alias("_timed"), F.max("start_time").alias("_seen"))
+    g = one.groupBy(*keys).agg(
+        F.sum("_n").alias("query_count"), F.count("_family").alias("query_families"), rounded(F.sum("_bytes") / GB, 2).alias("gb_scanned"),
+        rounded(safe_div(F.sum("_cached"), F.sum("_bytes")), 2).alias("warehouse_cache_pct"),
+        rounded(safe_div(F.sum("_ms"), F.sum("_timed")) / 1000.0, 2).alias("avg_elapsed_sec"), F.max("_seen").alias("last_seen"))
+    j = g.join(warehouses.select("warehouse_name", "auto_suspend"), "warehouse_name", "left")
+    repeats = F.greatest(F.col("query_count") - F.greatest(F.col("query_families"), F.lit(1)), F.lit(0))
+    cache, often = F.coalesce("warehouse_cache_pct", F.lit(0.0)), repeats / F.col("query_count") >= 0.35
+    suspend = F.coalesce("auto_suspend", F.lit(0))
+    hostile, poor = (cache < 20) & often & (suspend != 0) & (suspend <= 60), (cache < 20) & often
+    heavy = (cache < 10) & (F.col("gb_scanned") > 100)
+    # fixed values: severities and decisions
+    out = j.select(*keys, "query_count", "query_families", "gb_scanned", "warehouse_cache_pct", "avg_elapsed_sec", "last_seen", "auto_suspend",
+                   repeats.alias("repeated_queries"), rounded(repeats * 100.0 / F.col("query_count"), 2).alias("repeat_ratio_pct"),
+                   F.when(hostile, "High").when(poor | heavy, "Medium").otherwise("Low").alias("severity"),
+                   F.when(hostile, "Cache-hostile suspend").when(poor, "Poor cache reuse").when(heavy, "Scan-heavy no-cache workload")
+                   .otherwise("Cache acceptable").alias("cache_decision"))
+    return out.transform(page(limit, severity_rank("severity"), F.desc("gb_scanned"), *keys))
+
+
 def post_change_evidence(queries: DataFrame, metering: DataFrame, change_at: datetime, days: int = 7) -> DataFrame:
     """CAP-17: per warehouse, ``days`` before vs after a change: queries,
     mean elapsed, queued share and credits."""

@@ -190,17 +190,30 @@ def entity_drilldown(queries: DataFrame, as_of: datetime, entity_col: str, entit
             .transform(page(limit, F.desc("start_time"), "query_id")))
 
 
+def looks_like_id(term: str) -> bool:
+    """FIL-11: a term of 16 or more characters without blanks that holds a dash or
+    starts with two digits is taken for a statement id."""
+    t = term.strip()
+    return len(t) >= 16 and not any(c.isspace() for c in t) and ("-" in t or t[:2].isdigit())
+
+
 def search_history(queries: DataFrame, as_of: datetime, term: str, mode: str = "contains", days: int = 7,
                    limit: int | None = None) -> DataFrame:
-    """QRY-13 / FIL-11: search by exact id, id prefix, or case-insensitive
-    text contains, over the whole window asked for."""
+    """QRY-13 / FIL-11: search over the whole window asked for. ``id``: that
+    statement; ``prefix``: the text starts with the term (3 or more characters);
+    ``contains``: the term is in the text (6 or more); ``auto``: ``id`` where the
+    term looks like one, else ``contains``. Texts match in any case, and ``%``
+    and ``_`` stand for themselves. A shorter term raises."""
     days = max(1, int(days))
-    if mode == "id":
-        cond = F.col("query_id") == term
-    elif mode == "prefix":
-        cond = F.col("query_id").startswith(term)
-    else:
-        cond = F.lower("query_text").contains(term.lower())
+    if mode == "auto":
+        mode = "id" if looks_like_id(term) else "contains"
+    shortest = {"id": 1, "prefix": 3, "contains": 6}
+    if mode not in shortest:
+        raise ValueError(f"no search mode {mode!r}")
+    if len(term) < shortest[mode]:
+        raise ValueError(f"a {mode} search takes {shortest[mode]} characters or more")
+    text = F.lower("query_text")
+    cond = F.col("query_id") == term if mode == "id" else text.startswith(term.lower()) if mode == "prefix" else text.contains(term.lower())
     q = queries.filter(lookback("start_time", as_of, days) & cond)
     return (q.select("query_id", "start_time", "user_name", "warehouse_name", "query_type", "execution_status",
                      F.substring("query_text", 1, 200).alias("query_preview"))

@@ -247,6 +247,30 @@ def _(spark, sf):
     return cap.workload_isolation(_q(spark, sf), EVENTS_AS_OF, 30)
 
 
+@register("isolation_decisions", "query_history", op="CAP-14", sql=f"""
+WITH p AS (SELECT database_name, warehouse_name, count(*) AS query_count, count(DISTINCT user_name) AS users, count(DISTINCT role_name) AS roles,
+                  count_if({FAILED}) AS failed_queries, round(avg(total_elapsed_time) / 1000.0, 2) AS avg_elapsed_sec,
+                  round(quantile_cont(total_elapsed_time, 0.95) / 1000.0, 2) AS p95_elapsed_sec, round(sum(queued_overload_time) / 1000.0, 2) AS queued_sec,
+                  round(sum(bytes_spilled_to_remote_storage) / {GB}, 2) AS remote_spill_gb, round(sum(bytes_scanned) / {GB}, 2) AS gb_scanned,
+                  max(start_time) AS last_seen
+           FROM query_history WHERE start_time >= TIMESTAMP '2024-01-01 00:00:00' AND start_time < TIMESTAMP '2024-01-31 00:00:00'
+             AND warehouse_name IS NOT NULL AND database_name IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT *, count(*) OVER (PARTITION BY database_name) AS database_warehouses, count(*) OVER (PARTITION BY warehouse_name) AS warehouse_databases FROM p),
+s AS (SELECT *, concat_ws(', ', CASE WHEN warehouse_databases >= 4 THEN 'warehouse serves many databases' END,
+                          CASE WHEN database_warehouses >= 3 THEN 'database spans many warehouses' END, CASE WHEN queued_sec > 60 THEN 'queue pressure' END,
+                          CASE WHEN remote_spill_gb > 1 THEN 'remote spill' END, CASE WHEN failed_queries > 0 THEN 'query failures' END) AS signals,
+             CASE WHEN queued_sec > 300 OR (warehouse_databases >= 5 AND (remote_spill_gb > 5 OR failed_queries >= 10)) THEN 'Isolate'
+                  WHEN warehouse_databases >= 4 AND (queued_sec > 60 OR remote_spill_gb > 1) THEN 'Isolate'
+                  WHEN database_warehouses >= 3 THEN 'Standardize'
+                  WHEN queued_sec > 60 OR remote_spill_gb > 1 OR failed_queries > 0 THEN 'Tune' ELSE 'Keep' END AS isolation_decision FROM w)
+SELECT * EXCLUDE (signals), CASE isolation_decision WHEN 'Isolate' THEN 'High' WHEN 'Keep' THEN 'Low' ELSE 'Medium' END AS severity,
+       CASE WHEN signals = '' THEN 'No material isolation signal' ELSE signals END AS finding
+FROM s
+""")
+def _(spark, sf):
+    return cap.isolation_decisions(_q(spark, sf), EVENTS_AS_OF, 30)
+
+
 @register("clustering_review", "table_storage", op="CAP-15", sql=f"""
 SELECT table_catalog, table_schema, table_name, round(active_bytes / {GB}, 2) AS active_gb, clustering_key,
        CASE WHEN clustering_key IS NULL AND active_bytes / {GB} >= 100 THEN 'Consider clustering key'
@@ -271,6 +295,27 @@ def _(spark, sf):
     return cap.cache_reuse(_q(spark, sf), EVENTS_AS_OF, 7)
 
 
+@register("cache_decisions", "query_history", "warehouses", op="CAP-16", sql=f"""
+WITH g AS (SELECT warehouse_name, coalesce(database_name, 'NO_DATABASE') AS top_database, count(*) AS query_count,
+                  count(DISTINCT coalesce(query_hash, query_text)) AS query_families, round(sum(bytes_scanned) / {GB}, 2) AS gb_scanned,
+                  round(sum(bytes_scanned * percentage_scanned_from_cache) / nullif(sum(bytes_scanned), 0), 2) AS warehouse_cache_pct,
+                  round(avg(total_elapsed_time) / 1000.0, 2) AS avg_elapsed_sec, max(start_time) AS last_seen
+           FROM query_history WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00' AND start_time < TIMESTAMP '2024-01-31 00:00:00'
+             AND warehouse_name IS NOT NULL AND bytes_scanned > 0 GROUP BY 1, 2),
+r AS (SELECT g.*, w.auto_suspend, greatest(query_count - greatest(query_families, 1), 0) AS repeated_queries
+      FROM g LEFT JOIN warehouses w ON g.warehouse_name = w.warehouse_name),
+d AS (SELECT *, round(repeated_queries * 100.0 / query_count, 2) AS repeat_ratio_pct,
+             CASE WHEN coalesce(warehouse_cache_pct, 0) < 20 AND repeated_queries / query_count >= 0.35
+                       AND coalesce(auto_suspend, 0) <> 0 AND auto_suspend <= 60 THEN 'Cache-hostile suspend'
+                  WHEN coalesce(warehouse_cache_pct, 0) < 20 AND repeated_queries / query_count >= 0.35 THEN 'Poor cache reuse'
+                  WHEN coalesce(warehouse_cache_pct, 0) < 10 AND gb_scanned > 100 THEN 'Scan-heavy no-cache workload'
+                  ELSE 'Cache acceptable' END AS cache_decision FROM r)
+SELECT *, CASE cache_decision WHEN 'Cache-hostile suspend' THEN 'High' WHEN 'Cache acceptable' THEN 'Low' ELSE 'Medium' END AS severity FROM d
+""")
+def _(spark, sf):
+    return cap.cache_decisions(_q(spark, sf), tv.load(spark, sf, "warehouses"), EVENTS_AS_OF, 7)
+
+
 @register("post_change_evidence", "query_history", "warehouse_metering", op="CAP-17", sql="""
 WITH q AS (SELECT warehouse_name,
                   count_if(start_time < TIMESTAMP '2024-01-15 00:00:00') AS queries_before,
@@ -445,3 +490,12 @@ FROM query_history WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00' AND conta
 """)
 def _(spark, sf):
     return qry.search_history(_q(spark, sf), EVENTS_AS_OF, "GRANT ROLE", "contains", 7)
+
+
+@register("history_search_prefix", "query_history", op="FIL-11", sql="""
+SELECT query_id, start_time, user_name, warehouse_name, query_type, execution_status, substr(query_text, 1, 200) AS query_preview
+FROM query_history WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00' AND start_time < TIMESTAMP '2024-01-31 00:00:00'
+  AND query_text ILIKE 'grant select%'
+""")
+def _(spark, sf):
+    return qry.search_history(_q(spark, sf), EVENTS_AS_OF, "Grant Select", "prefix", 7)
