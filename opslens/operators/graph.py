@@ -21,6 +21,7 @@ from opslens.session import ensure_checkpoint_dir
 
 CHECKPOINT_EVERY = 4
 HOPS = 5  # steps of a walk in one job
+SKETCH_LOG_K = 12  # sets of downstream tasks are exact up to 2 ** this many
 
 
 def task_edges(task_graph: DataFrame) -> DataFrame:
@@ -96,6 +97,37 @@ def downstream_counts(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return _walk(children, edges, ["anc"]).groupBy(F.col("anc").alias("task_id")).agg(F.count(F.lit(1)).alias("downstream_task_count"))
 
 
+def downstream_sketches(edges: DataFrame, log_k: int = SKETCH_LOG_K) -> DataFrame:
+    """GRF-6: of every node with a dependent, a sketch of the distinct nodes
+    downstream of it (itself only over a cycle), the count it stands for and
+    whether that is exact: (node, sketch, downstream_task_count, is_exact).
+
+    A node's sketch is the union of its children and of their sketches, taken
+    until no sketch grows; unions of what is in already change nothing, so cycles
+    end without being looked for, and two paths to a node count it once. There is
+    no row for a pair of nodes: a sketch keeps at most ``2 ** log_k`` hashes (some
+    32 KB for 12) and merges map-side, so a node with very many children or
+    dependents is as light as any other. Up to ``2 ** log_k`` nodes a sketch is
+    the set itself and the count exact; beyond, the relative standard error is
+    ``1 / sqrt(2 ** log_k)`` (1.6 % for 12)."""
+    ensure_checkpoint_dir(edges.sparkSession)
+    e = edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    children = e.groupBy(F.col("source").alias("node")).agg(F.theta_sketch_agg("target", log_k).alias("sketch")).checkpoint()
+    size = F.theta_sketch_estimate("sketch")
+    now, before = children, children.select("node", size.alias("_before"))
+    while True:
+        for _ in range(HOPS):
+            below = e.join(now, e["target"] == now["node"]).select(F.col("source").alias("node"), "sketch")
+            now = children.unionByName(below).groupBy("node").agg(F.theta_union_agg("sketch", log_k).alias("sketch"))
+        now = now.checkpoint()
+        # sketches only grow: one that stands for as many nodes as before is the same
+        if now.join(before, "node").where(size > F.col("_before")).isEmpty():
+            break
+        before = now.select("node", size.alias("_before"))
+    e.unpersist()
+    return now.select("node", "sketch", size.cast("bigint").alias("downstream_task_count"), (size <= 2 ** log_k).alias("is_exact"))
+
+
 def dag_summary(task_graph: DataFrame) -> DataFrame:
     """GRF-1 + GRF-2: one row: nodes, edges, roots, leaves and the depth of
     the graph (largest minimum distance from a root)."""
@@ -154,14 +186,19 @@ def direct_dependents(deps: DataFrame, name: str) -> DataFrame:
     return down.unionByName(up)
 
 
-def graph_impact(task_graph: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
+def graph_impact(task_graph: DataFrame, tasks: DataFrame | None = None, log_k: int = SKETCH_LOG_K) -> DataFrame:
     """GRF-6: for every task, how many tasks run downstream of it (distinct,
     through any path), its role (Root / Intermediate / Leaf), blast radius
-    and retry scope. With ``tasks`` (column ``label``), only for the tasks of
-    those labels: reachability is then walked from them alone."""
+    and retry scope. Counts above ``2 ** log_k`` are estimates
+    (:func:`downstream_sketches`); roles, labels and scopes don't depend on them.
+    With ``tasks`` (column ``label``), only for the tasks of those labels:
+    reachability is then walked from them alone, and all counts are exact."""
     e, nodes = task_edges(task_graph), task_nodes(task_graph)
     asked = nodes if tasks is None else nodes.join(tasks.select("label").distinct(), "label", "left_semi")
-    cnt = downstream_counts(e, asked.select(F.col("task_id").alias("node")))
+    if tasks is None:
+        cnt = downstream_sketches(e, log_k).select(F.col("node").alias("task_id"), "downstream_task_count")
+    else:
+        cnt = downstream_counts(e, asked.select(F.col("task_id").alias("node")))
     in_scope = (e.join(nodes.select(F.col("task_id").alias("source")), "source")
                 .select(F.col("target").alias("task_id")).distinct().withColumn("_has_pred", F.lit(True)))
     j = asked.join(cnt, "task_id", "left").join(in_scope, "task_id", "left")

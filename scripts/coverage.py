@@ -33,7 +33,7 @@ PRIMITIVES = {
     "AGG-2": "operators.tasks.sla_compliance (count_if), operators.alerts.digest_counters",
     "AGG-3": "operators.usage.database_adoption (countDistinct), operators.security.security_kpis (conditional)",
     "AGG-5": "functions.exprs.pctl(exact=True) in operators.anomaly.query_regressions, operators.summaries.hourly_query_bottlenecks",
-    "AGG-6": "functions.exprs.pctl(exact=False) (percentile_approx sketch)",
+    "AGG-6": "functions.exprs.pctl(exact=False) (percentile_approx sketch), operators.boards.query_period_fact (merged KLL sketches)",
     "AGG-7": "operators.anomaly.workload_fingerprint (stddev_samp)",
     "AGG-8": "operators.cost.cost_cockpit / run_rate (max_by)",
     "AGG-9": "operators.anomaly.query_regressions (min as deterministic any_value)",

@@ -37,6 +37,28 @@ def test_downstream_counts_with_cycles_and_long_chains(spark, monkeypatch, hops)
     assert depth["n9"] == 3 and depth["n13"] == 7 and depth["y"] == 6 and len(depth) == 16
 
 
+@pytest.mark.parametrize("hops", [1, 5])
+def test_sketches_of_small_graphs_are_exact(spark, monkeypatch, hops):
+    monkeypatch.setattr(g, "HOPS", hops)
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(13)] + [("n2", "n9"), ("n4", "x"), ("x", "y"), ("y", "n4"), ("z", "z"), ("a", "n0"), ("a", "z"), ("a", "z")]
+    df = spark.createDataFrame([*edges, (None, "n1"), ("n1", None)], "source string, target string")
+    got = {r.node: (r.downstream_task_count, r.is_exact) for r in g.downstream_sketches(df).collect()}
+    assert got == {n: (c, True) for n, c in plain(edges).items() if c}
+    assert g.downstream_sketches(df.limit(0)).count() == 0
+
+
+def test_sketches_of_large_sets_stay_within_their_error(spark):
+    # a hot task with 3000 children, each with 3 of 6000 shared grandchildren, behind a chain and back to its start
+    edges = [("hot", f"c{i}") for i in range(3000)] + [(f"c{i}", f"g{(i * k) % 6000}") for i in range(3000) for k in (1, 7, 11)]
+    edges += [("r0", "r1"), ("r1", "hot"), ("g5999", "r0"), ("g77", "r0")]
+    got = {r.node: r for r in g.downstream_sketches(spark.createDataFrame(edges, "source string, target string"), log_k=10).collect()}
+    want = plain([e for e in edges])
+    for n in ("hot", "r0", "r1"):
+        assert not got[n].is_exact and abs(got[n].downstream_task_count / want[n] - 1) < 4 / 32
+    small = [n for n, c in want.items() if 0 < c <= 1024]
+    assert small and all(got[n].is_exact and got[n].downstream_task_count == want[n] for n in small)
+
+
 def test_two_active_rules_of_a_type_give_an_alert_once(spark):
     as_of = datetime(2024, 1, 31)
     alerts = spark.createDataFrame([(1, datetime(2024, 1, 30), "E", "cost_spike", "High", "New", None), (2, datetime(2024, 1, 30), "E", None, None, None, None)],
