@@ -229,38 +229,6 @@ def recovery_sla(tasks: DataFrame, as_of: datetime, days: int = 30, target_hours
                     state.alias("recovery_state"))
 
 
-def latest_run_exceptions(tasks: DataFrame, as_of: datetime, days: int = 30, factor: float = 1.5,
-                          min_sec: float = 300) -> DataFrame:
-    """TSK-7: the latest run of each task against the task's own mean: slow
-    (x1.5 and above 300 s), failed; only tasks with a signal."""
-    r = runs(tasks, as_of, days)
-    g = r.groupBy(*TASK_KEY).agg(
-        F.avg("duration_sec").alias("_avg"), F.count(F.lit(1)).alias("runs"),
-        F.max(F.struct("scheduled_time", "query_id", "state", "duration_sec")).alias("_l"))
-    slow = (F.col("_l.duration_sec") > F.col("_avg") * factor) & (F.col("_l.duration_sec") > min_sec)
-    failed = F.col("_l.state") == "FAILED"
-    signal = F.concat_ws(", ", F.when(slow, F.lit("slow")), F.when(failed, F.lit("failed")))
-    return (g.filter(slow | failed)
-            .select(*TASK_KEY, "runs", F.col("_l.scheduled_time").alias("latest_run_at"),
-                    F.col("_l.state").alias("latest_state"), F.col("_l.duration_sec").alias("latest_duration_sec"),
-                    rounded("_avg", 1).alias("avg_duration_sec"), signal.alias("signal")))
-
-
-def critical_path(tasks: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
-    """TSK-8: per root task: tasks, runs, failures, successes, max duration,
-    last run, and a critical-path score and state."""
-    r = runs(tasks, as_of, days)
-    g = r.groupBy("database_name", "root_task_id").agg(
-        F.countDistinct("task_name").alias("task_count"), F.count(F.lit(1)).alias("runs_7d"),
-        F.count_if(F.col("state") == "FAILED").alias("failures_7d"),
-        F.count_if(F.col("state") == "SUCCEEDED").alias("successes_7d"),
-        F.max("duration_sec").alias("max_duration_sec"), F.max("scheduled_time").alias("last_run_at"))
-    score = rounded(F.col("failures_7d") * 100.0 / F.col("runs_7d") + F.least(F.col("task_count"), F.lit(20)), 1)
-    return g.withColumn("critical_path_score", score).withColumn(
-        "critical_path_state", F.when(F.col("critical_path_score") >= 50, "Critical")
-        .when(F.col("critical_path_score") >= 25, "Watch").otherwise("Healthy"))
-
-
 PROC_RE = r"(?i)CALL\s+([^(]+)"
 
 
@@ -274,57 +242,6 @@ def procedure_calls(queries: DataFrame, as_of: datetime, days: int = 7) -> DataF
                  F.count_if(F.col("execution_status") != "SUCCESS").alias("failed_calls")))
 
 
-def procedure_lineage(queries: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
-    """TSK-10 / JOI-17: each CALL with the statements that ran under it
-    (children share its id as root), their count and elapsed seconds."""
-    q = queries.filter(lookback("start_time", as_of, days))
-    calls = q.filter(F.col("query_type") == "CALL").select(
-        F.col("query_id").alias("root_id"), F.trim(F.regexp_extract("query_text", PROC_RE, 1)).alias("procedure_name"),
-        F.col("start_time").alias("call_start"), F.col("total_elapsed_time").alias("call_ms"))
-    kids = (q.filter(F.col("root_query_id").isNotNull() & (F.col("root_query_id") != F.col("query_id")))
-            .groupBy(F.col("root_query_id").alias("root_id"))
-            .agg(F.count(F.lit(1)).alias("child_query_count"), F.sum("total_elapsed_time").alias("_ms")))
-    j = calls.join(kids, "root_id", "left")
-    return j.select("root_id", "procedure_name", "call_start",
-                    F.coalesce("child_query_count", F.lit(0)).alias("child_query_count"),
-                    rounded((F.col("call_ms") + F.coalesce("_ms", F.lit(0))) / 1000.0, 2).alias("total_duration_sec"))
-
-
-def procedure_exceptions(queries: DataFrame, as_of: datetime, days: int = 30, factor: float = 1.5) -> DataFrame:
-    """TSK-11: latest call of each procedure against its mean duration."""
-    q = queries.filter(lookback("start_time", as_of, days) & (F.col("query_type") == "CALL"))
-    name = F.trim(F.regexp_extract("query_text", PROC_RE, 1))
-    g = q.groupBy(name.alias("procedure_name")).agg(
-        F.avg("total_elapsed_time").alias("_avg"), F.count(F.lit(1)).alias("calls"),
-        F.max(F.struct("start_time", "query_id", "total_elapsed_time", "execution_status")).alias("_l"))
-    slow = F.col("_l.total_elapsed_time") > F.col("_avg") * factor
-    failed = F.col("_l.execution_status") != "SUCCESS"
-    return (g.filter(slow | failed)
-            .select("procedure_name", "calls", F.col("_l.start_time").alias("latest_call_at"),
-                    rounded(F.col("_l.total_elapsed_time") / 1000.0, 2).alias("latest_sec"),
-                    rounded(F.col("_avg") / 1000.0, 2).alias("avg_sec"),
-                    F.concat_ws(", ", F.when(slow, F.lit("slow")), F.when(failed, F.lit("failed"))).alias("signal")))
-
-
-def release_window_comparison(tasks: DataFrame, release_at: datetime, days: int = 7, exact: bool = True) -> DataFrame:
-    """TSK-13: per task, runs, failures, mean and p95 seconds ``days`` before
-    and after a release, with a signal."""
-    lo, hi = release_at - timedelta(days=days), release_at + timedelta(days=days)
-    r = (tasks.filter(between_ts("scheduled_time", lo, hi)).withColumnRenamed("name", "task_name")
-         .withColumn("duration_sec", boundaries("SECOND", "scheduled_time", "completed_time")))
-    after = F.col("scheduled_time") >= ts_lit(release_at)
-
-    def side(flag, p):
-        return [F.count_if(flag).alias(f"runs_{p}"), F.count_if(flag & (F.col("state") == "FAILED")).alias(f"failures_{p}"),
-                rounded(F.avg(F.when(flag, F.col("duration_sec"))), 1).alias(f"avg_sec_{p}"),
-                rounded(pctl(F.when(flag, F.col("duration_sec")), 0.95, exact), 1).alias(f"p95_sec_{p}")]
-    g = r.groupBy(*TASK_KEY).agg(*side(~after, "before"), *side(after, "after"))
-    sig = (F.when(F.col("failures_after") > F.col("failures_before"), "More failures")
-           .when(F.col("avg_sec_after") > F.col("avg_sec_before") * 1.25, "Slower")
-           .when(F.col("runs_after") == 0, "No runs after").otherwise("Stable"))
-    return g.withColumn("signal", sig)
-
-
 def status_family(state: Column) -> Column:
     """SCA-5: status families of external scheduler / task states."""
     return (F.when(state.rlike("(?i)^(succeeded|success|done|complete[d]?)$"), "Success")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from opslens.operators.graph import graph_impact
@@ -193,31 +191,6 @@ def _(spark, sf):
     return tsk.recovery_sla(_t(spark, sf), ORDERS_AS_OF, 30, 4.0)
 
 
-@register("task_latest_run_exceptions", "task_history", op="TSK-7", sql="WITH " + _runs(D30) + f""",
-g AS (SELECT {KEY}, avg(duration_sec) AS a, count(*) AS runs,
-             max({{'t': scheduled_time, 'q': query_id, 's': state, 'd': duration_sec}}) AS l FROM r GROUP BY 1, 2, 3),
-h AS (SELECT *, (l.d > a * 1.5 AND l.d > 300) AS slow, l.s = 'FAILED' AS failed FROM g)
-SELECT {KEY}, runs, l.t AS latest_run_at, l.s AS latest_state, l.d AS latest_duration_sec, round(a, 1) AS avg_duration_sec,
-       concat_ws(', ', CASE WHEN slow THEN 'slow' END, CASE WHEN failed THEN 'failed' END) AS signal
-FROM h WHERE slow OR failed
-""")
-def _(spark, sf):
-    return tsk.latest_run_exceptions(_t(spark, sf), ORDERS_AS_OF, 30)
-
-
-@register("task_critical_path", "task_history", op="TSK-8", sql="WITH " + _runs(D30) + """,
-g AS (SELECT database_name, root_task_id, count(DISTINCT task_name) AS task_count, count(*) AS runs_7d,
-             count_if(state = 'FAILED') AS failures_7d, count_if(state = 'SUCCEEDED') AS successes_7d,
-             max(duration_sec) AS max_duration_sec, max(scheduled_time) AS last_run_at FROM r GROUP BY 1, 2)
-SELECT *, round(failures_7d * 100.0 / runs_7d + least(task_count, 20), 1) AS critical_path_score,
-       CASE WHEN round(failures_7d * 100.0 / runs_7d + least(task_count, 20), 1) >= 50 THEN 'Critical'
-            WHEN round(failures_7d * 100.0 / runs_7d + least(task_count, 20), 1) >= 25 THEN 'Watch' ELSE 'Healthy' END AS critical_path_state
-FROM g
-""")
-def _(spark, sf):
-    return tsk.critical_path(_t(spark, sf), ORDERS_AS_OF, 30)
-
-
 _PROC = "trim(regexp_extract(query_text, '(?i)CALL\\s+([^(]+)', 1))"
 
 
@@ -230,52 +203,6 @@ def _(spark, sf):
     return tsk.procedure_calls(tv.load(spark, sf, "query_history"), EVENTS_AS_OF, 7)
 
 
-@register("procedure_lineage", "query_history", op="TSK-10", sql=f"""
-WITH q AS (SELECT * FROM query_history WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00'),
-calls AS (SELECT query_id AS root_id, {_PROC} AS procedure_name, start_time AS call_start, total_elapsed_time AS call_ms
-          FROM q WHERE query_type = 'CALL'),
-kids AS (SELECT root_query_id AS root_id, count(*) AS child_query_count, sum(total_elapsed_time) AS ms FROM q
-         WHERE root_query_id IS NOT NULL AND root_query_id <> query_id GROUP BY 1)
-SELECT calls.root_id, procedure_name, call_start, coalesce(child_query_count, 0) AS child_query_count,
-       round((call_ms + coalesce(ms, 0)) / 1000.0, 2) AS total_duration_sec
-FROM calls LEFT JOIN kids ON calls.root_id = kids.root_id
-""")
-def _(spark, sf):
-    return tsk.procedure_lineage(tv.load(spark, sf, "query_history"), EVENTS_AS_OF, 7)
-
-
-@register("procedure_exceptions", "query_history", op="TSK-11", sql=f"""
-WITH g AS (SELECT {_PROC} AS procedure_name, avg(total_elapsed_time) AS a, count(*) AS calls,
-                  max({{'t': start_time, 'q': query_id, 'e': total_elapsed_time, 's': execution_status}}) AS l
-           FROM query_history WHERE start_time >= TIMESTAMP '2024-01-01 00:00:00' AND query_type = 'CALL' GROUP BY 1)
-SELECT procedure_name, calls, l.t AS latest_call_at, round(l.e / 1000.0, 2) AS latest_sec, round(a / 1000.0, 2) AS avg_sec,
-       concat_ws(', ', CASE WHEN l.e > a * 1.5 THEN 'slow' END, CASE WHEN l.s <> 'SUCCESS' THEN 'failed' END) AS signal
-FROM g WHERE l.e > a * 1.5 OR l.s <> 'SUCCESS'
-""")
-def _(spark, sf):
-    return tsk.procedure_exceptions(tv.load(spark, sf, "query_history"), EVENTS_AS_OF, 30)
-
-
-@register("task_release_comparison", "task_history", op="TSK-13", sql=f"""
-WITH r AS (SELECT database_name, schema_name, name AS task_name, state, scheduled_time,
-                  date_diff('second', scheduled_time, completed_time) AS duration_sec,
-                  scheduled_time >= TIMESTAMP '2001-05-01 00:00:00' AS aft
-           FROM task_history WHERE scheduled_time >= TIMESTAMP '2001-04-01 00:00:00' AND scheduled_time < TIMESTAMP '2001-05-31 00:00:00'),
-g AS (SELECT {KEY}, count_if(NOT aft) AS runs_before, count_if(NOT aft AND state = 'FAILED') AS failures_before,
-             round(avg(CASE WHEN NOT aft THEN duration_sec END), 1) AS avg_sec_before,
-             round(quantile_cont(CASE WHEN NOT aft THEN duration_sec END, 0.95), 1) AS p95_sec_before,
-             count_if(aft) AS runs_after, count_if(aft AND state = 'FAILED') AS failures_after,
-             round(avg(CASE WHEN aft THEN duration_sec END), 1) AS avg_sec_after,
-             round(quantile_cont(CASE WHEN aft THEN duration_sec END, 0.95), 1) AS p95_sec_after
-      FROM r GROUP BY 1, 2, 3)
-SELECT *, CASE WHEN failures_after > failures_before THEN 'More failures' WHEN avg_sec_after > avg_sec_before * 1.25 THEN 'Slower'
-               WHEN runs_after = 0 THEN 'No runs after' ELSE 'Stable' END AS signal
-FROM g
-""")
-def _(spark, sf):
-    return tsk.release_window_comparison(_t(spark, sf), datetime(2001, 5, 1), 30)
-
-
 @register("task_status_counts", "task_history", op="TSK-14", sql="WITH " + _runs(D30) + f"""
 SELECT CASE WHEN regexp_matches(state, '(?i)^(succeeded|success|done|complete[d]?)$') THEN 'Success'
             WHEN regexp_matches(state, '(?i)(fail|error|abort)') THEN 'Failure'

@@ -36,7 +36,7 @@ SOURCES: dict[str, list[Col]] = {
         Col("transaction_blocked_time", "bigint"), Col("bytes_spilled_to_local_storage", "bigint"),
         Col("bytes_spilled_to_remote_storage", "bigint"), Col("bytes_scanned", "bigint"), Col("query_tag", "string"),
         Col("root_query_id", "string"), Col("error_code", "string"), Col("error_message", "string"),
-        Col("query_text", "string"), Col("query_hash", "string")),
+        Col("query_text", "string"), Col("query_hash", "string"), Col("credits_used_cloud_services", "double")),
     "warehouse_metering": _s(
         Col("start_time", "timestamp_ntz", True), Col("warehouse_name", "string", True), Col("credits_used", "double", True),
         Col("credits_used_compute", "double"), Col("credits_used_cloud_services", "double")),

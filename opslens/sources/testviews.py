@@ -121,6 +121,7 @@ def _views(d: Dialect) -> dict[str, View]:
             "CASE WHEN query_seq % 13 = 0 THEN query_seq * 500 ELSE CAST(0 AS BIGINT) END AS bytes_spilled_to_remote_storage",
             "query_seq * 10000 + 7 AS bytes_scanned",
             "CASE WHEN query_seq % 3 = 0 THEN CAST(100 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS percentage_scanned_from_cache",
+            "CAST(query_seq % 11 AS DOUBLE) / 10000 AS credits_used_cloud_services",
             # statement text = verb prefix || object || suffix (one short CASE each, so the
             # expression stays small when the optimizer inlines it into several predicates)
             "CASE query_type WHEN 'SELECT' THEN 'SELECT * FROM ' WHEN 'INSERT' THEN 'INSERT INTO ' WHEN 'UPDATE' THEN 'UPDATE ' "
@@ -202,6 +203,21 @@ def _views(d: Dialect) -> dict[str, View]:
         ],
     )
 
+    # -- task_statements: the statement that each task run started (orders) --
+    v["task_statements"] = View(
+        base="orders",
+        cols=[
+            f"'T' || {_s('o_orderkey')} AS query_id",
+            f"{d.add_seconds('o_orderdate', hour('o_orderkey % 24') + ' + 5')} AS start_time",
+            f"'WH_' || {_s('o_custkey % 10')} AS warehouse_name",
+            "CASE o_orderpriority WHEN '1-URGENT' THEN 'LARGE' WHEN '2-HIGH' THEN 'Medium' WHEN '5-LOW' THEN NULL ELSE 'Small' END AS warehouse_size",
+            "CAST(25000 + (o_orderkey * 37) % 600 * 1000 AS BIGINT) AS total_elapsed_time",
+            "CAST(o_orderkey % 13 AS DOUBLE) / 10000 AS credits_used_cloud_services",
+            f"'MERGE INTO DB_' || {_s('o_custkey % 6')} || '.SCH_' || {_s('o_custkey % 4')} || '.T_' || {_s('o_orderkey % 40')} || "
+            f"' USING \"STAGE\".S_' || {_s('o_custkey % 9')} || ' ON 1 = 1' AS query_text",
+        ],
+    )
+
     # -- task_graph: task inventory with predecessor arrays (customer) ------
     v["task_graph"] = View(
         base="customer",
@@ -214,6 +230,9 @@ def _views(d: Dialect) -> dict[str, View]:
             f"WHEN c_custkey % 5 = 0 AND {d.idiv('c_custkey', 5)} >= 3 AND {d.idiv('c_custkey', 5)} <> {d.idiv('c_custkey', 3)} "
             f"THEN '[\"DB.SCH_0.TASK_' || {_s(d.idiv('c_custkey', 3))} || '\",\"DB.SCH_0.TASK_' || {_s(d.idiv('c_custkey', 5))} || '\"]' "
             f"ELSE '[\"DB.SCH_0.TASK_' || {_s(d.idiv('c_custkey', 3))} || '\"]' END AS predecessors",
+            f"'WH_' || {_s('c_nationkey')} AS warehouse_name",
+            f"CASE WHEN c_mktsegment = 'BUILDING' THEN 'INSERT INTO DB.SCH_0.T_' || {_s('c_custkey % 40')} || ' SELECT 1 FROM DB.SCH_0.V_1' "
+            f"ELSE 'CALL DB.SCH_0.PROC_' || {_s('c_custkey % 17')} || '(1)' END AS definition",
         ],
     )
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from opslens.functions.exprs import page
 from opslens.operators import anomaly, graph, query, security, summaries, tasks, usage
+from opslens.operators.graph import graph_impact
+from opslens.operators.task_costs import critical_paths, run_exceptions
 from opslens.session import ensure_checkpoint_dir, path_exists
 from opslens.sources import feeds
 from opslens.sources import testviews as tv
@@ -55,7 +57,11 @@ def test_task_operators_stop_at_as_of(spark):
     t = tv.load(spark, SF_SMALL, "task_history")
     end = t.agg(F.expr("percentile_approx(scheduled_time, 0.5)")).first()[0]
     cut = t.where(F.col("scheduled_time") < F.lit(end).cast("timestamp_ntz"))
-    for run in (lambda x: tasks.failure_console(x, end, 60), lambda x: tasks.critical_path(x, end, 60)):
+    inventory = tv.load(spark, SF_SMALL, "task_graph")
+    impact = graph_impact(inventory).persist()
+    statements = tv.load(spark, SF_SMALL, "task_statements")
+    for run in (lambda x: tasks.failure_console(x, end, 60), lambda x: critical_paths(x, inventory, impact, end, 60),
+                lambda x: run_exceptions(x, statements, inventory, impact, end, 60)):
         assert sorted(map(str, run(t).collect())) == sorted(map(str, run(cut).collect()))
 
 
