@@ -524,6 +524,35 @@ def _views(d: Dialect) -> dict[str, View]:
         cols=[f"min(CASE WHEN s_suppkey % 2 = 0 THEN 'CC' || {_s('s_suppkey % 5')} ELSE 'DEPT' || {_s('s_suppkey % 3')} END) AS tag_value"],
     )
 
+    # -- object_tags: owner and class tags of databases and warehouses (supplier)
+    v["object_tags"] = View(
+        base="supplier",
+        keys=["CASE WHEN s_suppkey % 2 = 0 THEN 'Warehouse' ELSE 'DATABASE' END AS domain",
+              f"CASE WHEN s_suppkey % 2 = 0 THEN 'wh_' || {_s('s_suppkey % 20')} ELSE 'DB_' || {_s('s_suppkey % 60')} END AS object_name",
+              "CASE s_nationkey % 7 WHEN 0 THEN 'COST_OWNER' WHEN 1 THEN 'DATA_OWNER' WHEN 2 THEN 'APP_OWNER' WHEN 3 THEN 'SERVICE_TIER' "
+              "WHEN 4 THEN 'SENSITIVITY' ELSE 'PROJECT' END AS tag_name"],
+        cols=["count(*) AS tag_uses"],
+    )
+
+    # -- policy_references: masking and row access policies on columns (part) -
+    v["policy_references"] = View(
+        base="part",
+        cols=[
+            "'GOV' AS policy_catalog", f"'P_' || {_s('p_partkey % 3')} AS policy_schema", f"'POL_' || {_s('p_partkey % 11')} AS policy_name",
+            "CASE p_partkey % 4 WHEN 0 THEN 'ROW_ACCESS_POLICY' WHEN 1 THEN 'Masking_Policy' WHEN 2 THEN 'MASKING_POLICY' ELSE 'TAG_POLICY' END AS policy_kind",
+            f"'DB_' || {_s('p_partkey % 6')} AS ref_database_name", f"'SCH_' || {_s('p_partkey % 4')} AS ref_schema_name",
+            f"'T_' || {_s('p_partkey % 40')} AS ref_entity_name", f"'C_' || {_s('p_size % 7')} AS ref_column_name",
+            "CASE WHEN p_partkey % 13 = 0 THEN DATE '2024-01-02' END AS deleted",
+        ],
+    )
+
+    # -- stage_storage: daily bytes of stages (orders) -----------------------
+    v["stage_storage"] = View(
+        base="orders",
+        keys=["CAST(o_orderdate AS DATE) + CAST(95 AS INTEGER) AS usage_date"],
+        cols=["CAST(round(sum(o_totalprice), 2) * 100000 AS DOUBLE) AS average_stage_bytes"],
+    )
+
     # -- contract_balances: daily remaining balance parts (customer) --------
     v["contract_balances"] = View(
         base="customer",
