@@ -117,6 +117,64 @@ def capacity_outlook(metering: DataFrame, warehouses: DataFrame, as_of: datetime
                     weeks.alias("weeks_until_full"), urgency.alias("urgency"), action.alias("action_needed"))
 
 
+def _capacity(queries: DataFrame, metering: DataFrame, as_of: datetime, days: int, exact: bool) -> DataFrame:
+    """Statements and credits of each warehouse, also of one known to a single
+    side: both sides are reduced to a row a warehouse before the full join."""
+    now, prior = as_of - timedelta(days=days), as_of - timedelta(days=2 * days)
+    ms = lambda c: F.coalesce(c, F.lit(0))
+    remote = ms("bytes_spilled_to_remote_storage")
+    q = (queries.filter(between_ts("start_time", now, as_of) & F.col("warehouse_name").isNotNull()).groupBy("warehouse_name")
+         .agg(F.max("warehouse_size").alias("warehouse_size"), F.count(F.lit(1)).alias("total_queries"),
+              F.count_if(ms("queued_overload_time") + ms("queued_provisioning_time") > 0).alias("queued_queries"),
+              F.count_if(ms("bytes_spilled_to_local_storage") + remote > 0).alias("spill_queries"),
+              F.count_if(F.col("total_elapsed_time") >= 30000).alias("high_latency_queries"),
+              pctl(F.col("total_elapsed_time") / 1000.0, 0.95, exact).alias("p95_elapsed_sec"), (F.sum(remote) / GB).alias("remote_spill_gb")))
+    credits, cur = F.coalesce("credits_used_compute", "credits_used", F.lit(0.0)), F.col("start_time") >= ts_lit(now)
+    m = (metering.filter(between_ts("start_time", prior, as_of) & F.col("warehouse_name").isNotNull()).groupBy("warehouse_name")
+         .agg(F.sum(F.when(cur, credits).otherwise(0.0)).alias("current_credits"), F.sum(F.when(~cur, credits).otherwise(0.0)).alias("prior_credits")))
+    j = q.join(m, "warehouse_name", "full")
+    counts = ["total_queries", "queued_queries", "spill_queries", "high_latency_queries"]
+    amounts = ["p95_elapsed_sec", "remote_spill_gb", "current_credits", "prior_credits"]
+    j = j.select("warehouse_name", "warehouse_size", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in amounts])
+    return j.withColumn("credit_spike_pct", safe_div(F.col("current_credits") - F.col("prior_credits"), "prior_credits") * 100)
+
+
+def capacity_summary(queries: DataFrame, metering: DataFrame, as_of: datetime, days: int = 7, exact: bool = True) -> DataFrame:
+    """CAP-5: one row over all warehouses: statements, queued, spilled and slow
+    (30 s) ones, credits of the period and the one before with the change, worst
+    95th percentile and remote spill."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    a = _capacity(queries, metering, as_of, days, exact).agg(
+        F.count(F.lit(1)).alias("warehouses_active"), *[total(c) for c in ("total_queries", "queued_queries", "spill_queries", "high_latency_queries")],
+        F.coalesce(F.sum("current_credits"), F.lit(0.0)).alias("_c"), F.coalesce(F.sum("prior_credits"), F.lit(0.0)).alias("_p"),
+        F.max("p95_elapsed_sec").alias("_w"), F.coalesce(F.sum("remote_spill_gb"), F.lit(0.0)).alias("_r"))
+    return a.select(*a.columns[:5], rounded("_c", 4).alias("metered_credits"), rounded("_p", 4).alias("prior_credits"),
+                    rounded(safe_div(F.col("_c") - F.col("_p"), "_p") * 100, 1).alias("credit_spike_pct"),
+                    rounded("_w", 2).alias("worst_p95_elapsed_sec"), rounded("_r", 2).alias("remote_spill_gb"))
+
+
+def capacity_exceptions(queries: DataFrame, metering: DataFrame, as_of: datetime, days: int = 7, exact: bool = True) -> DataFrame:
+    """CAP-5: warehouses with queued, spilled or slow statements or credits up by
+    25 %, with severity, first signal and a capacity score: 100 less up to 28
+    for the queued share, 24 for the spilled, 18 for the slow one and 20 for
+    the rise in credits. Without a statement the score has no shares to go by and
+    is NULL. All such warehouses are listed."""
+    c = _capacity(queries, metering, as_of, days, exact)
+    queued, spilled, slow, gb, up = (F.col(x) for x in ("queued_queries", "spill_queries", "high_latency_queries", "remote_spill_gb", "credit_spike_pct"))
+    rise = F.coalesce(up, F.lit(0.0))
+    severity = (F.when((queued >= 20) | (gb >= 20), "Critical").when((rise >= 50) | (spilled >= 10) | (slow >= 25), "High").otherwise("Medium"))
+    signal = (F.when(queued >= 20, "Queue Pressure").when(gb >= 1, "Memory Spill").when(rise >= 25, "Credit Spike").otherwise("Latency Pressure"))
+
+    def lost(count, weight, most):
+        return F.least(safe_div(count * 100.0, "total_queries") * weight, F.lit(float(most)))
+    score = 100.0 - lost(queued, 2.0, 28) - lost(spilled, 1.8, 24) - lost(slow, 1.1, 18) - F.least(F.greatest(rise, F.lit(0.0)) / 4, F.lit(20.0))
+    found = c.filter((queued > 0) | (spilled > 0) | (slow > 0) | (rise >= 25))
+    return found.select(severity.alias("severity"), signal.alias("signal"), "warehouse_name", "warehouse_size", "total_queries", "queued_queries", "spill_queries",
+                        "high_latency_queries", rounded("p95_elapsed_sec", 2).alias("p95_elapsed_sec"), rounded("remote_spill_gb", 2).alias("remote_spill_gb"),
+                        rounded("current_credits", 4).alias("metered_credits"), rounded("prior_credits", 4).alias("prior_credits"),
+                        rounded(rise, 1).alias("credit_spike_pct"), F.when(F.col("total_queries") > 0, rounded(score, 1)).alias("capacity_score"))
+
+
 def pressure_exceptions(queries: DataFrame, as_of: datetime, hours_back: int = 24, limit: int = 10,
                         exact: bool = True) -> DataFrame:
     """CAP-6: warehouses with queued queries, remote spill or p95 >= 60 s."""

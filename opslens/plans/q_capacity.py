@@ -119,6 +119,45 @@ def _(spark, sf):
                                 tv.LINEITEM_AS_OF, 60)
 
 
+_CAPACITY = f"""
+WITH q AS (SELECT warehouse_name, max(warehouse_size) AS warehouse_size, count(*) AS n, count_if({QUEUED} > 0) AS queued,
+                  count_if(bytes_spilled_to_local_storage + bytes_spilled_to_remote_storage > 0) AS spilled, count_if(total_elapsed_time >= 30000) AS slow,
+                  quantile_cont(total_elapsed_time / 1000.0, 0.95) AS p95, sum(bytes_spilled_to_remote_storage) / {GB} AS gb
+           FROM query_history WHERE start_time >= TIMESTAMP '2024-01-24 00:00:00' AND warehouse_name IS NOT NULL GROUP BY 1),
+m AS (SELECT warehouse_name, sum(CASE WHEN start_time >= TIMESTAMP '2024-01-24 00:00:00' THEN credits_used_compute ELSE 0 END) AS cur,
+             sum(CASE WHEN start_time < TIMESTAMP '2024-01-24 00:00:00' THEN credits_used_compute ELSE 0 END) AS prior
+      FROM warehouse_metering WHERE start_time >= TIMESTAMP '2024-01-17 00:00:00' GROUP BY 1),
+c AS (SELECT coalesce(q.warehouse_name, m.warehouse_name) AS warehouse_name, warehouse_size, coalesce(n, 0) AS n, coalesce(queued, 0) AS queued,
+             coalesce(spilled, 0) AS spilled, coalesce(slow, 0) AS slow, coalesce(p95, 0) AS p95, coalesce(gb, 0) AS gb, coalesce(cur, 0) AS cur,
+             coalesce(prior, 0) AS prior, (coalesce(cur, 0) - coalesce(prior, 0)) / nullif(coalesce(prior, 0), 0) * 100 AS up
+      FROM q FULL JOIN m ON q.warehouse_name = m.warehouse_name)
+"""
+
+
+@register("capacity_summary", "query_history", "warehouse_metering", op="CAP-5", sql=_CAPACITY + """
+SELECT count(*) AS warehouses_active, CAST(sum(n) AS BIGINT) AS total_queries, CAST(sum(queued) AS BIGINT) AS queued_queries,
+       CAST(sum(spilled) AS BIGINT) AS spill_queries, CAST(sum(slow) AS BIGINT) AS high_latency_queries, round(sum(cur), 4) AS metered_credits,
+       round(sum(prior), 4) AS prior_credits, round((sum(cur) - sum(prior)) / nullif(sum(prior), 0) * 100, 1) AS credit_spike_pct,
+       round(max(p95), 2) AS worst_p95_elapsed_sec, round(sum(gb), 2) AS remote_spill_gb FROM c
+""")
+def _(spark, sf):
+    return cap.capacity_summary(tv.load(spark, sf, "query_history"), tv.load(spark, sf, "warehouse_metering"), EVENTS_AS_OF, 7)
+
+
+@register("capacity_exceptions", "query_history", "warehouse_metering", op="CAP-5", sql=_CAPACITY + """
+SELECT CASE WHEN queued >= 20 OR gb >= 20 THEN 'Critical' WHEN up >= 50 OR spilled >= 10 OR slow >= 25 THEN 'High' ELSE 'Medium' END AS severity,
+       CASE WHEN queued >= 20 THEN 'Queue Pressure' WHEN gb >= 1 THEN 'Memory Spill' WHEN up >= 25 THEN 'Credit Spike' ELSE 'Latency Pressure' END AS signal,
+       warehouse_name, warehouse_size, n AS total_queries, queued AS queued_queries, spilled AS spill_queries, slow AS high_latency_queries,
+       round(p95, 2) AS p95_elapsed_sec, round(gb, 2) AS remote_spill_gb, round(cur, 4) AS metered_credits, round(prior, 4) AS prior_credits,
+       round(coalesce(up, 0), 1) AS credit_spike_pct,
+       CASE WHEN n > 0 THEN round(100 - least(queued * 100.0 / n * 2.0, 28) - least(spilled * 100.0 / n * 1.8, 24) - least(slow * 100.0 / n * 1.1, 18)
+                                  - least(greatest(coalesce(up, 0), 0) / 4, 20), 1) END AS capacity_score
+FROM c WHERE queued > 0 OR spilled > 0 OR slow > 0 OR up >= 25
+""")
+def _(spark, sf):
+    return cap.capacity_exceptions(tv.load(spark, sf, "query_history"), tv.load(spark, sf, "warehouse_metering"), EVENTS_AS_OF, 7)
+
+
 @register("pressure_exceptions", "query_history", op="CAP-6", sql=f"""
 SELECT warehouse_name, max(warehouse_size) AS warehouse_size, count(*) AS total_queries,
        count_if({QUEUED} > 0) AS queued_queries,

@@ -29,7 +29,7 @@ FROM events GROUP BY 1, 2, 6
 def _(spark, sf):
     src_df = _event_metering(spark, sf)
     src, run = inc.stage_as_files(src_df, "hourly-credits", files=4, order_col="start_time")
-    stream = inc.file_stream(spark, src, src_df.schema, max_files=1)
+    stream = inc.file_stream(spark, src, src_df.schema)
     agg = inc.hourly_credits_stream(stream).withColumn("usage_date", F.to_date("hour_start"))
     out = inc.run_available_now(agg, run, ["hour_start", "warehouse_name"], "usage_date")
     return out.select("hour_start", "warehouse_name", rounded("credits_used", 6).alias("credits_used"),
@@ -42,7 +42,7 @@ SELECT CAST(scheduled_time AS DATE) AS run_date, state, count(*) AS runs FROM ta
 def _(spark, sf):
     src_df = tv.load(spark, sf, "task_history").select("scheduled_time", "state", "database_name", "schema_name", "name")
     src, run = inc.stage_as_files(src_df, "task-states", files=4, order_col="scheduled_time")
-    stream = inc.file_stream(spark, src, src_df.schema, max_files=1)
+    stream = inc.file_stream(spark, src, src_df.schema)
     agg = inc.daily_task_states_stream(stream)
     # seven years of days: partition the summary by month, not by day
     agg = agg.withColumn("run_month", F.trunc("run_date", "month"))
@@ -56,7 +56,7 @@ FROM task_history WHERE state = 'FAILED' GROUP BY 1, 2, 3, 4 HAVING count(*) >=
 def _(spark, sf):
     src_df = tv.load(spark, sf, "task_history").select("scheduled_time", "state", "database_name", "schema_name", "name")
     src, run = inc.stage_as_files(src_df, "failure-bursts", files=4, order_col="scheduled_time")
-    stream = inc.file_stream(spark, src, src_df.schema, max_files=1)
+    stream = inc.file_stream(spark, src, src_df.schema)
     agg = inc.failure_bursts_stream(stream, threshold=2).withColumn(
         "failure_month", F.trunc("failure_date", "month"))
     return inc.run_available_now(agg, run, ["failure_date", "database_name", "schema_name", "task_name"],
@@ -90,7 +90,7 @@ FROM w GROUP BY 1, 2, 3
 def _(spark, sf):
     q = tv.load(spark, sf, "query_history").select("start_time", "warehouse_name", "queued_overload_time", "transaction_blocked_time")
     src, run = inc.stage_as_files(q, "live-ops", files=4, order_col="start_time")
-    agg = inc.live_operations_stream(inc.file_stream(spark, src, q.schema, 1))
+    agg = inc.live_operations_stream(inc.file_stream(spark, src, q.schema))
     agg = agg.withColumn("window_date", F.to_date("window_start"))
     return inc.run_available_now(agg, run, ["window_start", "warehouse_name"], "window_date")
 
@@ -107,6 +107,6 @@ def _(spark, sf):
     q = tv.load(spark, sf, "query_history").select("start_time", "user_name")
     src, run = inc.stage_as_files(q, "sessions", files=4, order_col="start_time")
     inc.flush_event(src, spark, q.schema, "start_time", "1 DAY")
-    agg = inc.activity_sessions_stream(inc.file_stream(spark, src, q.schema, 1), watermark="2 hours")
+    agg = inc.activity_sessions_stream(inc.file_stream(spark, src, q.schema), watermark="2 hours")
     agg = agg.withColumn("session_date", F.to_date("session_start"))
     return inc.run_available_now(agg, run, ["user_name", "session_start"], "session_date", mode="append")

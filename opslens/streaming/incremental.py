@@ -205,7 +205,7 @@ def recovery_summary(spark: SparkSession, source: str, schema, run: str, sla_hou
     was = spark.conf.get(ROCKSDB[0])
     spark.conf.set(*ROCKSDB)
     try:
-        paired = recovery_pairing_stream(file_stream(spark, source, schema, 1), sla_hours).withColumn("part", F.pmod(F.xxhash64("task_name"), F.lit(8)).cast("int"))
+        paired = recovery_pairing_stream(file_stream(spark, source, schema), sla_hours).withColumn("part", F.pmod(F.xxhash64("task_name"), F.lit(8)).cast("int"))
         out = run_available_now(paired, run, ["database_name", "schema_name", "task_name"], "part")
     finally:
         spark.conf.set(ROCKSDB[0], was)
@@ -324,7 +324,7 @@ def commit_version(spark: SparkSession, path: str, batch_id: int) -> None:
         raise RuntimeError(f"the ledger of {path} has batch {batch_id} already")
 
 
-def stage_as_files(df: DataFrame, name: str, files: int = 4, order_col: str | None = None) -> tuple[str, str]:
+def stage_as_files(df: DataFrame, name: str, files: int = 4, order_col: str | None = None, width: int | None = None) -> tuple[str, str]:
     """Write a DataFrame (derived from the given tables) as parquet files under
     the shared checkpoint directory so a file stream can replay it. Returns
     (source dir, run dir); every run gets a new directory.
@@ -332,27 +332,47 @@ def stage_as_files(df: DataFrame, name: str, files: int = 4, order_col: str | No
     With ``order_col`` the rows are written as ``files`` consecutive time
     slices, one append each, so the stream sees them in event-time order the
     way a live feed arrives (slice bounds come from an approximate quantile:
-    a handful of numbers, not data)."""
+    a handful of numbers, not data). Rows without a time go with the first.
+
+    Each slice is written by ``width`` tasks (the session's parallelism) into as
+    many files, and :func:`file_stream` reads that many a micro-batch: one slice,
+    whole. The bounds are literals on the raw column, so a slice's scan skips the
+    row groups of the others."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     run = f"{base}/opslens-stream/{name}-{uuid.uuid4().hex[:12]}"
+    source = f"{run}/source"
     if order_col is None or files <= 1:
-        df.repartition(files).write.parquet(f"{run}/source")
-        return f"{run}/source", run
-    key = F.unix_micros(F.col(order_col).cast("timestamp")).cast("double")
+        df.repartition(files).write.parquet(source)
+        return source, run
+    width = max(1, width or spark.sparkContext.defaultParallelism)
+    time = F.col(order_col)
+    key = F.unix_micros(time.cast("timestamp")).cast("double")
     cuts = df.select(key.alias("_k")).approxQuantile("_k", [i / files for i in range(1, files)], 0.0001)
-    edges = [None, *cuts, None]
+    edges = [None, *[F.timestamp_micros(F.lit(int(c))).cast(df.schema[order_col].dataType) for c in cuts], None]
     for lo, hi in zip(edges[:-1], edges[1:]):
-        # rows without a time go with the first slice
-        cond = key.isNull() if lo is None else F.lit(False)
-        inside = F.lit(True)
-        if lo is not None:
-            inside = inside & (key > lo)
-        if hi is not None:
-            inside = inside & (key <= hi)
-        cond = cond | F.coalesce(inside, F.lit(False))
-        df.filter(cond).coalesce(1).write.mode("append").parquet(f"{run}/source")
-    return f"{run}/source", run
+        inside = F.lit(True) if hi is None else time <= hi
+        slice_ = df.filter(inside | time.isNull() if lo is None else inside & (time > lo))
+        held = len(_data_files(spark, source))
+        slice_.repartition(width).write.mode("append").parquet(source)
+        # a task without rows writes no file: a slice of few rows is filled up, so that the next one starts a micro-batch
+        for _ in range(width - (len(_data_files(spark, source)) - held)):
+            slice_.limit(0).coalesce(1).write.mode("append").parquet(source)
+    fs, mark = _fs(spark, f"{source}/{WIDTH_MARK}{width}")
+    fs.mkdirs(mark)
+    return source, run
+
+
+WIDTH_MARK = "_width-"           # names that start so are no data to Spark's readers
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    return [str(f.getPath().getName()) for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def _data_files(spark: SparkSession, path: str) -> list[str]:
+    return [n for n in _names(spark, path) if n.endswith(".parquet")]
 
 
 def run_available_now(stream: DataFrame, run: str, keys: Sequence[str], partition_col: str,
@@ -372,8 +392,11 @@ def run_available_now(stream: DataFrame, run: str, keys: Sequence[str], partitio
     return read_versioned(stream.sparkSession, out, stream.schema, partition_col)
 
 
-def file_stream(spark: SparkSession, src: str, schema, max_files: int = 1) -> DataFrame:
-    """A parquet file stream over staged files (one file per micro-batch by default)."""
+def file_stream(spark: SparkSession, src: str, schema, max_files: int | None = None) -> DataFrame:
+    """A parquet file stream over staged files: a slice per micro-batch, or
+    ``max_files``; one file where the folder holds no slices."""
+    if max_files is None:
+        max_files = next((int(n.removeprefix(WIDTH_MARK)) for n in _names(spark, src) if n.startswith(WIDTH_MARK)), 1)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(src)
 
 

@@ -158,7 +158,7 @@ def test_append_mode_gives_out_closed_sessions_and_forgets_them(spark):
                                  F.concat(F.lit("U"), (n % 10).cast("string")).alias("user_name"))
     src, run = inc.stage_as_files(q, "append-sessions", files=12, order_col="start_time")
     inc.flush_event(src, spark, q.schema, "start_time", "1 DAY")
-    stream = inc.activity_sessions_stream(inc.file_stream(spark, src, q.schema, 1), watermark="2 hours")
+    stream = inc.activity_sessions_stream(inc.file_stream(spark, src, q.schema), watermark="2 hours")
     query = (stream.writeStream.outputMode("append").format("memory").queryName("append_sessions")
              .option("checkpointLocation", f"{run}/append").trigger(availableNow=True).start())
     query.awaitTermination()
