@@ -43,12 +43,12 @@ def _adoption(name, sql_dims, *dims):
     @register(name, "query_history", op="USE-8", sql=f"SELECT {keys}{_MEASURES} FROM query_history "
               f"WHERE start_time >= TIMESTAMP '{MONTH_AGO}' AND warehouse_name IS NOT NULL{group}")
     def _(spark, sf):
-        return ru.adoption(_fact(spark, sf, 30), EVENTS_AS_OF, 30, *dims)
+        return ru.adoption(_fact(spark, sf, 30), EVENTS_AS_OF, 30, *[d() if callable(d) else d for d in dims])
 
 
 _adoption("adoption_summary", [])
 _adoption("adoption_by_size", ["coalesce(warehouse_size, 'UNKNOWN') AS warehouse_size"], "warehouse_size")
-_adoption("adoption_trend", ["CAST(date_trunc('day', start_time) AS TIMESTAMP) AS activity_day"], trunc("day", "hour_start").alias("activity_day"))
+_adoption("adoption_trend", ["CAST(date_trunc('day', start_time) AS TIMESTAMP) AS activity_day"], lambda: trunc("day", "hour_start").alias("activity_day"))
 _adoption("adoption_by_warehouse", ["warehouse_name"], "warehouse_name")
 _adoption("adoption_by_database", ["coalesce(database_name, 'UNKNOWN') AS database_name"], "database_name")
 _adoption("adoption_by_role_and_type", ["coalesce(role_name, 'UNKNOWN') AS role_name", "coalesce(query_type, 'UNKNOWN') AS query_type"], "role_name", "query_type")
