@@ -92,7 +92,7 @@ rc AS (SELECT {KEY.replace('d', 'lf.d', 1).replace(', ', ', lf.')}, failure_at,
        FROM lf LEFT JOIN cr ON {ON.format(a='lf', b='cr')} AND cr.state = 'SUCCEEDED' AND cr.scheduled_time > lf.failure_at GROUP BY 1, 2, 3, 4),
 rh AS (SELECT *, date_diff('microsecond', failure_at, coalesce(recovery_at, TIMESTAMP '2001-08-02 00:00:00')) / 1e6 / 3600.0 AS h FROM rc),
 j AS (SELECT g.*, CASE WHEN rh.failure_at IS NULL THEN NULL WHEN recovery_at IS NULL THEN 'Open Failure' WHEN h <= 4.0 THEN 'Recovered Within SLA'
-                       ELSE 'Recovered Late' END AS recovery_state, round(greatest(h, 0.0), 2) AS recovery_hours
+                       ELSE 'Recovered Late' END AS recovery_state, CASE WHEN h IS NOT NULL THEN round(greatest(h, 0.0), 2) END AS recovery_hours
       FROM g LEFT JOIN rh ON {ON.format(a='g', b='rh')}),
 sig AS (SELECT *, '{tc.FAILED}' AS signal, 'High' AS sev, true AS own FROM j WHERE l.f
         UNION ALL SELECT *, '{tc.SLOW}', CASE WHEN l.d > ms * 2 THEN 'High' ELSE 'Medium' END, true FROM j WHERE ms > 0 AND l.d > ms * 1.5 AND l.d > 300
