@@ -76,3 +76,30 @@ def test_no_exhaustion_beyond_a_year(spark):
     weeks = capacity_exhaustion(F.col("g"), F.col("c"), F.col("k"), max_weeks=52)[0]
     assert [r[0] for r in df.select(weeks).collect()] == [None, 36]
     assert capacity.capacity_outlook.__doc__
+
+
+def _plans_of_jobs(monkeypatch, df):
+    """The final plans of what is checkpointed from now on."""
+    plans, kind = [], type(df)
+    run = kind.checkpoint
+
+    def checkpoint(self, *args, **kwargs):
+        done = run(self, *args, **kwargs)
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return done
+
+    monkeypatch.setattr(kind, "checkpoint", checkpoint)
+    return plans
+
+
+CHAIN = [("DB", "S", f"T{i}", "started", f'["T{i - 1}"]' if i else "[]") for i in range(9)]
+TASKS = "database_name string, schema_name string, task_name string, state string, predecessors string"
+
+
+@pytest.mark.parametrize("query", ["blast_radius", "graph_members"])
+def test_walks_broadcast_neither_nodes_nor_edges(spark, monkeypatch, query):
+    tg = spark.createDataFrame(CHAIN, TASKS)
+    plans = _plans_of_jobs(monkeypatch, tg)
+    rows = getattr(g, query)(tg, "DB.S.T1").collect()
+    assert rows[0].downstream_count == 7 if query == "blast_radius" else {r.task_id: r.depth for r in rows} == {f"DB.S.T{i + 1}": i for i in range(8)}
+    assert plans and not [p for p in plans if "Broadcast" in p]
