@@ -103,3 +103,12 @@ def test_walks_broadcast_neither_nodes_nor_edges(spark, monkeypatch, query):
     rows = getattr(g, query)(tg, "DB.S.T1").collect()
     assert rows[0].downstream_count == 7 if query == "blast_radius" else {r.task_id: r.depth for r in rows} == {f"DB.S.T{i + 1}": i for i in range(8)}
     assert plans and not [p for p in plans if "Broadcast" in p]
+
+
+def test_a_job_of_a_walk_makes_one_step_once(spark, monkeypatch):
+    tg = spark.createDataFrame(CHAIN, TASKS)
+    plans = _plans_of_jobs(monkeypatch, tg)
+    got = g.graph_impact(tg, spark.createDataFrame([("T0",), ("T6",), ("T8",)], "label string"))
+    assert {r.label: r.downstream_task_count for r in got.collect()} == {"T0": 8, "T6": 2, "T8": 0}
+    # the step itself and the visited that it leaves out; the plan before it ran follows at the margin
+    assert plans[1:] and max(p.split("\n+- == Initial Plan ==")[0].count("Join ") for p in plans[1:]) <= 2
