@@ -24,6 +24,7 @@ judged by their text, as rows with equal doc_id and text are the same document.
 from __future__ import annotations
 
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -69,34 +70,39 @@ def canonical(word: str) -> tuple[int, int, int, bool, bool, bool]:
 
 
 class _Words(dict):
-    """word -> its row in ``hashes`` and ``slots`` (a column for each stream); each
-    distinct word is canonicalised once, until ``most`` words are known."""
+    """word -> its row in ``hashes`` and ``slots`` (a value for each stream, row by
+    row); each distinct word is canonicalised once, until ``most`` words are known."""
 
     def __init__(self, most: int = 400_000):
         super().__init__()
         self.most = most
-        self.hashes, self.slots = np.zeros((1024, STREAMS), np.uint64), np.zeros((1024, STREAMS), bool)
+        self.hashes, self.slots = array("Q"), bytearray()
+
+    def clear(self) -> None:
+        super().clear()
+        self.hashes, self.slots = array("Q"), bytearray()
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
-        if at == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            self.slots = np.concatenate([self.slots, np.zeros_like(self.slots)])
         found = canonical(word)
-        self.hashes[at], self.slots[at] = found[:STREAMS], found[STREAMS:]
+        self.hashes.extend(found[:STREAMS])
+        self.slots.extend(found[STREAMS:])
         return at
 
     def canon(self, texts: list[str | None]):
-        """The kept words of all texts in one list, the text of each, its hashes
-        and slots. Words without a letter or digit aren't kept."""
+        """All words of the texts in one list, the places of those kept, and of each
+        of these its text, hashes and slots. Words without a letter or digit
+        aren't kept."""
         if len(self) > self.most:
             self.clear()
         rows = [(t or "").split() for t in texts]
         words = list(chain.from_iterable(rows))
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        keep = np.flatnonzero(self.hashes[at, 0]) if len(at) else at
-        return [words[k] for k in keep] if len(keep) < len(words) else words, of[keep], self.hashes[at[keep]], self.slots[at[keep]]
+        hashes, slots = np.array(self.hashes, np.uint64).reshape(-1, STREAMS), np.array(self.slots, bool).reshape(-1, STREAMS)
+        keep = np.flatnonzero(hashes[:, 0].take(at))
+        at = at[keep]
+        return words, keep, of[keep], hashes.take(at, 0), slots.take(at, 0)
 
 
 _KNOWN = _Words()
@@ -106,20 +112,27 @@ def _salt(stream: int, length: int) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(f"{stream}/{length}"))
 
 
-def _windows(hashes: np.ndarray, length: int, stream: int) -> np.ndarray:
-    """Hash of the window that starts at each place."""
-    n = len(hashes) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in range(length):
-        h = h * _M + hashes[k:n + k]
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + _salt(stream, length)
-    return h ^ (h >> np.uint64(29))
+def _windows(hashes: np.ndarray, lengths: list[int], stream: int):
+    """For each length, ascending: it and the hash of the window that starts at each
+    place. A window's sum goes on from that of the shorter one at its place."""
+    sums, done = np.zeros(len(hashes), np.uint64), 0
+    for length in lengths:
+        n = max(0, len(hashes) - length + 1)
+        sums = sums[:n]
+        for k in range(done, length):
+            sums = sums * _M
+            sums += hashes[k:n + k]
+        done = length
+        h = sums >> np.uint64(31)
+        h ^= sums
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h += _salt(stream, length)
+        h ^= h >> np.uint64(29)
+        yield length, h
 
 
-def _slots(words, slots, at, length):
-    return [words[k].strip(_EDGE).lower() for k in range(at, at + length) if slots[k]]
+def _slots(words, keep, slots, at, length):
+    return [words[keep[k]].strip(_EDGE).lower() for k in range(at, at + length) if slots[k]]
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -130,22 +143,25 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for item, text in zip(b["item_id"], b["text"]):
-                words, _, table, slots = _KNOWN.canon([text])
-                length = min(WINDOW, len(words))
+                words, keep, _, table, slots = _KNOWN.canon([text])
+                length = min(WINDOW, len(keep))
                 if length < SHORTEST:
                     continue
                 for stream in range(STREAMS):
-                    for at, h in enumerate(_windows(table[:, stream], length, stream).view(np.int64).tolist()):
+                    (_, found), = _windows(table[:, stream], [length], stream)
+                    for at, h in enumerate(found.view(np.int64).tolist()):
                         if 2 * int(slots[at:at + length, stream].sum()) <= length:
-                            out.append((item, stream, length, h, at, _slots(words, slots[:, stream], at, length)))
+                            out.append((item, stream, length, h, at, _slots(words, keep, slots[:, stream], at, length)))
             yield pd.DataFrame(out, columns=["item_id", "stream", "length", "h", "at", "vals"])
 
     return benchmark.select("item_id", "text").mapInPandas(rows, "item_id long, stream int, length int, h long, at int, vals array<string>")
 
 
-def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u = h.view(np.uint64)
-    return (u >> np.uint64(64 - FILTER_BITS)).astype(np.int64), (u & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+def _passed(h: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Places of the hashes that both halves of the filter let through; the second
+    half is asked for those only that passed the first."""
+    at = np.flatnonzero(high[(h >> np.uint64(64 - FILTER_BITS)).view(np.int64)])
+    return at[low[(h[at] & np.uint64((1 << FILTER_BITS) - 1)).view(np.int64)]]
 
 
 def _consistent(w):
@@ -185,16 +201,15 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             ids, marks = b.column("_d").to_pylist(), b.column("_h").to_pylist()
             for begin, end in slices(texts):
                 out = []
-                words, of, table, slots = _KNOWN.canon(texts[begin:end])
+                words, keep, of, table, slots = _KNOWN.canon(texts[begin:end])
                 first = np.searchsorted(of, np.arange(end - begin))
                 for stream in range(STREAMS):
-                    for length in lengths:
-                        h = _windows(table[:, stream], length, stream).view(np.int64)
-                        p, q = _places(h)
+                    for length, h in _windows(np.ascontiguousarray(table[:, stream]), lengths, stream):
+                        found = _passed(h, hi, lo)
                         # windows of one text only
-                        for at in np.flatnonzero(hi[p] & lo[q] & (of[:len(h)] == of[length - 1:][:len(h)])).tolist():
+                        for at in found[of[found] == of[found + length - 1]].tolist():
                             i = int(of[at])
-                            out.append((ids[begin + i], marks[begin + i], stream, int(h[at]), at - int(first[i]), _slots(words, slots[:, stream], at, length)))
+                            out.append((ids[begin + i], marks[begin + i], stream, int(h[at].view(np.int64)), at - int(first[i]), _slots(words, keep, slots[:, stream], at, length)))
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())))],

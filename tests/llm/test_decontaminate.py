@@ -1,3 +1,5 @@
+import numpy as np
+
 from opslens.llm import decontaminate as d
 from opslens.llm import queries
 
@@ -93,3 +95,25 @@ def test_slots_are_one_to_one_over_the_whole_diagonal(spark, table):
     got = {r.doc_id: r for r in d.matches(table([(1, one), (2, mixed), (3, item)]), bench).collect()}
     assert got[1].n_slots == 1 and got[3].n_windows >= got[1].n_windows
     assert 2 not in got or got[2].n_windows < got[1].n_windows
+
+
+def test_windows_of_all_lengths_from_one_sum():
+    hashes = np.arange(1, 21, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    every = dict(d._windows(hashes, [3, 5, 8], 1))
+    assert {n: len(h) for n, h in every.items()} == {3: 18, 5: 16, 8: 13}
+    for n, h in every.items():
+        assert h.tolist() == [dict(d._windows(hashes[k:k + n], [n], 1))[n].tolist()[0] for k in range(len(h))]
+    assert [len(h) for _, h in d._windows(hashes[:4], [3, 5, 8], 1)] == [2, 0, 0]
+
+
+def test_words_are_not_copied_for_those_left_out():
+    words, keep, of, table, _ = d._Words().canon(["a -- B", None, "... c"])
+    assert words == ["a", "--", "B", "...", "c"] and keep.tolist() == [0, 2, 4] and of.tolist() == [0, 0, 2] and len(table) == 3
+
+
+def test_known_words_are_forgotten_whole():
+    k = d._Words(most=2)
+    first = k.canon(["one 2 Three four"])
+    assert len(k) == 4
+    again = k.canon(["Three five"])
+    assert len(k) == 2 and again[3][0].tolist() == first[3][2].tolist() and again[4][0].tolist() == first[4][2].tolist() == [False, True, False]
