@@ -112,3 +112,24 @@ def test_a_job_of_a_walk_makes_one_step_once(spark, monkeypatch):
     assert {r.label: r.downstream_task_count for r in got.collect()} == {"T0": 8, "T6": 2, "T8": 0}
     # the step itself and the visited that it leaves out; the plan before it ran follows at the margin
     assert plans[1:] and max(p.split("\n+- == Initial Plan ==")[0].count("Join ") for p in plans[1:]) <= 2
+
+
+def test_seeds_above_the_same_tasks_share_rows(spark, monkeypatch):
+    edges = [(f"s{i}", "c0") for i in range(70)] + [(f"c{i}", f"c{i + 1}") for i in range(5)] + [("s3", "s4"), ("c5", "c1")]
+    df = spark.createDataFrame(edges, "source string, target string")
+    seeds = spark.createDataFrame([(f"s{i}",) for i in range(70)] + [("c1",), (None,), ("s3",)], "node string").coalesce(1)
+    kind, rows = type(df), []
+    run = kind.checkpoint
+
+    def checkpoint(self, *args, **kwargs):
+        done = run(self, *args, **kwargs)
+        rows.append((done.columns, done.count()))
+        return done
+
+    monkeypatch.setattr(kind, "checkpoint", checkpoint)
+    got = {r.task_id: r.downstream_task_count for r in g.downstream_counts(df, seeds).collect()}
+    want = plain(edges)
+    assert got == {n: want[n] for n in [f"s{i}" for i in range(70)] + ["c1"]}
+    # a step's rows are nodes (of two packs), not pairs of a seed and a node
+    steps = [n for columns, n in rows if "node" in columns]
+    assert steps and max(steps) < 70
