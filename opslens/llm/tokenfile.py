@@ -32,16 +32,19 @@ from array import array
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.common import slices, stage
+from opslens.llm.common import stage
 
 END_ID = 2
 MAGIC = b"CMR1"
 BLOCK_IDS = 1 << 20
 _HEAD = struct.Struct("<4s6I")
+_BLOCKS = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("block", pa.binary())])
 _U = np.uint64
 _TOP, _LEAST, _SHIFT, _ALL = _U(1 << 48), _U(1 << 40), _U(16), _U(0xFFFFFFFFFFFFFFFF)
 _RUN = 32  # ids in a run that a lookup goes to first
@@ -64,9 +67,15 @@ class _Mixer:
         # outcomes by (confidence 2, confidence 1, both say the same)
         self.seen = np.tile(np.array([1, 1, 6], np.int64), (128, 1))
         self.steps = 0
+        # ids and outcomes since the last refresh, which alone reads the counts
+        self.ids, self.outcomes = [], []
 
     def refresh(self) -> None:
         if self.steps % _REFRESH == 0 or self.steps < 4:
+            if self.ids:
+                self.count += np.bincount(np.concatenate(self.ids), minlength=self.alphabet)
+                self.seen += np.bincount(np.concatenate(self.outcomes), minlength=384).reshape(128, 3)
+                self.ids, self.outcomes = [], []
             freq = self.count * 24 + 1
             if int(freq.sum()) > _LIMIT:
                 self.count >>= 1
@@ -91,7 +100,7 @@ class _Mixer:
         """Predictions after the ids a, b."""
         self.b = b
         self.slot = ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 7) & 0x3FFFF
-        s2, s1 = self.state2[self.slot], self.state1[b]
+        s2, s1 = self.s2, self.s1 = self.state2.take(self.slot), self.state1.take(b)
         self.g2, self.g1, self.k2, self.k1 = s2 >> 3, s1 >> 3, s2 & 7, s1 & 7
         self.cell = (self.k2 << 4 | self.k1 << 1 | (self.g1 == self.g2)) * 3
 
@@ -100,20 +109,22 @@ class _Mixer:
         x = (np.searchsorted(self.coarse, v, "right") - 1) * _RUN
         step = _RUN >> 1
         while step:
-            x += step * (self.cum[x + step] <= v)
+            x += step * (self.cum.take(x + step) <= v)
             step >>= 1
         return x
 
     def learn(self, x: np.ndarray, outcome: np.ndarray) -> None:
-        np.add.at(self.count, x, 1)
-        self.seen += np.bincount(self.cell + outcome, minlength=384).reshape(128, 3)
-        for state, at, guess, sure in ((self.state2, self.slot, self.g2, self.k2), (self.state1, self.b, self.g1, self.k1)):
+        self.ids.append(x)
+        self.outcomes.append(self.cell + outcome)
+        other = x << 3
+        for state, at, now, guess, sure in ((self.state2, self.slot, self.s2, self.g2, self.k2), (self.state1, self.b, self.s1, self.g1, self.k1)):
             hit = guess == x
-            guess = guess + (x - guess) * (~hit & (sure < 2))
-            state[at] = guess << 3 | _SURE[sure + 8 * hit]
+            after = now + _SURE.take(sure + 8 * hit)
+            np.copyto(after, other, where=~hit & (sure < 2))
+            state[at] = after
 
 
-_SURE = np.array([0, 0, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7])  # after a miss, after a hit
+_SURE = np.array([0, 0, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7]) - np.tile(np.arange(8), 2)  # change after a miss, after a hit
 
 
 def _lanes(n: int) -> int:
@@ -149,18 +160,18 @@ def code(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
 
     for t in range(length):
         m = min(lanes, -(-(n - t) // length))
-        x = x_all[lane0[:m] + t]
+        x = x_all.take(lane0[:m] + t)
         mix.refresh()
         mix.look(a[:m], b[:m])
         outcome = (2 - (x == mix.g1)) * (x != mix.g2)
         r = width[:m] >> _SHIFT
         cell = mix.cell + outcome
-        low[:m] += mix.begin[cell] * r
-        width[:m] = mix.share[cell] * r
+        low[:m] += mix.begin.take(cell) * r
+        width[:m] = mix.share.take(cell) * r
         miss = np.flatnonzero(outcome == 2)
         r, y = width[miss] // mix.total, x[miss]
-        low[miss] += mix.cum[y] * r
-        width[miss] = mix.freq[y] * r
+        low[miss] += mix.cum.take(y) * r
+        width[miss] = mix.freq.take(y) * r
         at = _unsettled(low, width, slice(0, m))
         while len(at):
             put(at, low[at] >> _U(48))
@@ -193,20 +204,20 @@ def decode(n: int, alphabet: int, sizes: np.ndarray, words: np.ndarray) -> np.nd
         mix.look(a[:m], b[:m])
         r = width[:m] >> _SHIFT
         v = (value[:m] - low[:m]) // r
-        outcome = (v >= mix.share[mix.cell]).astype(np.int64) + (v >= mix.begin[mix.cell + 2])
+        outcome = (v >= mix.share.take(mix.cell)).astype(np.int64) + (v >= mix.begin.take(mix.cell + 2))
         cell = mix.cell + outcome
-        low[:m] += mix.begin[cell] * r
-        width[:m] = mix.share[cell] * r
+        low[:m] += mix.begin.take(cell) * r
+        width[:m] = mix.share.take(cell) * r
         x = np.where(outcome == 0, mix.g2, mix.g1)
         miss = np.flatnonzero(outcome == 2)
         r = width[miss] // mix.total
         y = mix.symbol(np.minimum((value[miss] - low[miss]) // r, mix.total - _U(1)))
         x[miss] = y
-        low[miss] += mix.cum[y] * r
-        width[miss] = mix.freq[y] * r
+        low[miss] += mix.cum.take(y) * r
+        width[miss] = mix.freq.take(y) * r
         at = _unsettled(low, width, slice(0, m))
         while len(at):
-            value[at] = value[at] << _SHIFT | words[place[at]]
+            value[at] = value[at] << _SHIFT | words.take(place[at])
             place[at] += 1
             low[at] <<= _SHIFT
             width[at] <<= _SHIFT
@@ -270,6 +281,7 @@ class _Vocabulary(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.tails: dict[str, list[int]] = {}
@@ -278,6 +290,9 @@ class _Vocabulary(dict):
 
     def __missing__(self, word: str) -> bytes:
         """Little-endian u4 ids of a word that isn't known yet."""
+        if word in self.old:
+            found = self[word] = self.old.pop(word)
+            return found
         m = self.PLAIN.fullmatch(word)
         if m:
             letters, tail = m.groups()
@@ -294,25 +309,63 @@ class _Vocabulary(dict):
         found = self[word] = array("I", ids).tobytes()
         return found
 
+    def age(self) -> None:
+        """Lets go of what was not met since the last call."""
+        self.old = dict(self)
+        self.clear()
+
 
 _LOADED: dict[str, _Vocabulary] = {}
+# _Vocabulary.PLAIN for Arrow, a word's letters and its tail
+_PARTS = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-įı-ſ]+)(?P<tail>[!-&(-/:;=-@\[-`{-~]*)$"
+
+
+def _gather(ids: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``at`` of ids that lie in runs of ``size``, joined, and their sizes."""
+    got = size[at]
+    ends, start = np.cumsum(got), np.cumsum(size) - size
+    return ids[np.repeat(start[at] - ends + got, got) + np.arange(ends[-1] if len(ends) else 0)], got
 
 
-def _token_bytes(path: str, texts: list[str | None], most: int = 400_000) -> list[bytes]:
-    """Ids of each text, as little-endian u4 bytes, with the end id.
+def _token_ids(path: str, texts: pa.Array, most: int = 400_000):
+    """Runs of ids of whole texts, with the end id: (u4 ids, how many each text has).
 
     The vocabulary drops white space and never joins over it, so a text's ids
-    are those of its words in turn: each distinct word goes through the
-    tokenizer once and is then kept, up to ``most`` words.
+    are those of its words in turn. Arrow finds the distinct words of a run and
+    cuts plain ones into lower-case letters and punctuation; each distinct part
+    goes through the tokenizer once and is then kept; beyond ``most`` parts, those
+    that were not met again are let go.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _LOADED:
         _LOADED[path] = _Vocabulary(path)
-    known, out, end = _LOADED[path], [], np.array([END_ID], "<u4").tobytes()
-    for lo, hi in slices(texts):
+    known = _LOADED[path]
+    for lo, hi in _runs(texts):
         if len(known) > most:
-            known.clear()
-        out += [b"".join(map(known.__getitem__, (t or "").replace("\n", " ").split(" "))) + end for t in texts[lo:hi]]
+            known.age()
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.slice(lo, hi - lo), ""), "\n", " "), " ")
+        words = pc.dictionary_encode(lists.flatten())
+        cut = pc.extract_regex(words.dictionary, _PARTS)
+        first = pc.coalesce(pc.utf8_lower(pc.struct_field(cut, "letters")), words.dictionary)
+        parts = pc.dictionary_encode(pa.concat_arrays([first, pc.fill_null(pc.struct_field(cut, "tail"), "")]))
+        found = [known[x] for x in parts.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        ids, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        # each distinct word's first part and tail, and at the end a word of the end id alone
+        ids, size = _gather(ids, size, parts.indices.to_numpy().reshape(2, -1).T.ravel())
+        ids, size = np.r_[ids, np.array([END_ID], "<u4")], np.r_[size.reshape(-1, 2).sum(1), 1]
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))
+        ids, size = _gather(ids, size, np.insert(words.indices.to_numpy(), ends, len(words.dictionary)))
+        yield ids, np.add.reduceat(size, np.r_[0, ends[:-1] + np.arange(1, len(ends))])
+
+
+def _runs(texts: pa.Array, most: int = 8_000_000) -> list[tuple[int, int]]:
+    """Runs of texts of about ``most`` bytes together, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    out, lo = [], 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        out.append((lo, hi))
+        lo = hi
     return out
 
 
@@ -326,23 +379,24 @@ def write_ids(docs: DataFrame, tokenizer_path: str, block_ids: int = BLOCK_IDS)
         part, seq, doc_ids, lists, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def done():
-            return pd.DataFrame({"part": [part], "seq": [seq], "n_ids": [size], "block": [write_block(doc_ids, lists)]})
+            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_ids": [size], "block": [write_block(doc_ids, lists)]}, _BLOCKS)
 
         for b in batches:
-            texts = b["text"].tolist()
-            ids = b["doc_id"].astype("object").tolist()
-            for lo, hi in slices(texts):
-                for d, raw in zip(ids[lo:hi], _token_bytes(tokenizer_path, texts[lo:hi])):
-                    doc_ids.append(None if pd.isna(d) else int(d))
-                    lists.append(np.frombuffer(raw, "<u4"))
-                    size += len(lists[-1])
+            ids, first = b["doc_id"].to_pylist(), 0
+            for found, sizes in _token_ids(tokenizer_path, b["text"]):
+                ends = np.cumsum(sizes)
+                for d, end, n in zip(ids[first:], ends.tolist(), sizes.tolist()):
+                    doc_ids.append(d)
+                    lists.append(found[end - n:end])
+                    size += n
                     if size >= block_ids:
                         yield done()
                         seq, doc_ids, lists, size = seq + 1, [], [], 0
+                first += len(sizes)
         if lists:
             yield done()
 
-    return stage(ordered.mapInPandas(blocks, "part int, seq int, n_ids long, block binary"), "token-blocks")
+    return stage(ordered.mapInArrow(blocks, "part int, seq int, n_ids long, block binary"), "token-blocks")
 
 
 def read_ids(files: DataFrame) -> DataFrame:

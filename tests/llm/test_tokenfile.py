@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -69,3 +70,34 @@ def test_small_blocks(spark, documents):
     assert files.count() > 8
     got = sorted(map(tuple, tokenfile.read_ids(files).collect()))
     assert got == expected(sorted((r.doc_id, r.text) for r in documents.collect()))
+
+
+def test_a_part_goes_through_the_tokenizer_once(monkeypatch):
+    path, asked = queries.tokenizer_path(), []
+    monkeypatch.setattr(tokenfile, "_LOADED", {})
+    monkeypatch.setattr(tokenfile, "_runs", lambda texts: [(i, i + 1) for i in range(len(texts))])
+    missing = tokenfile._Vocabulary.__missing__
+
+    def counted(self, word):
+        if word not in self.old:
+            asked.append(word)
+        return missing(self, word)
+
+    monkeypatch.setattr(tokenfile._Vocabulary, "__missing__", counted)
+    texts = ["Haus haus, Haus!? HAUS\nhaus.", None, "", "ÄRGER ärger it's  <b> , x\ty", "Haus, ärger!? it's"]
+    for most in (400_000, 3):
+        got = list(tokenfile._token_ids(path, pa.array(texts, pa.string()), most))
+        assert [(ids[-1], len(ids)) for ids, _ in got] == [(2, n) for _, _, n, _ in expected(list(enumerate(texts)))]
+        assert [zlib.crc32(ids.astype("<u4").tobytes()) for ids, _ in got] == [c for *_, c in expected(list(enumerate(texts)))]
+        if most > 3:
+            assert sorted(asked) == sorted(["haus", ",", "!?", ".", "", "ärger", "it's", "<b>", "x\ty"])
+
+
+def test_parts_met_again_are_kept(monkeypatch):
+    v = tokenfile._Vocabulary(queries.tokenizer_path())
+    a, b = v["a"], v["b"]
+    v.age()
+    monkeypatch.setattr(v, "model", None)
+    assert v["a"] == a and v.old == {"b": b}
+    v.age()
+    assert v["a"] == a and "b" not in v and "b" not in v.old
