@@ -29,6 +29,7 @@ import re
 import struct
 import zlib
 from array import array
+from codecs import charmap_decode
 
 import numpy as np
 import pandas as pd
@@ -47,7 +48,6 @@ _HEAD = struct.Struct("<4s6I")
 _BLOCKS = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("block", pa.binary())])
 _U = np.uint64
 _TOP, _LEAST, _SHIFT, _ALL = _U(1 << 48), _U(1 << 40), _U(16), _U(0xFFFFFFFFFFFFFFFF)
-_RUN = 32  # ids in a run that a lookup goes to first
 _REFRESH = 32  # steps between two looks at the counts
 _LIMIT = 1 << 23  # counts are halved beyond this sum
 
@@ -63,12 +63,13 @@ class _Mixer:
     def __init__(self, alphabet: int):
         n = self.alphabet = alphabet
         self.count = np.zeros(n, np.int64)
-        self.state1, self.state2 = np.full(n, n << 3, np.int64), np.full(1 << 18, n << 3, np.int64)
+        self.state1, self.state2 = np.full(n, n << 3, np.int32), np.full(1 << 18, n << 3, np.int32)
         # outcomes by (confidence 2, confidence 1, both say the same)
         self.seen = np.tile(np.array([1, 1, 6], np.int64), (128, 1))
         self.steps = 0
         # ids and outcomes since the last refresh, which alone reads the counts
         self.ids, self.outcomes = [], []
+        self.firsts = None
 
     def refresh(self) -> None:
         if self.steps % _REFRESH == 0 or self.steps < 4:
@@ -80,13 +81,12 @@ class _Mixer:
             if int(freq.sum()) > _LIMIT:
                 self.count >>= 1
                 freq = self.count * 24 + 1
-            self.freq = freq.astype(_U)
-            # the sums, and past their end the total, which no value reaches
-            self.cum = np.zeros(self.alphabet + 1 + _RUN, _U)
-            np.cumsum(self.freq, out=self.cum[1:self.alphabet + 1])
+            self.freq = freq.view(_U)
+            # the sums, with the total at the end
+            self.cum = np.zeros(self.alphabet + 1, _U)
+            np.cumsum(self.freq, out=self.cum[1:])
             self.total = self.cum[self.alphabet]
-            self.cum[self.alphabet + 1:] = self.total
-            self.coarse = self.cum[:self.alphabet:_RUN].copy()
+            self.firsts = None
             w = (self.seen * 65000 // self.seen.sum(1, keepdims=True)).clip(48)
             w[1::2, 1] = 0  # the same guess twice is coded as that of order 2
             w[:, 2] = 65536 - w[:, 0] - w[:, 1]
@@ -101,131 +101,174 @@ class _Mixer:
         self.b = b
         self.slot = ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 7) & 0x3FFFF
         s2, s1 = self.s2, self.s1 = self.state2.take(self.slot), self.state1.take(b)
-        self.g2, self.g1, self.k2, self.k1 = s2 >> 3, s1 >> 3, s2 & 7, s1 & 7
-        self.cell = (self.k2 << 4 | self.k1 << 1 | (self.g1 == self.g2)) * 3
+        self.g2, self.g1 = s2 >> 3, s1 >> 3
+        self.cell = _CELL.take((s2 & 7) << 4 | (s1 & 7) << 1 | (self.g1 == self.g2))
 
     def symbol(self, v: np.ndarray) -> np.ndarray:
-        """The id whose order-0 interval holds v: its run of ids, then in it."""
-        x = (np.searchsorted(self.coarse, v, "right") - 1) * _RUN
-        step = _RUN >> 1
-        while step:
-            x += step * (self.cum.take(x + step) <= v)
-            step >>= 1
+        """The id whose order-0 interval holds v. Values go in slices of equal
+        width to the id at the slice's begin; a search finds what lies behind it."""
+        if self.firsts is None:
+            self.cut = _U(max(0, int(self.total).bit_length() - 16))
+            ends = (self.cum[1:] - _U(1) >> self.cut).view(np.int64) + 1
+            self.firsts = np.repeat(np.arange(self.alphabet), np.diff(ends, prepend=0))
+        x = self.firsts.take((v >> self.cut).view(np.int64))
+        behind = np.flatnonzero(self.cum.take(x + 1) <= v)
+        x[behind] = np.searchsorted(self.cum, v.take(behind), "right") - 1
         return x
 
     def learn(self, x: np.ndarray, outcome: np.ndarray) -> None:
+        """``outcome`` is the cell's number plus the outcome in it."""
         self.ids.append(x)
-        self.outcomes.append(self.cell + outcome)
-        other = x << 3
-        for state, at, now, guess, sure in ((self.state2, self.slot, self.s2, self.g2, self.k2), (self.state1, self.b, self.s1, self.g1, self.k1)):
-            hit = guess == x
-            after = now + _SURE.take(sure + 8 * hit)
-            np.copyto(after, other, where=~hit & (sure < 2))
-            state[at] = after
+        self.outcomes.append(outcome)
+        other = (x << 3).astype(np.int32)
+        for state, at, now, change, anew in ((self.state2, self.slot, self.s2, _CHANGE2, _ANEW2), (self.state1, self.b, self.s1, _CHANGE1, _ANEW1)):
+            now += change.take(outcome)
+            np.copyto(now, other, where=anew.take(outcome))
+            state[at] = now
 
 
-_SURE = np.array([0, 0, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7]) - np.tile(np.arange(8), 2)  # change after a miss, after a hit
+def _changes() -> list[np.ndarray]:
+    """By cell and outcome, for order 2 and for order 1: how the confidence
+    changes, and whether the id just met becomes the guess."""
+    sure2, sure1, same, outcome = np.indices((8, 8, 2, 3)).reshape(4, -1)
+    out = []
+    for sure, hit in ((sure2, outcome == 0), (sure1, (outcome == 1) | (outcome == 0) & (same == 1))):
+        out += [np.where(hit, np.minimum(sure + 1, 7), sure >> 1) - sure, ~hit & (sure < 2)]
+    return [x.astype(np.int32) if x.dtype != bool else x for x in out]
+
+
+_CELL = np.arange(0, 384, 3)  # where a cell's three outcomes begin
+_MISS = np.tile([False, False, True], 128)
+_CHANGE2, _ANEW2, _CHANGE1, _ANEW1 = _changes()
 
 
 def _lanes(n: int) -> int:
     return max(1, min(2048, n // 512))
 
 
-def _unsettled(low: np.ndarray, width: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
-    """Of the lanes ``at``, those that must shift out 16 bits; narrows a range
-    that is short but lies across a settled boundary."""
-    lo, wi = low[at], width[at]
-    top = (lo ^ (lo + wi)) < _TOP
-    short = np.flatnonzero((wi < _LEAST) & ~top)
-    lanes = np.arange(at.stop) if isinstance(at, slice) else at
+def _unsettled(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Which lanes must shift out 16 bits; narrows a range that is short but
+    lies across a settled boundary."""
+    top = (low ^ (low + width)) < _TOP
+    short = np.flatnonzero(width < _LEAST)
     if len(short):
-        s = lanes[short]
-        width[s] = (~low[s] + _U(1)) & (_LEAST - _U(1))
+        short = short[~top[short]]
+        width[short] = (~low[short] + _U(1)) & (_LEAST - _U(1))
         top[short] = True
-    return lanes[top]
+    return top
+
+
+def _unsettled_at(low: np.ndarray, width: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``_unsettled`` for the lanes ``at`` of all."""
+    wi = width.take(at)
+    top = _unsettled(low.take(at), wi)
+    width[at] = wi
+    return top
 
 
 def code(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids -> (words of each lane, 16-bit words, lane by lane)."""
     n, lanes = len(ids), _lanes(len(ids))
     length = -(-n // lanes) if n else 0
-    mix, x_all = _Mixer(alphabet), ids.astype(np.int64)
+    mix = _Mixer(alphabet)
     low, width = np.zeros(lanes, _U), np.full(lanes, _ALL)
     a, b, lane0 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.arange(lanes) * length
     out_lane, out_word = [], []
 
     def put(at, words):
-        out_lane.append(at)
+        out_lane.append(at.astype(np.uint16))
         out_word.append(words.astype(np.uint16))
 
     for t in range(length):
         m = min(lanes, -(-(n - t) // length))
-        x = x_all.take(lane0[:m] + t)
+        x = ids.take(lane0[:m] + t).astype(np.int64)
         mix.refresh()
         mix.look(a[:m], b[:m])
-        outcome = (2 - (x == mix.g1)) * (x != mix.g2)
-        r = width[:m] >> _SHIFT
-        cell = mix.cell + outcome
-        low[:m] += mix.begin.take(cell) * r
-        width[:m] = mix.share.take(cell) * r
-        miss = np.flatnonzero(outcome == 2)
-        r, y = width[miss] // mix.total, x[miss]
-        low[miss] += mix.cum.take(y) * r
-        width[miss] = mix.freq.take(y) * r
-        at = _unsettled(low, width, slice(0, m))
+        cell = (2 - (x == mix.g1)) * (x != mix.g2) + mix.cell
+        lo, wi = low[:m], width[:m]
+        wi >>= _SHIFT
+        lo += mix.begin.take(cell) * wi
+        wi *= mix.share.take(cell)
+        miss = np.flatnonzero(_MISS.take(cell))
+        r, y = wi.take(miss) // mix.total, x.take(miss)
+        lo[miss] = lo.take(miss) + mix.cum.take(y) * r
+        wi[miss] = mix.freq.take(y) * r
+        # about half of the lanes shift once, which all do together; few shift again
+        top = _unsettled(lo, wi)
+        at = np.flatnonzero(top)
+        put(at, lo.take(at) >> _U(48))
+        by = top * _SHIFT
+        lo <<= by
+        wi <<= by
+        at = at[_unsettled_at(lo, wi, at)]
         while len(at):
-            put(at, low[at] >> _U(48))
-            low[at] <<= _SHIFT
-            width[at] <<= _SHIFT
-            at = _unsettled(low, width, at)
-        mix.learn(x, outcome)
+            put(at, lo[at] >> _U(48))
+            lo[at] <<= _SHIFT
+            wi[at] <<= _SHIFT
+            at = at[_unsettled_at(lo, wi, at)]
+        mix.learn(x, cell)
         a, b = b[:m], x
     for k in range(4):
         put(np.arange(lanes), low >> _U(48 - 16 * k) & _U(0xFFFF))
     lane, word = np.concatenate(out_lane), np.concatenate(out_word)
-    return np.bincount(lane, minlength=lanes).astype(np.uint32), word[np.argsort(lane.astype(np.uint16), kind="stable")]
+    return np.bincount(lane, minlength=lanes).astype(np.uint32), word[np.argsort(lane, kind="stable")]
 
 
 def decode(n: int, alphabet: int, sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The ids that ``code`` gave these words for."""
     lanes = len(sizes)
     length = -(-n // lanes) if n else 0
-    mix, out = _Mixer(alphabet), np.zeros(n, np.int64)
-    low, width, value = np.zeros(lanes, _U), np.full(lanes, _ALL), np.zeros(lanes, _U)
-    words = np.r_[words, np.zeros(8, np.uint16)].astype(_U)
+    mix, out = _Mixer(alphabet), np.zeros((length, lanes), "<u4")
+    # past: how far the value read is past the low end
+    low, width, past = np.zeros(lanes, _U), np.full(lanes, _ALL), np.zeros(lanes, _U)
+    words = np.r_[words, np.zeros(8, np.uint16)].astype(np.uint16)
     place = np.r_[0, np.cumsum(sizes.astype(np.int64))[:-1]]
     for _ in range(4):
-        value = value << _SHIFT | words[place]
+        past = past << _SHIFT | words[place]
         place += 1
-    a, b, lane0 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.arange(lanes) * length
+    a, b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     for t in range(length):
         m = min(lanes, -(-(n - t) // length))
         mix.refresh()
         mix.look(a[:m], b[:m])
-        r = width[:m] >> _SHIFT
-        v = (value[:m] - low[:m]) // r
-        outcome = (v >= mix.share.take(mix.cell)).astype(np.int64) + (v >= mix.begin.take(mix.cell + 2))
-        cell = mix.cell + outcome
-        low[:m] += mix.begin.take(cell) * r
-        width[:m] = mix.share.take(cell) * r
-        x = np.where(outcome == 0, mix.g2, mix.g1)
-        miss = np.flatnonzero(outcome == 2)
-        r = width[miss] // mix.total
-        y = mix.symbol(np.minimum((value[miss] - low[miss]) // r, mix.total - _U(1)))
+        low, width, past, place = low[:m], width[:m], past[:m], place[:m]
+        width >>= _SHIFT
+        # where the outcomes 1 and 2 begin
+        not0 = past >= mix.share.take(mix.cell) * width
+        not01 = past >= mix.begin.take(mix.cell + 2) * width
+        cell = mix.cell + not0 + not01
+        move = mix.begin.take(cell) * width
+        low += move
+        past -= move
+        width *= mix.share.take(cell)
+        x = np.where(not0, mix.g1, mix.g2).astype(np.int64)
+        miss = np.flatnonzero(not01)
+        r, v = width.take(miss) // mix.total, past.take(miss)
+        y = mix.symbol(np.minimum(v // r, mix.total - _U(1)))
         x[miss] = y
-        low[miss] += mix.cum.take(y) * r
+        move = mix.cum.take(y) * r
+        low[miss] = low.take(miss) + move
+        past[miss] = v - move
         width[miss] = mix.freq.take(y) * r
-        at = _unsettled(low, width, slice(0, m))
+        top = _unsettled(low, width)
+        at = np.flatnonzero(top)
+        by = top * _SHIFT
+        low <<= by
+        width <<= by
+        past <<= by
+        past[at] = past.take(at) | words.take(place.take(at))
+        place += top
+        at = at[_unsettled_at(low, width, at)]
         while len(at):
-            value[at] = value[at] << _SHIFT | words.take(place[at])
+            past[at] = past[at] << _SHIFT | words.take(place[at])
             place[at] += 1
             low[at] <<= _SHIFT
             width[at] <<= _SHIFT
-            at = _unsettled(low, width, at)
-        mix.learn(x, outcome)
-        out[lane0[:m] + t] = x
+            at = at[_unsettled_at(low, width, at)]
+        mix.learn(x, cell)
+        out[t, :m] = x
         a, b = b[:m], x
-    return out
+    return out.T.ravel()[:n]
 
 
 def write_block(doc_ids: list, lists: list[np.ndarray]) -> bytes:
@@ -286,27 +329,34 @@ class _Vocabulary(dict):
         self.model = self.whole.model
         self.tails: dict[str, list[int]] = {}
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x180)}
+        # byte -> its letter in the byte alphabet, from those of the two bytes of U+0080 to U+017F
+        letters = {y: z for c in range(0x80, 0x180) for y, z in zip(chr(c).encode(), level.pre_tokenize_str(chr(c))[0][0])}
+        self.bytes = "".join(letters.get(y, chr(y)) for y in range(256))
 
     def __missing__(self, word: str) -> bytes:
         """Little-endian u4 ids of a word that isn't known yet."""
-        if word in self.old:
-            found = self[word] = self.old.pop(word)
-            return found
-        m = self.PLAIN.fullmatch(word)
-        if m:
-            letters, tail = m.groups()
-            letters = letters.lower()
-            if not letters.isascii():
-                letters = letters.translate(self.bytes)
-            ids = [x.id for x in self.model.tokenize(letters)]
-            if tail:
-                if tail not in self.tails:
-                    self.tails[tail] = self.whole.encode(tail, add_special_tokens=False).ids
-                ids += self.tails[tail]
-        else:
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-        found = self[word] = array("I", ids).tobytes()
+        found = self.old.pop(word, None)
+        if found is None:
+            tail = ""
+            if word.isascii() and word.isalpha():
+                plain = word
+            elif m := self.PLAIN.fullmatch(word):
+                plain, tail = m.groups()
+            else:
+                plain = None
+            if plain:
+                plain = plain.lower()
+                if not plain.isascii():
+                    plain = charmap_decode(plain.encode(), "strict", self.bytes)[0]
+                ids = [x.id for x in self.model.tokenize(plain)]
+                if tail:
+                    if tail not in self.tails:
+                        self.tails[tail] = self.whole.encode(tail, add_special_tokens=False).ids
+                    ids += self.tails[tail]
+            else:
+                ids = self.whole.encode(word, add_special_tokens=False).ids
+            found = array("I", ids).tobytes()
+        self[word] = found
         return found
 
     def age(self) -> None:
@@ -322,9 +372,11 @@ _PARTS = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-įı-ſ]+)(?P<tail>[!-&(-/:;=-@\[-`{
 
 def _gather(ids: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs ``at`` of ids that lie in runs of ``size``, joined, and their sizes."""
-    got = size[at]
+    got = size.take(at)
     ends, start = np.cumsum(got), np.cumsum(size) - size
-    return ids[np.repeat(start[at] - ends + got, got) + np.arange(ends[-1] if len(ends) else 0)], got
+    place = np.repeat(start.take(at) - ends + got, got)
+    place += np.arange(len(place))
+    return ids.take(place), got
 
 
 def _token_ids(path: str, texts: pa.Array, most: int = 400_000):

@@ -101,3 +101,31 @@ def test_parts_met_again_are_kept(monkeypatch):
     assert v["a"] == a and v.old == {"b": b}
     v.age()
     assert v["a"] == a and "b" not in v and "b" not in v.old
+
+
+def test_symbol_finds_the_interval_of_each_value():
+    rng = np.random.default_rng(3)
+    for alphabet, ids in ((1, 5), (3, 900), (2000, 40_000), (49408, 300_000)):
+        mix = tokenfile._Mixer(alphabet)
+        mix.count += np.bincount((rng.zipf(1.3, ids) - 1).clip(0, alphabet - 1), minlength=alphabet)
+        mix.refresh()
+        ends = mix.cum[1:]
+        v = np.unique(np.r_[ends - np.uint64(1), ends[:-1], rng.integers(0, int(mix.total), 5000, np.uint64)])
+        assert (mix.symbol(v) == np.searchsorted(ends, v, "right")).all()
+
+
+def test_few_values_are_searched(monkeypatch):
+    """Reading a block back looks up most order-0 values, it searches the few
+    behind an interval's begin."""
+    x = (np.random.default_rng(4).zipf(1.3, 200_000) - 1).clip(0, 49407).astype("<u4")
+    block, searched, search = tokenfile.write_block([1], [x]), [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *how: searched.append(len(v)) or search(a, v, *how))
+    assert (tokenfile.read_block(block)[1][0] == x).all()
+    assert sum(searched) < 0.2 * len(x)
+
+
+def test_blocks_keep_their_bytes():
+    """Files that were written before can still be read: the coder's words are the same."""
+    rng = np.random.default_rng(5)
+    ids = [rng.integers(0, 49408, 30_000), rng.zipf(1.2, 60_000).clip(0, 49407), np.tile(rng.integers(0, 900, 700), 90), np.zeros(0)]
+    assert [zlib.crc32(tokenfile.write_block([1], [x.astype("<u4")])) for x in ids] == [558161692, 558161692, 558161692, 558161692]
