@@ -366,19 +366,11 @@ class _Vocabulary(dict):
 
 
 _LOADED: dict[str, _Vocabulary] = {}
+_BYTES = pa.large_binary()
 # _Vocabulary.PLAIN for Arrow, a word's letters and its tail
 _PARTS = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-įı-ſ]+)(?P<tail>[!-&(-/:;=-@\[-`{-~]*)$"
 
 
-def _gather(ids: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs ``at`` of ids that lie in runs of ``size``, joined, and their sizes."""
-    got = size.take(at)
-    ends, start = np.cumsum(got), np.cumsum(size) - size
-    place = np.repeat(start.take(at) - ends + got, got)
-    place += np.arange(len(place))
-    return ids.take(place), got
-
-
 def _token_ids(path: str, texts: pa.Array, most: int = 400_000):
     """Runs of ids of whole texts, with the end id: (u4 ids, how many each text has).
 
@@ -386,7 +378,7 @@ def _token_ids(path: str, texts: pa.Array, most: int = 400_000):
     are those of its words in turn. Arrow finds the distinct words of a run and
     cuts plain ones into lower-case letters and punctuation; each distinct part
     goes through the tokenizer once and is then kept; beyond ``most`` parts, those
-    that were not met again are let go.
+    that were not met again are let go. Arrow then lines up the words' ids.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _LOADED:
@@ -401,13 +393,16 @@ def _token_ids(path: str, texts: pa.Array, most: int = 400_000):
         first = pc.coalesce(pc.utf8_lower(pc.struct_field(cut, "letters")), words.dictionary)
         parts = pc.dictionary_encode(pa.concat_arrays([first, pc.fill_null(pc.struct_field(cut, "tail"), "")]))
         found = [known[x] for x in parts.dictionary.to_numpy(zero_copy_only=False).tolist()]
-        ids, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, n = pa.array(found, _BYTES), len(words.dictionary)
         # each distinct word's first part and tail, and at the end a word of the end id alone
-        ids, size = _gather(ids, size, parts.indices.to_numpy().reshape(2, -1).T.ravel())
-        ids, size = np.r_[ids, np.array([END_ID], "<u4")], np.r_[size.reshape(-1, 2).sum(1), 1]
+        ids = pc.binary_join_element_wise(ids.take(parts.indices[:n]), ids.take(parts.indices[n:]), pa.scalar(b"", _BYTES))
+        ids = pa.concat_arrays([ids, pa.array([struct.pack("<I", END_ID)], _BYTES)])
         ends = np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))
-        ids, size = _gather(ids, size, np.insert(words.indices.to_numpy(), ends, len(words.dictionary)))
-        yield ids, np.add.reduceat(size, np.r_[0, ends[:-1] + np.arange(1, len(ends))])
+        at = pa.array(np.insert(words.indices.to_numpy(), ends, n))
+        del lists, words, cut, first, parts, found
+        _, offsets, data = ids.take(at).buffers()
+        ends = np.frombuffer(offsets, np.int64)[ends + np.arange(1, len(ends) + 1)] // 4
+        yield np.frombuffer(data, "<u4", ends[-1]), np.diff(ends, prepend=0)
 
 
 def _runs(texts: pa.Array, most: int = 8_000_000) -> list[tuple[int, int]]:
@@ -447,6 +442,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, block_ids: int = BLOCK_IDS)
                 first += len(sizes)
         if lists:
             yield done()
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return stage(ordered.mapInArrow(blocks, "part int, seq int, n_ids long, block binary"), "token-blocks")
 
