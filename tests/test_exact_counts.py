@@ -13,6 +13,7 @@ NOW = datetime(2024, 1, 31)
 INVENTORY = "database_name string, schema_name string, task_name string, state string, predecessors string, warehouse_name string, definition string"
 TASKS = ("database_name string, schema_name string, name string, query_id string, scheduled_time timestamp_ntz, completed_time timestamp_ntz, "
          "state string, error_code string, error_message string")
+STATEMENTS = "query_id string, start_time timestamp_ntz, total_elapsed_time bigint, warehouse_size string, credits_used_cloud_services double, query_text string"
 # top -> mid -> 5000 tasks, every third of which leads to one of 700 tasks with several predecessors
 BELOW = {"mid": 5700, "top": 5701}
 
@@ -37,6 +38,13 @@ def test_critical_paths_above_thousands(spark):
     assert (got["top"].downstream_task_count, got["top"].critical_path_score) == (5701, 2 * 10 + 5 * 5701.0)
 
 
+def test_run_exceptions_above_thousands(spark):
+    inventory = wide(spark)
+    rows = tc.run_exceptions(spark.createDataFrame([], TASKS), spark.createDataFrame([], STATEMENTS), inventory, g.graph_impact(inventory), NOW).collect()
+    assert {r.task_name: (r.signal, r.downstream_task_count, r.incident_priority) for r in rows} == {
+        n: (tc.SUSPENDED, c, "P2 - Production Risk") for n, c in BELOW.items()}
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_counts_of_any_graph(spark, monkeypatch, seed):
     monkeypatch.setattr(g, "CHECKPOINT_EVERY", 2)
