@@ -7,7 +7,7 @@ import pytest
 
 from opslens.operators import graph as g
 from opslens.operators import task_costs as tc
-from test_walks import plain
+from test_walks import _plans_of_jobs, plain
 
 NOW = datetime(2024, 1, 31)
 INVENTORY = "database_name string, schema_name string, task_name string, state string, predecessors string, warehouse_name string, definition string"
@@ -64,3 +64,10 @@ def test_counts_of_any_graph(spark, monkeypatch, seed):
 def test_sketches_only_where_asked_for(spark):
     got = {r.label: r.downstream_task_count for r in g.graph_impact(wide(spark), log_k=8).collect()}
     assert got["c0"] == 1 and got["top"] != BELOW["top"] and abs(got["top"] / BELOW["top"] - 1) < 4 / 16
+
+
+def test_numbers_of_tasks_are_not_broadcast(spark, monkeypatch):
+    inventory = wide(spark)
+    plans = _plans_of_jobs(monkeypatch, inventory)
+    assert g.downstream_counts(g.task_edges(inventory)).where("downstream_task_count > 4096").count() == 2
+    assert plans and not [p for p in plans if "Broadcast" in p]
